@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lattica.llm import simhash
+from lattica.llm import bpe, quality, simhash, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+        "op2_quality_rules": quality.op2_quality_rules,
+        "op3_token_counts": token_counts.op3_token_counts,
+        "op6_byte_bpe": bpe.op6_byte_bpe,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op2_quality_rules": quality.OP2_SQL,
+    }
