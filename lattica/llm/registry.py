@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lattica.llm import bpe, quality, simhash, token_counts
+from lattica.llm import bpe, mixing, quality, repeats, simhash, token_counts
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op5_mix_sources": mixing.op5_mix_sources,
         "op6_byte_bpe": bpe.op6_byte_bpe,
+        "op8_substring_dedup": repeats.op8_substring_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
