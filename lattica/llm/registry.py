@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lattica.llm import bpe, mixing, quality, repeats, simhash, token_counts
+from lattica.llm import bpe, lattice, mixing, quality, repeats, simhash, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -11,8 +11,10 @@ def queries() -> dict:
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op4_embedding_near_dedup": lattice.op4_embedding_near_dedup,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_byte_bpe": bpe.op6_byte_bpe,
+        "op7_url_filter": url_filter.op7_url_filter,
         "op8_substring_dedup": repeats.op8_substring_dedup,
         "pipeline": corpus_pipeline.run,
     }
@@ -21,4 +23,5 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op2_quality_rules": quality.OP2_SQL,
+        "op7_url_filter": url_filter.OP7_SQL,
     }
