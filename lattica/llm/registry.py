@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lattica.llm import bpe, lattice, mixing, quality, repeats, simhash, token_counts, url_filter
+from lattica.llm import bpe, html_extract, language_id, lattice, mixing, quality, repeats, simhash, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -16,6 +16,8 @@ def queries() -> dict:
         "op6_byte_bpe": bpe.op6_byte_bpe,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_substring_dedup": repeats.op8_substring_dedup,
+        "op9_html_extraction": html_extract.op9_html_extraction,
+        "op10_language_id": language_id.op10_language_id,
         "pipeline": corpus_pipeline.run,
     }
 
