@@ -132,8 +132,11 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with the columns of ``docs``; rules in the measured order."""
     df = _boxed(docs, text_col)
-    for rule, _, _ in order_rules(docs, rules, text_col=text_col):
-        df = with_statistics(df, rule.needs).where(f"NOT coalesce({rule.rejects}, false)")
+    for n, (rule, _, _) in enumerate(order_rules(docs, rules, text_col=text_col)):
+        # A condition that reads a non-deterministic column stays above it: pushed down, it would be put in the
+        # place of the statistics and have them computed anew for each word.
+        df = with_statistics(df, rule.needs).withColumn(f"_stay{n}", F.spark_partition_id())
+        df = df.where(f"NOT coalesce({rule.rejects}, false) AND _stay{n} >= 0")
     return df.select("_row.*")
 
 
