@@ -16,12 +16,11 @@ ID_FORMS = (("app_id", 11), ("project_id", 9))
 
 def scan_ids(texts: DataFrame) -> DataFrame:
     """``(page_id, ord, id_type, pos, raw_value, path)``: each identifier once per chunk ``(page_id, ord, text, path)``."""
-    found = F.concat(
-        *(
-            F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?U)\b(\d{{{n}}})\b"), 1)), lambda v, k=kind: F.struct(F.lit(k).alias("id_type"), v.alias("raw_value")))
-            for kind, n in ID_FORMS
-        )
-    )
+    def matches(kind: str, digits: int) -> Column:
+        values = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?U)\b(\d{{{digits}}})\b"), 1))
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("id_type"), v.alias("raw_value")))
+
+    found = F.concat(*(matches(kind, digits) for kind, digits in ID_FORMS))
     return texts.select("page_id", "ord", "path", "text", F.posexplode(found).alias("pos", "x")).select("page_id", "ord", "path", "text", "pos", "x.*")
 
 

@@ -55,8 +55,8 @@ def build_nodes(pages: DataFrame, events: DataFrame) -> DataFrame:
 def build_edges(events: DataFrame) -> DataFrame:
     """HAS_EVENT from page, application and project; REFERENCES_APP and _PROJ from the page, once each."""
     page = F.concat(F.lit("page_"), "page_id")
-    app = F.concat(F.lit("app_"), F.explode("app_ids"))
-    project = F.concat(F.lit("proj_"), F.explode("project_ids"))
+    app = F.explode(F.transform("app_ids", lambda x: F.concat(F.lit("app_"), x)))
+    project = F.explode(F.transform("project_ids", lambda x: F.concat(F.lit("proj_"), x)))
 
     def edge(source: Column, relation: str, target: Column) -> DataFrame:
         both = events.select("page_id", source.alias("source_id"), target.alias("target_id"))
