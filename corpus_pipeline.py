@@ -19,7 +19,7 @@ from lattica.llm.common import materialize, read
 from lattica.llm.mixing import mix
 from lattica.llm.quality import quality_filter
 from lattica.llm.repeats import remove_repeats
-from lattica.llm.simhash import near_dedup
+from lattica.llm.simhash_wide import similar_dedup
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest, of each class of near copies."""
-    classes = near_dedup(docs.select("doc_id", "text"))
+    """One document, the smallest, of each class of near copies: 5-word shingles, similarity 0.8 or more."""
+    classes = similar_dedup(docs.select("doc_id", "text"))
     return docs.join(classes.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
