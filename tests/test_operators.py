@@ -136,3 +136,16 @@ def test_stream_equals_batch(spark, tmp_path):
         watch(spark, f"{tmp_path}/in", schema, tables, f"{tmp_path}/check").awaitTermination(120)
     assert {(r.page_id, r.title) for r in tables.pages(f"{schema}, version long").collect()} == {("a", "2"), ("b", "1")}
     assert spark.read.parquet(f"{tmp_path}/tables/pages").count() == 3  # the unchanged page was not taken again
+
+
+def test_command_line(spark, tmp_path):
+    from lattica import cli
+
+    rows = [("1", "t", "S", "<p>id 123456789</p>", None, datetime(2024, 5, 1)), ("2", "t", "S", "<p>x</p>", None, datetime(2025, 1, 1)), ("3", "t", "T", "<p>y</p>", None, None)]
+    spark.createDataFrame(rows, cli.PAGE_SCHEMA).write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    cli.run_batch(spark, pages, f"{tmp_path}/out", "S", "2024-01-01", "2024-12-31", None)
+    assert [r.page_id for r in spark.read.parquet(f"{tmp_path}/out/chunks").collect()] == ["1"]
+    assert [r.raw_value for r in spark.read.parquet(f"{tmp_path}/out/ids").collect()] == ["123456789"]
+    cli.run_batch(spark, pages, f"{tmp_path}/out", None, None, None, ["3", "2"])
+    assert {r.page_id for r in spark.read.parquet(f"{tmp_path}/out/chunks").collect()} == {"2", "3"}
