@@ -48,14 +48,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the scratch tables that ``df`` reads directly; only for tables no later plan needs."""
-    for item in list(_scratch):
-        if any(f.startswith(item[1]) or item[1] in f for f in df.inputFiles()):
-            _delete(*item)
-            _scratch.remove(item)
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
