@@ -73,7 +73,10 @@ def traverse(nodes: DataFrame, edges: DataFrame, start: str, relations: Sequence
     reached = frontier = spark.createDataFrame([(start, 0)], "id string, level int")
     for level in range(1, depth + 1):
         found = frontier.join(steps, frontier["id"] == steps["source_id"]).select(F.col("target_id").alias("id")).distinct()
-        frontier = found.join(reached, "id", "left_anti").withColumn("level", F.lit(level))
+        # kept, or each level would compute all levels before it anew
+        frontier = found.join(reached, "id", "left_anti").withColumn("level", F.lit(level)).persist()
+        if frontier.isEmpty():
+            break
         reached = reached.union(frontier)
     hit = reached.where("level > 0").select(F.col("id").alias("_id"), "level")
     return live(nodes).join(hit, "_id")
