@@ -246,6 +246,11 @@ class Codec:
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def forget(self) -> None:
+        """Give back what was stored for speed; the vocabulary stays."""
+        self.words.clear()
+        self.vocabulary.tests.clear()
+
     def encode(self, text: str) -> list[int]:
         return memoryview(self.encode_packed([text])[0]).cast("I").tolist()
 
@@ -300,6 +305,7 @@ def encode_documents(
                     made.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(arrays) if arrays else pa.array([], pa.int32())))
                 made += [pa.array(first, pa.string()), pa.array(second, pa.string())]
                 yield pa.record_batch([*batch.columns, *made], [*kept, *names])
+        codec.forget()  # a worker may next serve a stage that needs the memory
 
     schema = StructType([*docs.schema.fields, *(StructField(n, k) for n, k in zip(names, kinds))])
     return docs.mapInArrow(run, schema)
