@@ -54,7 +54,7 @@ def set_embeddings(nodes: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def with_log(pages: DataFrame, log: DataFrame) -> DataFrame:
-    cols = log.select("page_id", F.col("status").alias("log_status"), F.col("confluence_last_modified").alias("log_modified"), F.lit(True).alias("logged"))
+    cols = log.select("page_id", F.col("status").alias("log_status"), F.col("source_modified").alias("log_modified"), F.lit(True).alias("logged"))
     return pages.join(cols, "page_id", "left")
 
 

@@ -103,14 +103,14 @@ def ingestion(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     log = old.select(
         "page_id",
         F.when(F.col("x.event_type") == "error", "error").otherwise("done").alias("status"),
-        F.col("x.ts").alias("confluence_last_modified"),
+        F.col("x.ts").alias("source_modified"),
         F.pmod(F.col("page_id").cast("int"), F.lit(5)).alias("retry_count"),
         F.lit(None).cast("string").alias("error_message"),
     )
     now = rows.groupBy("page_id").agg(newest.alias("x"))
     # every tenth page has not changed since the log was written, every seventh has no date
     same = F.pmod(F.col("page_id").cast("int"), F.lit(10)) == 0
-    stored = log.select("page_id", F.col("confluence_last_modified").alias("_stored"))
+    stored = log.select("page_id", F.col("source_modified").alias("_stored"))
     current = now.join(stored, "page_id", "left").select(
         "page_id",
         F.when(same, F.coalesce("_stored", "x.ts")).otherwise(F.col("x.ts")).alias("last_modified"),

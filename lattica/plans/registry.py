@@ -330,7 +330,7 @@ def log_transitions(spark, sf):
 
 @query(f"WITH {sql.LOG} SELECT page_id, status, strftime(modified, {sql.ISO}) AS at FROM lg")
 def log_latest(spark, sf):
-    return src.ingestion(spark, sf)[1].select("page_id", "status", iso(F.col("confluence_last_modified")).alias("at"))
+    return src.ingestion(spark, sf)[1].select("page_id", "status", iso(F.col("source_modified")).alias("at"))
 
 
 @query(f"WITH {sql.LOG} SELECT page_id, status FROM lg WHERE page_id = '42'")

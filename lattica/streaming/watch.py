@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lattica.operators.store import latest_per_key, needs_upsert, with_log
 
-LOG_SCHEMA = "page_id string, status string, confluence_last_modified timestamp_ntz, retry_count int, error_message string, version long"
+LOG_SCHEMA = "page_id string, status string, source_modified timestamp_ntz, retry_count int, error_message string, version long"
 
 
 class PageTables:
@@ -46,7 +46,7 @@ class PageTables:
             if status == "done":
                 todo.withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(f"{self.root}/pages")
             log = todo.select(
-                "page_id", F.lit(status).alias("status"), F.col("last_modified").alias("confluence_last_modified"),
+                "page_id", F.lit(status).alias("status"), F.col("last_modified").alias("source_modified"),
                 F.lit(0 if status == "done" else 1).alias("retry_count"), F.lit(error).cast("string").alias("error_message"), F.lit(version).cast("long").alias("version"),
             )
             log.write.mode("append").parquet(f"{self.root}/log")

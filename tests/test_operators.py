@@ -63,7 +63,7 @@ def test_soft_delete_is_idempotent(spark):
 def test_needs_upsert(spark):
     t = datetime(2024, 1, 1), datetime(2024, 1, 2)
     pages = spark.createDataFrame([(k, t[1]) for k in ("new", "error", "null", "equal", "older")], "page_id string, last_modified timestamp_ntz")
-    log = spark.createDataFrame([("error", "error", t[1]), ("null", "done", None), ("equal", "done", t[1]), ("older", "done", t[0])], "page_id string, status string, confluence_last_modified timestamp_ntz")
+    log = spark.createDataFrame([("error", "error", t[1]), ("null", "done", None), ("equal", "done", t[1]), ("older", "done", t[0])], "page_id string, status string, source_modified timestamp_ntz")
     got = {r.page_id for r in store.with_log(pages, log).where(store.needs_upsert()).collect()}
     assert got == {"new", "error", "null", "older"}
 
