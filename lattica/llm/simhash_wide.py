@@ -10,8 +10,12 @@ tests). In a bucket the comparison is bit-sliced as in ``simhash``: planes store
 blocks abandoned once all lanes exceed the radius. A bucket above ``bucket_rows`` is dealt as pairs of blocks: no
 pair in it is skipped. For some ten million documents and more, 16 bits a run keep buckets small.
 
-Equal fingerprints are one node, so a class of exact copies is one row. Cases are defined as in ``simhash``; texts
-without a word share the fingerprint of no shingle.
+What meets is a candidate only. The candidates' components are dealt to blocks with the shingle sets of their texts,
+and a pair becomes a link where the Jaccard similarity of its two sets is ``SIMILARITY`` or more (``verified_links``).
+A component of more than ``BLOCK_SHINGLES`` shingles or ``BLOCK_ROWS`` texts is dealt as pairs of blocks.
+
+Equal shingle sets are one node, so a class of exact copies is one row. Cases are defined as in ``simhash``; texts
+without a word share the empty set.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +33,7 @@ from lattica.llm.common import connected_components, materialize
 from lattica.llm.simhash import _pairs, shingle_hashes, spanning_links
 
 SHINGLE, SIMILARITY, BITS_A_RUN, BUCKET_ROWS = 5, 0.8, 12, 4096
+BLOCK_SHINGLES, BLOCK_ROWS = 1 << 20, 4096
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ONE = np.uint64(1)
 #: Odd multipliers that make the further 64 bits of a shingle's hash.
@@ -54,14 +60,26 @@ def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
     return words[0], words[1]
 
 
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, digest, n, fp0, fp1)`` of every row: digest and size of its shingle set, and its fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [wide_fingerprint(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
+            digests, sizes, fps = [], [], []
+            for t in batch.column(1):
+                own = shingle_set(t.as_py(), shingle)
+                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+                fps.append(wide_fingerprint(own))
             a, b = (pa.array([f[k] for f in fps], pa.int64()) for k in (0, 1))
-            yield pa.record_batch([batch.column(0), a, b], ["doc_id", "fp0", "fp1"])
+            yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), a, b], ["doc_id", "digest", "n", "fp0", "fp1"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp0 long, fp1 long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, digest binary, n long, fp0 long, fp1 long")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -172,12 +190,92 @@ def similar_links(nodes: DataFrame, radius: int, bits_a_run: int = BITS_A_RUN, b
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
 
+def links_of_sets(flat: np.ndarray, start: np.ndarray, fps: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """For each set the smallest row it is linked with, directly or not; set k is ``flat[start[k]:start[k + 1]]``, sorted.
+
+    Every pair within the radius that no link joins yet is compared, whole set with whole set.
+    """
+    size = np.diff(start)
+    n = len(size)
+    root = np.arange(n)
+    for q in range(n - 1):
+        later = slice(q + 1, n)
+        low, high = np.minimum(size[later], size[q]), np.maximum(size[later], size[q])
+        far = np.bitwise_count(fps[later] ^ fps[q]).sum(1, dtype=np.int64)
+        other = q + 1 + np.flatnonzero((root[later] != root[q]) & (low > 0) & (low >= similarity * high - 1e-6) & (far <= radius))
+        if not len(other):
+            continue
+        own = flat[start[q] : start[q + 1]]
+        first = np.cumsum(size[other]) - size[other]
+        values = flat[np.arange(size[other].sum()) + np.repeat(start[other] - first, size[other])]
+        hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+        common = np.add.reduceat(hit, first, dtype=np.int64)
+        linked = other[common / (size[q] + size[other] - common) >= similarity]
+        joined = np.unique(np.r_[root[q], root[linked]])
+        if len(joined) > 1:
+            root[np.isin(root, joined)] = joined[0]
+    return root
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, radius: int, shingle: int = SHINGLE, similarity: float = SIMILARITY, block_shingles: int = BLOCK_SHINGLES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links ``(a, b)`` of texts whose shingle sets have the Jaccard similarity, within ``candidates(id, component)``."""
+    members = materialize(nodes.join(candidates, "id").select("id", "n", "component"), "members")
+    share = F.greatest(F.sum("n") / block_shingles, F.count(F.lit(1)) / block_rows)
+    hot = members.groupBy("component").agg(F.ceil(share).cast("int").alias("k")).where("k > 1")
+    found = members.select("id", "component").distinct().join(hot, "component", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(found, "id")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                own = [shingle_set(t.as_py(), shingle) for t in batch.column(3)]
+                fps = [wide_fingerprint(s) for s in own]
+                a, b = (pa.array([f[k] for f in fps], pa.int64()) for k in (0, 1))
+                packed = pa.array([s.astype("<u8").tobytes() for s in own], pa.binary())
+                yield pa.record_batch([*(batch.column(c) for c in range(3)), a, b, packed], ["id", "component", "k", "fp0", "fp1", "packed"])
+
+    rows = texts.select("id", "component", "k", "text").mapInArrow(sets, "id long, component long, k int, fp0 long, fp1 long, packed binary")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.where("k = 1 OR own <> other").withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def solve() -> pa.RecordBatch:
+            ids = np.array([h[0] for h in held], np.int64)
+            fps = np.array([h[1:3] for h in held], np.int64).view(np.uint64)
+            start = np.cumsum([0, *(len(h[3]) // 8 for h in held)])
+            flat = np.frombuffer(b"".join(h[3] for h in held), "<u8")
+            root = links_of_sets(flat, start, fps, radius, similarity)
+            own = np.flatnonzero(root != np.arange(len(held)))
+            return pa.record_batch([pa.array(ids[own]), pa.array(ids[root[own]])], ["a", "b"])
+
+        for whole in batches:  # sorted by key: a block is complete where the key changes
+            for at in range(0, whole.num_rows, 512):
+                columns = (c.to_pylist() for c in whole.slice(at, 512).columns)
+                for own, *row in zip(*columns):
+                    if own != key:
+                        if len(held) > 1:
+                            yield solve()
+                        key, held = own, []
+                    held.append(row)
+        if len(held) > 1:
+            yield solve()
+
+    keyed = rows.select(F.xxhash64("component", "i", "j").alias("key"), "id", "fp0", "fp1", "packed")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+
+
 def similar_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bits_a_run: int = BITS_A_RUN, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``(doc_id, component_id, kept)`` for every row of ``docs(doc_id, text)``; the smallest document of a class is kept."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    nodes = materialize(fps.groupBy("fp0", "fp1").agg(F.min("doc_id").alias("id")), "nodes")
-    links = similar_links(nodes.where("id IS NOT NULL"), radius_of(similarity), bits_a_run, bucket_rows)
-    of_fp = nodes.join(connected_components(links), "id", "left").select("fp0", "fp1", F.coalesce("component", "id").alias("component_id"))
-    out = fps.join(of_fp, ["fp0", "fp1"])
+    nodes = materialize(fps.groupBy("digest", "n", "fp0", "fp1").agg(F.min("doc_id").alias("id")), "nodes")
+    named = nodes.where("id IS NOT NULL")
+    candidates = connected_components(similar_links(named, radius_of(similarity), bits_a_run, bucket_rows))
+    links = verified_links(docs, named, candidates, radius_of(similarity), shingle, similarity)
+    of_set = nodes.join(connected_components(links), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    out = fps.join(of_set, "digest")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return out.select("doc_id", "component_id", kept.alias("kept"))

@@ -114,6 +114,54 @@ def test_similar_dedup(spark):
     assert simhash_wide.similar_dedup(df.limit(0)).count() == 0
 
 
+def pair_at(rng, words, n, share, base=None):
+    """Two texts of n words of which the second has a share of its 5-word shingles with the first, by one changed end."""
+    first = base or [rng.choice(words) for _ in range(n)]
+    kept = round(2 * share / (1 + share) * (n - 4)) + 4
+    return first, first[:kept] + [rng.choice(words) for _ in range(n - kept)]
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_documents_below_the_similarity_stay(spark):
+    """No text goes that is below 0.8 to all others, neither in pairs nor in a family around one text."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(4000)]
+    rows = []
+    for k in range(150):
+        a, b = pair_at(rng, words, 250, (0.6, 0.7, 0.78)[k % 3])
+        assert 0.5 < jaccard(a, b) < 0.8
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    centre = [rng.choice(words) for _ in range(250)]
+    rows += [(1000 + k, " ".join(pair_at(rng, words, 250, 0.75, centre)[1])) for k in range(40)]
+    got = simhash_wide.similar_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.kept for r in got) and len(got) == len(rows)
+
+
+def test_large_components_are_dealt_in_blocks(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(4000)]
+    centre = [rng.choice(words) for _ in range(120)]
+    rows = [(k, " ".join(pair_at(rng, words, 120, 0.93, centre)[1])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = simhash_wide.fingerprints(docs).withColumnRenamed("doc_id", "id")
+    together = nodes.select("id", F.lit(0).cast("long").alias("component"))
+    links = simhash_wide.verified_links(docs, nodes, together, 128, block_rows=15).collect()
+    sets = [t.split() for _, t in rows]
+    root = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            if jaccard(sets[a], sets[b]) >= 0.8:
+                root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    found = list(range(60))
+    for r in links:
+        found = [min(found[r.a], found[r.b]) if x in (found[r.a], found[r.b]) else x for x in found]
+    assert found == root
+
+
 def test_mix_meets_its_targets(spark):
     rng = random.Random(5)
     rows = [(k, f"s{min(int(rng.expovariate(0.5)), 7)}" if k % 50 else None, " ".join(["x"] * int(rng.paretovariate(1.2) * 20))) for k in range(3000)]
