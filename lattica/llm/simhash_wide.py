@@ -4,11 +4,12 @@ At 64 bits a radius that admits a shingle similarity of 0.8 would be some ten bi
 too wide to cut into parts that agree. Here a fingerprint has 128 bits, and its distance estimates the cosine of
 two documents' shingle counts within a few hundredths; ``radius_of`` gives the distance of a similarity.
 
-Candidates meet in buckets: each of several short runs of bits is a key, and two documents of similarity 0.8 agree
-in at least one of 18 runs of 12 bits with a chance of about 0.9, of 0.9 with one of about 0.99 (measured in the
-tests). In a bucket the comparison is bit-sliced as in ``simhash``: planes stored vertically, carry-save counters,
-blocks abandoned once all lanes exceed the radius. A bucket above ``bucket_rows`` is dealt as pairs of blocks: no
-pair in it is skipped. For some ten million documents and more, 16 bits a run keep buckets small.
+Candidates meet in buckets: a key is made of ``ROWS_A_BAND`` least hashes of the shingle set (MinHash), and two
+documents of similarity 0.8 agree in one of ``BANDS`` keys with a chance of 0.9998 (1 - (1 - 0.8^4)^16). In a bucket
+the fingerprints are compared bit-sliced as in ``simhash``: planes stored vertically, carry-save counters, blocks
+abandoned once all lanes exceed the radius. The radius is four standard deviations above the distance of the
+similarity, so it costs next to no pair; it spares the comparison of most pairs that met by chance. A bucket above
+``bucket_rows`` is dealt as pairs of blocks: no pair in it is skipped.
 
 What meets is a candidate only. The candidates' components are dealt to blocks with the shingle sets of their texts,
 and a pair becomes a link where the Jaccard similarity of its two sets is ``SIMILARITY`` or more (``verified_links``).
@@ -32,15 +33,18 @@ from pyspark.sql import functions as F
 from lattica.llm.common import connected_components, materialize
 from lattica.llm.simhash import _pairs, shingle_hashes, spanning_links
 
-SHINGLE, SIMILARITY, BITS_A_RUN, BUCKET_ROWS = 5, 0.8, 12, 4096
+SHINGLE, SIMILARITY, BUCKET_ROWS = 5, 0.8, 4096
+BANDS, ROWS_A_BAND = 16, 4
 BLOCK_SHINGLES, BLOCK_ROWS = 1 << 20, 4096
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ONE = np.uint64(1)
+#: Odd multipliers, each an order of the shingles' hashes.
+_ORDERS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS_A_BAND, dtype=np.uint64) * np.uint64(2) + _ONE
 #: Odd multipliers that make the further 64 bits of a shingle's hash.
 _SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def radius_of(similarity: float, bits: int = 128, slack: float = 0.6) -> int:
+def radius_of(similarity: float, bits: int = 128, slack: float = 4.0) -> int:
     """The distance of two documents of this Jaccard similarity, and ``slack`` standard deviations more."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return round(bits * share + slack * math.sqrt(bits * share * (1 - share)))
@@ -65,21 +69,34 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key a band: a hash of the least hashes of the set under the band's orders."""
+    least = np.full(len(_ORDERS), _ALL)
+    for at in range(0, len(hashes), 256):  # bounded memory for very long texts
+        h = hashes[at : at + 256]
+        least = np.minimum(least, np.multiply.outer(h ^ (h >> np.uint64(32)), _ORDERS).min(0))
+    return np.array([xxhash.xxh64_intdigest(band.tobytes()) for band in least.reshape(BANDS, ROWS_A_BAND)], np.uint64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, digest, n, fp0, fp1)`` of every row: digest and size of its shingle set, and its fingerprint."""
+    """``(doc_id, digest, n, fp0, fp1, bands)`` of every row: digest and size of its shingle set, its fingerprint and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, fps = [], [], []
+            digests, sizes, fps, bands = [], [], [], []
             for t in batch.column(1):
                 own = shingle_set(t.as_py(), shingle)
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
                 fps.append(wide_fingerprint(own))
+                bands.append(band_keys(own))
             a, b = (pa.array([f[k] for f in fps], pa.int64()) for k in (0, 1))
-            yield pa.record_batch([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), a, b], ["doc_id", "digest", "n", "fp0", "fp1"])
+            keys = pa.array(bands, pa.list_(pa.int64()))
+            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), a, b, keys]
+            yield pa.record_batch(columns, ["doc_id", "digest", "n", "fp0", "fp1", "bands"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, digest binary, n long, fp0 long, fp1 long")
+    made = "doc_id long, digest binary, n long, fp0 long, fp1 long, bands array<long>"
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, made)
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -149,11 +166,10 @@ def links_in_buckets(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator
         rows = rows[(rows // 64 + step) * 64 < stop[rows]]
 
 
-def similar_links(nodes: DataFrame, radius: int, bits_a_run: int = BITS_A_RUN, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Links ``(a, b)`` among ``nodes(id, fp0, fp1)``: a spanning forest of the links in each bucket."""
-    runs = [(w, at) for w in ("fp0", "fp1") for at in range(0, 65 - bits_a_run, max(1, bits_a_run // 2))]
-    key = [F.shiftrightunsigned(w, at).bitwiseAND(F.lit((1 << bits_a_run) - 1)) + F.lit(k << bits_a_run) for k, (w, at) in enumerate(runs)]
-    rows = nodes.select("id", "fp0", "fp1", F.explode(F.array(*key)).alias("key"))
+def similar_links(nodes: DataFrame, radius: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Candidates ``(a, b)`` among ``nodes(id, fp0, fp1, bands)``: a spanning forest of those in each bucket."""
+    rows = nodes.select("id", "fp0", "fp1", F.posexplode("bands").alias("band", "value"))
+    rows = rows.select("id", "fp0", "fp1", F.xxhash64("band", "value").alias("key"))
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
     hot = materialize(hot.select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("k")), "hot")
     if hot.isEmpty():
@@ -268,12 +284,12 @@ def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, rad
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
 
-def similar_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bits_a_run: int = BITS_A_RUN, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def similar_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``(doc_id, component_id, kept)`` for every row of ``docs(doc_id, text)``; the smallest document of a class is kept."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    nodes = materialize(fps.groupBy("digest", "n", "fp0", "fp1").agg(F.min("doc_id").alias("id")), "nodes")
+    nodes = materialize(fps.groupBy("digest", "n", "fp0", "fp1", "bands").agg(F.min("doc_id").alias("id")), "nodes")
     named = nodes.where("id IS NOT NULL")
-    candidates = connected_components(similar_links(named, radius_of(similarity), bits_a_run, bucket_rows))
+    candidates = connected_components(similar_links(named, radius_of(similarity), bucket_rows))
     links = verified_links(docs, named, candidates, radius_of(similarity), shingle, similarity)
     of_set = nodes.join(connected_components(links), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = fps.join(of_set, "digest")

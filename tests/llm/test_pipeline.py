@@ -141,6 +141,21 @@ def test_documents_below_the_similarity_stay(spark):
     assert all(r.kept for r in got) and len(got) == len(rows)
 
 
+def test_recall_at_the_similarity(spark):
+    """Pairs just at 0.8, the hardest that count, are found, of long and of short texts."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(4000)]
+    rows = []
+    for k in range(400):
+        a, b = pair_at(rng, words, (14, 40, 120, 300)[k % 4], 0.815)
+        assert 0.8 <= jaccard(a, b) < 0.85
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bucket in (4096, 10):
+        got = {r.doc_id: r.component_id for r in simhash_wide.similar_dedup(df, bucket_rows=bucket).collect()}
+        assert sum(got[2 * k + 1] == 2 * k for k in range(400)) >= 392
+
+
 def test_large_components_are_dealt_in_blocks(spark):
     rng = random.Random(8)
     words = [f"w{k}" for k in range(4000)]
