@@ -9,8 +9,9 @@ hierarchically: a host leans on its parent domain, a parent domain on the corpus
 
 Documents are identified as well: their source stands for the host, and they declare nothing.
 
-The text model is fitted on the driver on a bounded sample of labelled documents, ``SAMPLE_DOCS`` of them, those
-with the least hash of their id. All counts and priors cover all rows. Texts are scored whole; what a text says
+The text model is fitted on the driver on a bounded sample of labelled documents: an equal part of ``SAMPLE_DOCS`` of
+each language that any labelled row has, ``LEAST_DOCS`` of each at least (or all it has), those with the least hash of
+their id. The languages are thus those of all labelled rows, however rare. All counts and priors cover all rows. Texts are scored whole; what a text says
 saturates at ``TEXT_TRIGRAMS`` trigrams, as they are not independent.
 
 Defined cases: null or empty texts leave the other evidence; null URLs, hosts without a dot and missing or unknown
@@ -27,13 +28,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.llm.common import materialize, read
 from lattica.llm.html_extract import Model, labelled_pages, main_text, train
 from lattica.llm.url_filter import host_and_path
 
-SAMPLE_DOCS, TEXT_TRIGRAMS, KAPPA, ALPHA = 600, 200, 8.0, 1.0
+SAMPLE_DOCS, LEAST_DOCS, TEXT_TRIGRAMS, KAPPA, ALPHA = 600, 20, 200, 8.0, 1.0
 SLOTS = 1 << 16
 
 _DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})", re.I)
@@ -76,13 +78,20 @@ def fit_text_model(rows: list[tuple[str, str]]) -> TextModel:
 
 
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    labelled = docs.where("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL")
-    least = labelled.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(rows)
-    edge = least.agg(F.max("h")).first()[0]
-    if edge is None:
+    """``(language, text)`` of the least hashes of each language; every language of a labelled row is in it."""
+    labelled = docs.where("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL").withColumn("h", F.xxhash64("doc_id"))
+    found = labelled.select("lang").distinct().count()
+    if not found:
         return []
-    chosen = labelled.where(F.xxhash64("doc_id") <= F.lit(edge)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return [(r.lang, r.text) for r in chosen.select("lang", "text").toLocalIterator()]
+    each = max(LEAST_DOCS, -(-rows // found))
+
+    def least(df: DataFrame) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
+        return df.withColumn("rank", rank).where(F.col("rank") <= each)
+
+    edges = least(labelled.select("lang", "h", "doc_id")).groupBy("lang").agg(F.max("h").alias("edge"))
+    chosen = least(labelled.select("lang", "h", "doc_id", "text").join(F.broadcast(edges), "lang").where("h <= edge"))
+    return [(r.lang, r.text) for r in chosen.orderBy("h", "doc_id").select("lang", "text").toLocalIterator()]
 
 
 _ITEM = "kind string, id long, host string, parent string, declared string, suffix string, score array<double>, own int"

@@ -199,3 +199,19 @@ def test_language_held_out_and_empty(spark):
     right = [r.language == truth[r.doc_id] for r in got if r.doc_id is not None and r.doc_id % 11] + [r.language == truth[r.page_id] for r in got if r.page_id is not None and r.page_id < 150 and r.page_id % 7]
     assert sum(right) >= 0.99 * len(right)
     assert language_id.identify(d.limit(0), p.limit(0)).count() == 0
+
+
+def test_rare_languages_are_found(spark):
+    rng = random.Random(9)
+    alphabet = {"en": "etaoinshr", "de": "nisratdhu", "fr": "esaitnrul", "xx": "qzjxkwvyp"}
+    word = {lang: ["".join(rng.choices(a, k=rng.randint(3, 8))) for _ in range(200)] for lang, a in alphabet.items()}
+    langs = [("en", "de", "fr")[k % 3] for k in range(1500)]
+    for k in (100, 700, 1300):
+        langs[k] = "xx"
+    rows = [(k, " ".join(rng.choices(word[lang], k=60)), lang, f"s{k % 5}") for k, lang in enumerate(langs)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    p = spark.createDataFrame([], "page_id long, url string, html string")
+    sample = language_id.labelled_sample(d, 40)
+    assert {lang for lang, _ in sample} == set(alphabet) and len(sample) == 63
+    got = {r.doc_id: r.language for r in language_id.identify(d, p, sample_docs=40).collect()}
+    assert all(got[k] == "xx" for k in (100, 700, 1300))
