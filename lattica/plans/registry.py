@@ -240,6 +240,13 @@ def vector_chunks(spark, sf):
     return found.select("_id", "page_id", F.round("semantic", 4).alias("score"))
 
 
+@query(f"WITH {sql.VECTORS} SELECT _id, page_id, round(semantic, 4) AS score FROM v ORDER BY semantic DESC, _id LIMIT 60")
+def vector_all(spark, sf):
+    """The search of rows and chunks over all of embeddings."""
+    found = search.vector_search(src.vectors(spark, sf), src.query_vector(spark, sf), 60)
+    return found.select("_id", "page_id", F.round("semantic", 4).alias("score"))
+
+
 _DECAY = "exp(-ln(2) * greatest(0, (epoch_us(TIMESTAMP '2026-01-01') - epoch_us(ts)) / 1e6 / 86400.0) / 365.0)"
 
 
