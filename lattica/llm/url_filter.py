@@ -10,10 +10,12 @@ could match is every suffix of its host, at label borders, with each length of p
 listed keys with an action; the longest that fits wins. A URL that no rule fits is blocked where its host or a
 parent domain is on the host list, and allowed otherwise.
 
-Scale: the universe is read once to find the false positives of level zero; all deeper levels are built from these
-and the listed keys. Filters are broadcast only up to ``filter_bytes``: a longer list is split by hash into shards
-with a cascade each, and the pages are passed through shard after shard. The rule list (with its actions) must be
-short enough for a driver, as it is an argument; the host list may be a DataFrame of any size.
+Scale: the universe is read once to find the false positives of level zero, for the rules and the hosts together; all
+deeper levels are built from these and the listed keys. Keys are gathered on the driver only where a count has shown
+that there are ``SMALL_KEYS`` at most; larger sets stay tables and their filters are made by grouped ORs. Filters are
+sent out only up to ``filter_bytes``: a longer list is split by hash into shards with a cascade each, and the pages
+are passed through shard after shard. The rule list (with its actions) must be short enough for a driver, as it is
+an argument; the host list may be a DataFrame of any size.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no rule, and is allowed; repeated
 rows are judged each; an empty table or list gives an empty cascade; extra columns are ignored by the query.
@@ -22,7 +24,7 @@ rows are judged each; an empty table or list gives an empty cascade; extra colum
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,6 +37,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from lattica.llm.common import materialize, read
 
 FILTER_BYTES = 32 << 20
+#: Most keys of a list or of a level's false positives that the driver holds; more of them stay a table.
+SMALL_KEYS = 100_000
 FIRST_RATE, NEXT_RATE = 1 / 256, 0.5
 
 #: (action, host, beginning of the path)
@@ -103,54 +107,108 @@ class Cascade:
         return len(self.levels) % 2 == 1
 
 
-def _bloom(keys: DataFrame, count: int, rate: float, level: int) -> Bloom:
-    """A filter of ``keys(key)``: its words are gathered by a grouped OR; the caller has checked its size."""
-    bits, hashes = Bloom.shape(count, rate)
+@dataclass
+class Keys:
+    """Distinct keys: held on the driver where they are few, a table of one column ``key`` else."""
+
+    count: int
+    local: list[str] | None = None
+    frame: DataFrame | None = None
+
+    @classmethod
+    def of(cls, keys: DataFrame, small_keys: int) -> Keys:
+        table = materialize(keys, "keys")
+        count = table.count()
+        return cls(count, [r.key for r in table.collect()]) if count <= small_keys else cls(count, frame=table)
+
+    def as_frame(self, spark: SparkSession) -> DataFrame:
+        return self.frame if self.frame is not None else spark.createDataFrame([(k,) for k in self.local], "key string")
+
+    def bloom(self, rate: float, level: int) -> Bloom:
+        """A filter of the keys. Those of a table are gathered by a grouped OR of the filter's words, whose number is
+        that of the filter's bits by 64: the caller has bounded it."""
+        bits, hashes = Bloom.shape(self.count, rate)
+
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = [p for key in batch.column(0).to_pylist() for p in Bloom.places(key, bits, hashes, level)]
+                place = np.array(at, np.int64)
+                mask = np.left_shift(np.uint64(1), (place & 63).astype(np.uint64)).view(np.int64)
+                yield pa.record_batch([pa.array(place >> 6), pa.array(mask)], ["word", "mask"])
+
+        if self.local is None:
+            found = self.frame.mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+            data = np.zeros(bits // 64, "<i8")
+            data[found["word"].to_numpy()] = found["mask"].to_numpy()
+            return Bloom(bits, hashes, level, data.tobytes())
+        data = bytearray(bits // 8)
+        for key in self.local:
+            for p in Bloom.places(key, bits, hashes, level):
+                data[p >> 3] |= 1 << (p & 7)
+        return Bloom(bits, hashes, level, bytes(data))
+
+    def within(self, level: Bloom, small_keys: int) -> Keys:
+        """Those of the keys that a filter holds, rightly or not."""
+        if self.local is not None:
+            kept = [k for k in self.local if k in level]
+            return Keys(len(kept), kept)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.record_batch([pa.array([k for k in batch.column(0).to_pylist() if k in level], pa.string())], ["key"])
+
+        return Keys.of(self.frame.mapInArrow(run, "key string"), small_keys)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = [p for key in batch.column(0).to_pylist() for p in Bloom.places(key, bits, hashes, level)]
-            place = np.array(at, np.int64)
-            mask = np.left_shift(np.uint64(1), (place & 63).astype(np.uint64)).view(np.int64)
-            yield pa.record_batch([pa.array(place >> 6), pa.array(mask)], ["word", "mask"])
 
-    data = np.zeros(bits // 64, np.int64)
-    for word, mask in keys.mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask")).toLocalIterator():
-        data[word] = mask
-    return Bloom(bits, hashes, level, data.astype("<i8").tobytes())
+def build_cascades(listed: list[Keys], universe: DataFrame, first_rate: float = FIRST_RATE, small_keys: int = SMALL_KEYS) -> list[Cascade]:
+    """A cascade for each list over ``universe(key)`` (repeats do no harm), which is read once for all of them.
 
+    What the first filters hit is grouped by key together with the lists; groups without a listed row are the false
+    positives. All further levels are made of these and of the lists.
+    """
+    spark = universe.sparkSession
+    firsts = [keys.bloom(first_rate, 0) if keys.count else None for keys in listed]
 
-def _keep(keys: DataFrame, test: Callable[[str], bool]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([pa.array([k for k in batch.column(0).to_pylist() if test(k)], pa.string())], ["key"])
-
-    return keys.mapInArrow(run, "key string")
-
-
-def build_cascade(listed: DataFrame, universe: DataFrame, first_rate: float = FIRST_RATE) -> Cascade:
-    """The cascade of ``listed(key)`` (distinct) over ``universe(key)`` (repeats do no harm)."""
-    inside = listed
-    n = inside.count()
-    if not n:
-        return Cascade()
-    cascade = Cascade([_bloom(inside, n, first_rate, 0)])
-    level = cascade.levels[0]
-    outside = materialize(_keep(universe, level.__contains__).distinct().join(listed, "key", "left_anti"), "false-positives")
-    pair = [outside, inside]
-    while n := pair[0].count():
-        level = _bloom(pair[0], n, NEXT_RATE, len(cascade.levels))
-        cascade.levels.append(level)
-        pair = [materialize(_keep(pair[1], level.__contains__), "false-positives"), pair[0]]
-    return cascade
-
-
-def build_shards(listed: DataFrame, universe: DataFrame, filter_bytes: int = FILTER_BYTES, first_rate: float = FIRST_RATE) -> list[Cascade]:
-    """One cascade, or one for each shard of a list whose filter would not fit ``filter_bytes``."""
-    listed = materialize(listed.where("key IS NOT NULL AND key <> ''").distinct(), "listed")
-    shards = max(1, math.ceil(Bloom.shape(listed.count(), first_rate)[0] / 8 / filter_bytes))
+            keys = set(batch.column(0).to_pylist())
+            found = [(n, k) for n, level in enumerate(firsts) if level is not None for k in keys if k in level]
+            yield pa.record_batch([pa.array([n for n, _ in found], pa.int32()), pa.array([k for _, k in found], pa.string())], ["list", "key"])
+
+    marked = universe.mapInArrow(hits, "list int, key string").withColumn("listed", F.lit(False))
+    for n, keys in enumerate(listed):
+        if keys.count:
+            marked = marked.union(keys.as_frame(spark).select(F.lit(n), "key", F.lit(True)))
+    false = marked.groupBy("list", "key").agg(F.bool_or("listed").alias("listed")).where("NOT listed")
+    false = materialize(false.select("list", "key"), "false-positives")
+    counts = {r["list"]: r["n"] for r in false.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a list
+    near: dict[int, list[str]] = {n: [] for n in range(len(listed))}
+    for row in false.where(F.col("list").isin([n for n, c in counts.items() if c <= small_keys])).collect():
+        near[row["list"]].append(row["key"])
+    cascades = []
+    for n, (keys, first) in enumerate(zip(listed, firsts)):
+        if first is None:
+            cascades.append(Cascade())
+            continue
+        count = counts.get(n, 0)
+        wrong = Keys(count, near[n]) if count <= small_keys else Keys(count, frame=false.where(F.col("list") == n).select("key"))
+        cascade, pair = Cascade([first]), [wrong, keys]
+        while pair[0].count:
+            level = pair[0].bloom(NEXT_RATE, len(cascade.levels))
+            cascade.levels.append(level)
+            pair = [pair[1].within(level, small_keys), pair[0]]
+        cascades.append(cascade)
+    return cascades
+
+
+def shards_of(listed: DataFrame, filter_bytes: int = FILTER_BYTES, first_rate: float = FIRST_RATE, small_keys: int = SMALL_KEYS) -> list[Keys]:
+    """The distinct keys of a list, in shards by hash where one first filter would not fit ``filter_bytes``."""
+    whole = Keys.of(listed.where("key IS NOT NULL AND key <> ''").select("key").distinct(), small_keys)
+    shards = max(1, math.ceil(Bloom.shape(whole.count, first_rate)[0] / 8 / filter_bytes))
+    if shards == 1:
+        return [whole]
     shard = F.pmod(F.xxhash64("key"), F.lit(shards))
-    return [build_cascade(listed.where(shard == s), universe, first_rate) for s in range(shards)]
+    return [Keys.of(whole.as_frame(listed.sparkSession).where(shard == s), small_keys) for s in range(shards)]
 
 
 def filter_urls(
@@ -161,12 +219,10 @@ def filter_urls(
     filter_bytes: int = FILTER_BYTES,
 ) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``; columns with these names give way."""
-    spark = pages.sparkSession
     made = ["host", "path", "rule", "verdict"]
     names = [c for c in pages.columns if c not in made]
     pages = pages.select(*(F.col(f"`{c}`") for c in names))
-    if blocked_hosts is None:
-        blocked_hosts = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "key string")
+    hosts = [Keys(len(BLOCKED_HOSTS), list(BLOCKED_HOSTS))] if blocked_hosts is None else shards_of(blocked_hosts, filter_bytes)
     actions = {host + path: action for action, host, path in rules}
     lengths = sorted({len(path) for _, _, path in rules}, reverse=True)
 
@@ -179,11 +235,10 @@ def filter_urls(
             yield pa.record_batch([pa.array(sorted(found), pa.string())], ["key"])
 
     keys = pages.select(F.col(f"`{url_col}`").cast("string")).mapInArrow(universe, "key string")
-    rule_keys = spark.createDataFrame([(k,) for k in actions], "key string")
-    rule_shards = build_shards(rule_keys, keys, filter_bytes)
+    rule_cascade, host_cascade = build_cascades([Keys(len(actions), list(actions)), hosts[0]], keys)
     place = names.index(url_col)
 
-    def judge(rule_cascades: list[Cascade], host_cascade: Cascade, first: bool):
+    def judge(host_cascade: Cascade, first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 hosts, paths, fits, verdicts = [], [], [], []
@@ -192,7 +247,7 @@ def filter_urls(
                 for url, rule, bad in zip(batch.column(place).to_pylist(), before, blocked):
                     host, path = host_and_path(url)
                     if first:
-                        rule = max((k for k in candidates(host, path) if any(k in c for c in rule_cascades)), key=len, default=None)
+                        rule = max((k for k in candidates(host, path) if k in rule_cascade), key=len, default=None)
                     if rule is None:
                         bad = bad or any(s in host_cascade for s in host_suffixes(host))
                     else:
@@ -207,9 +262,9 @@ def filter_urls(
         return run
 
     schema = StructType([*pages.schema.fields, *(StructField(c, StringType()) for c in made)])
-    out = pages
-    for n, shard in enumerate(build_shards(blocked_hosts, keys, filter_bytes)):
-        out = out.mapInArrow(judge(rule_shards, shard, n == 0), schema)
+    out = pages.mapInArrow(judge(host_cascade, True), schema)
+    for shard in hosts[1:]:
+        out = out.mapInArrow(judge(build_cascades([shard], keys)[0], False), schema)
     return out
 
 

@@ -57,16 +57,19 @@ def test_url_filter_against_sql(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("rate,size", [(1 / 256, 1 << 20), (0.5, 1 << 20), (0.5, 16)])
-def test_cascade_is_exact(spark, rate, size):
+@pytest.mark.parametrize("rate,size,small", [(1 / 256, 1 << 20, 10**5), (0.5, 1 << 20, 10**5), (0.5, 1 << 20, 200), (0.5, 1 << 20, 0), (0.5, 16, 10**5)])
+def test_cascade_is_exact(spark, rate, size, small):
     rng = random.Random(7)
     universe = [f"k{rng.randrange(10**9)}" for _ in range(3000)]
     listed = set(rng.sample(universe, 300)) | {"not in the universe"}
     frame = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
-    shards = url_filter.build_shards(frame(listed), frame(universe * 2), size, rate)
+    lists = url_filter.shards_of(frame([*listed, *listed, None, ""]), size, rate, small)
+    shards = [c for keys in lists for c in url_filter.build_cascades([keys], frame(universe * 2), rate, small)]
     assert (len(shards) > 1) == (size == 16)
     assert {k for k in universe if any(k in c for c in shards)} == listed - {"not in the universe"}
     assert "x" not in url_filter.Cascade()
+    two = url_filter.build_cascades([url_filter.Keys(0, []), url_filter.Keys(2, universe[:2])], frame(universe), rate, small)
+    assert {k for k in universe if k in two[1]} == set(universe[:2]) and not any(k in two[0] for k in universe)
 
 
 def test_extraction_golden():
