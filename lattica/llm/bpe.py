@@ -28,19 +28,23 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from lattica.llm.common import read
+from lattica.llm.common import bounded_batches, read
 
-#: Most words whose encoding a worker keeps between batches (some 80 MB).
-CACHE_WORDS = 300_000
-#: Most neighbour tests a worker remembers (some 40 MB).
-CACHE_TESTS = 400_000
+#: Most words whose encoding a worker keeps, in two halves of which the older goes first (some 40 MB).
+CACHE_WORDS = 120_000
+#: Most neighbour tests a worker remembers (some 20 MB).
+CACHE_TESTS = 200_000
+#: Texts are encoded together up to so many characters.
+CHUNK_CHARS = 1 << 20
 
 
 @dataclass
@@ -89,16 +93,21 @@ class Vocabulary:
                 before, right = right + 1, b[0]  # and one inside the right token lies further right
 
 
-def load_ranks(path: str) -> list[bytes]:
-    """Tokens in the order of their ranks, from a file of base64 token and rank a line."""
-    with open(path, "rb") as lines:
-        pairs = [line.split() for line in lines if line.strip()]
+def read_ranks(lines: Iterable[bytes]) -> list[bytes]:
+    """Tokens in the order of their ranks, from lines of base64 token and rank."""
+    pairs = [line.split() for line in lines if line.strip()]
     tokens = [b""] * (1 + max(int(rank) for _, rank in pairs))
     for token, rank in pairs:
         tokens[int(rank)] = base64.b64decode(token)
     return tokens
 
 
+def load_ranks(path: str) -> list[bytes]:
+    """The tokens of a rank file."""
+    with open(path, "rb") as lines:
+        return read_ranks(lines)
+
+
 def build_halves(tokens: list[bytes]) -> dict[int, tuple[int, int]]:
     """The last merge of each token, in rank order: the split whose halves stand beside each other before it."""
     vocabulary = Vocabulary(tokens, {})
@@ -209,11 +218,14 @@ _UNSAFE = re.compile(r"\s (?!\S)")
 class Codec:
     """Encodes and decodes whole texts."""
 
+    cache_words = CACHE_WORDS
+
     def __init__(self, vocabulary: Vocabulary, pattern: str = public_tokenizers.PATTERN) -> None:
         self.vocabulary = vocabulary
         self.cut = regex.compile(pattern)
         self.at_spaces = pattern == public_tokenizers.PATTERN
         self.words: dict[str, bytes] = {}  # a stretch of text whose ends no piece crosses, to its packed ids
+        self.older: dict[str, bytes] = {}  # the half of them that was filled before
 
     def split(self, text: str) -> list[str]:
         if not text:
@@ -223,8 +235,8 @@ class Codec:
         first, *rest = text.split(" ")
         return [first, *map(" ".__add__, rest)]
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Store the packed ids of words. Pieces are encoded in sorted order and keep the table of a shared prefix."""
+    def learn(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The packed ids of words. Pieces are encoded in sorted order and keep the table of a shared prefix."""
         cut = {w: self.cut.findall(w) for w in words}
         packed: dict[bytes, bytes] = {}
         whole, encoder = self.vocabulary.ids, PrefixEncoder(self.vocabulary)
@@ -234,23 +246,23 @@ class Codec:
                 continue
             encoder.change_to(piece)
             packed[piece] = b"".join([i.to_bytes(4, "little") for i in encoder.ids()])
-        for word, pieces in cut.items():
-            self.words[word] = b"".join([packed[p.encode("utf-8", "replace")] for p in pieces])
+        return {word: b"".join([packed[p.encode("utf-8", "replace")] for p in pieces]) for word, pieces in cut.items()}
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
         split = [self.split(t) for t in texts]
-        self.learn(set().union(*split).difference(self.words))
-        get = self.words.__getitem__
+        known, older = self.words, self.older
+        missing = set().union(*split).difference(known)
+        met = {w: older[w] for w in missing if w in older}
+        met |= self.learn(missing.difference(met))
+        if len(known) + len(met) > self.cache_words // 2:
+            get = (known | met).__getitem__
+            self.older, self.words = (known, met) if len(met) <= self.cache_words // 2 else ({}, {})
+        else:
+            known |= met
+            get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-    def forget(self) -> None:
-        """Give back what was stored for speed; the vocabulary stays."""
-        self.words.clear()
-        self.vocabulary.tests.clear()
-
     def encode(self, text: str) -> list[int]:
         return memoryview(self.encode_packed([text])[0]).cast("I").tolist()
 
@@ -258,41 +270,63 @@ class Codec:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
 
 
+def chunks(sizes: Iterable[int], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that together stay below ``most``, or hold one row."""
+    begin, held, at = 0, 0, -1
+    for at, size in enumerate(sizes):
+        if at > begin and held + size > most:
+            yield begin, at
+            begin, held = at, 0
+        held += size
+    if at >= begin:
+        yield begin, at + 1
+
+
 _codecs: dict[tuple, Codec] = {}
 
 
-def _codec(tokens: list[bytes], halves: dict[int, tuple[int, int]], pattern: str) -> Codec:
-    """One codec a Python worker and vocabulary, whatever the number of its tasks."""
-    key = (len(tokens), hash(tuple(tokens[-64:])), pattern)
-    if key not in _codecs:
+def _codec(key: str, ranks: bytes, pairs: bytes, pattern: str) -> Codec:
+    """One codec a Python worker, vocabulary and pattern, whatever the number of its tasks."""
+    if (key, pattern) not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(Vocabulary(tokens, dict(halves)), pattern)
-    return _codecs[key]
+        tokens = read_ranks(ranks.splitlines())
+        flat = np.frombuffer(pairs, np.int32).reshape(-1, 3).tolist()
+        _codecs[key, pattern] = Codec(Vocabulary(tokens, {i: (a, b) for i, a, b in flat}), pattern)
+    return _codecs[key, pattern]
 
 
 def encode_documents(
-    docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, text_col: str = "text", ids: bool = True
+    docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, text_col: str = "text", ids: bool = True, keep_text: bool = True
 ) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``token_ids`` (array of int, if ``ids``), ``ids_sha256`` and ``decoded_sha256``.
+    """``docs`` (without its text, if not ``keep_text``) with ``n_tokens``, ``token_ids`` (array of int, if ``ids``),
+    ``ids_sha256`` and ``decoded_sha256``.
 
     The text is decoded from its ids, not copied. Columns of ``docs`` with these names give way. The rank file is
-    read on the driver; what executors get is its tokens and merges, bounded by the vocabulary's size.
+    read on the driver; what executors get is its bytes and merges, bounded by the vocabulary's size.
     """
-    vocabulary = load_vocabulary(path)
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary.tokens, vocabulary.halves))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as file:
+        ranks = file.read()
+    halves = build_halves(read_ranks(ranks.splitlines()))
+    pairs = np.array([(i, *ab) for i, ab in halves.items()], np.int32).tobytes()
+    key, sent = hashlib.sha256(ranks).hexdigest(), spark.sparkContext.broadcast((ranks, pairs))
     names = ["n_tokens", *["token_ids"] * ids, "ids_sha256", "decoded_sha256"]
-    kept = [c for c in docs.columns if c not in names]
+    kept = [c for c in docs.columns if c not in names and c != text_col]
+    kept += [text_col]  # last: the text only comes back where it is asked for
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
-    place = kept.index(text_col)
+    back = len(kept) if keep_text else len(kept) - 1
     kinds = [LongType(), *[ArrayType(IntegerType())] * ids, StringType(), StringType()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(*sent.value, pattern)
+        codec = _codec(key, *sent.value, pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):  # a bounded number of texts and ids at a time
-                batch = whole.slice(at, 512)
+            texts = whole.column(len(kept) - 1)
+            for begin, end in chunks(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                batch = whole.slice(begin, end - begin)
                 counts, arrays, first, second = [], [], [], []
-                for packed in codec.encode_packed([t or "" for t in batch.column(place).to_pylist()]):
+                for packed in codec.encode_packed([t or "" for t in batch.column(len(kept) - 1).to_pylist()]):
                     numbers = memoryview(packed).cast("I")
                     counts.append(len(numbers))
                     if ids:
@@ -302,16 +336,15 @@ def encode_documents(
                 made = [pa.array(counts, pa.int64())]
                 if ids:
                     offsets = pa.array([0, *accumulate(counts)], pa.int32())
-                    made.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(arrays) if arrays else pa.array([], pa.int32())))
+                    made.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(arrays)))
                 made += [pa.array(first, pa.string()), pa.array(second, pa.string())]
-                yield pa.record_batch([*batch.columns, *made], [*kept, *names])
-        codec.forget()  # a worker may next serve a stage that needs the memory
+                yield pa.record_batch([*batch.columns[:back], *made], [*kept[:back], *names])
 
-    schema = StructType([*docs.schema.fields, *(StructField(n, k) for n, k in zip(names, kinds))])
+    schema = StructType([*docs.schema.fields[:back], *(StructField(n, k) for n, k in zip(names, kinds))])
     return docs.mapInArrow(run, schema)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the encoding and decoding of every document."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    return encode_documents(docs, ids=False).drop("text")
+    return encode_documents(docs, ids=False, keep_text=False)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
+#: Most bytes of an Arrow batch of texts; by its rows alone a batch of long texts would have no bound.
+BATCH_BYTES = 2 << 20
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -26,7 +30,8 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests, one machine) a temporary folder is set as the session's checkpoint folder.
+    Where it is unset on one machine (tests) a temporary folder is set as the session's checkpoint folder. On a
+    cluster that would be another folder on every machine, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -34,11 +39,23 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Let Arrow batches of the session hold ``most`` bytes, where it allows more.
+
+    Spark reads the setting when a query runs, so it stays set for the session; it changes the size of batches only.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -54,6 +71,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def scratch_mark() -> int:
+    """How many tables were written so far; for ``release``."""
+    return len(_scratch)
+
+
+def release(begin: int, end: int | None = None) -> None:
+    """Delete the tables written from one mark to another; nothing that is still to run may read them."""
+    for spark, path in _scratch[begin:end]:
+        _delete(spark, path)
+    del _scratch[begin:end]
+
+
 @atexit.register
 def _cleanup() -> None:
     for spark, path in _scratch:

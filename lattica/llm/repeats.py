@@ -24,6 +24,8 @@ alone stay; repeated rows are judged each; an empty table gives an empty result;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,9 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lattica.llm.common import read
+from lattica.llm.common import bounded_batches, read
 
-BATCH_BYTES, PART_BYTES = 8 << 20, 16 << 20
+BATCH_BYTES, PART_BYTES = 4 << 20, 16 << 20
 _NO_ID = np.int64(2**63 - 1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _F1, _F2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -59,33 +61,48 @@ def ladder(window: int) -> list[int]:
     return steps[::-1]
 
 
+def _runs(same: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that equal their neighbours, from the places that equal the next."""
+    for run in np.split(same, np.flatnonzero(np.diff(same) > 1) + 1):
+        if len(run):
+            yield int(run[0]), int(run[-1]) + 2
+
+
 class Batch:
-    """The words of some documents, in the order of their ids, and the window hashes over them."""
+    """Window hashes over the words of some documents, in the order of their ids; words are not held."""
 
-    def __init__(self, ids: list, texts: list, window: int, parts: int) -> None:
-        self.window, self.parts = window, parts
+    def __init__(self, ids: list, texts: pa.ChunkedArray, window: int, parts: int) -> None:
+        self.window, self.parts, self.texts = window, parts, texts
         self.ids = np.array([_NO_ID if i is None else i for i in ids], np.int64)
         # Rows may arrive in another order each time the batch is read; equal ids are told apart by their text.
-        self.order = np.array(sorted(range(len(ids)), key=lambda k: (self.ids[k], texts[k] or "")), np.int64)
-        self.ids = self.ids[self.order]
-        self.words = [(texts[k] or "").encode("utf-8", "replace").split() for k in self.order]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        total = int(self.sizes.sum())
+        order = np.argsort(self.ids, kind="stable")
+        same = np.flatnonzero(self.ids[order][1:] == self.ids[order][:-1])
+        for begin, end in _runs(same):
+            order[begin:end] = sorted(order[begin:end].tolist(), key=lambda k: texts[k].as_py() or "")
+        self.order, self.ids = order, self.ids[order]
         digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(w) for words in self.words for w in words), np.uint64, total)
-        self.doc = np.repeat(np.arange(len(self.words)), self.sizes)
-        self.levels: dict[int, np.ndarray] = {}
-        steps = ladder(window)
-        self.levels[1] = hashes
-        for have, want in zip(steps, steps[1:]):
-            self.levels[want] = _doubled(self.levels[have], have, want) if total >= want else hashes[:0]
-        self.half = steps[-2] if len(steps) > 1 else 1
+        each = [np.fromiter(map(digest, words), np.uint64, len(words)) for words in self.words()]
+        self.sizes = np.array([len(h) for h in each], np.int64)
+        low = np.concatenate(each) if each else np.empty(0, np.uint64)
+        del each
+        total = len(low)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        steps, length = ladder(window), 1
+        for length, want in zip(steps[:-2], steps[1:-1]):
+            low = _doubled(low, length, want) if total >= want else low[:0]
+        #: Hashes of the windows of half the length; those of the whole are made where they are needed.
+        self.low, self.half = low, steps[-2] if len(steps) > 1 else 1
         starts = max(total - window + 1, 0)
-        self.start = np.flatnonzero(self.doc[:starts] == self.doc[total - starts :]) if starts else np.empty(0, np.int64)
+        self.start = np.flatnonzero(self.doc[:starts] == self.doc[total - starts :]).astype(np.int32) if starts else np.empty(0, np.int32)
+
+    def words(self) -> Iterator[list[bytes]]:
+        """The words of each document."""
+        for k in self.order.tolist():
+            yield (self.texts[k].as_py() or "").encode("utf-8", "replace").split()
 
     def chosen_halves(self) -> np.ndarray:
         """For each full window the least hash of the half-length windows in it."""
-        low, have = self.levels[self.half], 1
+        low, have = self.low, 1
         want = self.window - self.half + 1
         while have < want:
             step = min(have, want - have)
@@ -109,8 +126,9 @@ class Batch:
     def level_two(self, candidate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Part, hash and smallest document id of the distinct candidate windows, and each candidate's entry."""
         at = self.start[candidate]
-        hashes = self.levels[self.window][at]
-        second = _mix(self.levels[self.half][at] * _M2 + self.levels[self.half][at + self.window - self.half] * _F1)
+        first, last = self.low[at], self.low[at + self.window - self.half]
+        hashes = _mix(first * _M1 + last * _M2) if self.window > 1 else first
+        second = _mix(first * _M2 + last * _F1)
         part = (second % np.uint64(self.parts)).astype(np.int64)
         order = np.lexsort((hashes, part))  # stable: the first of equals lies in the smallest document
         h, p = hashes[order], part[order]
@@ -142,6 +160,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     """``docs`` with ``kept_text`` (kept words joined by one space), ``n_words`` and ``n_removed``; like names give way."""
     made = ["kept_text", "n_words", "n_removed"]
     names = [c for c in docs.columns if c not in made]
+    bounded_batches(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string"))), F.lit(0))).first()[0]
     batches, parts = max(1, total // BATCH_BYTES), max(1, total // PART_BYTES)
     plain = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
@@ -151,7 +170,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     entries, reply = "p int, b long, keys binary, docs binary", "b long, p int, bits binary"
 
     def batch_of(table: pa.Table) -> Batch:
-        return Batch(table[key].to_pylist(), table[text].to_pylist(), window, parts)
+        return Batch(table[key].to_pylist(), table[text], window, parts)
 
     def sent(b: int, p: list, keys: list, ids: list) -> pa.Table:
         return pa.table({"p": pa.array(p, pa.int32()), "b": pa.array([b] * len(p), pa.int64()), "keys": pa.array(keys, pa.binary()), "docs": pa.array(ids, pa.binary())})
@@ -217,7 +236,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         np.add.at(edge, at + window, -1)
         gone = np.cumsum(edge)[:-1] > 0
         texts, removed, begin = [], [], 0
-        for words in own.words:
+        for words in own.words():
             out = gone[begin : begin + len(words)]
             begin += len(words)
             removed.append(int(out.sum()))

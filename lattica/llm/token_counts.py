@@ -17,21 +17,23 @@ repeated rows give repeated rows; extra columns are ignored; an empty table give
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lattica.llm.bpe import _UNSAFE, load_ranks
-from lattica.llm.common import read
+from lattica.llm.bpe import _UNSAFE, chunks, load_ranks
+from lattica.llm.common import bounded_batches, read
 
-#: Most words whose count a worker keeps between batches (some 60 MB).
-CACHE_WORDS = 300_000
+#: Most words whose count a worker keeps, in two halves of which the older goes first (some 25 MB).
+CACHE_WORDS = 200_000
 FIXED_POINT = 1 << 20
 
 
@@ -61,6 +63,7 @@ class TrieCounter:
         self.cut = regex.compile(pattern)
         self.at_spaces = pattern == public_tokenizers.PATTERN
         self.words: dict[str, int] = {}
+        self.older: dict[str, int] = {}  # the half of them that was filled before
 
     def terminal_counts(self, pieces: Iterable[bytes]) -> dict[bytes, tuple[int, int]]:
         """``(cost, tokens)`` of each distinct piece; forward scores once per node of their trie."""
@@ -82,18 +85,19 @@ class TrieCounter:
                         if low < 0 or total < low or (total == low and count[begin] + 1 < few):
                             low, few = total, count[begin] + 1
                     node = edges[to]
+                if low < 0:
+                    raise ValueError("the vocabulary lacks a single byte")
                 best.append(low)
                 count.append(few)
             out[piece] = (best[-1], count[-1])
             before = piece
         return out
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Store the counts of words; a word is a stretch of text whose ends no piece crosses."""
+    def learn(self, words: Iterable[str]) -> dict[str, int]:
+        """The counts of words; a word is a stretch of text whose ends no piece crosses."""
         cut = {w: self.cut.findall(w) for w in words}
         counts = self.terminal_counts(p.encode("utf-8", "replace") for pieces in cut.values() for p in pieces)
-        for word, pieces in cut.items():
-            self.words[word] = sum(counts[p.encode("utf-8", "replace")][1] for p in pieces)
+        return {word: sum([counts[p.encode("utf-8", "replace")][1] for p in pieces]) for word, pieces in cut.items()}
 
     def split(self, text: str) -> list[str]:
         if not text:
@@ -105,41 +109,57 @@ class TrieCounter:
 
     def count(self, texts: list[str]) -> list[int]:
         """Token counts of texts; the words that are not stored yet are learnt together."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
         split = [self.split(t) for t in texts]
-        self.learn(set().union(*split).difference(self.words))
-        get = self.words.__getitem__
+        known, older = self.words, self.older
+        missing = set().union(*split).difference(known)
+        met = {w: older[w] for w in missing if w in older}
+        met |= self.learn(missing.difference(met))
+        if len(known) + len(met) > CACHE_WORDS // 2:
+            get = (known | met).__getitem__
+            self.older, self.words = (known, met) if len(met) <= CACHE_WORDS // 2 else ({}, {})
+        else:
+            known |= met
+            get = known.__getitem__
         return [sum(map(get, words)) for words in split]
 
 
-_counters: dict[tuple, TrieCounter] = {}
+_counters: dict[str, TrieCounter] = {}
 
 
-def token_counts(docs: DataFrame, path: str | None = None, text_col: str = "text", into: str = "n_tokens") -> DataFrame:
-    """``docs`` with the number of tokens of each text; a column of that name gives way."""
+def _counter(key: str, tokens: list[bytes], costs: list[int]) -> TrieCounter:
+    """One counter a Python worker and model, whatever the number of its tasks."""
+    if key not in _counters:
+        _counters.clear()
+        _counters[key] = TrieCounter(tokens, costs)
+    return _counters[key]
+
+
+def token_counts(docs: DataFrame, path: str | None = None, text_col: str = "text", into: str = "n_tokens", costs: list[int] | None = None, keep_text: bool = True) -> DataFrame:
+    """``docs`` (without its text, if not ``keep_text``) with the number of tokens of each text; a column of that name gives way.
+
+    ``costs``: fixed-point costs of the tokens by rank; Zipf's where none are given.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
     tokens = load_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    sent = docs.sparkSession.sparkContext.broadcast(tokens)  # bounded by the vocabulary's size
-    kept = [c for c in docs.columns if c != into]
+    model = (tokens, costs or zipf_costs(len(tokens)))
+    key, sent = hashlib.sha256(repr(model).encode()).hexdigest(), spark.sparkContext.broadcast(model)  # bounded by the vocabulary's size
+    kept = [*(c for c in docs.columns if c not in (into, text_col)), text_col]  # last: the text only comes back where it is asked for
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
-    place = kept.index(text_col)
+    back = len(kept) if keep_text else len(kept) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (len(sent.value), sum(map(len, sent.value)))
-        if key not in _counters:
-            _counters.clear()
-            _counters[key] = TrieCounter(sent.value, zipf_costs(len(sent.value)))
-        counter = _counters[key]
+        counter = _counter(key, *sent.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                counts = counter.count([t or "" for t in batch.column(place).to_pylist()])
-                yield pa.record_batch([*batch.columns, pa.array(counts, pa.int64())], [*kept, into])
+            for begin, end in chunks(pc.fill_null(pc.binary_length(whole.column(len(kept) - 1)), 0).to_pylist()):
+                batch = whole.slice(begin, end - begin)
+                counts = counter.count([t or "" for t in batch.column(len(kept) - 1).to_pylist()])
+                yield pa.record_batch([*batch.columns[:back], pa.array(counts, pa.int64())], [*kept[:back], into])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields[:back], StructField(into, LongType())]))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of every document."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    return token_counts(docs).select("doc_id", "n_bytes", "n_tokens")
+    return token_counts(docs, keep_text=False).select("doc_id", "n_bytes", "n_tokens")
