@@ -3,17 +3,19 @@
 Every window of ``window`` consecutive words whose word sequence also starts in a document with a smaller id
 marks its words for removal. Windows are judged on the input, all of them.
 
-A window can only repeat across documents if the shorter windows in it do. Level one looks at windows of half
-the length, and of these at the one with the least hash in each full window (two equal full windows choose equal
-halves, so none is missed; about a quarter of the positions is chosen). Only windows whose chosen half repeats
-in another document go to level two, twice the length (less the overlap, where ``window`` is odd), and so on
-upwards until the full length, where the window's first document decides, or until no candidates survive.
+A window can only repeat across documents if the shorter windows in it do. So the levels are lengths that double, up
+to the full one: of 13 words 7 and 13, of 50 words 7, 13, 25 and 50 (``levels``). On a level below the last each
+candidate is judged by one window of that length in it, the one with the least hash (two equal full windows choose
+equal ones, so none is missed; for 13 words about a quarter of the positions is chosen). Only candidates whose
+chosen window repeats in another document are extended to the next level, of twice the length (less one, where that
+is odd). On the last level the first document of a window decides. A batch without candidates sends nothing more.
 
 What is moved, and how it stays small and even
-* Documents are dealt into batches by a hash; the same exchange of the texts serves all passes.
+* Documents are dealt into batches by a hash of their id, text and partition (so a row that is repeated very often
+  is dealt out as well); the same exchange of the texts serves all passes.
 * A batch sends one entry per distinct window hash, not per occurrence: a passage that a third of all documents
   share is one entry a batch. Entries go, sorted and packed, to the part that their hash names, so parts are
-  even; a level-one entry is 4 bytes, a last-level entry a 64-bit hash and the batch's smallest document.
+  even; an entry of a lower level is 4 bytes, of the last a 64-bit hash and the batch's smallest document.
 * A part answers with one bit an entry, in the order of the entries it got. No rows are joined back by hash.
 * The parts are named by a second hash, so hashes are only compared within their part.
 
@@ -68,6 +70,12 @@ def _runs(same: np.ndarray) -> Iterator[tuple[int, int]]:
             yield int(run[0]), int(run[-1]) + 2
 
 
+def levels(window: int, least: int = 7) -> list[int]:
+    """The lengths whose windows are exchanged: the doublings from ``least`` words, but at least half the window, up."""
+    steps = ladder(window)
+    return [s for s in steps if s >= min(least, (window + 1) // 2)]
+
+
 class Batch:
     """Window hashes over the words of some documents, in the order of their ids; words are not held."""
 
@@ -87,11 +95,11 @@ class Batch:
         del each
         total = len(low)
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        steps, length = ladder(window), 1
-        for length, want in zip(steps[:-2], steps[1:-1]):
-            low = _doubled(low, length, want) if total >= want else low[:0]
         #: Hashes of the windows of half the length; those of the whole are made where they are needed.
-        self.low, self.half = low, steps[-2] if len(steps) > 1 else 1
+        steps = ladder(window)
+        self.half = steps[-2] if len(steps) > 1 else 1
+        self.hashes = [low]  # of single words; the lengths between are made again on the level that needs them
+        self.low = self.of_length(self.half)
         starts = max(total - window + 1, 0)
         self.start = np.flatnonzero(self.doc[:starts] == self.doc[total - starts :]).astype(np.int32) if starts else np.empty(0, np.int32)
 
@@ -100,30 +108,38 @@ class Batch:
         for k in self.order.tolist():
             yield (self.texts[k].as_py() or "").encode("utf-8", "replace").split()
 
-    def chosen_halves(self) -> np.ndarray:
-        """For each full window the least hash of the half-length windows in it."""
-        low, have = self.low, 1
-        want = self.window - self.half + 1
+    def of_length(self, length: int) -> np.ndarray:
+        """Hashes of the windows of a length on the ladder."""
+        out, have = self.hashes[0], 1
+        for want in ladder(self.window):
+            if have < want <= length:
+                out, have = _doubled(out, have, want) if len(self.hashes[0]) >= want else out[:0], want
+        return out
+
+    def chosen(self, length: int, candidate: np.ndarray) -> np.ndarray:
+        """For each candidate window the least hash of the windows of ``length`` in it."""
+        low, have = self.low if length == self.half else self.of_length(length), 1
+        want = self.window - length + 1
         while have < want:
             step = min(have, want - have)
             low = np.minimum(low[: len(low) - step], low[step:])
             have += step
-        return low[self.start]
+        return low[self.start[candidate]]
 
-    def level_one(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def lower_level(self, length: int, candidate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct entries (part in the upper, hash in the lower 32 bits), which of them two documents share
-        here, and for each full window its entry."""
-        chosen = self.chosen_halves()
+        here, and for each candidate window its entry."""
+        chosen = self.chosen(length, candidate)
         key = ((chosen >> np.uint64(32)) % np.uint64(self.parts) << np.uint64(32)) | (chosen & np.uint64(0xFFFFFFFF))
         order = np.argsort(key, kind="stable")
-        ranked, docs = key[order], self.doc[self.start][order]
+        ranked, docs = key[order], self.doc[self.start[candidate]][order]
         first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.empty(0, np.int64)
         last = np.r_[first[1:], len(ranked)] - 1
         entry = np.empty(len(key), np.int64)
         entry[order] = np.repeat(np.arange(len(first)), last - first + 1)
         return ranked[first], docs[first] != docs[last] if len(first) else np.empty(0, bool), entry
 
-    def level_two(self, candidate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def last_level(self, candidate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Part, hash and smallest document id of the distinct candidate windows, and each candidate's entry."""
         at = self.start[candidate]
         first, last = self.low[at], self.low[at + self.window - self.half]
@@ -162,10 +178,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     names = [c for c in docs.columns if c not in made]
     bounded_batches(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string"))), F.lit(0))).first()[0]
+    steps = levels(window)
     batches, parts = max(1, total // BATCH_BYTES), max(1, total // PART_BYTES)
     plain = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
     key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    batch = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(int(batches)))
+    batch = F.pmod(F.xxhash64(F.col(key), F.col(text), F.spark_partition_id()), F.lit(int(batches)))
     dealt = plain.withColumn("b", batch)
     entries, reply = "p int, b long, keys binary, docs binary", "b long, p int, bits binary"
 
@@ -175,41 +192,68 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     def sent(b: int, p: list, keys: list, ids: list) -> pa.Table:
         return pa.table({"p": pa.array(p, pa.int32()), "b": pa.array([b] * len(p), pa.int64()), "keys": pa.array(keys, pa.binary()), "docs": pa.array(ids, pa.binary())})
 
-    def send_one(group: tuple, table: pa.Table) -> pa.Table:
-        keys, _, _ = batch_of(table).level_one()
+    def ask(own: Batch, b: int, length: int, candidate: np.ndarray | None) -> pa.Table:
+        """The entries of the candidates (None: of all windows) on a level."""
+        candidate = np.ones(len(own.start), bool) if candidate is None else candidate
+        if length == window:
+            part, hashes, ids, _ = own.last_level(candidate)
+            return sent(b, *_packed(part, hashes, ids))
+        keys, _, _ = own.lower_level(length, candidate)
         p, packed = _packed((keys >> np.uint64(32)).astype(np.int64), keys.astype(np.uint32))
-        return sent(group[0].as_py(), p, packed, [None] * len(p))
+        return sent(b, p, packed, [None] * len(p))
+
+    def note(b: int, candidate: np.ndarray) -> pa.Table:
+        """The batch's candidates, for itself: comes back with the answers."""
+        return sent(b, [-1 - b % parts], [np.packbits(candidate).tobytes()], [None])
+
+    def noted(own: Batch, replies: pa.Table) -> np.ndarray:
+        found = [x for p, x in zip(replies["p"].to_pylist(), replies["bits"].to_pylist()) if p < 0]
+        return np.unpackbits(np.frombuffer(found[0], np.uint8), count=len(own.start)).astype(bool) if found else np.ones(len(own.start), bool)
+
+    def first(group: tuple, table: pa.Table) -> pa.Table:
+        return ask(batch_of(table), group[0].as_py(), steps[0], None)
 
     def answered(rows: pa.Table, arrays: list[np.ndarray], flags: np.ndarray) -> pa.Table:
         cut = np.cumsum([0, *map(len, arrays)])
         bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip(cut, cut[1:])]
         return pa.table({"b": rows["b"].combine_chunks(), "p": rows["p"].combine_chunks(), "bits": pa.array(bits, pa.binary())})
 
-    def answer_one(rows: pa.Table) -> pa.Table:
+    def parted(rows: pa.Table) -> tuple[pa.Table, pa.Table]:
+        """The entries, and the notes as they are."""
+        mine = [p < 0 for p in rows["p"].to_pylist()]
+        notes = rows.filter(pa.array(mine))
+        kept = pa.table({"b": notes["b"].combine_chunks(), "p": notes["p"].combine_chunks(), "bits": notes["keys"].combine_chunks()})
+        return rows.filter(pa.array([not m for m in mine])), kept
+
+    def answer_lower(rows: pa.Table) -> pa.Table:
         """Whether another batch has the entry as well."""
+        rows, kept = parted(rows)
+        if not rows.num_rows:
+            return kept
         arrays = [np.frombuffer(k, np.uint32) for k in rows["keys"].to_pylist()]
         keys = np.concatenate(arrays)
         order = np.argsort(keys, kind="stable")
         same = keys[order][1:] == keys[order][:-1]
         flags = np.zeros(len(keys), bool)
         flags[order] = np.r_[False, same] | np.r_[same, False]
-        return answered(rows, arrays, flags)
-
-    def send_two(group: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        own, b = batch_of(table), group[0].as_py()
-        keys, shared, entry = own.level_one()
-        survives = shared | _answers((keys >> np.uint64(32)).astype(np.int64), replies)
-        candidate = survives[entry]
-        part, hashes, ids, _ = own.level_two(candidate)
-        p, packed, smallest = _packed(part, hashes, ids)
-        return pa.concat_tables([sent(b, p, packed, smallest), sent(b, [b % parts], [np.packbits(candidate).tobytes()], [None])])
-
-    def answer_two(rows: pa.Table) -> pa.Table:
+        return pa.concat_tables([answered(rows, arrays, flags), kept])
+
+    def extend(length: int, following: int):
+        """Candidates that survive ``length`` ask on the level of ``following``."""
+
+        def run(group: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+            own, b = batch_of(table), group[0].as_py()
+            candidate = noted(own, replies)
+            keys, shared, entry = own.lower_level(length, candidate)
+            survives = shared | _answers((keys >> np.uint64(32)).astype(np.int64), replies)
+            candidate[candidate] = survives[entry]
+            return pa.concat_tables([ask(own, b, following, candidate), note(b, candidate)])
+
+        return run
+
+    def answer_last(rows: pa.Table) -> pa.Table:
         """Whether a batch has the window in a document smaller than all of the asking batch's."""
-        asks = [d is not None for d in rows["docs"].to_pylist()]
-        notes = rows.filter(pa.array([not a for a in asks]))
-        rows = rows.filter(pa.array(asks))
-        kept = pa.table({"b": notes["b"], "p": pa.array([-1] * notes.num_rows, pa.int32()), "bits": notes["keys"]})
+        rows, kept = parted(rows)
         if not rows.num_rows:
             return kept
         arrays = [np.frombuffer(k, np.uint64) for k in rows["keys"].to_pylist()]
@@ -223,11 +267,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
     def finish(group: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         own = batch_of(table)
-        note = [x for p, x in zip(replies["p"].to_pylist(), replies["bits"].to_pylist()) if p < 0]
-        candidate = np.zeros(len(own.start), bool)
-        if note:
-            candidate = np.unpackbits(np.frombuffer(note[0], np.uint8), count=len(own.start)).astype(bool)
-        part, _, smallest, entry = own.level_two(candidate)
+        candidate = noted(own, replies)
+        part, _, smallest, entry = own.last_level(candidate)
         before = _answers(part, replies)[entry]
         at = own.start[candidate]
         at = at[before | (own.ids[own.doc[at]] > smallest[entry])]
@@ -247,10 +288,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             rows = rows.append_column(name, column)
         return rows
 
-    one = dealt.groupBy("b").applyInArrow(send_one, entries).groupBy("p").applyInArrow(answer_one, reply)
-    two = dealt.groupBy("b").cogroup(one.groupBy("b")).applyInArrow(send_two, entries).groupBy("p").applyInArrow(answer_two, reply)
+    out = dealt.groupBy("b").applyInArrow(first, entries)
+    for length, following in zip(steps, steps[1:]):
+        replies = out.groupBy("p").applyInArrow(answer_lower, reply)
+        out = dealt.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(extend(length, following), entries)
+    last = out.groupBy("p").applyInArrow(answer_last, reply)
     schema = StructType([*plain.schema.fields, StructField(made[0], StringType()), StructField(made[1], LongType()), StructField(made[2], LongType())])
-    out = dealt.groupBy("b").cogroup(two.groupBy("b")).applyInArrow(finish, schema)
+    out = dealt.groupBy("b").cogroup(last.groupBy("b")).applyInArrow(finish, schema)
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)), *made)
 
 

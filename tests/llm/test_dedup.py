@@ -105,10 +105,10 @@ def brute_repeats(docs, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("window,batch", [(13, 400), (13, 1 << 20), (5, 700), (2, 500), (1, 300)])
+@pytest.mark.parametrize("window,batch", [(13, 400), (13, 1 << 20), (30, 900), (5, 700), (2, 500), (1, 300)])
 def test_repeats_against_brute_force(spark, monkeypatch, window, batch):
     rng = random.Random(window)
-    passages = [" ".join(rng.choices("abcdefgh", k=rng.randint(8, 40))) for _ in range(6)]
+    passages = [" ".join(rng.choices("abcdefgh", k=rng.randint(8, 60))) for _ in range(6)]
     docs = []
     for k in range(60):
         parts = [" ".join(rng.choices([f"w{j}" for j in range(300)], k=rng.randint(0, 20))) for _ in range(3)]
@@ -121,6 +121,9 @@ def test_repeats_against_brute_force(spark, monkeypatch, window, batch):
 
 
 def test_repeats_edge_cases(spark):
+    assert [repeats.levels(n) for n in (13, 50, 2, 1)] == [[7, 13], [7, 13, 25, 50], [1, 2], [1]]
+    often = spark.createDataFrame([(None, "")] * 50 + [(None, " ".join(map(str, range(20))))] * 50 + [(1, " ".join(map(str, range(20))))], DOC).repartition(4)
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in repeats.remove_repeats(often).collect()) == [(0, 0, 0)] * 50 + [(0, 20, 20)] * 50 + [(1, 20, 0)]
     assert repeats.remove_repeats(spark.createDataFrame([], DOC)).count() == 0
     long = " ".join(f"w{k}" for k in range(30))
     df = spark.createDataFrame([(None, long, 1), (3, long, 2)], DOC + ", n_words int")
