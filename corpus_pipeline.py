@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import encode_documents
-from lattica.llm.common import materialize, read
+from lattica.llm.common import materialize, read, release, scratch_mark
 from lattica.llm.mixing import mix
 from lattica.llm.quality import quality_filter
 from lattica.llm.repeats import remove_repeats
@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with their digest and that of the decoded bytes."""
-    return encode_documents(docs).drop("text", "n_chars")
+    return encode_documents(docs.drop("n_chars"), keep_text=False)
 
 
 STAGES = [
@@ -67,6 +67,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    begin = scratch_mark()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(begin, scratch_mark() - 1)  # all that the stage wrote on its way, and what it read
     return STAGES[-1][1](spark, docs, sf_dir)
