@@ -1,3 +1,4 @@
+import time
 from datetime import datetime
 
 import pytest
@@ -60,3 +61,10 @@ def test_dom_mends_markup():
 def test_dom_takes_anything(text):
     dom = parse_dom(text)
     assert all(p < n for n, p in enumerate(dom.parent))
+
+
+@pytest.mark.parametrize("html", ["<div>" * 8000 + "</span>" * 8000, "<p><table><td>" + "<div>" * 8000, "<p><button>" + "<b>" * 8000 + "<div>x" * 8000, "<li><ul>" * 4000 + "</p>" * 9000])
+def test_deep_and_hostile_markup_takes_time_in_proportion(html):
+    began = time.perf_counter()
+    assert len(parse_dom(html).tag) > 7999
+    assert time.perf_counter() - began < 1  # a search of the stack for each tag takes 10 s
