@@ -1,14 +1,14 @@
 """Main text of web pages by a tree-structured graphical model over the DOM (operator 9).
 
 Every element and text of a page is a node with a hidden label, content or not. Edges join parent and child:
-their potential is the chance of the child's label given the parent's, by the child's tag. A node's own evidence
+their potential is the chance of the child's label given the parent's, by the child's tag and whether it is named. A node's own evidence
 is how much likelier its observations (words of class, id and role; length, links and sentence ends of its text)
 are under one label than under the other. Sum-product messages run once up the tree and once down it; their
 product is the exact marginal of each text, and texts that are content with a chance of at least a half are kept.
 
 All numbers are counted from labelled pages. These are made by ``labelled_pages``: pages of many layouts whose
-main article is known, with menus, headers, footers, sidebars, notices, adverts, forms and comments around and
-inside it. Their number is a parameter; the corpus is not sampled. Training takes a second, on the driver; what
+main article is known (whole, or in sections and containers of many names), with menus, headers, footers, sidebars,
+notices, adverts, forms and comments around and inside it. The name of a part counts by its last known word. Their number is a parameter; the corpus is not sampled. Training takes a second, on the driver; what
 executors get are two small tables of logarithms.
 
 Defined cases: a null or empty page, or one without content, gives an empty text; broken markup is mended, never
@@ -31,37 +31,93 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lattica.functions.dom import BLOCK, TEXT, Dom, parse_dom
-from lattica.llm.common import read
+from lattica.llm.common import bounded_batches, read
 
-TRAINING_PAGES = 600
+TRAINING_PAGES = 2000
 #: Elements whose text is never shown as part of an article, whatever the model says.
 NEVER = frozenset("head title script style noscript template iframe object select option button textarea svg".split())
 #: Elements inside a line; they take their parent's label.
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 
+#: Elements that every page has once; their kind says nothing of the page.
+ONCE = frozenset(("html", "head", "body"))
+LISTS = frozenset(("ul", "ol", "menu", "dl"))
+
 _WORD = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"([a-z])([A-Z])")
 _SENTENCE_END = re.compile(r"[.!?]")
 
 
+def head_word(name: str) -> str:
+    """The word that says what a compound name is, the last that the training names: of ``widget-title`` it is
+    ``title``, of ``disqus_thread`` ``disqus``; none if no word is among them."""
+    words = _WORD.findall(_HUMP.sub(r"\1-\2", name).lower())
+    return next((w for w in reversed(words) if w in KNOWN_WORDS), "")
+
+
+def head_words(dom: Dom, node: int) -> list[str]:
+    """The head words of an element's class, id and role."""
+    if not dom.data[node]:
+        return []
+    attrs = dom.attributes(node)
+    names = " ".join((attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", ""))).split()
+    return [w for w in dict.fromkeys(map(head_word, names)) if w]
+
+
+def edge_kinds(dom: Dom) -> list[str]:
+    """What each node's edge to its parent depends on: its tag, and whether it is named with a known word."""
+    out = []
+    for node, tag in enumerate(dom.tag):
+        if tag in INLINE:
+            out.append("#inline")
+        else:
+            out.append(f"{tag}+" if tag[0] != "#" and head_words(dom, node) else tag)
+    return out
+
+
+def link_lists(dom: Dom) -> list[bool]:
+    """For each node whether it is a list more than half of whose text is links."""
+    n = len(dom.tag)
+    linked, chars, in_links = [False] * n, [0] * n, [0] * n
+    for node, tag in enumerate(dom.tag):
+        up = dom.parent[node]
+        linked[node] = tag == "a" or (up >= 0 and linked[up])
+        if tag == TEXT:
+            chars[node] = len(dom.data[node].strip())
+            in_links[node] = chars[node] * linked[node]
+    for node in range(n - 1, 0, -1):  # children come after their parents
+        chars[dom.parent[node]] += chars[node]
+        in_links[dom.parent[node]] += in_links[node]
+    return [tag in LISTS and 2 * in_links[node] > chars[node] for node, tag in enumerate(dom.tag)]
+
+
 def observations(dom: Dom) -> list[list[str]]:
-    """What is seen of each node: attribute words of elements; length, links and sentence ends of texts."""
+    """What is seen of each node: attribute words of elements; length, links and sentence ends of texts.
+
+    The items of a list of links say much the same, so they are seen once, at the list.
+    """
     seen: list[list[str]] = []
     linked: list[bool] = []
+    listed: list[bool] = []
+    links = link_lists(dom)
     for node, tag in enumerate(dom.tag):
         up = dom.parent[node]
         linked.append(tag == "a" or (up >= 0 and linked[up]))
+        listed.append(links[node] or (up >= 0 and listed[up]))
         found: list[str] = []
         if tag == TEXT:
             text = dom.data[node]
             size = len(text.split())
-            if size:
+            if size and not listed[node]:
                 found.append(f"words:{min(size.bit_length(), 7)}")
                 found.append(f"link:{linked[node]}")
                 found.append(f"ends:{bool(_SENTENCE_END.search(text))}")
-        elif tag[0] != "#" and dom.data[node] and tag not in INLINE:
-            attrs = dom.attributes(node)
-            names = _WORD.findall(" ".join((attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", ""))).lower())
-            found += [f"name:{w}" for w in dict.fromkeys(names)]
+        elif tag[0] != "#" and tag not in INLINE and not listed[up]:
+            if tag not in ONCE:
+                found.append(f"tag:{tag}")
+            if tag in LISTS:
+                found.append(f"links:{links[node]}")
+            found += [f"name:{w}" for w in head_words(dom, node)]
         seen.append(found)
     return seen
 
@@ -73,12 +129,14 @@ class Model:
     edge: dict[str, tuple[tuple[float, float], tuple[float, float]]]
     own: dict[str, tuple[float, float]]
 
+    def edges(self, dom: Dom) -> list[tuple[tuple[float, float], tuple[float, float]]]:
+        usual = {False: self.edge["div"], True: self.edge["div+"]}
+        return [self.edge.get(kind, usual[kind[-1] == "+"]) for kind in edge_kinds(dom)]
+
     def marginals(self, dom: Dom) -> list[float]:
         """The chance that each node is content."""
         n = len(dom.tag)
-        usual = self.edge["div"]
-        stiff = self.edge["#inline"]
-        edges = [stiff if t in INLINE else self.edge.get(t, usual) for t in dom.tag]
+        edges = self.edges(dom)
         not_, yes = [0.0] * n, [0.0] * n  # own evidence and the messages from below
         for node, found in enumerate(observations(dom)):
             for x in found:
@@ -128,7 +186,7 @@ def train(pages: list[tuple[str, str]], smooth: float = 0.5) -> Model:
     total: Counter = Counter()
     for html, mark in pages:
         dom = parse_dom(html)
-        label = [0] * len(dom.tag)
+        label, kinds = [0] * len(dom.tag), edge_kinds(dom)
         for node, tag in enumerate(dom.tag):
             if not node:
                 continue
@@ -136,14 +194,14 @@ def train(pages: list[tuple[str, str]], smooth: float = 0.5) -> Model:
             label[node] = label[parent]
             if tag[0] != "#" and mark in dom.data[node]:
                 label[node] = int(dom.attributes(node)[mark])
-            edge["#inline" if tag in INLINE else tag][label[parent], label[node]] += 1
+            edge[kinds[node]][label[parent], label[node]] += 1
         for found, y in zip(observations(dom), label):
             for kind in {x.partition(":")[0] for x in found}:
                 total[kind, y] += 1
             for x in found:
                 own[x, y] += 1
     edges = {}
-    for tag in {*edge, "div"}:
+    for tag in {*edge, "div", "div+"}:
         c = edge[tag]
         rows = []
         for y in (0, 1):
@@ -156,12 +214,12 @@ def train(pages: list[tuple[str, str]], smooth: float = 0.5) -> Model:
 # --- labelled pages --------------------------------------------------------------------------------------
 
 #: Names that pages give to the parts of a layout.
-CONTENT_NAMES = "article content main post entry story body text page-content article-body post-content entry-content main-content blog-post".split()
+CONTENT_NAMES = "article content main post entry story body text page-content article-body post-content entry-content main-content blog-post articleBody".split()
 ASIDE_NAMES = {
     "nav": "nav menu navbar navigation main-menu topnav breadcrumb breadcrumbs pagination".split(),
     "header": "header masthead site-header banner top logo branding".split(),
     "footer": "footer site-footer bottom copyright legal colophon".split(),
-    "aside": "sidebar aside widget widgets related related-posts recommended toc tags meta byline".split(),
+    "aside": "sidebar aside widget widgets related related-posts recommended toc tags".split(),
     "notice": "cookie cookie-notice consent notice alert gdpr popup modal overlay newsletter subscribe paywall".split(),
     "advert": "ad ads advert advertisement sponsored sponsor promo promotion banner-ad adsense".split(),
     "share": "share social sharing social-links follow".split(),
@@ -169,7 +227,11 @@ ASIDE_NAMES = {
     "form": "form search search-form login signup contact-form subscribe-form".split(),
 }
 #: Layouts that hold the article without saying so.
-PLAIN_NAMES = "wrapper container row col inner outer site page box block section grid layout wrap".split()
+PLAIN_NAMES = "wrapper container row col inner outer site page box block section grid layout wrap area left right primary".split()
+#: Parts of an article.
+PART_NAMES = "title headline heading intro lead summary text paragraph chapter part figure image caption gallery quote table highlight note step references meta byline author date dateline".split()
+KNOWN_WORDS = frozenset(w for names in (CONTENT_NAMES, PART_NAMES, *ASIDE_NAMES.values()) for n in names for w in _WORD.findall(_HUMP.sub(r"\1-\2", n).lower()))
+KNOWN_WORDS -= frozenset(PLAIN_NAMES)
 _MARK = "data-label"
 
 
@@ -191,6 +253,9 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 9) -> list[tuple[str
             return ""
         return f' {rng.choice(("class", "class", "id"))}="{" ".join(rng.sample(names, rng.choice((1, 1, 2))))}"'
 
+    def short(n: int) -> str:
+        return " ".join(words(rng.choice((1, 2, 3, 4, 5, 7, 9))).capitalize() + rng.choice("....!?") for _ in range(n))
+
     def aside(kind: str, inside: bool) -> str:
         mark = f' {_MARK}="0"'
         own = {"nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "aside": ["aside", "div", "section"]}
@@ -201,7 +266,7 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 9) -> list[tuple[str
         if kind == "nav":
             body = links(rng.randint(3, 9)) if tag == "ul" else f"<ul>{links(rng.randint(3, 9))}</ul>"
         elif kind == "form":
-            body = f"<label>{words(2)}</label><input><button>{words(1)}</button><p>{sentences(1)}</p>"
+            body = f"<label>{words(2)}</label><input><button>{words(1)}</button><p>{short(1)}</p>"
         elif kind == "comments":
             body = f"<h3>{words(2)}</h3>" + "".join(
                 f"<{'li' if tag == 'ol' else 'div'}{named(ASIDE_NAMES[kind])}><b>{words(1)}</b><p>{sentences(rng.randint(1, 4))}</p></{'li' if tag == 'ol' else 'div'}>"
@@ -210,58 +275,98 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 9) -> list[tuple[str
         elif kind == "share":
             body = "".join(f'<a href="#">{words(1)}</a> ' for _ in range(3))
         elif kind == "aside":
-            body = rng.choice((f"<h4>{words(2)}</h4><ul>{links(4)}</ul>", f"<p>{sentences(rng.randint(1, 3))}</p>"))
+            body = rng.choice((f"<h4>{words(2)}</h4><ul>{links(4)}</ul>", f"<p>{short(rng.randint(1, 3))}</p>"))
         elif kind == "header":
             body = rng.choice((f'<a href="/">{words(2)}</a>', f"<h1>{words(3)}</h1><p>{words(5)}</p>", f"{words(4)}"))
         else:
-            body = rng.choice((sentences(rng.randint(1, 3)), f"<p>{sentences(1)}</p>", f"&copy; {words(3)} {rng.randint(1990, 2026)} &middot; {sentences(1)}", f"{words(3)}<br>{words(2)}"))
+            body = rng.choice((short(rng.randint(1, 3)), f"<p>{short(1)}</p>", f"&copy; {words(3)} {rng.randint(1990, 2026)} &middot; {short(1)}", f"{words(3)}<br>{words(2)}"))
         return f"<{tag}{name}{mark}>{body}</{tag}>"
 
     def block() -> str:
         draw = rng.random()
+        if draw < 0.02:
+            return f"<{(t := rng.choice(('div', 'p')))} class=\"{rng.choice(('meta', 'byline', 'entry-meta', 'author', 'post-date'))}\">{words(3)}</{t}>"
         if draw < 0.72:
             text = sentences(rng.choice((1, 1, 2, 4, 8)))
             if rng.random() < 0.25:
                 text = f"<b>{text}</b>" if rng.random() < 0.5 else f'{text} <a href="/x">{words(2)}</a> {sentences(1)}'
             return f"<p>{text}</p>" if rng.random() < 0.8 else f"<p>{text}<br>{sentences(1)}"
         if draw < 0.82:
-            return f"<h{(n := rng.randint(2, 4))}>{words(rng.randint(1, 6))}</h{n}>"
+            return f"<h{(n := rng.choice((2, 2, 3, 3, 4, 5, 6)))}>{words(rng.randint(1, 6))}</h{n}>"
         if draw < 0.88:
-            return "<ul>" + "".join(f"<li>{sentences(1)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
+            tag = rng.choice(("ul", "ol", "dl"))
+            if tag == "dl":
+                return "<dl>" + "".join(f"<dt>{words(2)}</dt><dd>{sentences(1)}</dd>" for _ in range(rng.randint(1, 4))) + "</dl>"
+            return f"<{tag}>" + "".join(f"<li>{rng.choice((sentences, words))(rng.randint(1, 3))}</li>" for _ in range(rng.randint(2, 5))) + f"</{tag}>"
         if draw < 0.91:
             return f"<blockquote><p>{sentences(2)}</p></blockquote>"
         if draw < 0.94:
-            return "<table>" + "".join(f"<tr><td>{words(1)}</td><td>{sentences(1)}</td></tr>" for _ in range(3)) + "</table>"
+            top = f"<caption>{words(3)}</caption>" * rng.randint(0, 1) + f"<tr><th>{words(1)}</th><th>{words(1)}</th></tr>" * rng.randint(0, 1)
+            rows = "".join(f"<tr><td>{words(1)}</td><td>{sentences(1)}</td></tr>" for _ in range(3))
+            return f"<table>{top}{rows}</table>" if rng.random() < 0.5 else f"<table><tbody>{top}{rows}</tbody></table>"
         if draw < 0.96:
             return f"<pre>{words(6)}</pre>"
         if draw < 0.98:
             return f"<figure><img><figcaption>{sentences(1)}</figcaption></figure>"
         return f"<div>{sentences(3)}</div>"
 
+    def part(depth: int) -> str:
+        """A run of an article's blocks in a container of its own, which may be named and may hold others."""
+        inner = [f"<h{(n := rng.randint(2, 4))}>{words(rng.randint(1, 6))}</h{n}>"] * (rng.random() < 0.6)
+        inner += [part(depth - 1) if depth and rng.random() < 0.2 else block() for _ in range(rng.choice((1, 2, 3, 5)))]
+        if rng.random() < 0.3:
+            inner.append(f"<ul>{links(rng.randint(2, 5))}</ul>")
+        tag = rng.choice(("section", "section", "div", "div", "div", "details", "figure", "center"))
+        draw = rng.random()
+        if draw < 0.35:
+            name = ""
+        elif draw < 0.8:
+            name = named([*PART_NAMES, *PLAIN_NAMES, *CONTENT_NAMES], 1.0)
+        else:  # a compound whose last word says that it is a part of the text
+            first = rng.choice([*CONTENT_NAMES, *(n for names in ASIDE_NAMES.values() for n in names)])
+            name = f' class="{first}-{rng.choice(PART_NAMES)}"'
+        if tag == "details":
+            inner.insert(0, f"<summary>{words(rng.randint(1, 5))}</summary>")
+        return f"<{tag}{name}>{''.join(inner)}</{tag}>"
+
     pages = []
     for _ in range(count):
-        blocks = [f"<h1>{words(rng.randint(1, 9))}</h1>"] * (rng.random() < 0.85) + [block() for _ in range(rng.choice((1, 2, 4, 8, 16)))]
+        title = f"<h1>{words(rng.randint(1, 9))}</h1>"
+        if rng.random() < 0.25:
+            title = f"<header{named(['entry-title', 'headline', 'title'], 0.5)}>{title}</header>"
+        share = rng.choice((0.0, 0.0, 0.3, 1.0))  # of the blocks that stand in containers
+        blocks = [title] * (rng.random() < 0.85) + [part(2) if rng.random() < share else block() for _ in range(rng.choice((1, 2, 4, 8, 16)))]
+        if rng.random() < 0.08:
+            blocks.append(f"<ul>{links(rng.randint(2, 6))}</ul>")
         for kind in ("advert", "share", "form", "notice", "aside", "comments"):
             if rng.random() < 0.25:
                 blocks.insert(rng.randint(0, len(blocks)), aside(kind, True))
         draw = rng.random()
-        if draw < 0.45:
+        if draw < 0.3:
             tag, name = "article", named(CONTENT_NAMES, 0.3)
-        elif draw < 0.65:
+        elif draw < 0.45:
             tag, name = "main", named(CONTENT_NAMES, 0.3)
-        elif draw < 0.9:
+        elif draw < 0.62:
             tag, name = rng.choice(("div", "div", "section", "td")), named(CONTENT_NAMES, 1.0)
         else:
             tag, name = "div", named(PLAIN_NAMES, 0.7)
-        body = f'<{tag}{name} {_MARK}="1">{"".join(blocks)}</{tag}>'
+        bare = draw > 0.86  # no container but the body
+        body = "".join(blocks) if bare else f'<{tag}{name} {_MARK}="1">{"".join(blocks)}</{tag}>'
+        if tag == "article" and rng.random() < 0.4:  # in a main that holds more beside it
+            more = "".join(aside(k, True) for k in ("comments", "aside", "share") if rng.random() < 0.3)
+            body = f'<main {_MARK}="1">{body}{more}</main>'
         if tag == "td":
-            body = f"<table><tr>{body}</tr></table>"
-        for _ in range(rng.choice((0, 0, 1, 2))):
+            beside = f'<td{named(ASIDE_NAMES["nav"] + ASIDE_NAMES["aside"], 1.0)} {_MARK}="0"><ul>{links(5)}</ul></td>'
+            beside = rng.choice(("", beside, beside.replace("<ul>", "").replace("</ul>", "").replace("<li>", "").replace("</li>", "<br>")))
+            body = f"<table><tr>{beside}{body}</tr></table>"
+        elif not bare and rng.random() < 0.3:  # beside columns of other things
+            body = f"<div{named(PLAIN_NAMES)}>{body}{aside(rng.choice(('aside', 'nav', 'advert')), False)}</div>"
+        for _ in range(0 if bare else rng.choice((0, 0, 1, 2))):
             body = f"<div{named(PLAIN_NAMES)}>{body}</div>"
         before = [aside(k, False) for k in ("header", "nav", "notice", "advert", "form") if rng.random() < 0.6]
         after = [aside(k, False) for k in ("comments", "aside", "share", "advert", "footer") if rng.random() < 0.6]
         head = f"<head><title>{words(4)}</title><script>{words(2)}</script></head>"
-        pages.append((f"<!DOCTYPE html><html>{head}<body>{''.join(before)}{body}{''.join(after)}</body></html>", _MARK))
+        pages.append((f"<!DOCTYPE html><html>{head}<body{f' {_MARK}="1"' * bare}>{''.join(before)}{body}{''.join(after)}</body></html>", _MARK))
     return pages
 
 
@@ -302,12 +407,13 @@ def main_text(html: str | None, model: Model) -> str:
 def extract_main_text(pages: DataFrame, model: Model | None = None, html_col: str = "html") -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` (code points); columns with these names give way."""
     sent = pages.sparkSession.sparkContext.broadcast(model or train(labelled_pages()))  # bounded by the training pages
+    bounded_batches(pages.sparkSession)
     names = [c for c in pages.columns if c not in ("text", "n_chars")]
     pages = pages.select(*(F.col(f"`{c}`") for c in names))
     place = names.index(html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in batches:  # of bounded bytes
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 texts = [main_text(html.as_py(), sent.value) for html in batch.column(place)]
