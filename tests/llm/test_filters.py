@@ -18,26 +18,78 @@ def brute_quality(text):
     return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(at)
 
 
+def brute_rejects(text):
+    """Whether any rule rejects a text."""
+    n, chars, symbols, dup, repeat = brute_quality(text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    letters = sum(any(c.isalpha() for c in w) for w in words)
+    capitals = sum("A" <= c <= "Z" for c in text or "")
+    dots = sum(x.rstrip(" \t\x0b\x0c\r").endswith(("...", "…")) for x in lines)
+    bullets = sum(x.lstrip(" \t\x0b\x0c\r")[0] in "•*–-" for x in lines)
+    return (
+        n < 50
+        or 100 * repeat > 50 * n
+        or 100 * symbols > 10 * n
+        or 100 * dup > 40 * len(lines)
+        or not 2 * n <= chars <= 12 * n
+        or 100 * letters < 50 * n
+        or len(set(words)) ** 2 < n
+        or (len(lines) >= 5 and (100 * dots > 30 * len(lines) or 100 * bullets > 90 * len(lines)))
+        or 100 * capitals > 70 * chars
+    )
+
+
 def test_quality_statistics_and_cascade(spark):
     rng = random.Random(1)
     texts = [None, "", " \n\t", "a", "x y z x y z", "é\u00a0ß\u2003x", "l\nl\n\nl\r\nl", "#*$%&|<>" * 20, "a b c " * 3000, "w" * 30000]
     texts += [" ".join(rng.choices("abcdefghij", k=rng.randint(0, 150))) for _ in range(40)]
     texts += ["\n".join(rng.choices([" ".join(f"q{rng.randrange(10**6)}" for _ in range(12)), "same line"], k=9)) for _ in range(20)]
-    df = spark.createDataFrame([(k, t, "clash", 1) for k, t in enumerate(texts)], DOC + ", n_lines string, _words int")
-    got = {r.doc_id: r for r in quality.quality_report(df.drop("n_lines")).collect()}
+    fresh = lambda n: " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))
+    texts += [fresh(60), fresh(60).upper(), "\n".join(f"- {fresh(9)}" for _ in range(8)), "\n".join(f"{fresh(9)}... " for _ in range(8)), "\n".join(f"{fresh(9)}…" for _ in range(4))]
+    texts += [" ".join(str(rng.randrange(10**6)) for _ in range(80)), " ".join(rng.choices([f"{a}{b}{c}" for a in "xyz" for b in "uvw" for c in "rst"], k=1200))]
+    df = spark.createDataFrame([(k, t, "clash", 1, True) for k, t in enumerate(texts)], DOC + ", n_lines string, _words int, kept boolean")
+    report = quality.quality_report(df)
+    assert len(set(report.columns)) == len(report.columns) and "_words" in report.columns
+    got = {r.doc_id: r for r in report.collect()}
     for k, t in enumerate(texts):
         r, want = got[k], brute_quality(t)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, t
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
-        assert not (r.base_failed and r.kept)
+        assert r.kept == (not brute_rejects(t)) == (r.rejected_by is None), t
     kept = quality.quality_filter(df)
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.kept}
     assert quality.quality_report(df.limit(0)).count() == 0 and quality.quality_filter(df.limit(0)).count() == 0
 
 
+def test_rules_are_ordered_by_rejections_per_cost(spark):
+    rules = tuple(quality.Rule(n, (n,), "true") for n in "abcd")
+    # a rejects most but is dear; b rejects what d does, and more; c rejects nothing
+    verdicts = [(True, k < 4, False, k < 3) for k in range(8)] + [(False,) * 4] * 2
+    costs = {"a": 4.0, "b": 1.0, "c": 0.001, "d": 1.0}
+    order = quality.placed(rules, verdicts, costs)
+    assert [p.rule.name for p in order] == ["b", "a", "c", "d"] and [round(p.rejects, 2) for p in order] == [0.4, 0.67, 0, 0]
+    assert [p.rule.name for p in quality.placed(rules, verdicts, costs, made=("a",))][0] == "a"
+    measured = quality.measured_costs(quality.draw_sample(spark.createDataFrame([(k, f"w{k} x " * 2000) for k in range(40)], DOC)), {"capitals": ("capitals",), "repeats": ("words", "repeats")})
+    assert measured["repeats"] > 5 * measured["capitals"]
+
+
+def test_a_rule_sees_undecided_texts_only(spark):
+    """The first rule of the cascade is named, and no rule behind it is evaluated: it would raise."""
+    text = " ".join(f"q{k}" for k in range(60)) + " " + "#" * 20
+    df = spark.createDataFrame([(1, text)], DOC)
+    by = {r.name: r for r in quality.RULES}
+    trap = quality.Rule("trap", ("words",), "raise_error('evaluated') IS NULL")
+    rules = (by["too_short"], by["repeated_windows"], by["symbols"], by["word_length"], trap)
+    assert quality.quality_report(df, rules, order=[by["word_length"], by["symbols"], trap]).first().rejected_by == "symbols"
+    with pytest.raises(Exception, match="evaluated"):
+        quality.quality_report(df, rules, order=[trap, by["symbols"]]).collect()
+
+
 def test_cascade_plan_is_native(spark):
     plan = quality.quality_filter(spark.createDataFrame([(1, "a")], DOC))._jdf.queryExecution().executedPlan().toString()
+    plan += quality.quality_report(spark.createDataFrame([(1, "a")], DOC))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lattica.llm import bpe, mixing, simhash_wide
 from tests.llm.test_dedup import brute_repeats
-from tests.llm.test_filters import brute_quality
+from tests.llm.test_filters import brute_rejects
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -46,10 +46,7 @@ def test_stages_against_brute_force(spark):
     assert kept.columns == docs.columns
     kept_rows = {r.doc_id: r for r in kept.collect()}
     for k, text, *_ in rows:
-        n, chars, symbols, dup, repeat = brute_quality(text)
-        lines = [x for x in (text or "").split("\n") if x.split()]
-        bad = n < 50 or 100 * repeat > 50 * n or 100 * symbols > 10 * n or 100 * dup > 40 * len(lines) or not 2 * n <= chars <= 12 * n
-        assert (k in kept_rows) == (not bad), k
+        assert (k in kept_rows) == (not brute_rejects(text)), k
 
     near = stages["simhash_near_dedup"](spark, kept, "")
     near_ids = {r.doc_id for r in near.collect()}
