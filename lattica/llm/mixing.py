@@ -6,10 +6,14 @@ target. The convex dual has one multiplier a source: a document's prior odds are
 
     rate = cap * q * exp(m) / (1 - q + q * exp(m)),   q = prior / cap,
 
-and the multipliers solve sum(size * rate) = target. Newton's iterations are distributed: documents are summed
-into strata of equal source and prior (combined map-side, so a hot source is one row a task), and each iteration
-is one grouped sum over the strata and one update of the multiplier table; neither is collected. Each source's
-residual decides when all are done.
+and the multipliers solve sum(size * rate) = target. The prior is a column of the documents, or else follows their
+length (``length_prior``): texts of some hundred to a few thousand words are wanted most. So a source is not
+thinned or repeated evenly: its targets are met by rates that keep the priors' odds.
+
+Newton's iterations are distributed: documents are summed into strata of equal source and prior (combined map-side,
+so a hot source is a few rows a task), and each iteration is one grouped sum over the strata and one update of the
+multiplier table; neither is collected. Each source's residual decides when all are done; iterations that do not
+converge are an error. Up to ``FEW`` strata an iteration is one task, without an exchange.
 
 Rates become whole copies by carrying the words over: within chunks of a source, from its longest document to
 its shortest, each document takes the floor or the ceiling of its rate, whichever brings the words taken nearer
@@ -28,36 +32,52 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from lattica.llm.common import WORD_CLASS, materialize, read
+from lattica.llm.common import WORD_CLASS, bounded_batches, materialize, read
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE, CAP = 1.5, 2.0
 CHUNK_ROWS = 4096
+#: Up to so many strata and sources the tables of the dual are one partition each.
+FEW = 50_000
+
 
+def length_prior(size: Column) -> Column:
+    """Prior rate by length: 1.25 at 256 to 511 words, 0.15 less for each halving or doubling of it, at least 0.5."""
+    doublings = F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")))
+    return F.greatest(1.25 - 0.15 * F.abs(doublings - 8), F.lit(0.5))
 
-def ranked_sources(sizes: DataFrame) -> DataFrame:
+
+def ranked_sources(sizes: DataFrame, few: bool = False) -> DataFrame:
     """``sizes(source, words, n)`` with ``pos``, the place of the source in code-point order, null last.
 
-    Distributed: rows are range-partitioned and numbered in their partition; only the partitions' row counts
-    (bounded by their number) are summed up as offsets.
+    Distributed, but for ``few`` sources: rows are range-partitioned and numbered in their partition; only the
+    partitions' row counts (bounded by their number) are summed up as offsets.
     """
-    ordered = sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    order = F.col("source").asc_nulls_last()
+    if few:
+        return sizes.withColumn("pos", (F.row_number().over(W.orderBy(order)) - 1).cast("long"))
+    ordered = sizes.repartitionByRange(order).sortWithinPartitions(order)
     ordered = materialize(ordered.withColumn("part", F.spark_partition_id()), "sources")
     offsets = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
     offsets = offsets.select("part", (F.sum("rows").over(W.orderBy("part")) - F.col("rows")).alias("offset"))
-    local = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    local = F.row_number().over(W.partitionBy("part").orderBy(order)) - 1
     return ordered.withColumn("at", local).join(F.broadcast(offsets), "part").select("source", "words", "n", (F.col("at") + F.col("offset")).alias("pos"))
 
 
-def water_filled(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = TOTAL_SHARE, cap: float = CAP) -> DataFrame:
+def _compact(df: DataFrame, few: bool) -> DataFrame:
+    return df.coalesce(1) if few else df
+
+
+def water_filled(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = TOTAL_SHARE, cap: float = CAP, few: bool = False) -> DataFrame:
     """``sources(source, words, pos)`` with ``target``; each round is one sum over the source table."""
     pattern = F.array(*(F.lit(float(w)) for w in weights))
     df = materialize(sources.withColumn("w", F.element_at(pattern, (F.pmod("pos", F.lit(len(weights))) + 1).cast("int"))), "weights")
+    df = _compact(df, few)
     row = df.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
     total, unit, capped = share * row[0], 0.0, -1
     if row[1]:
@@ -76,25 +96,26 @@ def water_filled(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return df.withColumn("target", F.when(F.col("w") * F.lit(unit) > limit, limit).otherwise(F.col("w") * F.lit(unit))).drop("w")
 
 
-def tilted(strata: DataFrame, targets: DataFrame, cap: float = CAP, tolerance: float = 1e-9, most: int = 60) -> DataFrame:
+def tilted(strata: DataFrame, targets: DataFrame, cap: float = CAP, tolerance: float = 1e-9, most: int = 60, few: bool = False) -> DataFrame:
     """``(source, m)``: Newton's iterations on the dual; ``strata(source, prior, words)``, ``targets(source, words, target)``.
 
-    A source whose target is all of its cap, or nothing, has an infinite multiplier.
+    They start from the multiplier that would meet the target if all priors were 1. A source whose target is all of
+    its cap, or nothing, has an infinite multiplier. Raises where ``most`` iterations leave a residual.
     """
     share = F.when(F.col("words") > 0, F.col("target") / (F.col("words") * cap)).otherwise(0.0)
     start = F.when(share >= 1 - 1e-12, F.lit(float("inf"))).when(share <= 1e-12, F.lit(float("-inf"))).otherwise(F.log(share / (1 - share)) - F.log(F.lit(1 / (cap - 1))))
-    current = materialize(targets.select("source", "target", start.alias("m")), "multipliers")
+    current = _compact(materialize(targets.select("source", "target", start.alias("m")), "multipliers"), few)
+    strata = _compact(strata.withColumnRenamed("source", "s"), few)
     for _ in range(most):
         rate = rate_of(F.col("prior"), F.col("m"), cap)
         sums = (
-            strata.withColumnRenamed("source", "s")
-            .join(current, F.col("s").eqNullSafe(F.col("source")))
+            strata.join(current, F.col("s").eqNullSafe(F.col("source")))
             .groupBy("source", "target", "m")
             .agg(F.sum(F.col("words") * rate).alias("got"), F.sum(F.col("words") * rate * (1 - rate / cap)).alias("slope"))
         )
         step = F.least(F.greatest((F.col("target") - F.col("got")) / F.col("slope"), F.lit(-4.0)), F.lit(4.0))
         finite = (F.abs("m") < float("inf")) & (F.col("slope") > 0)
-        current = materialize(
+        following = materialize(
             sums.select(
                 "source",
                 "target",
@@ -103,10 +124,11 @@ def tilted(strata: DataFrame, targets: DataFrame, cap: float = CAP, tolerance: f
             ),
             "multipliers",
         )
+        current = _compact(following, few)
         off = current.agg(F.max("off")).first()[0]
         if off is None or off <= tolerance:
-            break
-    return current.select("source", "m")
+            return current.select("source", "m")
+    raise RuntimeError(f"the multipliers did not converge: after {most} iterations a source is off its target by {off:.3g} of it")
 
 
 def rate_of(prior, m, cap: float = CAP):
@@ -117,22 +139,24 @@ def rate_of(prior, m, cap: float = CAP):
 
 def mix(docs: DataFrame, cap: float = CAP, prior_col: str | None = None, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", keep_text: bool = True) -> DataFrame:
     """``docs`` (without its text, if not ``keep_text``) with ``size``, ``source_size``, ``target``, ``rate``, ``copies`` and ``taken``; like names give way."""
+    bounded_batches(docs.sparkSession)
     made = ["size", "source_size", "target", "rate", "copies", "taken"]
     names = [c for c in docs.columns if c not in made and (keep_text or c != text_col)]
-    prior = F.lit(1.0) if prior_col is None else F.greatest(F.least(F.coalesce(F.col(f"`{prior_col}`").cast("double"), F.lit(1.0)), F.lit(cap * 0.999)), F.lit(1e-6))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    base = docs.select(
-        *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)),
-        F.regexp_count(text, F.lit(WORD_CLASS)).cast("long").alias("size"),
-        prior.alias("prior"),
-    )
+    size = F.regexp_count(text, F.lit(WORD_CLASS)).cast("long")
+    given = None if prior_col is None else F.col(f"`{prior_col}`").cast("double").alias("given")
+    base = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), size.alias("size"), F.xxhash64(text).alias("hash"), *([] if given is None else [given]))
+    prior = length_prior(F.col("size")) if given is None else F.greatest(F.least(F.coalesce("given", F.lit(1.0)), F.lit(cap * 0.999)), F.lit(1e-6))
+    base = base.withColumn("prior", prior)
     source, ident = f"c{names.index(source_col)}", f"c{names.index(id_col)}"
     sizes = materialize(base.groupBy(F.col(source).alias("source"), "prior").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "strata")
-    sources = ranked_sources(sizes.groupBy("source").agg(F.sum("words").alias("words"), F.sum("n").alias("n")))
-    targets = materialize(water_filled(sources, cap=cap), "targets")
-    multipliers = tilted(sizes, targets, cap)
+    few = sizes.count() <= FEW
+    sizes = _compact(sizes, few)
+    sources = ranked_sources(sizes.groupBy("source").agg(F.sum("words").alias("words"), F.sum("n").alias("n")), few)
+    targets = _compact(materialize(water_filled(sources, cap=cap, few=few), "targets"), few)
+    multipliers = tilted(sizes, targets, cap, few=few)
     plan = targets.withColumnRenamed("source", "s").join(multipliers, F.col("s").eqNullSafe(F.col("source"))).drop("source")
-    chunk = F.pmod(F.xxhash64(F.col(ident), F.col("size")), F.ceil(F.col("n") / CHUNK_ROWS).cast("long"))
+    chunk = F.pmod(F.xxhash64(F.col(ident), F.col("hash")), F.ceil(F.col("n") / CHUNK_ROWS).cast("long"))
     rated = base.join(plan, F.col(source).eqNullSafe(F.col("s")), "left").select(
         *(f"c{k}" for k in range(len(names))),
         "size",
@@ -141,8 +165,9 @@ def mix(docs: DataFrame, cap: float = CAP, prior_col: str | None = None, source_
         rate_of(F.col("prior"), F.col("m"), cap).alias("rate"),
         F.col("pos").alias("_pos"),
         chunk.alias("_chunk"),
+        F.col("hash").alias("_hash"),
     )
-    out = rated.repartition("_pos", "_chunk").sortWithinPartitions("_pos", "_chunk", F.col("size").desc(), F.xxhash64(ident), ident)
+    out = rated.repartition("_pos", "_chunk").sortWithinPartitions("_pos", "_chunk", F.col("size").desc(), F.xxhash64(ident), ident, "_hash")
     out = out.mapInArrow(_carried(rated.columns, cap), StructType([*rated.schema.fields, StructField("copies", IntegerType())]))
     return out.select(
         *(F.col(f"c{k}").alias(c) for k, c in enumerate(names)), *made[:5], (F.col("size") * F.col("copies")).alias("taken")

@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -204,6 +206,57 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def brute_mix(rows, cap=2.0):
+    """Copies of ``(source, chunk, place, size, target)``: multipliers by bisection, then words carried over chunk by chunk."""
+    prior = lambda n: max(1.25 - 0.15 * abs(math.floor(math.log2(max(n, 1))) - 8), 0.5)
+    rate = lambda n, m: cap / (1 + (cap / prior(n) - 1) * math.exp(-m))
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r[0], []).append(r)
+    copies = {}
+    for source, own in by_source.items():
+        total, target = sum(r[3] for r in own), own[0][4]
+        low, high = -40.0, 40.0
+        for _ in range(200):
+            m = (low + high) / 2
+            low, high = (m, high) if sum(r[3] * rate(r[3], m) for r in own) < target else (low, m)
+        for chunk in {r[1] for r in own}:
+            over = 0.0
+            for _, _, place, n, _ in sorted((r for r in own if r[1] == chunk), key=lambda r: (-r[3], r[2])):
+                due = (cap if target >= cap * total else rate(n, m)) * n + over
+                fits = [c for c in range(int(cap) + 1) if abs(c - (due - over) / max(n, 1)) < 1 - 1e-6]
+                copies[source, chunk, place] = min(fits, key=lambda c: abs(due - c * n)) if n else 0
+                over = due - copies[source, chunk, place] * n
+    return copies
+
+
+def test_taken_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", 64)
+    rng = random.Random(6)
+    rows = [(k, f"s{min(int(rng.expovariate(0.5)), 5)}", " ".join(["x"] * int(rng.paretovariate(1.1) * 15))) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(df).withColumns({"hash": F.xxhash64("text"), "place": F.xxhash64("doc_id")}).collect()
+    count = {}
+    for r in got:
+        count[r.source] = count.get(r.source, 0) + 1
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("h")).collect()}
+    chunk = {r.doc_id: hashes[r.doc_id] % math.ceil(count[r.source] / 64) for r in got}
+    want = brute_mix([(r.source, chunk[r.doc_id], r.place, r.size, r.target) for r in got])
+    assert {r.doc_id: r.copies for r in got if r.size} == {r.doc_id: want[r.source, chunk[r.doc_id], r.place] for r in got if r.size}
+    assert len({round(r.rate, 6) for r in got if r.source == "s1"}) > 4  # the tilt, not one rate a source
+    few = sorted((r.doc_id, r.copies) for r in got)
+    monkeypatch.setattr(mixing, "FEW", 0)
+    assert sorted((r.doc_id, r.copies) for r in mixing.mix(df).collect()) == few
+
+
+def test_tilt_that_does_not_converge_is_an_error(spark):
+    strata = spark.createDataFrame([("a", 0.001, 1000), ("a", 1.9, 10)], "source string, prior double, words long")
+    targets = spark.createDataFrame([("a", 1010, 1900.0)], "source string, words long, target double")
+    assert mixing.tilted(strata, targets).count() == 1
+    with pytest.raises(RuntimeError, match="did not converge"):
+        mixing.tilted(strata, targets, most=2)
+
+
 def test_tilt_follows_the_prior(spark):
     """Newton on strata of unlike priors meets the target and keeps the odds ratio of any two priors."""
     strata = spark.createDataFrame([("a", 1.0, 1000), ("a", 0.5, 3000), ("b", 1.0, 10)], "source string, prior double, words long")
