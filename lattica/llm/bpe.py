@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
@@ -39,8 +40,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from lattica.llm.common import bounded_batches, read
 
-#: Most words whose encoding a worker keeps, in two halves of which the older goes first (some 40 MB).
-CACHE_WORDS = 120_000
+#: Most words whose encoding a worker keeps, in two halves of which the older goes first (some 60 MB).
+CACHE_WORDS = 400_000
 #: Most neighbour tests a worker remembers (some 20 MB).
 CACHE_TESTS = 200_000
 #: Texts are encoded together up to so many characters.
@@ -60,7 +61,8 @@ class Vocabulary:
     def __post_init__(self) -> None:
         self.ids = {t: i for i, t in enumerate(self.tokens) if t}
         self.merged = {pair: i for i, pair in self.halves.items()}
-        self.longest = max(map(len, self.tokens))
+        self.lengths = [len(t) for t in self.tokens]
+        self.longest = max(self.lengths)
         self.tests: dict[int, bool] = {}
         self.endings: list[dict[int, int]] = [{}]  # trie of the reversed tokens
         self.ending_id: list[int] = [-1]
@@ -147,19 +149,20 @@ class PrefixEncoder:
     def _fill(self, first: int, end: int) -> None:
         """Store the entries of the prefixes of ``first`` to ``end`` bytes."""
         v, data, last = self.vocabulary, self.data, self.last
-        endings, ending_id, tests, width = v.endings, v.ending_id, v.tests, len(v.tokens)
+        root, ending_id, tests, width = v.endings[0], v.ending_id, v.tests, len(v.tokens)
+        endings, get, put = v.endings, tests.get, last.append
         for stop in range(first - 1, end):
-            node = endings[0]
-            for begin in range(stop, -1, -1):
+            node, begin = root, stop
+            while True:
                 at = node.get(data[begin])
                 if at is None:
                     raise ValueError("the vocabulary lacks a single byte")
                 token = ending_id[at]
                 if token >= 0:
-                    if begin == 0:
+                    if not begin:
                         break
                     pair = last[begin - 1] * width + token
-                    fits = tests.get(pair)
+                    fits = get(pair)
                     if fits is None:
                         if len(tests) >= CACHE_TESTS:
                             tests.clear()
@@ -167,7 +170,8 @@ class PrefixEncoder:
                     if fits:
                         break
                 node = endings[at]
-            last.append(token)
+                begin -= 1
+            put(token)
 
     def append(self, data: bytes) -> None:
         begin = len(self.data)
@@ -176,11 +180,13 @@ class PrefixEncoder:
 
     def change_to(self, data: bytes) -> None:
         """Encode ``data`` instead, keeping the entries of the prefix that both share."""
-        shared, most = 0, min(len(data), len(self.data))
-        while shared < most and self.data[shared] == data[shared]:
+        before = self.data
+        shared, most = 0, min(len(data), len(before))
+        while shared < most and before[shared] == data[shared]:
             shared += 1
-        del self.data[shared:], self.last[shared:]
-        self.append(data[shared:])
+        del self.last[shared:]
+        self.data = bytearray(data)
+        self._fill(shared + 1, len(data))
 
     def replace(self, begin: int, end: int, data: bytes) -> int:
         """Put ``data`` in the place of bytes ``begin`` to ``end``; returns how many entries were computed.
@@ -203,11 +209,13 @@ class PrefixEncoder:
         return computed
 
     def ids(self) -> list[int]:
-        out, at, tokens = [], len(self.data), self.vocabulary.tokens
+        out, at, last, lengths = [], len(self.data), self.last, self.vocabulary.lengths
         while at:
-            out.append(self.last[at - 1])
-            at -= len(tokens[self.last[at - 1]])
-        return out[::-1]
+            token = last[at - 1]
+            out.append(token)
+            at -= lengths[token]
+        out.reverse()
+        return out
 
 
 #: The tokenizer's pattern never lets a piece run over the start of a space, but where white space comes before
@@ -237,16 +245,27 @@ class Codec:
 
     def learn(self, words: Iterable[str]) -> dict[str, bytes]:
         """The packed ids of words. Pieces are encoded in sorted order and keep the table of a shared prefix."""
-        cut = {w: self.cut.findall(w) for w in words}
+        findall = self.cut.findall
+        alone: dict[str, bytes] = {}  # words of one piece
+        others: list[tuple[str, list[bytes]]] = []
+        for word in words:
+            pieces = findall(word)
+            if len(pieces) == 1:
+                alone[word] = word.encode("utf-8", "replace")
+            else:
+                others.append((word, [p.encode("utf-8", "replace") for p in pieces]))
         packed: dict[bytes, bytes] = {}
         whole, encoder = self.vocabulary.ids, PrefixEncoder(self.vocabulary)
-        for piece in sorted({p.encode("utf-8", "replace") for pieces in cut.values() for p in pieces}):
-            if piece in whole:
-                packed[piece] = whole[piece].to_bytes(4, "little")
-                continue
-            encoder.change_to(piece)
-            packed[piece] = b"".join([i.to_bytes(4, "little") for i in encoder.ids()])
-        return {word: b"".join([packed[p.encode("utf-8", "replace")] for p in pieces]) for word, pieces in cut.items()}
+        for piece in sorted({*alone.values(), *(p for _, pieces in others for p in pieces)}):
+            token = whole.get(piece)
+            if token is None:
+                encoder.change_to(piece)
+                packed[piece] = array("I", encoder.ids()).tobytes()
+            else:
+                packed[piece] = token.to_bytes(4, "little")
+        out = {word: packed[piece] for word, piece in alone.items()}
+        out.update((word, b"".join([packed[p] for p in pieces])) for word, pieces in others)
+        return out
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""

@@ -32,8 +32,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from lattica.llm.bpe import _UNSAFE, chunks, load_ranks
 from lattica.llm.common import bounded_batches, read
 
-#: Most words whose count a worker keeps, in two halves of which the older goes first (some 25 MB).
-CACHE_WORDS = 200_000
+#: Most words whose count a worker keeps, in two halves of which the older goes first (some 40 MB).
+CACHE_WORDS = 400_000
 FIXED_POINT = 1 << 20
 
 
@@ -67,7 +67,7 @@ class TrieCounter:
 
     def terminal_counts(self, pieces: Iterable[bytes]) -> dict[bytes, tuple[int, int]]:
         """``(cost, tokens)`` of each distinct piece; forward scores once per node of their trie."""
-        edges, cost = self.edges, self.cost
+        edges, cost, root = self.edges, self.cost, self.edges[0]
         best, count, before, out = [0], [0], b"", {}
         for piece in sorted(set(pieces)):
             shared, most = 0, min(len(before), len(piece))
@@ -75,16 +75,18 @@ class TrieCounter:
                 shared += 1
             del best[shared + 1 :], count[shared + 1 :]
             for end in range(shared, len(piece)):
-                node, low, few = edges[0], -1, 0
-                for begin in range(end, -1, -1):
+                node, low, few, begin = root, -1, 0, end
+                while begin >= 0:
                     to = node.get(piece[begin])
                     if to is None:
                         break
-                    if cost[to] >= 0:
-                        total = best[begin] + cost[to]
-                        if low < 0 or total < low or (total == low and count[begin] + 1 < few):
-                            low, few = total, count[begin] + 1
+                    own = cost[to]
+                    if own >= 0:
+                        own += best[begin]
+                        if own < low or low < 0 or (own == low and count[begin] + 1 < few):
+                            low, few = own, count[begin] + 1
                     node = edges[to]
+                    begin -= 1
                 if low < 0:
                     raise ValueError("the vocabulary lacks a single byte")
                 best.append(low)
@@ -95,9 +97,19 @@ class TrieCounter:
 
     def learn(self, words: Iterable[str]) -> dict[str, int]:
         """The counts of words; a word is a stretch of text whose ends no piece crosses."""
-        cut = {w: self.cut.findall(w) for w in words}
-        counts = self.terminal_counts(p.encode("utf-8", "replace") for pieces in cut.values() for p in pieces)
-        return {word: sum([counts[p.encode("utf-8", "replace")][1] for p in pieces]) for word, pieces in cut.items()}
+        findall = self.cut.findall
+        alone: dict[str, bytes] = {}  # words of one piece
+        others: list[tuple[str, list[bytes]]] = []
+        for word in words:
+            pieces = findall(word)
+            if len(pieces) == 1:
+                alone[word] = word.encode("utf-8", "replace")
+            else:
+                others.append((word, [p.encode("utf-8", "replace") for p in pieces]))
+        counts = self.terminal_counts({*alone.values(), *(p for _, pieces in others for p in pieces)})
+        out = {word: counts[piece][1] for word, piece in alone.items()}
+        out.update((word, sum([counts[p][1] for p in pieces])) for word, pieces in others)
+        return out
 
     def split(self, text: str) -> list[str]:
         if not text:
