@@ -1,7 +1,7 @@
 """Command line: ingest a snapshot of pages, or follow a folder of snapshots.
 
-    python -m lattica.cli batch --pages IN --out OUT --space S [--start 2024-01-01 --end 2024-12-31 | --ids 1 2]
-    python -m lattica.cli incremental --pages IN --out OUT --checkpoint DIR [--every "24 hours"]
+    python -m lattica.cli batch --pages IN --out OUT --space S [--start 2024-01-01 --end 2024-12-31 | --ids 1 2] [--attachments DIR] [--known IDS]
+    python -m lattica.cli incremental --pages IN --out OUT --checkpoint DIR [--every "24 hours"] [--attachments DIR] [--known IDS]
 """
 
 from __future__ import annotations
@@ -14,27 +14,52 @@ from pyspark.sql import functions as F
 
 from lattica.plans.ingest import ingest
 from lattica.session import build_session
+from lattica.sources.files import read_files
 from lattica.sources.pages import pages_by_id, scan_space
 from lattica.streaming.watch import PageTables, watch
 
 PAGE_SCHEMA = "page_id string, title string, space_key string, html string, last_modified timestamp_ntz, page_date timestamp_ntz"
-RESULTS = ("chunks", "tables", "cells", "refs", "ids", "cancelled")
+RESULTS = ("chunks", "tables", "cells", "refs", "ids", "cancelled", "nodes", "edges")
+ATTACHMENT_RESULTS = ("attachments",)
+METADATA_SCHEMA = "page_id string, pos long, attachment_id string, filename string, url string, size long"
 
 
-def write_results(pages: DataFrame, out: str, mode: str = "overwrite") -> None:
-    """Parse once, then write every flat table of the ingest plan."""
-    results = ingest(pages)
-    for name in RESULTS:
-        results[name].write.mode(mode).parquet(f"{out}/{name}")
+def make_results(pages: DataFrame, attachments: str | None, known: str | None) -> dict[str, DataFrame]:
+    """The ingest plan. ``attachments``: a folder with ``metadata`` (Parquet) and ``files/{page_id}/{file name}``;
+    ``known``: a table ``(id_type, id)`` of the identifiers that are valid."""
+    spark = pages.sparkSession
+    known_ids = spark.read.parquet(known) if known else None
+    if attachments is None:
+        return ingest(pages, known_ids=known_ids)
+    files = read_files(spark, f"{attachments}/files").withColumn("page_id", F.element_at(F.split("path", "/"), -2))
+    return ingest(pages, known_ids=known_ids, metadata=spark.read.schema(METADATA_SCHEMA).parquet(f"{attachments}/metadata"), files=files)
 
 
-def run_batch(spark: SparkSession, pages: DataFrame, out: str, space: str | None, start: str | None, end: str | None, ids: list[str] | None) -> None:
+def write_results(pages: DataFrame, out: str, attachments: str | None = None, known: str | None = None) -> None:
+    """Write every flat table of the ingest plan."""
+    results = make_results(pages, attachments, known)
+    for name in (*RESULTS, *ATTACHMENT_RESULTS * (attachments is not None)):
+        results[name].write.mode("overwrite").parquet(f"{out}/{name}")
+
+
+def run_batch(spark: SparkSession, pages: DataFrame, out: str, space: str | None, start: str | None, end: str | None, ids: list[str] | None, attachments: str | None = None, known: str | None = None) -> None:
     day = lambda s: s and F.lit(datetime.strptime(s, "%Y-%m-%d")).cast("timestamp_ntz")
     if ids:
         pages = pages_by_id(pages, ids)
     elif space is not None:
         pages = scan_space(pages, space, day(start), day(end))
-    write_results(pages, out)
+    write_results(pages, out, attachments, known)
+
+
+def incremental_work(tables: PageTables, attachments: str | None = None, known: str | None = None):
+    """What an incremental run makes of a batch of pages: every flat table, under the batch's version."""
+
+    def work(pages: DataFrame, version: int) -> None:
+        results = make_results(pages, attachments, known)
+        for name in (*RESULTS, *ATTACHMENT_RESULTS * (attachments is not None)):
+            tables.write(name, results[name], version)
+
+    return work
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -48,6 +73,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--ids", nargs="+")
     parser.add_argument("--checkpoint")
     parser.add_argument("--every")
+    parser.add_argument("--attachments", help="folder of attachment metadata and files")
+    parser.add_argument("--known", help="Parquet table of valid identifiers")
     args = parser.parse_args(argv)
     if args.ids and args.mode != "batch":
         parser.error("--ids goes with batch only")
@@ -55,10 +82,10 @@ def main(argv: list[str] | None = None) -> None:
         parser.error("incremental needs --checkpoint")
     spark = build_session()
     if args.mode == "batch":
-        run_batch(spark, spark.read.schema(PAGE_SCHEMA).parquet(args.pages), args.out, args.space, args.start, args.end, args.ids)
+        run_batch(spark, spark.read.schema(PAGE_SCHEMA).parquet(args.pages), args.out, args.space, args.start, args.end, args.ids, args.attachments, args.known)
     else:
         tables = PageTables(spark, args.out)
-        work = lambda df: write_results(df, args.out, "append")
+        work = incremental_work(tables, args.attachments, args.known)
         watch(spark, args.pages, PAGE_SCHEMA, tables, args.checkpoint, args.every, work).awaitTermination()
 
 

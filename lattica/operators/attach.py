@@ -51,30 +51,69 @@ Extractor = Callable[[bytes, str], tuple[str, list]]
 
 
 def extract_text(files: DataFrame, extractors: dict[str, Extractor]) -> DataFrame:
-    """``files(page_id, attachment_id, filename, kind, content)`` to ``(…, text, error)``; a failure is a row with an error."""
+    """``files(page_id, attachment_id, filename, kind, content)`` to ``(…, text, tables, error)``; ``tables`` are lists
+    of rows of cells; a failure is a row with an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, errors = [], []
+            texts, found, errors = [], [], []
             for kind, name, content in zip(batch["kind"], batch["filename"], batch["content"]):
-                text, error = None, None
+                text, tables, error = None, [], None
                 if content is None:
                     error = "download_failed: no content"
                 elif kind not in extractors:
                     error = f"extraction_failed: no extractor for {kind}"
                 else:
                     try:
-                        text = extractors[kind](bytes(content), name)[0]
+                        text, tables = extractors[kind](bytes(content), name)
                     except Exception as e:  # noqa: BLE001  a bad file is data, not a failure of the job
                         error = f"extraction_failed: {e}"
                 texts.append(text)
+                found.append(tables)
                 errors.append(error)
-            yield batch[["page_id", "attachment_id", "filename", "kind"]].assign(text=texts, error=errors)
+            yield batch[["page_id", "attachment_id", "filename", "kind"]].assign(text=texts, tables=found, error=errors)
 
-    schema = "page_id string, attachment_id string, filename string, kind string, text string, error string"
+    schema = "page_id string, attachment_id string, filename string, kind string, text string, tables array<array<array<string>>>, error string"
     return files.mapInPandas(run, schema)
 
 
+def attachment_tables(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables and cells of ``extracted(page_id, attachment_id, tables, prov_path)``, in the form of those of a page: the
+    first row of a table is its header; each cell is one chunk of normal style. Numbered by attachment (``table_index``)."""
+    each = extracted.where("error IS NULL").select("page_id", "attachment_id", "prov_path", F.posexplode("tables").alias("table_index", "rows"))
+    none = F.lit(None).cast("int")
+    first = F.coalesce(F.try_element_at("rows", F.lit(1)), F.array().cast("array<string>"))
+    tables = each.select(
+        "page_id", "attachment_id", "table_index", none.alias("parent_table"), none.alias("parent_row"), none.alias("parent_col"), F.lit("").alias("chain"),
+        F.transform(first, lambda h: F.trim(h)).alias("headers"), F.size("rows").alias("n_rows"), F.size(first).alias("n_cols"),
+    )
+    rows = each.select("page_id", "attachment_id", "prov_path", "table_index", F.posexplode("rows").alias("row", "x"))
+    cells = rows.select("page_id", "attachment_id", "prov_path", "table_index", "row", F.posexplode("x").alias("col", "text"))
+    chunk = F.when(F.trim("text") != "", F.array(F.struct(F.trim("text").alias("content"), F.lit("normal").alias("style")))).otherwise(F.array().cast("array<struct<content:string,style:string>>"))
+    cells = cells.select("page_id", "attachment_id", "table_index", "row", "col", (F.col("row") == 0).alias("is_header"), F.lit(False).alias("is_propagated"), chunk.alias("chunks"), "prov_path")
+    return tables, cells
+
+
+def renumbered(page_tables: DataFrame, tables: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Attachment ``tables`` and ``cells`` with the numbers that follow those of their page's own tables."""
+    numbers = renumbered_tables(page_tables, tables).where("attachment_id IS NOT NULL").withColumnRenamed("table_index", "_new")
+    numbers = numbers.withColumnRenamed("old_index", "table_index")
+
+    def moved(df: DataFrame) -> DataFrame:
+        return df.join(numbers, ["page_id", "attachment_id", "table_index"]).drop("table_index", "attachment_id").withColumnRenamed("_new", "table_index")
+
+    return moved(tables), moved(cells)
+
+
+def placed(refs: DataFrame) -> DataFrame:
+    """References ``(prov_path, …)`` with where they stand: ``origin`` table or page, and the innermost table, row and col."""
+
+    def at(step: str) -> Column:
+        return F.try_element_at(F.regexp_extract_all("prov_path", F.lit(rf"{step}:(\d+)"), 1), F.lit(-1)).cast("int")
+
+    return refs.withColumns({"table_index": at("table"), "row": at("row"), "col": at("col")}).withColumn("origin", F.when(F.col("table_index").isNotNull(), "table").otherwise("page"))
+
+
 def extraction_input(attachments: DataFrame) -> DataFrame:
     return attachments.where("error IS NULL AND text IS NOT NULL AND text <> ''").select("page_id", "text", "prov_path")
 

@@ -13,14 +13,16 @@ from lattica.functions.text import iso, strip
 NODE_COLUMNS = {
     "title": "string", "event_type": "string", "description": "string", "is_cancelled": "boolean", "has_cancelled": "boolean",
     "app_ids": "array<string>", "project_ids": "array<string>", "app_id": "string", "project_id": "string",
-    "first_seen": "string", "last_seen": "string", "table_index": "int", "filename": "string",
+    "first_seen": "string", "last_seen": "string", "table_index": "int", "headers": "array<string>", "row_count": "int", "col_count": "int",
+    "attachment_id": "string", "filename": "string", "attachment_type": "string", "source": "string", "chunk_count": "int", "prov_path": "string", "origin": "string",
+    "row": "int", "col": "int",
 }
 
 
-def _nodes(df: DataFrame, kind: str, node_id: Column, page_id: Column | None, **props: Column) -> DataFrame:
+def _nodes(df: DataFrame, kind: str | Column, node_id: Column, page_id: Column | None, **props: Column) -> DataFrame:
     extra = [props.get(name, F.lit(None)).cast(type_).alias(name) for name, type_ in NODE_COLUMNS.items()]
     page = (page_id if page_id is not None else F.lit(None)).cast("string").alias("page_id")
-    return df.select(node_id.alias("_id"), F.lit(kind).alias("type"), F.col("timestamp"), page, F.lit(False).alias("is_deleted"), *extra)
+    return df.select(node_id.alias("_id"), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"), F.col("timestamp"), page, F.lit(False).alias("is_deleted"), *extra)
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
@@ -37,34 +39,86 @@ def seen_range(events: DataFrame, key: Column) -> DataFrame:
     return events.select(key.alias("id"), "timestamp").groupBy("id").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("timestamp"))
 
 
+def mentions(events: DataFrame) -> DataFrame:
+    """``(id_type, id, page_id, timestamp)`` of the applications and projects that events name."""
+    kind = lambda name, ids: F.transform(ids, lambda x: F.struct(F.lit(name).alias("id_type"), x.alias("id")))
+    both = F.explode(F.concat(kind("app_id", "app_ids"), kind("project_id", "project_ids")))
+    return events.select("page_id", "timestamp", both.alias("x")).select("x.*", "page_id", "timestamp")
+
+
+def id_nodes(named: DataFrame) -> DataFrame:
+    """Application and Project nodes of ``named(id_type, id, page_id, timestamp)``; shared by pages, owned by none."""
+    seen = named.groupBy("id_type", "id").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("timestamp"))
+    app = F.col("id_type") == "app_id"
+    return _nodes(
+        seen, F.when(app, "Application").otherwise("Project"), F.concat(F.when(app, "app_").otherwise("proj_"), "id"), None,
+        app_id=F.when(app, F.col("id")), project_id=F.when(~app, F.col("id")), first_seen=iso(F.col("first")), last_seen=iso(F.col("timestamp")),
+    )
+
+
 def application_nodes(events: DataFrame) -> DataFrame:
-    seen = seen_range(events, F.explode("app_ids"))
-    return _nodes(seen, "Application", F.concat(F.lit("app_"), "id"), None, app_id=F.col("id"), first_seen=iso(F.col("first")), last_seen=iso(F.col("timestamp")))
+    return id_nodes(mentions(events).where("id_type = 'app_id'"))
 
 
 def project_nodes(events: DataFrame) -> DataFrame:
-    seen = seen_range(events, F.explode("project_ids"))
-    return _nodes(seen, "Project", F.concat(F.lit("proj_"), "id"), None, project_id=F.col("id"), first_seen=iso(F.col("first")), last_seen=iso(F.col("timestamp")))
+    return id_nodes(mentions(events).where("id_type = 'project_id'"))
 
 
-def build_nodes(pages: DataFrame, events: DataFrame) -> DataFrame:
-    parts = [page_nodes(pages), event_nodes(events), application_nodes(events), project_nodes(events)]
-    return reduce(DataFrame.unionByName, parts)
+def table_nodes(tables: DataFrame) -> DataFrame:
+    """Nodes of top-level ``tables(page_id, table_index, headers, n_rows, n_cols, timestamp)``, those of attachments included."""
+    return _nodes(
+        tables, "Table", table_id(), F.col("page_id"), table_index=F.col("table_index"), headers=F.col("headers"),
+        row_count=F.col("n_rows"), col_count=F.col("n_cols"),
+    )
 
 
-def build_edges(events: DataFrame) -> DataFrame:
-    """HAS_EVENT from page, application and project; REFERENCES_APP and _PROJ from the page, once each."""
-    page = F.concat(F.lit("page_"), "page_id")
-    app = F.explode(F.transform("app_ids", lambda x: F.concat(F.lit("app_"), x)))
-    project = F.explode(F.transform("project_ids", lambda x: F.concat(F.lit("proj_"), x)))
+def table_id() -> Column:
+    return F.concat("page_id", F.lit("_table_"), F.col("table_index"))
+
+
+def row_id() -> Column:
+    return F.concat(table_id(), F.lit("_row_"), F.col("row"))
+
 
-    def edge(source: Column, relation: str, target: Column) -> DataFrame:
-        both = events.select("page_id", source.alias("source_id"), target.alias("target_id"))
-        return both.select("source_id", F.lit(relation).alias("relation"), "target_id", "page_id")
+def attachment_node_id() -> Column:
+    return F.concat("page_id", F.lit("_att_"), "attachment_id")
 
-    event = F.col("_id")
-    parts = [edge(page, "HAS_EVENT", event), edge(app, "HAS_EVENT", event), edge(project, "HAS_EVENT", event)]
-    parts += [edge(page, "REFERENCES_APP", app).distinct(), edge(page, "REFERENCES_PROJ", project).distinct()]
+
+def attachment_nodes(attachments: DataFrame) -> DataFrame:
+    """Nodes of ``attachments(page_id, attachment_id, filename, kind, source, chunk_count, prov_path, origin,
+    table_index, row, col, error, timestamp)``; one that could not be read has no node."""
+    names = {"attachment_type": "kind"} | {n: n for n in ("attachment_id", "filename", "source", "chunk_count", "prov_path", "origin", "table_index", "row", "col")}
+    return _nodes(attachments.where("error IS NULL"), "Attachment", attachment_node_id(), F.col("page_id"), **{n: F.col(c) for n, c in names.items()})
+
+
+def build_nodes(pages: DataFrame, events: DataFrame, tables: DataFrame | None = None, attachments: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
+    """All nodes; applications and projects are those that events name, and those of ``named`` (see ``id_nodes``)."""
+    both = mentions(events) if named is None else mentions(events).unionByName(named)
+    parts = [page_nodes(pages), event_nodes(events), id_nodes(both)]
+    parts += [table_nodes(tables)] * (tables is not None)
+    parts += [attachment_nodes(attachments)] * (attachments is not None)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def build_edges(events: DataFrame, tables: DataFrame | None = None, attachments: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
+    """HAS_EVENT from page, application and project; REFERENCES_APP and _PROJ from the page, once each; CONTAINS from
+    the page to its tables, HAS_ATTACHMENT to its attachments. Each input is read once for each relation."""
+    page = F.concat(F.lit("page_"), "page_id")
+    apps = F.transform("app_ids", lambda x: F.concat(F.lit("app_"), x))
+    projects = F.transform("project_ids", lambda x: F.concat(F.lit("proj_"), x))
+    has_event = events.select(F.explode(F.concat(F.array(page), apps, projects)).alias("source_id"), F.lit("HAS_EVENT").alias("relation"), F.col("_id").alias("target_id"), "page_id")
+    both = mentions(events) if named is None else mentions(events).unionByName(named)
+    app = F.col("id_type") == "app_id"
+    once = both.select("page_id", "id_type", "id").distinct()
+    references = once.select(
+        page.alias("source_id"), F.when(app, "REFERENCES_APP").otherwise("REFERENCES_PROJ").alias("relation"), F.concat(F.when(app, "app_").otherwise("proj_"), "id").alias("target_id"), "page_id"
+    )
+    parts = [has_event, references]
+    if tables is not None:
+        parts.append(tables.select(page.alias("source_id"), F.lit("CONTAINS").alias("relation"), table_id().alias("target_id"), "page_id"))
+    if attachments is not None:
+        read = attachments.where("error IS NULL")
+        parts.append(read.select(page.alias("source_id"), F.lit("HAS_ATTACHMENT").alias("relation"), attachment_node_id().alias("target_id"), "page_id"))
     return reduce(DataFrame.unionByName, parts)
 
 

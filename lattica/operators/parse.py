@@ -22,6 +22,8 @@ STYLES = {
     "s": "cancelled", "strike": "cancelled", "del": "cancelled", "strong": "bold", "b": "bold", "u": "underline", "em": "italic", "i": "italic",
 }
 SKIPPED = frozenset(("script", "style", "head"))
+#: The greatest spans that HTML allows (fixed values).
+SPAN_LIMITS = {"colspan": 1000, "rowspan": 65534}
 ATTACHMENT_PATH = "/download/attachments/"
 
 _CHUNK = "struct<content: string, style: string>"
@@ -51,31 +53,40 @@ class PageWalk:
     def __init__(self, page_id: str, html: str, keep_comments: bool = True) -> None:
         self.page_id, self.dom, self.keep_comments = page_id, parse_dom(html), keep_comments
         self.kids = self.dom.children()
+        #: The style of the texts in each node: that of the nearest styled element, up to the root.
+        self.style: list[str] = []
+        for tag, up in zip(self.dom.tag, self.dom.parent):
+            self.style.append(STYLES.get(tag, self.style[up] if up >= 0 else "normal"))
         self.tables: list[dict] = []
         self.cells: list[dict] = []
         self.refs: list[dict] = []
         self.chunks = merge_chunks(self.texts(0))
         for table in self.direct_tables(0):
-            self.table(table, "", None)
+            walks = [self.table(table, "", None)]
+            while walks:  # tables within tables, however deep, without recursion
+                inner = next(walks[-1], None)
+                if inner is None:
+                    walks.pop()
+                else:
+                    walks.append(self.table(*inner))
         self.attachments(0, f"page:{page_id}")
 
-    def texts(self, top: int, style: str = "normal") -> list[tuple[str, str]]:
+    def texts(self, top: int) -> list[tuple[str, str]]:
         """Stripped texts below a node, outside of any table, with their styles."""
         dom: Dom = self.dom
         out: list[tuple[str, str]] = []
-        todo = [(k, style) for k in reversed(self.kids[top])]
+        todo = list(reversed(self.kids[top]))
         while todo:
-            node, style = todo.pop()
+            node = todo.pop()
             tag = dom.tag[node]
             if tag == TEXT or (self.keep_comments and tag in (COMMENT, DECLARATION)):
                 text = dom.data[node]
                 if tag == DECLARATION:
                     text = re.sub(r"(?i)^doctype\s+", "", text)
                 if text.strip():
-                    out.append((text.strip(), style))
+                    out.append((text.strip(), self.style[node]))
             elif tag[0] != "#" and tag != "table" and tag not in SKIPPED:
-                inner = STYLES.get(tag, style)
-                todo += [(k, inner) for k in reversed(self.kids[node])]
+                todo += reversed(self.kids[node])
         return out
 
     def direct_tables(self, top: int) -> list[int]:
@@ -95,10 +106,14 @@ class PageWalk:
         return found or [r for r in kids[table] if tag[r] == "tr"]
 
     def span(self, cell: int, name: str) -> int:
+        """A span as HTML reads it: 1 where it is no number or 0, and never above the format's limit."""
         value = self.dom.attributes(cell).get(name, "1").strip()
-        return max(1, int(value)) if value.isdecimal() else 1
+        if not (value.isascii() and value.isdecimal()):
+            return 1
+        return min(max(1, int(value[:10])), SPAN_LIMITS[name])
 
-    def table(self, node: int, chain: str, place: tuple[int, int, int] | None) -> None:
+    def table(self, node: int, chain: str, place: tuple[int, int, int] | None) -> Iterator[tuple]:
+        """Record a table; yields what the tables in its cells are to be recorded with, each before the next cell."""
         index = len(self.tables)
         chain += f"/table:{index}" + (f"/row:{place[1]}/col:{place[2]}" if place else "")
         record = {"table_index": index, "parent_table": place and place[0], "parent_row": place and place[1], "parent_col": place and place[2]}
@@ -134,7 +149,7 @@ class PageWalk:
                 fresh += [(col + k, down - 1, parts) for k in range(across) if down > 1]
                 self.attachments(cell, f"page:{self.page_id}{chain}/row:{r}/col:{col}")
                 for inner in self.direct_tables(cell):
-                    self.table(inner, chain, (index, r, col))
+                    yield inner, chain, (index, r, col)
                 col += across
             fill(col, upto_end=True)
             for at, left, parts in fresh:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.vectors import cosine_to, temporal_decay
+from lattica.session import checkpointed
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -56,30 +57,52 @@ def project_snapshot(events: DataFrame, pages: DataFrame, project_id: str) -> Da
 
 
 def project_info(projects: DataFrame, project_id: str) -> DataFrame:
-    return live(projects).where(F.col("project_id") == project_id)
+    """The live project of an id, or else one that has it among its ``raw_ids``, where the table has them."""
+    found = live(projects)
+    own = found.where(F.col("project_id") == project_id)
+    if "raw_ids" not in projects.columns or not own.isEmpty():
+        return own
+    return found.where(F.array_contains("raw_ids", project_id)).orderBy("_id").limit(1)
+
+
+def counted(found: DataFrame) -> DataFrame:
+    """A timeline with ``count``, how many events it shows."""
+    from pyspark.sql import Window
+
+    return found.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy()))
+
+
+#: Most ids of a frontier that are held as a literal table and sent to the edges.
+SMALL_FRONTIER = 100_000
 
 
 def traverse(nodes: DataFrame, edges: DataFrame, start: str, relations: Sequence[str], depth: int = 3, directed: bool = True) -> DataFrame:
     """Live nodes within ``depth`` steps of ``start`` with their least ``level``; the start is left out.
 
-    Deleted and missing nodes are not returned but walked through. Each level is one join of a frontier with the
-    edges of these relations and one anti-join with what was reached before; the frontier's end stops the walk.
+    Deleted and missing nodes are not returned but walked through. Each level joins the frontier with the edges of
+    these relations and keeps what was not reached before; only what was found is made distinct. A frontier of up to
+    ``SMALL_FRONTIER`` ids is broadcast, a larger one is written to the checkpoint folder; nothing stays cached.
     """
     spark = nodes.sparkSession
     steps = edges.where(F.col("relation").isin(*relations)).select("source_id", "target_id")
     if not directed:
-        steps = steps.union(steps.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
-    steps = steps.distinct()
-    reached = frontier = spark.createDataFrame([(start, 0)], "id string, level int")
+        ways = F.array(F.struct("source_id", "target_id"), F.struct(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
+        steps = steps.select(F.explode(ways).alias("x")).select("x.*")
+    frontier, small = spark.createDataFrame([(start,)], "id string"), True
+    reached, hit = [frontier], spark.createDataFrame([], "id string, level int")
+    all_small = True
     for level in range(1, depth + 1):
-        found = frontier.join(steps, frontier["id"] == steps["source_id"]).select(F.col("target_id").alias("id")).distinct()
-        # kept, or each level would compute all levels before it anew
-        frontier = found.join(reached, "id", "left_anti").withColumn("level", F.lit(level)).persist()
-        if frontier.isEmpty():
+        found = steps.join(F.broadcast(frontier) if small else frontier, F.col("source_id") == F.col("id")).select(F.col("target_id").alias("id")).distinct()
+        for before in reached:
+            found = found.join(before, "id", "left_anti")
+        first = found.limit(SMALL_FRONTIER + 1).collect()
+        small = len(first) <= SMALL_FRONTIER
+        frontier = spark.createDataFrame(first, "id string") if small else checkpointed(found)
+        if not first:
             break
-        reached = reached.union(frontier)
-    hit = reached.where("level > 0").select(F.col("id").alias("_id"), "level")
-    return live(nodes).join(hit, "_id")
+        reached.append(frontier)
+        hit, all_small = hit.union(frontier.withColumn("level", F.lit(level))), all_small and small
+    return live(nodes).join(F.broadcast(hit) if all_small else hit, F.col("_id") == F.col("id")).drop("id")
 
 
 def induced_edges(edges: DataFrame, visible: DataFrame) -> DataFrame:
@@ -88,8 +111,12 @@ def induced_edges(edges: DataFrame, visible: DataFrame) -> DataFrame:
     return first.join(ids, first["target_id"] == ids["_id"], "left_semi")
 
 
-def counts_by_type(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+def counts_by_type(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """How many nodes of each type are shown, and of edges where these are given."""
+    counts = nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    if edges is None:
+        return counts
+    return counts.union(edges.agg(F.count(F.lit(1)).alias("n")).select(F.lit("Edges"), "n"))
 
 
 def load_nodes(nodes: DataFrame, kinds: Sequence[str], include_deleted: bool = False, limit: int = 150) -> DataFrame:
@@ -111,6 +138,57 @@ def label() -> Column:
     )
 
 
+def display_name() -> Column:
+    """One line for a list: the type in brackets, then what a reader knows the node by."""
+    kind = F.col("type")
+    shown = (
+        F.when(kind == "ConfPage", F.substring(F.coalesce("title", "_id"), 1, 50))
+        .when(kind == "Application", F.coalesce("app_id", "_id"))
+        .when(kind == "Project", F.coalesce("project_id", "_id"))
+        .when(kind == "Event", F.concat(F.coalesce("event_type", F.lit("")), F.lit(" — "), F.substring(F.coalesce("description", F.lit("")), 1, 40)))
+        .when(kind == "Table", F.concat(F.lit("index="), F.coalesce(F.col("table_index").cast("string"), F.lit("")), F.lit(" page="), F.substring(F.coalesce("page_id", F.lit("")), 1, 10)))
+        .when(kind == "Attachment", F.coalesce("filename", "_id"))
+        .otherwise(F.substring("_id", 1, 50))
+    )
+    return F.concat(F.lit("["), kind, F.lit("] "), shown)
+
+
+#: What a tooltip names of each type: its label and the column (fixed labels).
+TOOLTIP_FIELDS = {
+    "ConfPage": (("Title", "title"),),
+    "Application": (("app_id", "app_id"), ("first_seen", "first_seen"), ("last_seen", "last_seen")),
+    "Project": (("project_id", "project_id"), ("first_seen", "first_seen")),
+    "Event": (("type", "event_type"), ("cancelled", "is_cancelled"), ("description", "description"), ("apps", "app_ids")),
+    "Table": (("headers", "headers"), ("rows", "row_count")),
+    "Attachment": (("file", "filename"), ("origin", "origin")),
+}
+
+
+def tooltip() -> Column:
+    """Lines of HTML: id, type, day, a mark where deleted, then the fields of the type; an empty list has no line."""
+
+    def line(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f"<b>{name}:</b> "), value)
+
+    def shown(column: str) -> Column:
+        if column == "app_ids":
+            return F.when(F.size("app_ids") > 0, line("apps", F.array_join("app_ids", ", ")))
+        text = F.array_join(F.slice("headers", 1, 6), ", ") if column == "headers" else F.substring("description", 1, 120) if column == "description" else F.col(column).cast("string")
+        return line(next(n for f in TOOLTIP_FIELDS.values() for n, c in f if c == column), F.coalesce(text, F.lit("")))
+
+    lines = [
+        line("ID", F.col("_id")),
+        line("Type", F.col("type")),
+        line("Date", F.date_format("timestamp", "yyyy-MM-dd")),
+        F.when(F.col("is_deleted"), "<b style='color:red'>DELETED</b>"),
+    ]
+    for kind, fields in TOOLTIP_FIELDS.items():
+        lines += [F.when(F.col("type") == kind, shown(column)) for _, column in fields]
+    place = F.concat(F.lit("table "), "table_index", F.lit(" row "), "row", F.lit(" col "), "col")
+    lines.append(F.when((F.col("type") == "Attachment") & (F.col("origin") == "table"), line("location", place)))
+    return F.concat_ws("<br>", *lines)
+
+
 # --- vectors -----------------------------------------------------------------------------------------------
 
 

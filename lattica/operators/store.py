@@ -50,6 +50,24 @@ def set_embeddings(nodes: DataFrame, embeddings: DataFrame) -> DataFrame:
     return nodes.join(new, "_id", "left").withColumn("embedding", F.coalesce("_new", "embedding")).drop("_new")
 
 
+def upsert_rows(stored: DataFrame, rows: DataFrame, refreshed: DataFrame) -> DataFrame:
+    """Normalized rows after an ingest of the ``refreshed(page_id)`` pages: their stored rows are flagged deleted, then
+    each new row replaces that of its ``_id`` (``{page}_table_{t}_row_{r}``) or is added."""
+    kept = soft_delete_rows(stored, refreshed).join(rows.select("_id"), "_id", "left_anti")
+    return kept.unionByName(rows, allowMissingColumns=True)
+
+
+def refresh_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, refreshed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after these pages were ingested again: what they owned is flagged, their edges go, then the new
+    ones replace those of their id. Shared nodes keep their first date (they are never deleted)."""
+    stale = soft_delete_nodes(nodes, refreshed)
+    kept = stale.join(new_nodes.select("_id"), "_id", "left_anti")
+    first = stale.where("first_seen IS NOT NULL").select("_id", F.col("first_seen").alias("_first"))
+    fresh = new_nodes.join(first, "_id", "left").withColumn("first_seen", F.coalesce("_first", "first_seen")).drop("_first")
+    left = purge_edges(edges, refreshed).withColumn("_new", F.lit(0)).unionByName(new_edges.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    return kept.unionByName(fresh, allowMissingColumns=True), upsert_edges(left, "_new").drop("_id", "_new")
+
+
 # --- ingestion control -------------------------------------------------------------------------------------
 
 
@@ -79,6 +97,28 @@ def outcome_counts(pages: DataFrame, log: DataFrame) -> DataFrame:
     return outcomes(pages, log).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def mark_log(log: DataFrame, pages: DataFrame, status: str, reason: Column | None = None, at: Column | None = None) -> DataFrame:
+    """The log with these ``pages(page_id)`` marked ``processing``, ``done``, ``error`` or ``needs_review``.
+
+    ``error`` counts a retry and keeps its reason, ``needs_review`` keeps its reason, ``done`` clears it; ``at`` is the
+    time of processing, for ``processing`` and ``done``. Pages that are not in the log have no effect.
+    """
+    if status not in ("processing", "done", "error", "needs_review"):
+        raise ValueError(f"no such status: {status}")
+    hit = pages.select("page_id").distinct().withColumn("_hit", F.lit(True))
+    out = log.join(hit, "page_id", "left")
+    marked = F.col("_hit").isNotNull()
+    new = {"status": F.when(marked, status).otherwise(F.col("status"))}
+    if status == "error":
+        new["retry_count"] = F.when(marked, F.col("retry_count") + 1).otherwise(F.col("retry_count"))
+    if status != "processing":
+        text = F.lit(None).cast("string") if status == "done" or reason is None else reason
+        new["error_message"] = F.when(marked, text).otherwise(F.col("error_message"))
+    if at is not None and status in ("processing", "done"):
+        new["processed_at"] = F.when(marked, at).otherwise(F.col("processed_at"))
+    return out.withColumns(new).drop("_hit")
+
+
 def log_transitions(log: DataFrame, results: DataFrame) -> DataFrame:
     """The log after ``results(page_id, new_status, error)``: rows that are not in the log have no effect."""
     joined = log.join(results, "page_id", "left")

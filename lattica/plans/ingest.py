@@ -1,30 +1,120 @@
-"""From pages to tables of the graph: parse, normalize, extract, build."""
+"""From pages to tables of the graph: parse, read attachments, normalize, extract, build, embed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators import extract, normalize
+from lattica.functions.text import chunk_udf
+from lattica.operators import attach, extract, graph, normalize
 from lattica.operators.parse import flat, parse_pages
+from lattica.sources.files import EXTRACTORS
+from lattica.sources.providers import Embedder, Extractor, embed, model_events, model_ids
 
+EVENT_SCHEMA = "page_id string, idx int, event_type string, description string, is_cancelled boolean, app_ids array<string>, project_ids array<string>"
+_ATTACHMENT = "page_id string, attachment_id string, filename string, kind string, source string, text string, tables array<array<array<string>>>, error string, prov_path string"
 
-def ingest(pages: DataFrame, schemas: DataFrame | None = None, known_ids: DataFrame | None = None) -> dict[str, DataFrame]:
+
+def read_attachments(refs: DataFrame, metadata: DataFrame, files: DataFrame, extractors: dict[str, attach.Extractor], vision: bool = False) -> DataFrame:
+    """Texts and tables of what pages refer to, and of what the source lists and no page refers to.
+
+    ``metadata(page_id, pos, attachment_id, filename, url, size)``, ``files(page_id, filename, content)``.
+    """
+    named = attach.reconcile(refs.withColumnRenamed("seq", "ord"), metadata).withColumn("source", F.lit("page"))
+    free = attach.orphans(refs, metadata).select(
+        "page_id", "filename", "attachment_id", "url", F.concat(F.lit("page:"), "page_id").alias("prov_path"), F.lit(None).cast("int").alias("ord"),
+        F.col("attachment_id").alias("meta_id"), F.col("url").alias("meta_url"), "size", F.lit("api").alias("source"),
+    )
+    wanted = attach.guarded(named.unionByName(free), vision)
+    sources = wanted.select("page_id", "attachment_id", "source", "prov_path")
+    content = wanted.join(files.select("page_id", "filename", "content"), ["page_id", "filename"], "left")
+    found = attach.extract_text(content.select("page_id", "attachment_id", "filename", "kind", "content"), extractors)
+    return found.join(sources, ["page_id", "attachment_id"])
+
+
+def ingest(
+    pages: DataFrame,
+    schemas: DataFrame | None = None,
+    known_ids: DataFrame | None = None,
+    metadata: DataFrame | None = None,
+    files: DataFrame | None = None,
+    model: Extractor | None = None,
+    embedder: Embedder | None = None,
+    extractors: dict[str, attach.Extractor] = EXTRACTORS,
+) -> dict[str, DataFrame]:
     """One plan for all pages ``(page_id, title, page_date, html)``; every result is a lazy DataFrame.
 
-    ``parsed`` is read by several results: persist or write it where more than one is used.
+    ``metadata`` and ``files`` are what the source has of attachments, ``model`` names further ids and the events of a
+    page, ``embedder`` makes vectors; what is not given is left out. ``parsed`` and ``attachments`` are read by several
+    results: persist or write them where more than one is used.
     """
+    spark = pages.sparkSession
     parsed = parse_pages(pages)
     chunks, tables, cells, refs = (flat(parsed, w) for w in ("chunks", "tables", "cells", "refs"))
-    none = chunks.select("page_id", "seq", F.col("content").alias("text"), F.lit("").alias("prov_path")).limit(0)
-    texts = extract.collected_texts(chunks, cells, none)
+    dated = pages.select(F.col("page_id").cast("string"), *(F.col(c) if c in pages.columns else F.lit(None).cast(t).alias(c) for c, t in (("title", "string"), ("page_date", "timestamp_ntz"))))
+    dated = dated.withColumnRenamed("page_date", "timestamp")
+
+    attachments = spark.createDataFrame([], _ATTACHMENT)
+    if metadata is not None and files is not None:
+        attachments = read_attachments(refs, metadata, files, extractors).select(*(c.split()[0] for c in _ATTACHMENT.split(", ")))
+        more_tables, more_cells = attach.renumbered(tables, *attach.attachment_tables(attachments))
+        seq = F.lit(1 << 30) + F.col("table_index") * 1000 + F.col("row")  # behind the page's own, in order
+        tables = tables.unionByName(more_tables.withColumn("seq", F.lit(1 << 30) + F.col("table_index")))
+        cells = cells.unionByName(more_cells.withColumn("seq", seq.cast("int")))
+
+    extra = attach.extraction_input(attachments).withColumn("seq", F.lit(0))
+    texts = extract.collected_texts(chunks, cells.where(F.col("seq") < 1 << 30), extra)
     candidates = extract.first_mentions(extract.scan_ids(texts))
+    events = spark.createDataFrame([], EVENT_SCHEMA)
+    if model is not None:
+        inputs = extract.model_input(texts)
+        named = extract.merge_named(candidates, model_ids(inputs, model))
+        candidates = candidates.select("page_id", "ord", "id_type", "pos", "raw_value", "path").unionByName(
+            named.select("page_id", F.lit(1 << 30).alias("ord"), "id_type", F.lit(0).alias("pos"), "raw_value", "path")
+        )
+        events = model_events(inputs, model)
     validated = extract.validate_ids(candidates, known_ids)
-    out = {"parsed": parsed, "chunks": chunks, "tables": tables, "cells": cells, "refs": refs, "texts": texts, "ids": validated}
+    out = {"parsed": parsed, "chunks": chunks, "tables": tables, "cells": cells, "refs": refs, "attachments": attachments, "texts": texts, "ids": validated}
     out["cancelled"] = extract.has_cancelled(chunks, cells, tables)
+
+    top = tables.where("parent_table IS NULL")
+    rows = None
     if schemas is not None:
-        prints = normalize.fingerprints(tables.where("parent_table IS NULL"), cells).withColumn("ord", F.concat_ws(":", "page_id", "table_index"))
+        prints = normalize.fingerprints(top, cells).withColumn("ord", F.concat_ws(":", "page_id", "table_index"))
         own = cells.withColumn("ord", F.concat_ws(":", "page_id", "table_index"))
         out["routes"] = normalize.route(prints, schemas)
-        out["rows"] = normalize.prepare_and_consolidate(prints, own, schemas)
+        rows = normalize.prepare_and_consolidate(prints, own, schemas).join(prints.select("ord", "page_id", "table_index"), "ord")
+        out["rows"] = rows.select(graph.row_id().alias("_id"), "*", F.lit(False).alias("is_deleted"))
+
+    # --- graph
+    dated_pages = dated.join(out["cancelled"], "page_id", "left").withColumn("has_cancelled", F.coalesce("has_cancelled", F.lit(False)))
+    when = dated.select("page_id", "timestamp")
+    dated_events = events.join(when, "page_id").withColumn("_id", F.concat(F.lit("event_"), "page_id", F.lit("_"), "idx"))
+    size = F.coalesce(F.size(chunk_udf()(F.coalesce("text", F.lit("")))), F.lit(0))
+    known = attach.placed(attachments).withColumn("chunk_count", size).join(when, "page_id")
+    mentioned = validated.where("is_valid").select("id_type", F.col("raw_value").alias("id"), "page_id").join(when, "page_id").select("id_type", "id", "page_id", "timestamp")
+    out["events"] = dated_events
+    out["nodes"] = graph.build_nodes(dated_pages, dated_events, top.join(when, "page_id"), known, mentioned)
+    out["edges"] = graph.build_edges(dated_events, top, known, mentioned)
+    if embedder is not None:
+        out["vectors"] = embed(embedding_texts(dated_pages, chunks, dated_events, top, cells, attachments), embedder)
     return out
+
+
+def embedding_texts(pages: DataFrame, chunks: DataFrame, events: DataFrame, tables: DataFrame, cells: DataFrame, attachments: DataFrame) -> DataFrame:
+    """``(_id, kind, page_id, text)`` of all that gets a vector: pages, events, table rows and chunks of attachments."""
+    bodies = chunks.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]).alias("body"))
+    whole = pages.join(bodies, "page_id", "left")
+    parts = whole.select(F.concat(F.lit("page_"), "page_id").alias("_id"), F.lit("ConfPage").alias("kind"), "page_id", graph.page_text(F.col("title"), F.col("timestamp"), F.col("body")).alias("text"))
+    told = events.join(pages.select("page_id", "title"), "page_id")
+    text = graph.event_text(*(F.col(c) for c in ("event_type", "description", "title", "timestamp", "app_ids", "project_ids")))
+    parts = parts.unionByName(told.select("_id", F.lit("Event").alias("kind"), "page_id", text.alias("text")))
+    header = tables.select("page_id", "table_index", F.posexplode("headers").alias("col", "header"))
+    body = cells.where("NOT is_header").join(tables.select("page_id", "table_index"), ["page_id", "table_index"], "left_semi")
+    named = body.join(header, ["page_id", "table_index", "col"], "left").withColumn("text", normalize.cell_text(F.col("chunks")))
+    rows = graph.row_texts(named).where("text <> ''")
+    parts = parts.unionByName(rows.select(graph.row_id().alias("_id"), F.lit("row").alias("kind"), "page_id", "text"))
+    pieces = attachments.where("error IS NULL AND text <> ''").select("page_id", "attachment_id", "filename", F.posexplode(chunk_udf()("text")).alias("idx", "chunk"))
+    told = pieces.join(pages.select("page_id", "title", "timestamp"), "page_id")
+    chunk = graph.chunk_text(F.col("filename"), F.col("title"), F.col("timestamp"), F.col("chunk"))
+    return parts.unionByName(told.select(F.concat(graph.attachment_node_id(), F.lit("_chunk_"), "idx").alias("_id"), F.lit("chunk").alias("kind"), "page_id", chunk.alias("text")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @dataclass(frozen=True)
@@ -34,3 +36,15 @@ def build_session(app: str = "lattica", **conf: str) -> SparkSession:
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder and read back; ``spark.checkpoint.dir`` names it on a cluster."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lattica-"))
+    return df.checkpoint()

@@ -39,18 +39,59 @@ def hashed_embedder(dim: int = 64) -> Embedder:
     return embed
 
 
-def embed(df: DataFrame, embedder: Embedder, text_col: str = "text", into: str = "embedding") -> DataFrame:
-    """Vectors of texts, a call for each Arrow batch; a batch that fails is left without vectors."""
+def embed(df: DataFrame, embedder: Embedder, text_col: str = "text", into: str = "embedding", size: int = 256) -> DataFrame:
+    """Vectors of texts, ``size`` texts a call. Where a call fails its texts are tried one by one; a text that fails
+    keeps its row, without a vector and with the reason in ``{into}_error``."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("struct<v:array<float>,error:string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def vectors(texts: list[str]) -> list[tuple]:
+            try:
+                return [(v, None) for v in embedder(texts)]
+            except Exception as e:  # noqa: BLE001  rows stay, unembedded, as when the service is down
+                return [(None, str(e)[:500])] if len(texts) == 1 else [x for t in texts for x in vectors([t])]
+
+        for whole in batches:
+            texts = [t or "" for t in whole]
+            found = [x for at in range(0, len(texts), size) for x in vectors(texts[at : at + size])]
+            yield pd.DataFrame(found, columns=["v", "error"])
+
+    out = df.withColumn("_v", run(text_col))
+    return out.select(*df.columns, F.col("_v.v").alias(into), F.col("_v.error").alias(f"{into}_error"))
+
+
+def _answer(text: str, extractor: Extractor) -> dict:
+    """A model's answer as an object, without code fences; an empty one where the call or the answer fails."""
+    try:
+        found = json.loads(re.sub(r"^\s*```(?:json)?\s*|\s*```\s*$", "", extractor(text)))
+    except Exception:  # noqa: BLE001
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def model_events(inputs: DataFrame, extractor: Extractor) -> DataFrame:
+    """Events that a model finds in ``inputs(page_id, input)``, numbered by page in its order; a failed call finds none."""
+    fields = "event_type:string,description:string,is_cancelled:boolean,app_ids:array<string>,project_ids:array<string>"
+
+    @F.pandas_udf(f"array<struct<{fields}>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        strings = lambda x: [str(v) for v in x] if isinstance(x, list) else []
         for texts in batches:
-            try:
-                yield pd.Series(embedder([t or "" for t in texts]))
-            except Exception:  # noqa: BLE001  rows stay, unembedded, as when the service is down
-                yield pd.Series([None] * len(texts))
+            rows = []
+            for text in texts:
+                events = [e for e in _answer(text, extractor).get("events") or [] if isinstance(e, dict)]
+                rows.append(
+                    [
+                        {
+                            "event_type": str(e.get("event_type", "")), "description": str(e.get("description", "")), "is_cancelled": bool(e.get("is_cancelled")),
+                            "app_ids": strings(e.get("app_ids")), "project_ids": strings(e.get("project_ids")),
+                        }
+                        for e in events
+                    ]
+                )
+            yield pd.Series(rows)
 
-    return df.withColumn(into, run(text_col))
+    return inputs.select("page_id", F.posexplode(run("input")).alias("idx", "x")).select("page_id", "idx", "x.*")
 
 
 def model_ids(inputs: DataFrame, extractor: Extractor) -> DataFrame:
@@ -61,12 +102,9 @@ def model_ids(inputs: DataFrame, extractor: Extractor) -> DataFrame:
         for texts in batches:
             rows = []
             for text in texts:
-                try:
-                    found = json.loads(re.sub(r"^\s*```(?:json)?\s*|\s*```\s*$", "", extractor(text)))
-                    named = [("app_id", x) for x in found.get("additional_app_ids", [])] + [("project_id", x) for x in found.get("additional_project_ids", [])]
-                    rows.append([{"id_type": k, "raw": str(x)} for k, x in named])
-                except Exception:  # noqa: BLE001
-                    rows.append([])
+                found = _answer(text, extractor)
+                named = [("app_id", x) for x in found.get("additional_app_ids") or []] + [("project_id", x) for x in found.get("additional_project_ids") or []]
+                rows.append([{"id_type": k, "raw": str(x)} for k, x in named])
             yield pd.Series(rows)
 
     return inputs.select("page_id", F.explode(run("input")).alias("x")).select("page_id", "x.*")

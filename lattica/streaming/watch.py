@@ -20,8 +20,7 @@ class PageTables:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        if not self._exists(f"{self.root}/{name}"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
@@ -31,30 +30,53 @@ class PageTables:
     def pages(self, schema: str) -> DataFrame:
         return latest_per_key(self._read("pages", schema), ["page_id"], "version")
 
-    def upsert(self, batch: DataFrame, version: int, work: Callable[[DataFrame], None] | None = None) -> None:
+    def _exists(self, path: str) -> bool:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+
+    def write(self, name: str, rows: DataFrame, version: int) -> None:
+        """Rows of one batch, in a folder of their own: a batch that is run again replaces what it wrote before."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
+
+    def results(self, name: str, with_deleted: bool = False) -> DataFrame:
+        """Rows ``(page_id, …)`` that the newest ingest of their page wrote; with ``with_deleted`` also those of
+        ingests before it, and ``is_deleted`` tells them apart: a page that is ingested again deletes its old rows."""
+        rows = self.spark.read.option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}").withColumn("version", F.col("version").cast("long"))
+        newest = self._read("pages", "page_id string, version long").groupBy("page_id").agg(F.max("version").alias("_newest"))
+        joined = rows.join(newest, "page_id")
+        stale = F.col("version") < F.col("_newest")
+        if with_deleted:
+            return joined.withColumn("is_deleted", stale).drop("_newest", "version")
+        return joined.where(~stale).drop("_newest", "version")
+
+    def upsert(self, batch: DataFrame, version: int, work: Callable[[DataFrame, int], None] | None = None) -> None:
         """Ingest the pages of a batch that need it. A batch that is run again writes the same version again, which
-        the views take once."""
+        the views take once. ``work(pages, version)`` writes what is made of the pages; if it fails, all pages of the
+        batch are logged as errors, each with one retry more."""
         newest = latest_per_key(batch, ["page_id"], "last_modified")
-        todo = with_log(newest, self.log()).where(needs_upsert()).select(newest.columns).persist()
+        before = self.log()
+        todo = with_log(newest, before).where(needs_upsert()).select(newest.columns).persist()
         try:
             status, error = "done", None
             if work is not None:
                 try:
-                    work(todo)
+                    work(todo, version)
                 except Exception as e:  # noqa: BLE001  the log keeps it; the stream goes on
                     status, error = "error", str(e)[:500]
             if status == "done":
                 todo.withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(f"{self.root}/pages")
-            log = todo.select(
+            retries = before.select("page_id", F.col("retry_count").alias("_retries"))
+            count = F.coalesce("_retries", F.lit(0)) + (0 if status == "done" else 1)
+            log = todo.join(retries, "page_id", "left").select(
                 "page_id", F.lit(status).alias("status"), F.col("last_modified").alias("source_modified"),
-                F.lit(0 if status == "done" else 1).alias("retry_count"), F.lit(error).cast("string").alias("error_message"), F.lit(version).cast("long").alias("version"),
+                count.cast("int").alias("retry_count"), F.lit(error).cast("string").alias("error_message"), F.lit(version).cast("long").alias("version"),
             )
             log.write.mode("append").parquet(f"{self.root}/log")
         finally:
             todo.unpersist()
 
 
-def watch(spark: SparkSession, source: str, schema: str, tables: PageTables, checkpoint: str, every: str | None = None, work: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+def watch(spark: SparkSession, source: str, schema: str, tables: PageTables, checkpoint: str, every: str | None = None, work: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Follow a folder of page snapshots; without ``every`` all that is there is taken once."""
     stream = spark.readStream.schema(schema).parquet(source)
     writer = stream.writeStream.foreachBatch(lambda df, n: tables.upsert(df, n + 1, work)).option("checkpointLocation", checkpoint)

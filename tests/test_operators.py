@@ -92,6 +92,30 @@ def test_classify_takes_off_fences(spark):
     assert normalize.classify(df, lambda prompt: '```json\n[{"table_type": "t"}]\n```') == [{"table_type": "t"}]
 
 
+def test_hostile_tables():
+    page = walk("<table><tr><td>" * 1500 + "x")
+    assert len(page.tables) == 1500 and page.cells[-1]["chunks"] == [{"content": "x", "style": "normal"}]
+    wide = walk(f'<table><tr><td rowspan="{"9" * 5000}" colspan="{"9" * 5000}">x</td></tr><tr><td>y</td></tr></table>')
+    assert len(wide.cells) == 1 + 1000 + 1 and wide.cells[-1]["col"] == 1000
+    assert walk('<table><tr><td rowspan="-1" colspan="²">x</td><td rowspan="0">y</td></tr></table>').cells[1]["col"] == 1
+
+
+def test_styles_come_from_around_the_table():
+    assert walk("<s><table><tr><td>x<b>y</b></td></tr></table></s>").cells[0]["chunks"] == [{"content": "x", "style": "cancelled"}, {"content": "y", "style": "bold"}]
+
+
+def test_log_marks(spark):
+    log = spark.createDataFrame([("a", "new", 1, "old", None), ("b", "new", 0, None, None)], "page_id string, status string, retry_count int, error_message string, processed_at timestamp_ntz")
+    a = spark.createDataFrame([("a",), ("zz",)], "page_id string")
+    at = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'")
+    row = lambda df: {r.page_id: (r.status, r.retry_count, r.error_message, r.processed_at is not None) for r in df.collect()}
+    b = ("new", 0, None, False)
+    assert row(store.mark_log(log, a, "processing", at=at)) == {"a": ("processing", 1, "old", True), "b": b}
+    assert row(store.mark_log(log, a, "done", at=at)) == {"a": ("done", 1, None, True), "b": b}
+    assert row(store.mark_log(log, a, "error", F.lit("e"))) == {"a": ("error", 2, "e", False), "b": b}
+    assert row(store.mark_log(log, a, "needs_review", F.lit("no date"))) == {"a": ("needs_review", 1, "no date", False), "b": b}
+
+
 def test_office_files_and_failures(spark):
     book = io.BytesIO()
     with zipfile.ZipFile(book, "w") as z:
@@ -102,7 +126,9 @@ def test_office_files_and_failures(spark):
         z.writestr("xl/worksheets/sheet1.xml", '<worksheet><sheetData><row><c r="A1" t="inlineStr"><is><t>k</t></is></c><c r="C1"><v>2</v></c></row></sheetData></worksheet>')
     rows = [("p", "1", "a.docx", "docx", book.getvalue()), ("p", "2", "b.xlsx", "excel", sheet.getvalue()), ("p", "3", "c.docx", "docx", b"junk"), ("p", "4", "d.pdf", "pdf", None)]
     df = spark.createDataFrame(rows, "page_id string, attachment_id string, filename string, kind string, content binary")
-    got = {r.attachment_id: (r.text, r.error) for r in attach.extract_text(df, EXTRACTORS).collect()}
+    out = attach.extract_text(df, EXTRACTORS)
+    assert {r.attachment_id: r.tables for r in out.collect()} == {"1": [[["c"]]], "2": [[["k", "", "2"]]], "3": [], "4": []}
+    got = {r.attachment_id: (r.text, r.error) for r in out.collect()}
     assert got["1"] == ("Hello\nc", None) and got["2"] == ("[Sheet: S]\nk |  | 2", None)
     assert got["3"][1].startswith("extraction_failed") and got["4"][1].startswith("download_failed")
 
@@ -116,6 +142,85 @@ def test_providers(spark):
     assert [(r.page_id, r.raw) for r in model_ids(inputs, answer).collect()] == [("p", "1")]
 
 
+def test_embedding_failures_keep_their_rows(spark):
+    def fussy(texts):
+        if any(t == "bad" for t in texts):
+            raise ValueError("no")
+        return hashed_embedder(4)(texts)
+
+    rows = {r.text: (r.embedding, r.embedding_error) for r in embed(spark.createDataFrame([("a",), ("bad",), ("b",)], "text string").coalesce(1), fussy).collect()}
+    assert rows["bad"] == (None, "no") and rows["a"][0] is not None and rows["b"][0] is not None
+
+
+def docx(*rows):
+    cells = "".join("<w:tr>" + "".join(f"<w:tc><w:p><w:r><w:t>{c}</w:t></w:r></w:p></w:tc>" for c in row) + "</w:tr>" for row in rows)
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="u"><w:body><w:p><w:r><w:t>About 11111111111.</w:t></w:r></w:p><w:tbl>{cells}</w:tbl></w:body></w:document>')
+    return data.getvalue()
+
+
+def test_ingest_with_attachments_graph_and_vectors(spark):
+    html = (
+        "<p>id 123456789</p><table><tr><th>Acuerdo</th><th>Fecha</th></tr><tr><td>do it <a href='/download/attachments/1/a.docx'>a</a></td><td>now</td></tr></table>"
+        "<p>End.</p>"
+    )
+    pages = spark.createDataFrame([("p1", "T", datetime(2024, 1, 1), html), ("p2", "U", None, None)], "page_id string, title string, page_date timestamp_ntz, html string")
+    schemas = spark.createDataFrame([(0, "s", ["acuerdo", "fecha"], {"Acuerdo": "acuerdo", "Fecha": "fecha"})], "schema_ord int, schema_id string, canonical_columns array<string>, column_mapping map<string,string>")
+    metadata = spark.createDataFrame([("p1", 0, "m1", "a.docx", "/a", 10), ("p1", 1, "m2", "free.docx", "/f", 10), ("p1", 2, "m3", "x.zip", "/x", 10)], "page_id string, pos long, attachment_id string, filename string, url string, size long")
+    files = spark.createDataFrame([("p1", "a.docx", docx(("Acuerdo", "Fecha"), ("file it", "today"))), ("p1", "free.docx", b"junk")], "page_id string, filename string, content binary")
+    known = spark.createDataFrame([("app_id", "11111111111"), ("project_id", "123456789")], "id_type string, id string")
+    answer = lambda text: '{"events": [{"event_type": "decision", "description": "Go.", "app_ids": ["11111111111"], "project_ids": []}]}'
+    out = ingest(pages, schemas, known, metadata, files, answer, hashed_embedder(8))
+    assert {(r.page_id, r.table_index, r.n_rows) for r in out["tables"].collect()} == {("p1", 0, 2), ("p1", 1, 2)}
+    assert {r["values"]["acuerdo"] for r in out["rows"].collect()} == {"do it a", "file it"}
+    assert {r._id for r in out["rows"].collect()} == {"p1_table_0_row_1", "p1_table_1_row_1"}
+    assert {(r.raw_value, r.is_valid) for r in out["ids"].collect()} == {("123456789", True), ("11111111111", True)}
+    nodes = {r._id: r for r in out["nodes"].collect()}
+    ref = "p1_att_/download/attachments/1/a.docx"
+    assert set(nodes) == {"page_p1", "page_p2", "p1_table_0", "p1_table_1", ref, "event_p1_0", "app_11111111111", "proj_123456789"}
+    assert (nodes[ref].origin, nodes[ref].table_index, nodes[ref].row, nodes[ref].col, nodes[ref].chunk_count) == ("table", 0, 1, 0, 1)
+    edges = {(r.source_id, r.relation, r.target_id) for r in out["edges"].collect()}
+    assert edges == {
+        ("page_p1", "CONTAINS", "p1_table_0"), ("page_p1", "CONTAINS", "p1_table_1"), ("page_p1", "HAS_ATTACHMENT", ref), ("page_p1", "HAS_EVENT", "event_p1_0"),
+        ("app_11111111111", "HAS_EVENT", "event_p1_0"), ("page_p1", "REFERENCES_APP", "app_11111111111"), ("page_p1", "REFERENCES_PROJ", "proj_123456789"),
+    }
+    kinds = [r.kind for r in out["vectors"].collect()]
+    assert sorted(kinds) == ["ConfPage", "ConfPage", "Event", "chunk", "row", "row"] and out["vectors"].where("embedding IS NULL").count() == 0
+    # the same page again, without its table: what it owned is flagged, shared nodes stay
+    again = ingest(pages.where("page_id = 'p1'").withColumn("html", F.lit("<p>id 123456789</p>")), schemas, known)
+    refreshed = spark.createDataFrame([("p1",)], "page_id string")
+    stored, links = store.refresh_graph(out["nodes"], out["edges"], again["nodes"], again["edges"], refreshed)
+    assert {r._id for r in stored.where("NOT is_deleted").collect()} == {"page_p1", "page_p2", "app_11111111111", "proj_123456789"}
+    assert {(r.source_id, r.relation, r.target_id) for r in links.collect()} == {("page_p1", "REFERENCES_PROJ", "proj_123456789")}
+    rows = store.upsert_rows(out["rows"], again["rows"], refreshed)
+    assert rows.where("NOT is_deleted").count() == 0 and rows.count() == 2
+
+
+def test_incremental_results_of_a_changed_page(spark, tmp_path):
+    from lattica import cli
+
+    row = lambda page, html, day: (page, "t", "S", html, datetime(2024, 1, day), None)
+    tables = PageTables(spark, f"{tmp_path}/out")
+    work = cli.incremental_work(tables)
+    one = [row("a", "<p>id 123456789</p>", 1), row("b", "<p>b</p>", 1)]
+    two = [row("a", "<p>new</p>", 2), row("b", "<p>b</p>", 1)]
+    for version, rows in ((1, one), (2, two)):
+        tables.upsert(spark.createDataFrame(rows, cli.PAGE_SCHEMA), version, work)
+    tables.write("chunks", spark.createDataFrame([("a", 0, "new", "normal")], "page_id string, seq int, content string, style string"), 2)  # a batch that is run again
+    assert sorted((r.page_id, r.content) for r in tables.results("chunks").collect()) == [("a", "new"), ("b", "b")]
+    assert sorted((r.page_id, r.content, r.is_deleted) for r in tables.results("chunks", True).collect()) == [("a", "id 123456789", True), ("a", "new", False), ("b", "b", False)]
+    assert tables.results("ids").count() == 0
+
+    def fails(pages, version):
+        raise ValueError("down")
+
+    for version in (3, 4):
+        tables.upsert(spark.createDataFrame([row("c", "x", version)], cli.PAGE_SCHEMA), version, fails)
+    got = {r.page_id: (r.status, r.retry_count) for r in tables.log().collect()}
+    assert got["c"] == ("error", 2) and got["a"] == ("done", 0)
+
+
 def test_ingest_plan(spark):
     html = "<p>id 123456789 <s>gone</s></p><table><tr><th>Acuerdo</th><th>Fecha</th></tr><tr><td>do it</td><td>12345678901</td></tr></table>"
     pages = spark.createDataFrame([("p1", html), ("p2", None)], "page_id string, html string")
