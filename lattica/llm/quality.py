@@ -203,10 +203,9 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, made: tuple[st
     needed = {g: rule.needs for rule in rules for g in rule.needs[-1:] if g not in made}
     needed |= {g: rule.needs[: k + 1] for rule in rules for k, g in enumerate(rule.needs) if g not in made and g not in needed}
     judged = with_statistics(sample, tuple(dict.fromkeys(g for rule in (*after, *rules) for g in rule.needs)))
-    for rule in after:
-        judged = judged.where(~F.coalesce(F.expr(rule.rejects), F.lit(False)))
-    verdicts = judged.select(*(F.coalesce(F.expr(rule.rejects), F.lit(False)) for rule in rules)).collect()
-    return placed(rules, [tuple(r) for r in verdicts], measured_costs(sample, needed), made)
+    verdicts = judged.select(*(F.coalesce(F.expr(rule.rejects), F.lit(False)) for rule in (*after, *rules))).collect()
+    undecided = [tuple(r[len(after) :]) for r in verdicts if not any(r[: len(after)])]
+    return placed(rules, undecided, measured_costs(sample, needed), made)
 
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
