@@ -95,8 +95,10 @@ def build_nodes(pages: DataFrame, events: DataFrame, tables: DataFrame | None =
     """All nodes; applications and projects are those that events name, and those of ``named`` (see ``id_nodes``)."""
     both = mentions(events) if named is None else mentions(events).unionByName(named)
     parts = [page_nodes(pages), event_nodes(events), id_nodes(both)]
-    parts += [table_nodes(tables)] * (tables is not None)
-    parts += [attachment_nodes(attachments)] * (attachments is not None)
+    if tables is not None:
+        parts.append(table_nodes(tables))
+    if attachments is not None:
+        parts.append(attachment_nodes(attachments))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 from urllib.parse import unquote
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -246,6 +247,16 @@ def expand_rowspans(raw: DataFrame) -> DataFrame:
 
 
 def html_links(pages: DataFrame) -> DataFrame:
-    """``(page_id, href)`` of each distinct link."""
-    hrefs = F.array_distinct(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), 1))
-    return pages.select("page_id", F.explode(hrefs).alias("href"))
+    """``(page_id, href)`` of each distinct link, however it is quoted; not those in comments and scripts."""
+
+    @F.pandas_udf("array<string>")
+    def links(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for htmls in batches:
+            rows = []
+            for html in htmls:
+                dom = parse_dom(html or "")
+                found = (dom.attributes(node).get("href") for node, tag in enumerate(dom.tag) if tag == "a")
+                rows.append(list(dict.fromkeys(h for h in found if h is not None)))
+            yield pd.Series(rows)
+
+    return pages.select("page_id", F.explode(links("html")).alias("href"))

@@ -3,13 +3,14 @@ projection cannot show: titles, file names, spans, tables, schemas."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lattica.functions.similarity import header_similarity as similarity
 from lattica.functions.text import attachment_kind, iso
 from lattica.functions.text import iso_timestamp as parse_iso
 from lattica.functions.text import title_date as date_of_title
-from lattica.operators import attach, extract, normalize, parse, store
+from lattica.operators import attach, extract, graph, normalize, parse, store
 from lattica.plans import projection as src
 from lattica.plans.sql import EVENTS, ISO
 
@@ -130,15 +131,21 @@ def attachment_guards(spark, sf):
 
 
 @query(
-    "SELECT CAST(doc_id AS VARCHAR) AS page_id, 'file.pdf' AS filename, 'application/octet-stream' AS media_type, 'https://wiki.example.org/d/' || doc_id AS url, CAST(0 AS BIGINT) AS size FROM documents"
+    "WITH d AS (SELECT doc_id, unnest(range(0, doc_id % 4)) AS pos FROM documents) SELECT CAST(doc_id AS VARCHAR) AS page_id, pos, 'a' || pos AS attachment_id, 'file' || pos || '.pdf' AS filename, "
+    "CASE WHEN (doc_id + pos) % 3 = 0 THEN 'application/octet-stream' ELSE 'application/pdf' END AS media_type, 'https://wiki.example.org/d/' || doc_id || '/' || pos AS url, "
+    "CASE WHEN (doc_id + pos) % 5 = 0 THEN 0 ELSE doc_id * 10 + pos END AS size FROM d"
 )
 def attachment_listing(spark, sf):
-    one = F.struct(
-        F.lit("a1").alias("attachment_id"), F.lit("file.pdf").alias("filename"), F.lit(None).cast("string").alias("media_type"),
-        F.concat(F.lit("/d/"), "doc_id").alias("link"), F.lit(None).cast("long").alias("size"),
+    """None to three attachments a page, of which some lack their type or size."""
+    k = F.col("doc_id")
+    one = lambda pos: F.struct(
+        F.concat(F.lit("a"), pos).alias("attachment_id"), F.concat(F.lit("file"), pos, F.lit(".pdf")).alias("filename"), F.when(F.pmod(k + pos, F.lit(3)) != 0, "application/pdf").alias("media_type"),
+        F.concat(F.lit("/d/"), k, F.lit("/"), pos).alias("link"), F.when(F.pmod(k + pos, F.lit(5)) != 0, k * 10 + pos).alias("size"),
     )
-    pages = src.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("page_id"), F.array(one).alias("attachments"))
-    return attach.list_attachments(pages, "https://wiki.example.org").select("page_id", "filename", "media_type", "url", "size")
+    few = F.transform(F.sequence(F.lit(0), F.lit(2)), one)
+    pages = src.table(spark, sf, "documents").select(k.cast("string").alias("page_id"), F.slice(few, 1, F.pmod(k, F.lit(4)).cast("int")).alias("attachments"))
+    out = attach.list_attachments(pages, "https://wiki.example.org")
+    return out.select("page_id", F.col("pos").cast("long").alias("pos"), "attachment_id", "filename", "media_type", "url", "size")
 
 
 @query(
@@ -235,25 +242,176 @@ def html_tables(spark, sf):
     return parse.flat(parsed, "cells").select("page_id", "table_index", "row", "col", normalize.cell_text(F.col("chunks")).alias("text"), "is_propagated")
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS page_id, count(*) AS tables FROM pages GROUP BY page_id HAVING false")
+def _order_pages(spark, sf):
+    """Each order as a page: a table of its line items, cancelled ones struck; all of a finished order's is struck, its
+    total stands in a second table without a head, and every third line links a file."""
+    k = F.col("l_orderkey").cast("string")
+    quantity = F.floor("l_quantity").cast("string")
+    shown = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("<del>"), quantity, F.lit("</del>"))).otherwise(quantity)
+    link = F.concat(F.lit("<a href='/download/attachments/"), k, F.lit("/part%20"), "l_partkey", F.lit(".pdf?version=1&amp;x=2'>file</a>"))
+    cell = F.when(F.pmod("l_partkey", F.lit(3)) == 0, link).otherwise(F.lit(""))
+    line = F.concat(F.lit("<tr><td>"), "l_partkey", F.lit("</td><td>"), shown, F.lit("</td><td>"), cell, F.lit("</td></tr>"))
+    lines = src.table(spark, sf, "lineitem").select("l_orderkey", line.alias("s"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*src.LINE_ORDER)).alias("at"))
+    rows = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]), "").alias("rows"))
+    done = F.col("o_orderstatus") == "F"
+    html = F.concat(
+        F.lit("<h1>Order</h1>"), F.when(done, "<s>").otherwise(""), F.lit("<table><thead><tr><th>Part <b>no</b></th><th>Quantity</th><th> File </th></tr></thead><tbody>"), "rows",
+        F.lit("</tbody></table>"), F.when(done, "</s>").otherwise(""), F.lit("<p>Total:</p><table><tr><td colspan=2>"), F.col("o_orderpriority"), F.lit("</td></tr></table>"),
+    )
+    orders = src.table(spark, sf, "orders").join(rows, F.col("o_orderkey") == F.col("l_orderkey"))
+    return orders.select(F.col("o_orderkey").cast("string").alias("page_id"), html.alias("html"), F.col("o_orderdate").alias("timestamp"))
+
+
+#: The line items of the pages: their place in the page's table, and the file that some link.
+_LINES = f"""l AS (SELECT CAST(l_orderkey AS VARCHAR) AS page_id, l_partkey, l_returnflag, floor(l_quantity)::BIGINT AS quantity, o_orderstatus = 'F' AS done, o_orderdate AS ts,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(src.LINE_ORDER)}) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query(
+    f"WITH {_LINES}, c AS (SELECT page_id, max(r) AS n FROM l GROUP BY page_id) SELECT page_id, 0 AS table_index, 'Part|Quantity|File' AS headers, CAST(n + 1 AS INTEGER) AS n_rows, 3 AS n_cols FROM c "
+    "UNION ALL SELECT page_id, 1, '', 1, 1 FROM c"
+)
 def page_tables(spark, sf):
-    """Tables of the driver's pages: there are none."""
-    parsed = parse.parse_pages(src.table(spark, sf, "pages"))
-    return parse.flat(parsed, "tables").groupBy("page_id").agg(F.count(F.lit(1)).alias("tables"))
+    """Tables of the pages made of orders, with their headers (the first chunk of each head cell) and sizes."""
+    parsed = parse.parse_pages(_order_pages(spark, sf))
+    return parse.flat(parsed, "tables").select("page_id", "table_index", F.array_join("headers", "|").alias("headers"), "n_rows", "n_cols")
+
+
+@query(
+    f'WITH {_LINES} SELECT page_id, CAST(r AS INTEGER) AS "row", 0 AS col, CAST(l_partkey AS VARCHAR) AS content, CASE WHEN done THEN \'cancelled\' ELSE \'normal\' END AS style FROM l UNION ALL '
+    "SELECT page_id, CAST(r AS INTEGER), 1, CAST(quantity AS VARCHAR), CASE WHEN done OR l_returnflag = 'R' THEN 'cancelled' ELSE 'normal' END FROM l"
+)
+def html_styles(spark, sf):
+    """Styles of cells: of the element around the text, else of one around the table."""
+    cells = parse.flat(parse.parse_pages(_order_pages(spark, sf)), "cells").where("table_index = 0 AND row > 0 AND col < 2")
+    return cells.select("page_id", "row", "col", F.explode("chunks").alias("c")).select("page_id", "row", "col", "c.*")
+
+
+@query(f"WITH {_LINES}, p AS (SELECT DISTINCT page_id, done FROM l) SELECT page_id, unnest([0, 1, 2]) AS col, unnest(['Part+no', 'Quantity', 'File']) AS chunks, "
+       "unnest([CASE WHEN done THEN 'cancelled+bold' ELSE 'normal+bold' END, CASE WHEN done THEN 'cancelled' ELSE 'normal' END, CASE WHEN done THEN 'cancelled' ELSE 'normal' END]) AS styles FROM p")
+def html_headers(spark, sf):
+    """Head cells with their chunks and styles."""
+    cells = parse.flat(parse.parse_pages(_order_pages(spark, sf)), "cells").where("is_header")
+    join = lambda name: F.array_join(F.transform("chunks", lambda c: c[name]), "+")
+    return cells.select("page_id", "col", join("content").alias("chunks"), join("style").alias("styles"))
+
+
+_REFS = """SELECT page_id, '/download/attachments/' || page_id || '/part%20' || l_partkey || '.pdf?version=1&x=2' AS attachment_id, 'part ' || l_partkey || '.pdf' AS filename,
+  'page:' || page_id || '/table:0/row:' || r || '/col:2' AS prov_path, CAST(r AS INTEGER) AS r, ts FROM l WHERE l_partkey % 3 = 0"""
+
+
+@query(f"WITH {_LINES}, f AS ({_REFS}) SELECT page_id, attachment_id, filename, attachment_id AS url, prov_path FROM f")
+def html_attachments(spark, sf):
+    """References to files, with their name and place."""
+    return parse.flat(parse.parse_pages(_order_pages(spark, sf)), "refs").select("page_id", "attachment_id", "filename", "url", "prov_path")
+
+
+@query(f"WITH {_LINES}, c AS (SELECT page_id, max(r) AS n, min(ts) AS ts FROM l GROUP BY page_id) SELECT page_id || '_table_0' AS _id, page_id, 'Part|Quantity|File' AS headers, "
+       f"CAST(n + 1 AS INTEGER) AS row_count, 3 AS col_count, strftime(ts, {ISO}) AS at FROM c UNION ALL SELECT page_id || '_table_1', page_id, '', 1, 1, strftime(ts, {ISO}) FROM c")
+def table_nodes(spark, sf):
+    pages = _order_pages(spark, sf)
+    tables = parse.flat(parse.parse_pages(pages), "tables").where("parent_table IS NULL").join(pages.select("page_id", "timestamp"), "page_id")
+    nodes = graph.table_nodes(tables)
+    return nodes.select("_id", "page_id", F.array_join("headers", "|").alias("headers"), "row_count", "col_count", iso(F.col("timestamp")).alias("at"))
+
+
+def _order_attachments(spark, sf):
+    """The references once a page and id, as read: every fourth part's file failed, the others hold two windows or one."""
+    pages = _order_pages(spark, sf)
+    refs = parse.flat(parse.parse_pages(pages), "refs").withColumnRenamed("seq", "ord")
+    once = attach.placed(attach.reconcile(refs, spark.createDataFrame([], "page_id string, pos long, filename string, attachment_id string, url string, size long")))
+    part = F.regexp_extract("filename", r"(\d+)", 1).cast("int")
+    return once.join(pages.select("page_id", "timestamp"), "page_id").withColumns(
+        {"kind": F.lit("pdf"), "source": F.lit("page"), "error": F.when(part % 4 == 0, "download_failed"), "chunk_count": F.when(part % 2 == 0, 2).otherwise(1)}
+    )
+
+
+_ATTACHED = f"WITH {_LINES}, f AS ({_REFS} AND l_partkey % 4 <> 0), u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY page_id, attachment_id ORDER BY r) = 1) "
+
+
+@query(
+    _ATTACHED + "SELECT page_id || '_att_' || attachment_id AS _id, filename, 'table' AS origin, 0 AS table_index, r AS \"row\", 2 AS col, prov_path, "
+    f"CASE WHEN CAST(regexp_extract(filename, '[0-9]+') AS INTEGER) % 2 = 0 THEN 2 ELSE 1 END AS chunk_count, strftime(ts, {ISO}) AS at FROM u"
+)
+def attachment_nodes(spark, sf):
+    nodes = graph.attachment_nodes(_order_attachments(spark, sf))
+    return nodes.select("_id", "filename", "origin", "table_index", "row", "col", "prov_path", "chunk_count", iso(F.col("timestamp")).alias("at"))
+
+
+@query(
+    _ATTACHED + "SELECT 'page_' || page_id AS source_id, 'HAS_ATTACHMENT' AS relation, page_id || '_att_' || attachment_id AS target_id FROM u "
+    "UNION ALL SELECT DISTINCT 'page_' || page_id, 'CONTAINS', page_id || '_table_' || unnest([0, 1]) FROM l"
+)
+def page_part_edges(spark, sf):
+    """Edges from pages to their tables and attachments."""
+    tables = parse.flat(parse.parse_pages(_order_pages(spark, sf)), "tables").where("parent_table IS NULL")
+    none = src.events(spark, sf).limit(0)
+    return graph.build_edges(none, tables, _order_attachments(spark, sf)).select("source_id", "relation", "target_id")
+
+
+@query(
+    f"WITH {EVENTS}, t AS (SELECT DISTINCT page_id, o_custkey % 10 = 0 AS again FROM e) SELECT e._id, again AS is_deleted FROM e JOIN t USING (page_id) "
+    "UNION ALL SELECT 'event_' || page_id || '_new', false FROM t WHERE again UNION ALL SELECT DISTINCT 'app_' || app_id, false FROM e"
+)
+def reingest_page(spark, sf):
+    """Pages of every tenth project are ingested again with one new event: their old events are flagged, applications stay."""
+    events = src.events(spark, sf)
+    again = events.where(F.col("project_ids")[0].cast("long") % 10 == 0)
+    pages = again.select("page_id").distinct()
+    first = again.where("idx = 0").withColumn("_id", F.concat(F.lit("event_"), "page_id", F.lit("_new")))
+    old, new = (graph.event_nodes(e).unionByName(graph.application_nodes(e)) for e in (events, first))
+    nodes, _ = store.refresh_graph(old, graph.build_edges(events), new, graph.build_edges(first), pages)
+    return nodes.select("_id", "is_deleted")
+
+
+@query(
+    f"WITH {EVENTS}, t AS (SELECT DISTINCT page_id, o_custkey % 10 = 0 AS again FROM e), k AS (SELECT e.* FROM e JOIN t USING (page_id) WHERE NOT again), i AS (SELECT e.* FROM e JOIN t USING (page_id) WHERE again AND idx = 0) "
+    "SELECT source_id, relation, count(*) AS n FROM (SELECT 'page_' || page_id AS source_id, 'HAS_EVENT' AS relation, _id AS target_id FROM k UNION ALL SELECT 'page_' || page_id, 'REFERENCES_APP', 'app_' || app_id FROM k "
+    "UNION ALL SELECT 'page_' || page_id, 'HAS_EVENT', '' FROM i UNION ALL SELECT 'page_' || page_id, 'REFERENCES_APP', 'app_' || app_id FROM i) GROUP BY ALL".replace("SELECT 'page_' || page_id, 'REFERENCES_APP'", "SELECT DISTINCT 'page_' || page_id, 'REFERENCES_APP'")
+)
+def reingest_edges(spark, sf):
+    """The edges of pages after such an ingest: those of the old events are gone."""
+    events = src.events(spark, sf)
+    again = events.where(F.col("project_ids")[0].cast("long") % 10 == 0)
+    first = again.where("idx = 0").withColumn("_id", F.concat(F.lit("event_"), "page_id", F.lit("_new")))
+    nodes = graph.application_nodes(events)
+    _, edges = store.refresh_graph(nodes, graph.build_edges(events), graph.application_nodes(first), graph.build_edges(first), again.select("page_id").distinct())
+    shown = edges.where("source_id LIKE 'page%' AND relation <> 'REFERENCES_PROJ'")
+    return shown.groupBy("source_id", "relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"WITH {EVENTS}, o AS (SELECT page_id, idx, description, o_custkey % 10 = 0 AS again FROM e) SELECT page_id || '_table_0_row_' || idx AS _id, again AND idx > 0 AS is_deleted, "
+    "CASE WHEN again AND idx = 0 THEN 'new' ELSE description END AS text FROM o"
+)
+def upsert_rows(spark, sf):
+    """Normalized rows by id: pages that are ingested again with their first row alone keep it, changed, and lose the others."""
+    events = src.events(spark, sf)
+    stored = events.select(F.concat("page_id", F.lit("_table_0_row_"), "idx").alias("_id"), "page_id", F.col("description").alias("text"), "is_deleted")
+    again = events.where(F.col("project_ids")[0].cast("long") % 10 == 0)
+    rows = again.where("idx = 0").select(F.concat("page_id", F.lit("_table_0_row_0")).alias("_id"), "page_id", F.lit("new").alias("text"), "is_deleted")
+    return store.upsert_rows(stored, rows, again.select("page_id").distinct()).select("_id", "is_deleted", "text")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS page_id, o_orderpriority AS space_key FROM orders WHERE o_orderkey = 77")
+def page_lookup(spark, sf):
+    from lattica.sources.pages import page_by_id
+
+    return page_by_id(src.pages(spark, sf), "77").select("page_id", "space_key")
 
 
 def _conversation_cells(spark, sf):
     """Each conversation as a table: a head row, then a row a turn with who spoke and what was said."""
-    turns = src.table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.first("role").alias("role"), F.first("text").alias("text"), F.count(F.lit(1)).alias("n")).where("n = 1")
     cell = lambda col, text, style="normal": F.struct(F.lit(col).alias("col"), F.array(F.struct(text.alias("content"), F.lit(style).alias("style"))).alias("chunks"))
-    rows = turns.select(F.col("conv_id").alias("ord"), (F.col("turn") + 1).alias("row"), F.explode(F.array(cell(0, F.col("role")), cell(1, F.col("text"), "cancelled"))).alias("x"))
+    turns = src.turns(spark, sf)
+    rows = turns.select(F.col("conv_id").alias("ord"), F.col("at").cast("long").alias("row"), F.explode(F.array(cell(0, F.col("role")), cell(1, F.col("text"), "cancelled"))).alias("x"))
     heads = turns.select("conv_id").distinct().select(F.col("conv_id").alias("ord"), F.lit(0).cast("long").alias("row"), F.explode(F.array(cell(0, F.lit("Role")), cell(1, F.lit("TEXT ")))).alias("x"))
     return rows.union(heads).select("ord", "row", "x.*")
 
 
 @query(
-    "WITH s AS (SELECT conv_id, turn, role, text FROM conversations QUALIFY count(*) OVER (PARTITION BY conv_id, turn) = 1) "
-    "SELECT conv_id AS ord, turn + 1 AS \"row\", trim(role) AS speaker, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS said_md5, 'said' AS cancelled FROM s WHERE trim(role) <> '' OR trim(text) <> ''"
+    "WITH s AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS at_ FROM conversations) "
+    "SELECT conv_id AS ord, at_ AS \"row\", trim(role) AS speaker, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS said_md5, 'said' AS cancelled FROM s WHERE trim(role) <> '' OR trim(text) <> ''"
 )
 def consolidate(spark, sf):
     cells = _conversation_cells(spark, sf)
@@ -265,7 +423,7 @@ def consolidate(spark, sf):
 
 
 @query(
-    "WITH s AS (SELECT conv_id, turn FROM conversations QUALIFY count(*) OVER (PARTITION BY conv_id, turn) = 1), c AS (SELECT conv_id, count(*) AS n FROM s GROUP BY conv_id) "
+    "WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) "
     "SELECT CAST(conv_id AS VARCHAR) AS page_id, 'Role|TEXT ' AS headers, 2 AS col_count, CAST(n + 1 AS INTEGER) AS row_count, CAST(least(n, 3) AS INTEGER) AS n_samples FROM c"
 )
 def fingerprint(spark, sf):
@@ -275,7 +433,7 @@ def fingerprint(spark, sf):
     return out.select("page_id", F.array_join("headers", "|").alias("headers"), "col_count", "row_count", F.size("samples").alias("n_samples"))
 
 
-HEADERS = ((0, ["Acuerdo", "Fecha"]), (1, ["Acuedo", "Fecha"]), (2, ["Estado", "Responsable", "Id"]), (3, ["estatus", "responsable", "id"]), (4, ["zzz"]), (5, ["Acuerdo", "Fecha"]))
+HEADERS = ((0, ["Acuerdo", "Fecha"]), (1, ["Acuedo", "Fecha"]), (2, ["Estado", "Responsable", "Id"]), (3, ["estatus", "responsable", "id"]), (4, ["zzz"]), (5, ["Acuerdo", "Fecha"]), (6, ["Riesgo", "Impacto", "Nivel"]))
 SCHEMAS = (
     (0, "s0", ["acuerdo", "fecha"], {"Acuerdo": "acuerdo", "acuerdo ": "other", "Fecha": "fecha"}),
     (1, "s1", ["acuerdo", "fecha"], {}),
@@ -298,27 +456,33 @@ def header_similarity(spark, sf):
     return df.select("k", F.round(similarity("a", "b"), 6).alias("similarity"))
 
 
-@query("SELECT * FROM (VALUES (0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 0)) t(ord, cluster)")
+@query("SELECT * FROM (VALUES (0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 0), (6, 6)) t(ord, cluster)")
 def cluster_components(spark, sf):
     return normalize.clusters(_tables(spark))
 
 
-@query("SELECT ord, schema_id, CAST(score AS DOUBLE) AS score FROM (VALUES (0, 's0', 1.0), (1, 's0', 0.962), (5, 's0', 1.0)) t(ord, schema_id, score)")
+@query(
+    "SELECT ord, schema_id, CAST(score AS DOUBLE) AS score FROM (VALUES (0, 's0', 1.0), (1, 's0', 0.962), (2, 's2', 0.75), (3, 's2', 0.724), (5, 's0', 1.0), (6, 's2', 0.403)) t(ord, schema_id, score)"
+)
 def best_match(spark, sf):
-    out = normalize.best_match(_tables(spark), _schemas(spark)).where("ord IN (0, 1, 5)")
-    return out.select("ord", "schema_id", F.round("score", 3).alias("score"))
+    """Of equal schemas the first; none for the table that is like no schema."""
+    return normalize.best_match(_tables(spark), _schemas(spark)).select("ord", "schema_id", F.round("score", 3).alias("score"))
 
 
-@query("SELECT * FROM (VALUES (0, 0, 'acuerdo'), (0, 1, 'fecha'), (1, 1, 'fecha'), (5, 0, 'acuerdo'), (5, 1, 'fecha')) t(ord, col, canonical)")
+@query(
+    "SELECT * FROM (VALUES (0, 0, 'acuerdo'), (0, 1, 'fecha'), (1, 1, 'fecha'), (2, 0, 'status'), (2, 1, 'owner'), (3, 1, 'owner'), (5, 0, 'acuerdo'), (5, 1, 'fecha')) t(ord, col, canonical)"
+)
 def column_map(spark, sf):
-    tables = _tables(spark).where("ord IN (0, 1, 5)").withColumn("schema_id", F.lit("s0"))
+    """Exact headers first, then without case; those without an entry have no column."""
+    tables = _tables(spark).withColumn("schema_id", F.when(F.col("ord").isin(2, 3), "s2").otherwise("s0"))
     return normalize.column_map(tables, _schemas(spark)).select("ord", "col", "canonical")
 
 
-@query("SELECT * FROM (VALUES (0, 'assigned', 's0'), (1, 'assigned', 's0'), (4, 'unknown', NULL), (5, 'assigned', 's0')) t(ord, route, schema_id)")
+@query(
+    "SELECT * FROM (VALUES (0, 'assigned', 's0'), (1, 'assigned', 's0'), (2, 'assigned', 's2'), (3, 'assigned', 's2'), (4, 'unknown', NULL), (5, 'assigned', 's0'), (6, 'new', NULL)) t(ord, route, schema_id)"
+)
 def route_tables(spark, sf):
-    out = normalize.route(_tables(spark), _schemas(spark))
-    return out.where("ord IN (0, 1, 4, 5)").select("ord", "route", "schema_id")
+    return normalize.route(_tables(spark), _schemas(spark)).select("ord", "route", "schema_id")
 
 
 VERSIONS = (("a1", "agreements", "approved", 1), ("a2", "agreements", "auto_approved", 3), ("a3", "agreements", "pending_approval", 9), ("r1", "risks", "approved", 2))

@@ -78,6 +78,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.build_edges(events(spark, sf_dir))
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations with their place ``at`` (from 1): by turn, then role and text, so repeated turns have one each."""
+    at = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", at.alias("at"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("vec_"), "vec_id").alias("_id"),

@@ -154,14 +154,52 @@ def bfs_undirected(spark, sf):
     return found.select("_id", "type", "level")
 
 
+_SHOWN_NODES = "s AS ((SELECT _id FROM n WHERE type = 'ConfPage' ORDER BY _id LIMIT 500) UNION ALL (SELECT _id FROM n WHERE type = 'Event' ORDER BY _id LIMIT 500))"
+_SHOWN_EDGES = "SELECT source_id, relation, target_id FROM g WHERE source_id IN (SELECT _id FROM s) AND target_id IN (SELECT _id FROM s)"
+
+
+def _visible(spark, sf):
+    """What a view shows: the first nodes of each of two types."""
+    nodes = src.nodes(spark, sf)
+    return search.load_nodes(nodes, ["ConfPage"], limit=500).union(search.load_nodes(nodes, ["Event"], limit=500))
+
+
+@query(f"WITH {sql.NODES}, {sql.EDGES}, {_SHOWN_NODES} {_SHOWN_EDGES}")
+def induced_edges(spark, sf):
+    """Edges of the whole graph among the nodes that a view shows."""
+    return search.induced_edges(src.edges(spark, sf), _visible(spark, sf)).select("source_id", "relation", "target_id")
+
+
 @query(
-    f"WITH {sql.NODES}, {sql.EDGES}, s AS (SELECT _id FROM n WHERE type IN ('ConfPage', 'Event') AND page_id < '101' ORDER BY _id LIMIT 500) "
-    "SELECT source_id, relation, target_id FROM g WHERE source_id IN (SELECT _id FROM s) AND target_id IN (SELECT _id FROM s)"
+    f"WITH {sql.NODES}, {sql.EDGES}, {_SHOWN_NODES}, i AS ({_SHOWN_EDGES}) SELECT type, count(*) AS n FROM n WHERE _id IN (SELECT _id FROM s) GROUP BY type UNION ALL SELECT 'Edges', count(*) FROM i"
 )
-def induced_edges(spark, sf):
-    """Edges among the nodes that a view of some pages shows."""
-    visible = search.load_nodes(src.nodes(spark, sf).where("page_id < '101'"), ["ConfPage", "Event"], limit=500)
-    return search.induced_edges(src.edges(spark, sf), visible).select("source_id", "relation", "target_id")
+def ui_counts(spark, sf):
+    """How many nodes of each type and how many edges a view shows."""
+    visible = _visible(spark, sf)
+    return search.counts_by_type(visible, search.induced_edges(src.edges(spark, sf), visible))
+
+
+@query(
+    f"WITH {sql.NODES} SELECT _id, '[' || type || '] ' || CASE type WHEN 'ConfPage' THEN substr(name, 1, 50) WHEN 'Event' THEN regexp_extract(name, '^.([^]]*)', 1) || ' — ' || "
+    "substr(regexp_extract(name, '^[^]]*. (.*)$', 1), 1, 40) ELSE regexp_extract(name, ' (.*)$', 1) END AS name FROM n"
+)
+def ui_names(spark, sf):
+    return src.nodes(spark, sf).select("_id", search.display_name().alias("name"))
+
+
+_LINES = "'<b>ID:</b> ' || _id || '<br><b>Type:</b> ' || type || '<br><b>Date:</b> ' || strftime(ts, '%Y-%m-%d')"
+
+
+@query(
+    f"WITH {sql.NODES}, f AS (SELECT 'app_' || app_id AS _id, min(ts) AS first_seen FROM e GROUP BY app_id UNION ALL SELECT 'proj_' || project_id, min(ts) FROM e GROUP BY project_id) "
+    f"SELECT n._id, md5({_LINES.replace('_id', 'n._id', 1).replace('ts,', 'n.ts,')} || CASE type WHEN 'ConfPage' THEN '<br><b>Title:</b> ' || name "
+    "WHEN 'Event' THEN '<br><b>type:</b> ' || event_type || '<br><b>cancelled:</b> ' || is_cancelled || '<br><b>description:</b> ' || substr(description, 1, 120) || '<br><b>apps:</b> ' || app_id "
+    f"ELSE '<br><b>' || CASE type WHEN 'Project' THEN 'project_id' ELSE 'app_id' END || ':</b> ' || regexp_extract(name, ' (.*)$', 1) || '<br><b>first_seen:</b> ' || strftime(first_seen, {sql.ISO}) "
+    f"|| CASE type WHEN 'Application' THEN '<br><b>last_seen:</b> ' || strftime(n.ts, {sql.ISO}) ELSE '' END END) AS tooltip_md5 "
+    "FROM n LEFT JOIN e ON n._id = e._id LEFT JOIN f ON n._id = f._id"
+)
+def ui_tooltips(spark, sf):
+    return src.nodes(spark, sf).select("_id", F.md5(search.tooltip()).alias("tooltip_md5"))
 
 
 @query(f"WITH {sql.NODES} SELECT type, count(*) AS n FROM n GROUP BY type")
@@ -228,22 +266,20 @@ def vector_nodes(spark, sf):
     return found.select("_id", "type", F.round("semantic", 4).alias("score"))
 
 
-@query(f"WITH {sql.VECTORS} SELECT _id, page_id, round(semantic, 4) AS score FROM v WHERE vec_id % 2 = 1 ORDER BY semantic DESC, _id LIMIT 60")
+@query(f"WITH {sql.VECTORS} SELECT 'row_' || vec_id AS _id, page_id, round(semantic, 4) AS score FROM v ORDER BY semantic DESC, 'row_' || vec_id LIMIT 60")
 def vector_rows(spark, sf):
-    found = search.vector_search(src.vectors(spark, sf).where("vec_id % 2 = 1"), src.query_vector(spark, sf), 60)
-    return found.select("_id", "page_id", F.round("semantic", 4).alias("score"))
+    """All vectors as those of table rows."""
+    rows = src.vectors(spark, sf).withColumn("_id", F.concat(F.lit("row_"), "vec_id"))
+    return search.vector_search(rows, src.query_vector(spark, sf), 60).select("_id", "page_id", F.round("semantic", 4).alias("score"))
 
 
-@query(f"WITH {sql.VECTORS} SELECT _id, page_id, round(semantic, 4) AS score FROM v WHERE vec_id % 3 = 0 ORDER BY semantic DESC, _id LIMIT 60")
+@query(
+    f"WITH {sql.VECTORS} SELECT 'chunk_' || vec_id AS _id, page_id, round(semantic, 4) AS score FROM v WHERE ts <= TIMESTAMP '2025-01-01' ORDER BY semantic DESC, 'chunk_' || vec_id LIMIT 60"
+)
 def vector_chunks(spark, sf):
-    found = search.vector_search(src.vectors(spark, sf).where("vec_id % 3 = 0"), src.query_vector(spark, sf), 60)
-    return found.select("_id", "page_id", F.round("semantic", 4).alias("score"))
-
-
-@query(f"WITH {sql.VECTORS} SELECT _id, page_id, round(semantic, 4) AS score FROM v ORDER BY semantic DESC, _id LIMIT 60")
-def vector_all(spark, sf):
-    """The search of rows and chunks over all of embeddings."""
-    found = search.vector_search(src.vectors(spark, sf), src.query_vector(spark, sf), 60)
+    """All vectors as those of chunks, up to a day."""
+    chunks = src.vectors(spark, sf).withColumn("_id", F.concat(F.lit("chunk_"), "vec_id"))
+    found = search.vector_search(chunks, src.query_vector(spark, sf), 60, before=F.expr("TIMESTAMP_NTZ'2025-01-01 00:00:00'"))
     return found.select("_id", "page_id", F.round("semantic", 4).alias("score"))
 
 
@@ -279,15 +315,28 @@ def search_response(spark, sf):
     return found.select("_id", *(F.round(c, 4).alias(c) for c in ("semantic", "temporal", "combined")), iso(F.col("timestamp")).alias("at"))
 
 
+_MEETING = ("000000899", "00000000511")
+
+
 @query(
-    f"WITH {sql.EVENTS}, {sql.VECTORS} SELECT v._id, round(semantic, 4) AS score FROM v WHERE page_id IN "
-    "(SELECT page_id FROM e WHERE event_type = 'decision' AND o_custkey < 400) ORDER BY semantic DESC, _id LIMIT 10"
+    f"WITH {sql.EVENTS}, {sql.VECTORS} SELECT v._id, round(semantic, 4) AS score FROM v WHERE page_id IN (SELECT page_id FROM e WHERE project_id = '000000257') "
+    "ORDER BY semantic DESC, _id LIMIT 10"
 )
 def search_rows_restricted(spark, sf):
-    """Rows of pages that hold a decision of some projects, by cosine."""
-    some = src.events(spark, sf).where("event_type = 'decision' AND project_ids[0] < '000000400'")
-    rows = src.vectors(spark, sf).join(some.select("page_id").distinct(), "page_id", "left_semi")
-    return search.vector_search(rows, src.query_vector(spark, sf), 10).select("_id", F.round("semantic", 4).alias("score"))
+    """Rows of the pages where an event names a project, by cosine."""
+    found = search.search_rows(src.vectors(spark, sf), src.events(spark, sf, custkey=257), src.query_vector(spark, sf), 10, project_id="000000257")
+    return found.select("_id", F.round("semantic", 4).alias("score"))
+
+
+@query(
+    f"WITH {sql.EVENTS}, {sql.VECTORS} SELECT v._id, round(semantic, 4) AS score FROM v WHERE page_id IN (SELECT page_id FROM e WHERE project_id = '{_MEETING[0]}' AND app_id = '{_MEETING[1]}') "
+    "ORDER BY semantic DESC, _id LIMIT 10"
+)
+def search_rows_of_both(spark, sf):
+    """Rows of the pages where one event names both a project and an application, by cosine."""
+    events = src.events(spark, sf, custkey=int(_MEETING[0]))
+    found = search.search_rows(src.vectors(spark, sf), events, src.query_vector(spark, sf), 10, *_MEETING)
+    return found.select("_id", F.round("semantic", 4).alias("score"))
 
 
 @query(f"WITH {sql.VECTORS} SELECT _id, type, round(semantic, 4) AS score FROM v WHERE type IN ('ConfPage', 'Event') ORDER BY semantic DESC, _id LIMIT 10")
@@ -335,9 +384,32 @@ def log_transitions(spark, sf):
     return store.log_transitions(log, work.select("page_id", status.alias("new_status"), F.lit("timeout").alias("error")))
 
 
-@query(f"WITH {sql.LOG} SELECT page_id, status, strftime(modified, {sql.ISO}) AS at FROM lg")
+@query(
+    f"WITH {sql.LOG} SELECT page_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'done' END AS status, strftime(ts, {sql.ISO}) AS at "
+    "FROM x QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY ts DESC, event_id) = 1"
+)
 def log_latest(spark, sf):
-    return src.ingestion(spark, sf)[1].select("page_id", "status", iso(F.col("source_modified")).alias("at"))
+    """Replace by page: the newest of each page's log rows."""
+    status = F.when(F.col("event_type") == "error", "error").otherwise("done")
+    rows = src.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("page_id"), status.alias("status"), "ts", "event_id")
+    return store.latest_per_key(rows, ["page_id"], "ts", ["event_id"]).select("page_id", "status", iso(F.col("ts")).alias("at"))
+
+
+_MARKS = ("processing", "done", "error", "needs_review")
+
+
+@query(
+    f"WITH {sql.LOG} SELECT page_id, (['processing', 'done', 'error', 'needs_review'])[CAST(page_id AS INTEGER) % 4 + 1] AS status, "
+    "CAST(retry_count + CASE WHEN CAST(page_id AS INTEGER) % 4 = 2 THEN 1 ELSE 0 END AS INTEGER) AS retry_count, "
+    "CASE WHEN CAST(page_id AS INTEGER) % 4 >= 2 THEN 'because' END AS error_message, CAST(page_id AS INTEGER) % 4 < 2 AS processed FROM lg"
+)
+def log_marks(spark, sf):
+    """A quarter of the pages each is marked as in work, done, failed and to be reviewed."""
+    log = src.ingestion(spark, sf)[1].withColumn("processed_at", F.lit(None).cast("timestamp_ntz"))
+    quarter = F.pmod(F.col("page_id").cast("int"), F.lit(4))
+    for k, mark in enumerate(_MARKS):
+        log = store.mark_log(log, log.where(quarter == k), mark, F.lit("because"), F.expr(REFERENCE))
+    return log.select("page_id", "status", "retry_count", "error_message", F.col("processed_at").isNotNull().alias("processed"))
 
 
 @query(f"WITH {sql.LOG} SELECT page_id, status FROM lg WHERE page_id = '42'")
@@ -388,15 +460,12 @@ def episode_body(spark, sf):
 
 
 @query(
-    "SELECT conv_id, string_agg(role || ': ' || trim(text), ' | ' ORDER BY turn) AS text FROM "
-    "(SELECT conv_id, turn, any_value(role) AS role, any_value(text) AS text FROM conversations GROUP BY conv_id, turn HAVING count(*) = 1) WHERE trim(text) <> '' GROUP BY conv_id"
+    "SELECT conv_id, string_agg(role || ': ' || trim(text), ' | ' ORDER BY turn, role || ': ' || trim(text)) AS text FROM conversations WHERE trim(text) <> '' GROUP BY conv_id"
 )
 def row_text(spark, sf):
-    """A conversation as one row: a cell a turn, headed by its role."""
-    turns = src.table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.first("role").alias("role"), F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
-    cells = turns.where("n = 1").select(
-        F.col("conv_id").alias("page_id"), F.lit(0).alias("table_index"), F.lit(0).alias("row"), F.col("turn").alias("col"), F.col("role").alias("header"), "text"
-    )
+    """A conversation as one row: a cell a turn, headed by its role; repeated turns are cells of their own."""
+    turns = src.table(spark, sf, "conversations")
+    cells = turns.select(F.col("conv_id").alias("page_id"), F.lit(0).alias("table_index"), F.lit(0).alias("row"), F.col("turn").alias("col"), F.col("role").alias("header"), "text")
     return graph.row_texts(cells).select(F.col("page_id").alias("conv_id"), "text")
 
 
@@ -451,10 +520,10 @@ def regex_scan(spark, sf):
 _AT = "length(regexp_extract(text, '^(.*?)\\b' || raw_value || '\\b', 1)) + 1"
 
 
-@query(_SCAN + f", c AS (SELECT *, {_AT} AS at_, greatest(1, {_AT} - 20) AS a FROM s) SELECT page_id, CAST(ord AS INTEGER) AS ord, raw_value, substr(text, a, at_ + length(raw_value) + 20 - a) AS context FROM c")
+@query(_SCAN + f", c AS (SELECT *, {_AT} AS at_, greatest(1, {_AT} - 60) AS a FROM s) SELECT page_id, CAST(ord AS INTEGER) AS ord, raw_value, substr(text, a, at_ + length(raw_value) + 60 - a) AS context FROM c")
 def id_context(spark, sf):
     found = extract.scan_ids(_mentions(spark, sf))
-    return found.select("page_id", "ord", "raw_value", extract.context(F.col("text"), F.col("raw_value"), 20).alias("context"))
+    return found.select("page_id", "ord", "raw_value", extract.context(F.col("text"), F.col("raw_value")).alias("context"))
 
 
 @query(_FIRST + " SELECT page_id, raw_value, CAST(ord AS INTEGER) AS ord FROM f")
@@ -497,11 +566,23 @@ def model_input(spark, sf):
 # --- pages -------------------------------------------------------------------------------------------------------
 
 
-@query()
+#: Pieces of a page: a tag, comment or declaration with the text behind it; the head has no text of the page.
+_PIECES = r"""WITH h AS (SELECT page_id, regexp_replace(html, '<head>.*?</head>', '', 's') AS t FROM pages),
+x AS (SELECT page_id, unnest(regexp_extract_all(t, '<!--.*?-->|<[^>]*>[^<]*', 0, 's')) AS piece, generate_subscripts(regexp_extract_all(t, '<!--.*?-->|<[^>]*>[^<]*', 0, 's'), 1) AS i FROM h),
+y AS (SELECT page_id, i, CASE WHEN piece LIKE '<b>%' THEN 'bold' ELSE 'normal' END AS style,
+  CASE WHEN piece LIKE '<!--%' THEN regexp_extract(piece, '^<!--(.*?)-->$', 1, 's') WHEN piece ILIKE '<!doctype%' THEN regexp_extract(piece, '^<![a-zA-Z]+ ([^>]*)>', 1)
+  ELSE replace(replace(replace(replace(regexp_extract(piece, '^<[^>]*>(.*)$', 1, 's'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&') END AS raw FROM x),
+z AS (SELECT page_id, i, style, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS text FROM y WHERE regexp_replace(raw, '^\s+|\s+$', '', 'g') <> ''),
+n AS (SELECT *, CASE WHEN style IS DISTINCT FROM lag(style) OVER (PARTITION BY page_id ORDER BY i) THEN 1 ELSE 0 END AS new FROM z),
+r AS (SELECT *, sum(new) OVER (PARTITION BY page_id ORDER BY i) - 1 AS seq FROM n)
+SELECT CAST(page_id AS VARCHAR) AS page_id, CAST(seq AS INTEGER) AS seq, any_value(style) AS style, md5(string_agg(text, ' ' ORDER BY i)) AS content_md5 FROM r GROUP BY page_id, seq"""
+
+
+@query(_PIECES)
 def html_text(spark, sf):
     """Text chunks of all pages with their styles."""
     parsed = parse.parse_pages(src.table(spark, sf, "pages"))
-    return parse.flat(parsed, "chunks").select("page_id", "seq", "style", "content")
+    return parse.flat(parsed, "chunks").select("page_id", "seq", "style", F.md5("content").alias("content_md5"))
 
 
 @query(
@@ -512,15 +593,14 @@ def html_links(spark, sf):
 
 
 @query(
-    "WITH s AS (SELECT conv_id, turn, role, text FROM conversations QUALIFY count(*) OVER (PARTITION BY conv_id, turn) = 1), "
-    "c AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AND row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 THEN 0 ELSE 1 END AS new FROM s), "
-    "r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS run FROM c) "
-    "SELECT conv_id, CAST(run AS BIGINT) AS run, any_value(role) AS style, md5(string_agg(text, ' ' ORDER BY turn)) AS content_md5 FROM r GROUP BY conv_id, run"
+    "WITH s AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS at_ FROM conversations), "
+    "c AS (SELECT *, CASE WHEN at_ > 1 AND role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY at_) THEN 0 ELSE 1 END AS new FROM s), "
+    "r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY at_) - 1 AS run FROM c) "
+    "SELECT conv_id, CAST(run AS BIGINT) AS run, any_value(role) AS style, md5(string_agg(text, ' ' ORDER BY at_)) AS content_md5 FROM r GROUP BY conv_id, run"
 )
 def merge_runs(spark, sf):
-    """Neighbouring turns of one role become one."""
-    turns = src.table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.first("role").alias("style"), F.first("text").alias("content"), F.count(F.lit(1)).alias("n"))
-    merged = parse.merge_runs(turns.where("n = 1").drop("n"), ["conv_id"], "turn")
+    """Neighbouring turns of one role become one; repeated turns stand in the order of their role and text."""
+    merged = parse.merge_runs(src.turns(spark, sf).select("conv_id", "at", F.col("role").alias("style"), F.col("text").alias("content")), ["conv_id"], "at")
     return merged.select("conv_id", "run", "style", F.md5("content").alias("content_md5"))
 
 
