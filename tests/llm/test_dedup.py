@@ -171,17 +171,34 @@ def test_near_vectors_against_brute_force(spark, cell_rows):
         assert [got[k][1] for k in range(len(vectors))] == components(list(range(len(vectors))), lambda a, b: links[a, b])
 
 
-def test_recall_at_the_threshold():
-    """Pairs at cosine 0.9 exactly, the hardest that count, meet with a chance of over 0.95."""
+def test_recall_and_cells_of_every_setting():
+    """Pairs at cosine 0.9 exactly, the hardest that count, meet with a chance of 0.99; a setting for more vectors has more cells."""
     rng = np.random.default_rng(5)
     u = rng.normal(size=(3000, 64))
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     w = rng.normal(size=u.shape)
     w -= (w * u).sum(1, keepdims=True) * u
     w /= np.linalg.norm(w, axis=1, keepdims=True)
-    a, b = (lattice.Lattice().keys(x) for x in (u, 0.9 * u + np.sqrt(0.19) * w))
-    meet = (a[:, :, :1] == b).any((1, 2)) | (b[:, :, :1] == a).any((1, 2))
-    assert meet.mean() > 0.97
+    cells = []
+    for _, setting in lattice.SETTINGS:
+        a, b = (setting.keys(x) for x in (u, 0.9 * u + np.sqrt(0.19) * w))
+        meet = (a[:, :, :1] == b).any((1, 2)) | (b[:, :, :1] == a).any((1, 2))
+        assert meet.mean() > 0.99
+        shared = sum((c * (c - 1)).sum() for t in range(setting.tables) for c in [np.unique(a[:, t, 0], return_counts=True)[1]]) / setting.tables
+        cells.append(len(u) ** 2 / max(shared, 1e-9))
+    assert cells[0] > 200 and all(y > 4 * x for x, y in zip(cells, cells[1:]))
+    assert [lattice.lattice_for(n).codes for n in (10, 10**6, 10**7, 10**8, 10**9)] == [1, 1, 2, 2, 3]
+
+
+def test_finer_settings_give_the_same_links(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 64))
+    vectors = np.concatenate([base, base + rng.normal(size=base.shape) * 0.2])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    want = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_vectors(df).collect()}
+    assert sum(n for n, _ in want.values()) >= 120
+    for setting in (lattice.SETTINGS[1][1], lattice.SETTINGS[3][1]):
+        assert {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_vectors(df, lattice=setting).collect()} == want
 
 
 def test_near_vectors_empty(spark):
