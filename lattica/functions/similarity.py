@@ -1,9 +1,14 @@
-"""String and header similarity as native expressions."""
+"""String and header similarity: native expressions for single pairs, cached bit-parallel comparison for many."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _LCS = (
     "element_at(aggregate(split({a}, ''), transform(sequence(0, length({b})), z -> 0), (p, x) -> "
@@ -26,3 +31,48 @@ def header_similarity(a: str, b: str) -> Column:
     return F.expr(
         f"CASE WHEN size({a}) = 0 OR size({b}) = 0 THEN 0D ELSE aggregate(transform({a}, x -> {best}), 0D, (s, v) -> s + v) / size({a}) / 100D END"
     )
+
+
+def lcs_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, one step of whole-number bit operations for each character of ``b``."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & at.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+@lru_cache(200_000)
+def indel_ratio(a: str, b: str) -> float:
+    """The ratio of ``indel_ratio_sql`` as a share of 1."""
+    if a == b:
+        return 1.0
+    return 2 * lcs_length(a, b) / (len(a) + len(b)) if a and b else 0.0
+
+
+def normal(header: str | None) -> str:
+    """How headers are compared: without spaces at the ends and without case."""
+    return (header or "").strip(" ").lower()
+
+
+def list_similarity(a: list[str], b: list[str]) -> float:
+    """``header_similarity`` of two lists of normal headers."""
+    if not a or not b:
+        return 0.0
+    return sum(100 * max(indel_ratio(x, y) for y in b) for x in a) / len(a) / 100
+
+
+@F.pandas_udf(DoubleType())
+def list_similarity_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in batches:
+        yield pd.Series([list_similarity([normal(h) for h in x], [normal(h) for h in y]) for x, y in zip(a, b)])
+
+
+@F.pandas_udf(DoubleType())
+def indel_ratio_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in batches:
+        yield pd.Series([indel_ratio(x, y) for x, y in zip(a, b)])

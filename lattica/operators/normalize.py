@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.functions.similarity import header_similarity
+from lattica.functions.similarity import indel_ratio_udf, list_similarity, list_similarity_udf, normal
 from lattica.functions.text import strip
+from lattica.operators.components import components
 
 CLUSTER_SIMILARITY, ASSIGN_SIMILARITY = 0.75, 0.70
 
@@ -36,44 +39,95 @@ def fingerprints(tables: DataFrame, cells: DataFrame, sample_rows: int = 3) -> D
     )
 
 
-def similar_tables(tables: DataFrame, at_least: float = CLUSTER_SIMILARITY) -> DataFrame:
+def similar_strings(strings: DataFrame, at_least: float) -> DataFrame:
+    """Pairs ``(x, y)``, both ways and with itself, of distinct ``strings(s)`` whose indel ratio is ``at_least``.
+
+    A prefix-filtered join: what two such strings of n and m characters share, characters counted with repeats, is at
+    least n * t / (2 - t) for the one; so of its characters, rarest first, one of the first n - that + 1 is among
+    the first of the other. Only pairs that share one of these are compared.
+    """
+    text = strings.where("s <> ''").select("s", F.filter(F.split("s", ""), lambda c: c != "").alias("chars"))
+    each = text.select("s", F.size("chars").alias("n"), F.posexplode("chars").alias("at", "c"))
+    count = F.row_number().over(W.partitionBy("s", "c").orderBy("at"))
+    tokens = each.select("s", "n", F.struct("c", count.alias("k")).alias("token"))
+    rarity = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(W.partitionBy("s").orderBy("df", "token"))
+    first = tokens.join(rarity, "token").withColumn("place", place)
+    first = first.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * at_least / (2 - at_least) - 1e-9) + 1).select("s", "n", "token")
+    other = first.select(F.col("s").alias("y"), F.col("n").alias("m"), "token")
+    low, high = F.least("n", "m"), F.greatest("n", "m")
+    met = first.join(other, "token").where((F.col("s") < F.col("y")) & (2 * low >= at_least * (low + high) - 1e-9)).select(F.col("s").alias("x"), "y").distinct()
+    near = met.where(indel_ratio_udf("x", "y") >= at_least)
+    same = strings.select(F.col("s").alias("x"), F.col("s").alias("y"))
+    return near.union(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).union(same)
+
+
+def similar_tables(tables: DataFrame, at_least: float = CLUSTER_SIMILARITY, string_ratio: float = 0.5) -> DataFrame:
     """Pairs ``(a, b)`` of ``tables(ord, headers)`` whose earlier one is similar to the later; equal header lists
-    meet as one, so a common layout costs one comparison and not one for each pair of its tables."""
-    kinds = tables.groupBy("headers").agg(F.min("ord").alias("first"), F.collect_list("ord").alias("ords"))
-    a, b = (kinds.select(F.col("headers").alias(f"h{x}"), F.col("first").alias(x)) for x in "ab")
-    pairs = a.join(b, F.col("a") < F.col("b")).where(header_similarity("ha", "hb") >= at_least).select("a", "b")
-    same = tables.join(kinds.select("headers", "first"), "headers").where("ord <> first").select(F.col("first").alias("a"), F.col("ord").alias("b"))
+    meet as one, so a common layout costs one comparison and not one for each pair of its tables.
+
+    If the mean of the best ratios of k headers is ``at_least``, more than a share of them have a partner of
+    ``string_ratio`` or more; so one of the others but that many, rarest first, has. Lists that share such a pair of
+    headers are compared, no others.
+    """
+    kinds = tables.groupBy("headers").agg(F.min("ord").alias("first"))
+    normal = F.transform("headers", lambda h: F.lower(F.trim(F.coalesce(h, F.lit("")))))
+    words = kinds.select("first", F.size("headers").alias("k"), F.explode(normal).alias("s"))
+    rarity = words.groupBy("s").agg(F.countDistinct("first").alias("df"))
+    needed = F.floor(F.col("k") * (at_least - string_ratio) / (1 - string_ratio) + 1e-9) + 1  # more than this share
+    place = F.row_number().over(W.partitionBy("first").orderBy("df", "s"))
+    rare = words.join(rarity, "s").withColumn("place", place).where(F.col("place") <= F.col("k") - needed + 1).select(F.col("first").alias("a"), F.col("s").alias("x"))
+    near = similar_strings(rarity.select("s"), string_ratio)
+    theirs = words.select(F.col("first").alias("b"), F.col("s").alias("y")).distinct()
+    met = rare.distinct().join(near, "x").join(theirs, "y").where("a < b").select("a", "b").distinct()
+    lists = lambda name: kinds.select(F.col("first").alias(name), F.col("headers").alias(f"h{name}"))
+    pairs = met.join(lists("a"), "a").join(lists("b"), "b").where(list_similarity_udf("ha", "hb") >= at_least - 1e-12).select("a", "b")
+    same = tables.join(kinds, "headers").where("ord <> first").select(F.col("first").alias("a"), F.col("ord").alias("b"))
     return pairs.union(same)
 
 
 def clusters(tables: DataFrame, at_least: float = CLUSTER_SIMILARITY) -> DataFrame:
     """``(ord, cluster)``: connected components of similar tables, named by their first table."""
-    edges = similar_tables(tables, at_least).persist()
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = tables.select("ord", F.col("ord").alias("cluster")).distinct()
-    while True:
-        near = both.join(label, both["a"] == label["ord"]).groupBy("b").agg(F.min("cluster").alias("low"))
-        new = label.join(near, label["ord"] == near["b"], "left").select("ord", F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"), F.col("cluster").alias("old"))
-        new = new.persist()
-        moved = not new.where("cluster <> old").isEmpty()
-        label = new.select("ord", "cluster")
-        if not moved:
-            return label
+    found = components(tables.select(F.col("ord").alias("id")), similar_tables(tables, at_least))
+    return found.select(F.col("id").alias("ord"), F.col("component").alias("cluster"))
+
+
+#: Schemas are sent out in blocks of so many names at most.
+BLOCK_NAMES = 100_000
 
 
 def best_match(tables: DataFrame, schemas: DataFrame) -> DataFrame:
     """Most similar schema of each table ``(ord, headers)``; of equals the first; none at similarity 0.
 
-    ``schemas(schema_ord, schema_id, canonical_columns, column_mapping)`` is the small, curated side.
+    ``schemas(schema_ord, schema_id, canonical_columns, column_mapping)`` is the curated side: it passes the driver in
+    blocks of ``BLOCK_NAMES`` names, each compared with every distinct header list; a list keeps the best of all.
     """
-    names = schemas.withColumn("names", F.concat("canonical_columns", F.map_keys("column_mapping")))
-    scored = tables.join(F.broadcast(names) if _is_small(schemas) else names).withColumn("score", header_similarity("headers", "names")).where("score > 0")
-    by = W.partitionBy("ord").orderBy(F.col("score").desc(), "schema_ord")
-    return scored.withColumn("_rn", F.row_number().over(by)).where("_rn = 1").select("ord", "schema_id", "score")
-
-
-def _is_small(df: DataFrame, rows: int = 10_000) -> bool:
-    return len(df.select(F.lit(1)).take(rows + 1)) <= rows
+    kinds = tables.select("headers").distinct()
+    names = schemas.select("schema_ord", "schema_id", F.concat("canonical_columns", F.map_keys("column_mapping")).alias("names"))
+    parts, block, held = [], [], 0
+
+    def scored(block: list) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for headers in batch["headers"]:
+                    own = [normal(h) for h in headers]
+                    best = max(((list_similarity(own, them), -place, name) for place, name, them in block), default=(0.0, 0, None))
+                    rows.append((headers, best[2], best[0], -best[1]))
+                yield pd.DataFrame(rows, columns=["headers", "schema_id", "score", "schema_ord"])
+
+        return kinds.mapInPandas(run, "headers array<string>, schema_id string, score double, schema_ord long")
+
+    for row in names.toLocalIterator():
+        if held + len(row["names"]) > BLOCK_NAMES and block:
+            parts.append(scored(block))
+            block, held = [], 0
+        block.append((row["schema_ord"], row["schema_id"], [normal(n) for n in row["names"]]))
+        held += len(row["names"])
+    parts.append(scored(block))
+    best = reduce(DataFrame.union, parts).where("score > 0")
+    best = best.groupBy("headers").agg(F.max_by(F.struct("schema_id", "score"), F.struct("score", -F.col("schema_ord"))).alias("x"))
+    return tables.select("ord", "headers").join(best, "headers").select("ord", "x.schema_id", "x.score")
 
 
 def column_map(tables: DataFrame, schemas: DataFrame) -> DataFrame:

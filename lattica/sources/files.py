@@ -32,7 +32,8 @@ def _texts(node: ElementTree.Element, leaf: str = "t") -> str:
 
 
 def _table(node: ElementTree.Element) -> list[list[str]]:
-    return [[_texts(c).strip() for c in row if _local(c.tag) == "tc"] for row in node.iter() if _local(row.tag) == "tr"]
+    """The rows of a table; the text of a table in a cell belongs to the cell."""
+    return [[_texts(c).strip() for c in row if _local(c.tag) == "tc"] for row in node if _local(row.tag) == "tr"]
 
 
 def read_docx(content: bytes, filename: str) -> tuple[str, list[list[list[str]]]]:
@@ -60,6 +61,25 @@ def read_pptx(content: bytes, filename: str) -> tuple[str, list[list[list[str]]]
     return "\n".join(lines), tables
 
 
+def _sheets(archive: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """Title and part of each sheet in the order of the workbook, whose relations name the parts."""
+    book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
+    sheets = [x for x in book.iter() if _local(x.tag) == "sheet"]
+    parts = _parts(archive, r"xl/worksheets/sheet\d+\.xml")
+    targets: dict[str, str] = {}
+    if "xl/_rels/workbook.xml.rels" in archive.namelist():
+        for r in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels")):
+            target = r.get("Target", "")
+            targets[r.get("Id", "")] = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    out = []
+    for at, sheet in enumerate(sheets):
+        relation = next((v for k, v in sheet.attrib.items() if k.endswith("}id")), "")
+        part = targets.get(relation) or (parts[at] if at < len(parts) else "")
+        if part in archive.namelist():
+            out.append((sheet.get("name", ""), part))
+    return out
+
+
 def read_xlsx(content: bytes, filename: str) -> tuple[str, list[list[list[str]]]]:
     """A heading for each sheet and its rows, cells parted by bars; blank rows are left out."""
     lines, tables = [], []
@@ -67,9 +87,7 @@ def read_xlsx(content: bytes, filename: str) -> tuple[str, list[list[list[str]]]
         shared: list[str] = []
         if "xl/sharedStrings.xml" in archive.namelist():
             shared = [_texts(x) for x in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")) if _local(x.tag) == "si"]
-        book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
-        titles = [x.get("name", "") for x in book.iter() if _local(x.tag) == "sheet"]
-        for title, name in zip(titles, _parts(archive, r"xl/worksheets/sheet\d+\.xml")):
+        for title, name in _sheets(archive):
             rows = []
             for row in ElementTree.fromstring(archive.read(name)).iter():
                 if _local(row.tag) != "row":

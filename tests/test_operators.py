@@ -29,6 +29,14 @@ def test_attachment_links():
     assert [(r["filename"], r["url"]) for r in page.refs] == [("r.pdf", "/download/attachments/1/r.pdf?v=2"), ("i.png", "")]
 
 
+def test_components_of_a_long_path(spark):
+    from lattica.operators.components import components
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (5, 5)], "a int, b int")
+    nodes = spark.createDataFrame([(k,) for k in (*range(61), 100, 101, 200)], "id int")
+    assert {r.id: r.component for r in components(nodes, edges).collect()} == {**{k: 0 for k in range(61)}, 100: 100, 101: 100, 200: 200}
+
+
 def test_traverse_cycle_deleted_and_missing(spark):
     nodes = spark.createDataFrame([("A", False), ("B", True), ("C", False), ("E", False)], "_id string, is_deleted boolean")
     edges = spark.createDataFrame([("A", "r", "B"), ("B", "r", "C"), ("C", "r", "A"), ("A", "r", "D"), ("D", "r", "E")], "source_id string, relation string, target_id string")
@@ -87,6 +95,41 @@ def test_headless_table_consolidates_to_nothing_and_last_duplicate_wins(spark):
     assert [(r.ord, r.row, r["values"]) for r in rows] == [(1, 1, {"f": "b"})]
 
 
+def test_similar_tables_and_best_match_against_brute_force(spark, monkeypatch):
+    import random
+
+    from lattica.functions.similarity import indel_ratio, list_similarity, lcs_length, normal
+
+    assert (lcs_length("acuedo", "acuerdo"), lcs_length("", "a"), lcs_length("abcbdab", "bdcaba")) == (6, 0, 4)
+    rng = random.Random(3)
+    stems = ["Fecha", "Estado", "Responsable", "Acuerdo", "Riesgo", "Id", "Monto total", "Area", "fecha limite", ""]
+    edit = lambda s: "".join(rng.choice(["", c, c, c, c, c, c + rng.choice("aeo")]) for c in s)
+    rows = [(k, [edit(rng.choice(stems)) if rng.random() < 0.6 else rng.choice(stems) for _ in range(rng.randint(0, 4))]) for k in range(120)]
+    tables = spark.createDataFrame(rows, "ord int, headers array<string>")
+    first = {}
+    for k, h in rows:
+        first.setdefault(tuple(h), k)
+    kinds = [(k, [normal(x) for x in h]) for h, k in first.items()]
+    want = {(a, b) for a, x in kinds for b, y in kinds if a < b and list_similarity(x, y) >= 0.75 - 1e-12} | {(first[tuple(h)], k) for k, h in rows if first[tuple(h)] != k}
+    got = [(r.a, r.b) for r in normalize.similar_tables(tables).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    label = {k: k for k, _ in rows}
+    for _ in rows:
+        for a, b in want:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r.ord: r.cluster for r in normalize.clusters(tables).collect()} == label
+    some = [(n, f"s{n}", [x for x in h if x][:2], {x: x for x in set(h[2:])}) for n, (_, h) in enumerate(rows[:40])]
+    schemas = spark.createDataFrame(some, "schema_ord int, schema_id string, canonical_columns array<string>, column_mapping map<string,string>")
+    names = [[normal(x) for x in [*c, *m]] for _, _, c, m in some]
+    for block in (100_000, 7):
+        monkeypatch.setattr(normalize, "BLOCK_NAMES", block)
+        best = {r.ord: (r.schema_id, round(r.score, 9)) for r in normalize.best_match(tables, schemas).collect()}
+        for k, h in rows:
+            scores = [list_similarity([normal(x) for x in h], n) for n in names]
+            assert best.get(k) == ((f"s{scores.index(max(scores))}", round(max(scores), 9)) if max(scores) > 0 else None)
+    assert indel_ratio("", "") == 1.0
+
+
 def test_classify_takes_off_fences(spark):
     df = spark.createDataFrame([(0, [["A"]], ["A"], 2)], "cluster int, variants array<array<string>>, sample array<string>, tables int")
     assert normalize.classify(df, lambda prompt: '```json\n[{"table_type": "t"}]\n```') == [{"table_type": "t"}]
@@ -133,6 +176,25 @@ def test_office_files_and_failures(spark):
     assert got["3"][1].startswith("extraction_failed") and got["4"][1].startswith("download_failed")
 
 
+def test_sheets_follow_the_relations_of_the_workbook():
+    data = io.BytesIO()
+    row = lambda v: f'<worksheet><sheetData><row><c r="A1"><v>{v}</v></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns:r="rel"><sheets><sheet name="First" r:id="b"/><sheet name="Second" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<R><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/></R>')
+        z.writestr("xl/worksheets/sheet1.xml", row(1))
+        z.writestr("xl/worksheets/sheet2.xml", row(2))
+    assert EXTRACTORS["excel"](data.getvalue(), "x.xlsx")[0] == "[Sheet: First]\n2\n[Sheet: Second]\n1"
+
+
+def test_a_table_in_a_cell_is_text_of_the_cell():
+    inner = "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>in</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="u"><w:body><w:tbl><w:tr><w:tc><w:p><w:r><w:t>out</w:t></w:r></w:p>{inner}</w:tc></w:tr></w:tbl></w:body></w:document>')
+    assert EXTRACTORS["docx"](data.getvalue(), "x.docx")[1] == [[["outin"]]]
+
+
 def test_providers(spark):
     df = embed(spark.createDataFrame([("a b",), ("a b",), ("",)], "text string"), hashed_embedder(8))
     vectors = [tuple(r.embedding) for r in df.collect()]
