@@ -41,9 +41,12 @@ def seen_range(events: DataFrame, key: Column) -> DataFrame:
 
 def mentions(events: DataFrame) -> DataFrame:
     """``(id_type, id, page_id, timestamp)`` of the applications and projects that events name."""
-    kind = lambda name, ids: F.transform(ids, lambda x: F.struct(F.lit(name).alias("id_type"), x.alias("id")))
-    both = F.explode(F.concat(kind("app_id", "app_ids"), kind("project_id", "project_ids")))
-    return events.select("page_id", "timestamp", both.alias("x")).select("x.*", "page_id", "timestamp")
+    both = events.select("page_id", "timestamp", F.size(_ids("app_ids")).alias("apps"), F.posexplode(F.concat(_ids("app_ids"), _ids("project_ids"))).alias("at", "id"))
+    return both.select(F.when(F.col("at") < F.col("apps"), "app_id").otherwise("project_id").alias("id_type"), "id", "page_id", "timestamp")
+
+
+def _ids(name: str) -> Column:
+    return F.coalesce(name, F.array().cast("array<string>"))
 
 
 def id_nodes(named: DataFrame) -> DataFrame:
@@ -106,9 +109,10 @@ def build_edges(events: DataFrame, tables: DataFrame | None = None, attachments:
     """HAS_EVENT from page, application and project; REFERENCES_APP and _PROJ from the page, once each; CONTAINS from
     the page to its tables, HAS_ATTACHMENT to its attachments. Each input is read once for each relation."""
     page = F.concat(F.lit("page_"), "page_id")
-    apps = F.transform("app_ids", lambda x: F.concat(F.lit("app_"), x))
-    projects = F.transform("project_ids", lambda x: F.concat(F.lit("proj_"), x))
-    has_event = events.select(F.explode(F.concat(F.array(page), apps, projects)).alias("source_id"), F.lit("HAS_EVENT").alias("relation"), F.col("_id").alias("target_id"), "page_id")
+    named_by = F.posexplode(F.concat(F.array("page_id"), _ids("app_ids"), _ids("project_ids"))).alias("at", "id")
+    each = events.select("_id", "page_id", F.size(_ids("app_ids")).alias("apps"), named_by)
+    prefix = F.when(F.col("at") == 0, "page_").when(F.col("at") <= F.col("apps"), "app_").otherwise("proj_")
+    has_event = each.select(F.concat(prefix, "id").alias("source_id"), F.lit("HAS_EVENT").alias("relation"), F.col("_id").alias("target_id"), "page_id")
     both = mentions(events) if named is None else mentions(events).unionByName(named)
     app = F.col("id_type") == "app_id"
     once = both.select("page_id", "id_type", "id").distinct()

@@ -92,7 +92,9 @@ def traverse(nodes: DataFrame, edges: DataFrame, start: str, relations: Sequence
     reached, hit = [frontier], spark.createDataFrame([], "id string, level int")
     all_small = True
     for level in range(1, depth + 1):
-        found = steps.join(F.broadcast(frontier) if small else frontier, F.col("source_id") == F.col("id")).select(F.col("target_id").alias("id")).distinct()
+        # A semi-join goes below what the edges are made of, unions and groups; a join would wait for all of them.
+        ids = frontier.select(F.col("id").alias("source_id"))
+        found = steps.join(F.broadcast(ids) if small else ids, "source_id", "left_semi").select(F.col("target_id").alias("id")).distinct()
         for before in reached:
             found = found.join(before, "id", "left_anti")
         first = found.limit(SMALL_FRONTIER + 1).collect()
@@ -102,7 +104,9 @@ def traverse(nodes: DataFrame, edges: DataFrame, start: str, relations: Sequence
             break
         reached.append(frontier)
         hit, all_small = hit.union(frontier.withColumn("level", F.lit(level))), all_small and small
-    return live(nodes).join(F.broadcast(hit) if all_small else hit, F.col("_id") == F.col("id")).drop("id")
+    hit = hit.select(F.col("id").alias("_id"), "level")
+    hit = F.broadcast(hit) if all_small else hit
+    return live(nodes).join(hit.select("_id"), "_id", "left_semi").join(hit, "_id")
 
 
 def induced_edges(edges: DataFrame, visible: DataFrame) -> DataFrame:
