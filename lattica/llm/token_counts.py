@@ -7,9 +7,11 @@ batch are walked in sorted order, which is the depth-first order of their trie:
 next keeps the scores up to the branching node and computes only the new edges. At a piece's terminal its
 token count is stored, and documents add up stored counts.
 
-The vocabulary is that of a public byte-level tokenizer; nothing is trained. Rank r has Zipf's probability
-1 / ((r + 1) H), H the sum that makes them add up to one, so its cost is ln(r + 1) + ln H, in fixed point for
-results that do not depend on the order of additions.
+The vocabulary is that of a public byte-level tokenizer; no tokenizer is trained. Its probabilities are an input
+(``costs``). Without one, rank r has Zipf's probability 1 / ((r + 1) H), H the sum that makes them add up to one, so
+its cost is ln(r + 1) + ln H, in fixed point for results that do not depend on the order of additions.
+``fitted_costs`` estimates them from a whole corpus: one more step of hard expectation maximisation counts the tokens
+of all its best segmentations, on Spark, and what reaches the driver is one number a token.
 
 Defined cases: a null or empty text has 0 tokens; very long pieces take time in proportion to their length;
 repeated rows give repeated rows; extra columns are ignored; an empty table gives an empty result.
@@ -19,8 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
@@ -95,6 +99,29 @@ class TrieCounter:
             before = piece
         return out
 
+    def segment(self, piece: bytes) -> list[bytes]:
+        """The tokens of the best segmentation of one piece, of equals that with fewer tokens."""
+        best, count, back = [0], [0], [0]
+        for end in range(len(piece)):
+            node, choice = self.edges[0], None
+            for begin in range(end, -1, -1):
+                to = node.get(piece[begin])
+                if to is None:
+                    break
+                if self.cost[to] >= 0:
+                    offer = (best[begin] + self.cost[to], count[begin] + 1, begin)
+                    choice = offer if choice is None or offer[:2] < choice[:2] else choice
+                node = self.edges[to]
+            if choice is None:
+                raise ValueError("the vocabulary lacks a single byte")
+            for column, value in zip((best, count, back), choice):
+                column.append(value)
+        out, end = [], len(piece)
+        while end:
+            out.append(piece[back[end] : end])
+            end = back[end]
+        return out[::-1]
+
     def learn(self, words: Iterable[str]) -> dict[str, int]:
         """The counts of words; a word is a stretch of text whose ends no piece crosses."""
         findall = self.cut.findall
@@ -171,6 +198,42 @@ def token_counts(docs: DataFrame, path: str | None = None, text_col: str = "text
     return docs.mapInArrow(run, StructType([*docs.schema.fields[:back], StructField(into, LongType())]))
 
 
+def fitted_costs(docs: DataFrame, path: str | None = None, text_col: str = "text", costs: list[int] | None = None) -> list[int]:
+    """Costs of the tokens by rank, by how often each stands in the best segmentations (under ``costs``) of all texts.
+
+    Every count is one more than it is, so that no token is impossible. A task hands on a row for each token that it
+    met; their sums, at most as many as the vocabulary has tokens, come to the driver.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    tokens = load_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    model = (tokens, costs or zipf_costs(len(tokens)))
+    key, sent = hashlib.sha256(repr(model).encode()).hexdigest(), spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(key, *sent.value)
+        rank = {t: k for k, t in enumerate(sent.value[0])}
+        met = np.zeros(len(rank), np.int64)
+        for batch in batches:
+            words = Counter(w for t in batch.column(0).to_pylist() if t for w in counter.split(t))
+            pieces: Counter = Counter()
+            for word, n in words.items():
+                for piece in counter.cut.findall(word):
+                    pieces[piece.encode("utf-8", "replace")] += n
+            for piece, n in pieces.items():
+                for token in counter.segment(piece):
+                    met[rank[token]] += n
+        some = np.flatnonzero(met)
+        yield pa.record_batch([pa.array(some), pa.array(met[some])], ["token", "n"])
+
+    counted = docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = [1] * len(tokens)
+    for row in counted.collect():
+        counts[row["token"]] += row["n"]
+    total = math.log(sum(counts))
+    return [round(FIXED_POINT * (total - math.log(n))) for n in counts]
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of every document."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 
 import public_tokenizers
@@ -81,3 +82,27 @@ def test_counts_equal_a_unigram_model(spark):
     got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df).collect()}
     assert got == {-1: 0, **dict(enumerate(want))}
     assert token_counts.token_counts(df.limit(0)).count() == 0
+
+
+def test_costs_fitted_to_a_corpus(spark):
+    tokens = bpe.load_ranks(PATH)
+    counter = token_counts.TrieCounter(tokens, token_counts.zipf_costs(len(tokens)))
+    texts = [*TEXTS[1:4], "alpha beta alpha gamma " * 30, "delta"]
+    pieces = [p.encode() for t in texts for p in counter.cut.findall(t)]
+    counts = counter.terminal_counts(pieces)
+    for piece in set(pieces):
+        own = counter.segment(piece)
+        assert b"".join(own) == piece and len(own) == counts[piece][1]
+    met = [1] * len(tokens)
+    rank = {t: k for k, t in enumerate(tokens)}
+    for piece in pieces:
+        for token in counter.segment(piece):
+            met[rank[token]] += 1
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(-1, None)], "doc_id long, text string").repartition(3)
+    fitted = token_counts.fitted_costs(df)
+    assert fitted == [round(token_counts.FIXED_POINT * (math.log(sum(met)) - math.log(n))) for n in met]
+    again = token_counts.TrieCounter(tokens, fitted)
+    want = {k: again.count([t])[0] for k, t in enumerate(texts)} | {-1: 0}
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, costs=fitted).collect()} == want
+    with pytest.raises(ValueError, match="single byte"):
+        token_counts.TrieCounter([b"a"], [1]).terminal_counts([b"ab"])
