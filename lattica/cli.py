@@ -1,6 +1,6 @@
 """Command line: ingest a snapshot of pages, or follow a folder of snapshots.
 
-    python -m lattica.cli batch --pages IN --out OUT --space S [--start 2024-01-01 --end 2024-12-31 | --ids 1 2] [--attachments DIR] [--known IDS]
+    python -m lattica.cli batch --pages IN --out OUT --space S [--start 2024-01-01 --end 2024-12-31 | --ids 1 2] [--attachments DIR] [--known IDS] [--resume]
     python -m lattica.cli incremental --pages IN --out OUT --checkpoint DIR [--every "24 hours"] [--attachments DIR] [--known IDS]
 """
 
@@ -42,13 +42,19 @@ def write_results(pages: DataFrame, out: str, attachments: str | None = None, kn
         results[name].write.mode("overwrite").parquet(f"{out}/{name}")
 
 
-def run_batch(spark: SparkSession, pages: DataFrame, out: str, space: str | None, start: str | None, end: str | None, ids: list[str] | None, attachments: str | None = None, known: str | None = None) -> None:
+def run_batch(spark: SparkSession, pages: DataFrame, out: str, space: str | None, start: str | None, end: str | None, ids: list[str] | None, attachments: str | None = None, known: str | None = None, resume: bool = False) -> None:
+    """Ingest the chosen pages. With ``resume`` only those that the log says need it, and pages without a date are put
+    up for review; results then come in versions (``PageTables.results``), else they replace what was there."""
     day = lambda s: s and F.lit(datetime.strptime(s, "%Y-%m-%d")).cast("timestamp_ntz")
     if ids:
         pages = pages_by_id(pages, ids)
     elif space is not None:
         pages = scan_space(pages, space, day(start), day(end))
-    write_results(pages, out, attachments, known)
+    if resume:
+        tables = PageTables(spark, out)
+        tables.upsert(pages, tables.next_version(), incremental_work(tables, attachments, known), review_undated=True)
+    else:
+        write_results(pages, out, attachments, known)
 
 
 def incremental_work(tables: PageTables, attachments: str | None = None, known: str | None = None):
@@ -74,6 +80,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--checkpoint")
     parser.add_argument("--every")
     parser.add_argument("--attachments", help="folder of attachment metadata and files")
+    parser.add_argument("--resume", action="store_true", help="skip pages that are done, by the log in the output folder")
     parser.add_argument("--known", help="Parquet table of valid identifiers")
     args = parser.parse_args(argv)
     if args.ids and args.mode != "batch":
@@ -82,7 +89,7 @@ def main(argv: list[str] | None = None) -> None:
         parser.error("incremental needs --checkpoint")
     spark = build_session()
     if args.mode == "batch":
-        run_batch(spark, spark.read.schema(PAGE_SCHEMA).parquet(args.pages), args.out, args.space, args.start, args.end, args.ids, args.attachments, args.known)
+        run_batch(spark, spark.read.schema(PAGE_SCHEMA).parquet(args.pages), args.out, args.space, args.start, args.end, args.ids, args.attachments, args.known, args.resume)
     else:
         tables = PageTables(spark, args.out)
         work = incremental_work(tables, args.attachments, args.known)

@@ -296,6 +296,37 @@ def html_headers(spark, sf):
     return cells.select("page_id", "col", join("content").alias("chunks"), join("style").alias("styles"))
 
 
+@query(
+    f"WITH {_LINES}, t AS (SELECT page_id, -3 AS a, 0 AS b, 'Order Total:' AS text FROM l GROUP BY 1 UNION ALL SELECT DISTINCT page_id, -2, unnest([0, 1, 2]), unnest(['Part no', 'Quantity', 'File']) FROM l "
+    "UNION ALL SELECT page_id, r, unnest([0, 1]), unnest([CAST(l_partkey AS VARCHAR), CAST(quantity AS VARCHAR)]) FROM l UNION ALL SELECT page_id, r, 2, 'file' FROM l WHERE l_partkey % 3 = 0 "
+    "UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 1000000, 0, o_orderpriority FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) "
+    "SELECT page_id, count(*) AS n, md5(string_agg(text, '|' ORDER BY a, b)) AS text_md5 FROM t GROUP BY page_id"
+)
+def collect_text(spark, sf):
+    """All texts of a page in order: its chunks, then the cells of its tables, without blanks."""
+    parsed = parse.parse_pages(_order_pages(spark, sf))
+    none = spark.createDataFrame([], "page_id string, seq int, text string, prov_path string")
+    texts = extract.collected_texts(parse.flat(parsed, "chunks"), parse.flat(parsed, "cells"), none)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "|")
+    return texts.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.md5(joined).alias("text_md5"))
+
+
+@query(
+    f"WITH {_LINES} SELECT page_id, CAST(r AS INTEGER) AS \"row\", CAST(l_partkey AS VARCHAR) AS part, CAST(quantity AS VARCHAR) AS quantity, "
+    "CASE WHEN done AND l_partkey % 3 = 0 THEN 'file,part,quantity' WHEN done THEN 'part,quantity' WHEN l_returnflag = 'R' THEN 'quantity' ELSE '' END AS cancelled FROM l"
+)
+def batch_normalize(spark, sf):
+    """Tables of the pages as rows of the schema that fits them; the table without a head fits none."""
+    parsed = parse.parse_pages(_order_pages(spark, sf))
+    tables, cells = parse.flat(parsed, "tables"), parse.flat(parsed, "cells")
+    ordered = lambda df: df.withColumn("ord", F.concat_ws(":", "page_id", "table_index"))
+    prints = ordered(normalize.fingerprints(tables, cells))
+    schema = [(0, "lines", ["part", "quantity"], {"Part": "part", "Quantity": "quantity", "File": "file"})]
+    schemas = spark.createDataFrame(schema, "schema_ord int, schema_id string, canonical_columns array<string>, column_mapping map<string,string>")
+    rows = normalize.prepare_and_consolidate(prints, ordered(cells), schemas).join(prints.select("ord", "page_id"), "ord")
+    return rows.select("page_id", "row", F.col("values")["part"].alias("part"), F.col("values")["quantity"].alias("quantity"), F.array_join("cancelled_fields", ",").alias("cancelled"))
+
+
 _REFS = """SELECT page_id, '/download/attachments/' || page_id || '/part%20' || l_partkey || '.pdf?version=1&x=2' AS attachment_id, 'part ' || l_partkey || '.pdf' AS filename,
   'page:' || page_id || '/table:0/row:' || r || '/col:2' AS prov_path, CAST(r AS INTEGER) AS r, ts FROM l WHERE l_partkey % 3 = 0"""
 
@@ -501,6 +532,14 @@ def schema_approve(spark, sf):
     return store.approve_schema(df, "a3", "editor", F.current_timestamp()).select("schema_id", "status")
 
 
+@query("SELECT * FROM (VALUES ('s0', 'Acuerdo=acuerdo,Fecha=day,acuerdo =other'), ('s1', ''), ('s2', 'Estado=status,Responsable=owner')) t(schema_id, mapping)")
+def schema_add_mapping(spark, sf):
+    """An entry of one schema is replaced; the others stay."""
+    out = store.add_mapping(_schemas(spark), "s0", "Fecha", "day")
+    entries = F.array_sort(F.transform(F.map_entries("column_mapping"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return out.select("schema_id", F.array_join(entries, ",").alias("mapping"))
+
+
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS page_id, o_orderpriority = '2-HIGH' AS is_deleted, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
 def normalized_soft_delete(spark, sf):
     rows = src.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("page_id"), F.lit(False).alias("is_deleted"))

@@ -49,6 +49,12 @@ def app_timeline(spark, sf):
     return shown(search.events_of(src.events(spark, sf, partkey=PART), "app_ids", APP, 20))
 
 
+@query(f"WITH {sql.EVENTS} SELECT _id, count(*) OVER () AS count FROM (SELECT _id FROM e WHERE project_id = '{PROJECT}' ORDER BY ts DESC, _id LIMIT 50)")
+def timeline_count(spark, sf):
+    """A timeline with the number of its events."""
+    return search.counted(search.events_of(src.events(spark, sf, custkey=CUSTOMER), "project_ids", PROJECT, 50)).select("_id", "count")
+
+
 @query(f"WITH {sql.EVENTS} SELECT {SHOWN} FROM e WHERE app_id = '{APP}' AND ts <= TIMESTAMP '1998-01-01' ORDER BY ts DESC, _id LIMIT 10")
 def temporal_context_before(spark, sf):
     return shown(search.events_of(src.events(spark, sf, partkey=PART), "app_ids", APP, 10, end=F.expr(BEFORE)))
@@ -247,6 +253,14 @@ def upsert_edges(spark, sf):
     return store.upsert_edges(changes, "ts").select("_id", iso(F.col("ts")).alias("at"))
 
 
+@query(f"WITH {sql.PAGES} SELECT 'page_' || page_id AS _id, round(CAST(embedding[1] AS DOUBLE), 5) AS first FROM p LEFT JOIN embeddings ON page_id = CAST(vec_id AS VARCHAR)")
+def set_embeddings(spark, sf):
+    """Vectors put on the page nodes; pages without one keep none, vectors without a page have no effect."""
+    pages = graph.page_nodes(src.pages(spark, sf)).select("_id", F.lit(None).cast("array<float>").alias("embedding"))
+    found = store.set_embeddings(pages, src.vectors(spark, sf).select(F.concat(F.lit("page_"), "vec_id").alias("_id"), "embedding"))
+    return found.select("_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
+
+
 _NODE_JSON = "'{\"type\":\"' || type || '\",\"page_id\":\"' || page_id || '\",\"timestamp\":\"' || strftime(ts, " + sql.ISO + ") || '\"}'"
 
 

@@ -49,27 +49,33 @@ class PageTables:
             return joined.withColumn("is_deleted", stale).drop("_newest", "version")
         return joined.where(~stale).drop("_newest", "version")
 
-    def upsert(self, batch: DataFrame, version: int, work: Callable[[DataFrame, int], None] | None = None) -> None:
+    def next_version(self) -> int:
+        """One more than any version in the log."""
+        return (self._read("log", LOG_SCHEMA).agg(F.max("version")).first()[0] or 0) + 1
+
+    def upsert(self, batch: DataFrame, version: int, work: Callable[[DataFrame, int], None] | None = None, review_undated: bool = False) -> None:
         """Ingest the pages of a batch that need it. A batch that is run again writes the same version again, which
         the views take once. ``work(pages, version)`` writes what is made of the pages; if it fails, all pages of the
-        batch are logged as errors, each with one retry more."""
+        batch are logged as errors, each with one retry more. With ``review_undated`` pages without ``page_date`` are
+        logged for review and not ingested."""
         newest = latest_per_key(batch, ["page_id"], "last_modified")
         before = self.log()
         todo = with_log(newest, before).where(needs_upsert()).select(newest.columns).persist()
+        undated = F.col("page_date").isNull() if review_undated else F.lit(False)
         try:
             status, error = "done", None
             if work is not None:
                 try:
-                    work(todo, version)
+                    work(todo.where(~undated), version)
                 except Exception as e:  # noqa: BLE001  the log keeps it; the stream goes on
                     status, error = "error", str(e)[:500]
             if status == "done":
-                todo.withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(f"{self.root}/pages")
+                todo.where(~undated).withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(f"{self.root}/pages")
             retries = before.select("page_id", F.col("retry_count").alias("_retries"))
-            count = F.coalesce("_retries", F.lit(0)) + (0 if status == "done" else 1)
+            count = F.coalesce("_retries", F.lit(0)) + F.when(undated, 0).otherwise(0 if status == "done" else 1)
             log = todo.join(retries, "page_id", "left").select(
-                "page_id", F.lit(status).alias("status"), F.col("last_modified").alias("source_modified"),
-                count.cast("int").alias("retry_count"), F.lit(error).cast("string").alias("error_message"), F.lit(version).cast("long").alias("version"),
+                "page_id", F.when(undated, "needs_review").otherwise(status).alias("status"), F.col("last_modified").alias("source_modified"),
+                count.cast("int").alias("retry_count"), F.when(undated, "no date").otherwise(F.lit(error).cast("string")).alias("error_message"), F.lit(version).cast("long").alias("version"),
             )
             log.write.mode("append").parquet(f"{self.root}/log")
         finally:

@@ -283,6 +283,26 @@ def test_incremental_results_of_a_changed_page(spark, tmp_path):
     assert got["c"] == ("error", 2) and got["a"] == ("done", 0)
 
 
+def test_batch_that_is_resumed(spark, tmp_path):
+    from lattica import cli
+
+    row = lambda page, html, date: (page, "t", "S", html, datetime(2024, 1, 1), date)
+    day = datetime(2024, 1, 1)
+    pages = spark.createDataFrame([row("a", "<p>a</p>", day), row("b", "<p>b</p>", None)], cli.PAGE_SCHEMA)
+    more = pages.union(spark.createDataFrame([row("c", "<p>c</p>", day)], cli.PAGE_SCHEMA))
+    for df in (pages, more):
+        cli.run_batch(spark, df, f"{tmp_path}/out", None, None, None, None, resume=True)
+    tables = PageTables(spark, f"{tmp_path}/out")
+    assert {r.page_id: (r.status, r.error_message) for r in tables.log().collect()} == {"a": ("done", None), "b": ("needs_review", "no date"), "c": ("done", None)}
+    assert sorted(r.content for r in tables.results("chunks").collect()) == ["a", "c"]
+    assert spark.read.parquet(f"{tmp_path}/out/pages").count() == 2  # a was skipped the second time
+
+
+def test_project_info_by_former_id(spark):
+    df = spark.createDataFrame([("p1", "1", ["7", "8"], False), ("p2", "2", [], False)], "_id string, project_id string, raw_ids array<string>, is_deleted boolean")
+    assert [search.project_info(df, i).first() and search.project_info(df, i).first()._id for i in ("2", "8", "9")] == ["p2", "p1", None]
+
+
 def test_ingest_plan(spark):
     html = "<p>id 123456789 <s>gone</s></p><table><tr><th>Acuerdo</th><th>Fecha</th></tr><tr><td>do it</td><td>12345678901</td></tr></table>"
     pages = spark.createDataFrame([("p1", html), ("p2", None)], "page_id string, html string")
