@@ -4,7 +4,7 @@ Every element and text of a page is a node with a hidden label, content or not.
 their potential is the chance of the child's label given the parent's, by the child's tag and whether it is named. A node's own evidence
 is how much likelier its observations (words of class, id and role; length, links and sentence ends of its text)
 are under one label than under the other. Sum-product messages run once up the tree and once down it; their
-product is the exact marginal of each text, and texts that are content with a chance of at least a half are kept.
+product is the exact marginal of each text, and texts that are content with a chance of ``KEEP`` are kept.
 
 All numbers are counted from labelled pages. These are made by ``labelled_pages``: pages of many layouts whose
 main article is known (whole, or in sections and containers of many names), with menus, headers, footers, sidebars,
@@ -34,6 +34,8 @@ from lattica.functions.dom import BLOCK, TEXT, Dom, parse_dom
 from lattica.llm.common import bounded_batches, read
 
 TRAINING_PAGES = 2000
+#: The chance from which a text is kept: to lose content counts three times what it counts to keep something else.
+KEEP = 0.25
 #: Elements whose text is never shown as part of an article, whatever the model says.
 NEVER = frozenset("head title script style noscript template iframe object select option button textarea svg".split())
 #: Elements inside a line; they take their parent's label.
@@ -144,10 +146,10 @@ class Model:
                     a, b = self.own[x]
                     not_[node] += a
                     yes[node] += b
-            if dom.tag[node] in NEVER:
-                yes[node] = -1e9
         up: list[tuple[float, float]] = [(0.0, 0.0)] * n
         for node in range(n - 1, 0, -1):  # children come after their parents
+            if dom.tag[node] in NEVER:
+                continue  # says nothing of what is around it
             (e00, e01), (e10, e11) = edges[node]
             a, b = not_[node], yes[node]
             message = (_add(e00 + a, e01 + b), _add(e10 + a, e11 + b))
@@ -223,7 +225,7 @@ ASIDE_NAMES = {
     "notice": "cookie cookie-notice consent notice alert gdpr popup modal overlay newsletter subscribe paywall".split(),
     "advert": "ad ads advert advertisement sponsored sponsor promo promotion banner-ad adsense".split(),
     "share": "share social sharing social-links follow".split(),
-    "comments": "comments comment comment-list comments-area replies reply respond discussion disqus".split(),
+    "comments": "comments comment comment-list comments-area replies reply respond discussion disqus reviews review".split(),
     "form": "form search search-form login signup contact-form subscribe-form".split(),
 }
 #: Layouts that hold the article without saying so.
@@ -256,6 +258,10 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 9) -> list[tuple[str
     def short(n: int) -> str:
         return " ".join(words(rng.choice((1, 2, 3, 4, 5, 7, 9))).capitalize() + rng.choice("....!?") for _ in range(n))
 
+    def heading(n: int) -> str:
+        tag = f"h{rng.randint(2, 5)}"
+        return f"<{tag}>{words(rng.randint(1, n))}</{tag}>"
+
     def aside(kind: str, inside: bool) -> str:
         mark = f' {_MARK}="0"'
         own = {"nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "aside": ["aside", "div", "section"]}
@@ -268,14 +274,14 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 9) -> list[tuple[str
         elif kind == "form":
             body = f"<label>{words(2)}</label><input><button>{words(1)}</button><p>{short(1)}</p>"
         elif kind == "comments":
-            body = f"<h3>{words(2)}</h3>" + "".join(
+            body = heading(2) + "".join(
                 f"<{'li' if tag == 'ol' else 'div'}{named(ASIDE_NAMES[kind])}><b>{words(1)}</b><p>{sentences(rng.randint(1, 4))}</p></{'li' if tag == 'ol' else 'div'}>"
                 for _ in range(rng.randint(1, 5))
             )
         elif kind == "share":
             body = "".join(f'<a href="#">{words(1)}</a> ' for _ in range(3))
         elif kind == "aside":
-            body = rng.choice((f"<h4>{words(2)}</h4><ul>{links(4)}</ul>", f"<p>{short(rng.randint(1, 3))}</p>"))
+            body = heading(2) * rng.randint(0, 1) + rng.choice((f"<ul>{links(4)}</ul>", f"<p>{short(rng.randint(1, 3))}</p>"))
         elif kind == "header":
             body = rng.choice((f'<a href="/">{words(2)}</a>', f"<h1>{words(3)}</h1><p>{words(5)}</p>", f"{words(4)}"))
         else:
@@ -290,6 +296,8 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 9) -> list[tuple[str
             text = sentences(rng.choice((1, 1, 2, 4, 8)))
             if rng.random() < 0.25:
                 text = f"<b>{text}</b>" if rng.random() < 0.5 else f'{text} <a href="/x">{words(2)}</a> {sentences(1)}'
+            if para != "p":
+                return f"<{para}>{text}</{para}>"
             return f"<p>{text}</p>" if rng.random() < 0.8 else f"<p>{text}<br>{sentences(1)}"
         if draw < 0.82:
             return f"<h{(n := rng.choice((2, 2, 3, 3, 4, 5, 6)))}>{words(rng.randint(1, 6))}</h{n}>"
@@ -310,6 +318,8 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 9) -> list[tuple[str
             return f"<figure><img><figcaption>{sentences(1)}</figcaption></figure>"
         return f"<div>{sentences(3)}</div>"
 
+    para = "p"
+
     def part(depth: int) -> str:
         """A run of an article's blocks in a container of its own, which may be named and may hold others."""
         inner = [f"<h{(n := rng.randint(2, 4))}>{words(rng.randint(1, 6))}</h{n}>"] * (rng.random() < 0.6)
@@ -331,6 +341,7 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 9) -> list[tuple[str
 
     pages = []
     for _ in range(count):
+        para = rng.choice(("p",) * 7 + ("div",))  # what a page's paragraphs are made of; ``block`` reads it
         title = f"<h1>{words(rng.randint(1, 9))}</h1>"
         if rng.random() < 0.25:
             title = f"<header{named(['entry-title', 'headline', 'title'], 0.5)}>{title}</header>"
@@ -392,7 +403,7 @@ def main_text(html: str | None, model: Model) -> str:
             if blocks and last == holder[node]:
                 blocks[-1].append(" ")
         elif tag == TEXT:
-            if hidden[node] or chance[node] < 0.5:
+            if hidden[node] or chance[node] < KEEP:
                 continue
             if last == holder[node]:
                 blocks[-1].append(dom.data[node])
