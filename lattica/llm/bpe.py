@@ -40,8 +40,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from lattica.llm.common import bounded_batches, read
 
-#: Most words whose encoding a worker keeps, in two halves of which the older goes first (some 60 MB).
-CACHE_WORDS = 400_000
+#: Most words whose encoding a worker keeps, in two halves of which the older goes first (some 90 MB).
+CACHE_WORDS = 600_000
 #: Most neighbour tests a worker remembers (some 20 MB).
 CACHE_TESTS = 200_000
 #: Texts are encoded together up to so many characters.
@@ -64,19 +64,16 @@ class Vocabulary:
         self.lengths = [len(t) for t in self.tokens]
         self.longest = max(self.lengths)
         self.tests: dict[int, bool] = {}
-        self.endings: list[dict[int, int]] = [{}]  # trie of the reversed tokens
-        self.ending_id: list[int] = [-1]
+        self.endings: dict[int, list] = {}  # trie of the reversed tokens: byte to [what goes on, token that ends here or -1]
         for i, token in enumerate(self.tokens):
-            at = 0
+            node, at = self.endings, None
             for byte in reversed(token):
-                to = self.endings[at].get(byte)
-                if to is None:
-                    to = self.endings[at][byte] = len(self.endings)
-                    self.endings.append({})
-                    self.ending_id.append(-1)
-                at = to
-            if token:
-                self.ending_id[at] = i
+                at = node.get(byte)
+                if at is None:
+                    at = node[byte] = [{}, -1]
+                node = at[0]
+            if at is not None:
+                at[1] = i
 
     def beside(self, left: int, right: int) -> bool:
         """Whether BPE leaves ``left`` and ``right`` unmerged when they are neighbours."""
@@ -149,27 +146,26 @@ class PrefixEncoder:
     def _fill(self, first: int, end: int) -> None:
         """Store the entries of the prefixes of ``first`` to ``end`` bytes."""
         v, data, last = self.vocabulary, self.data, self.last
-        root, ending_id, tests, width = v.endings[0], v.ending_id, v.tests, len(v.tokens)
-        endings, get, put = v.endings, tests.get, last.append
+        root, tests, width = v.endings, v.tests, len(v.tokens)
+        get, put = tests.get, last.append
         for stop in range(first - 1, end):
             node, begin = root, stop
             while True:
                 at = node.get(data[begin])
                 if at is None:
                     raise ValueError("the vocabulary lacks a single byte")
-                token = ending_id[at]
+                node, token = at
                 if token >= 0:
                     if not begin:
                         break
-                    pair = last[begin - 1] * width + token
-                    fits = get(pair)
+                    before = last[begin - 1]
+                    fits = get(before * width + token)
                     if fits is None:
                         if len(tests) >= CACHE_TESTS:
                             tests.clear()
-                        fits = tests[pair] = v.beside(last[begin - 1], token)
+                        fits = tests[before * width + token] = v.beside(before, token)
                     if fits:
                         break
-                node = endings[at]
                 begin -= 1
             put(token)
 
@@ -220,6 +216,7 @@ class PrefixEncoder:
 
 #: The tokenizer's pattern never lets a piece run over the start of a space, but where white space comes before
 #: that space and none but white space (or nothing) after it. Without such a place a text may be cut at its spaces.
+_PLAIN = re.compile(r" ?[a-zA-Z]+")  # is one piece
 _UNSAFE = re.compile(r"\s (?!\S)")
 
 
@@ -246,9 +243,13 @@ class Codec:
     def learn(self, words: Iterable[str]) -> dict[str, bytes]:
         """The packed ids of words. Pieces are encoded in sorted order and keep the table of a shared prefix."""
         findall = self.cut.findall
+        plain = _PLAIN.fullmatch if self.at_spaces else lambda word: None
         alone: dict[str, bytes] = {}  # words of one piece
         others: list[tuple[str, list[bytes]]] = []
         for word in words:
+            if plain(word):
+                alone[word] = word.encode()
+                continue
             pieces = findall(word)
             if len(pieces) == 1:
                 alone[word] = word.encode("utf-8", "replace")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lattica.llm.bpe import _UNSAFE, chunks, load_ranks
+from lattica.llm.bpe import _PLAIN, _UNSAFE, chunks, load_ranks
 from lattica.llm.common import bounded_batches, read
 
 #: Most words whose count a worker keeps, in two halves of which the older goes first (some 40 MB).
@@ -125,9 +125,13 @@ class TrieCounter:
     def learn(self, words: Iterable[str]) -> dict[str, int]:
         """The counts of words; a word is a stretch of text whose ends no piece crosses."""
         findall = self.cut.findall
+        plain = _PLAIN.fullmatch if self.at_spaces else lambda word: None
         alone: dict[str, bytes] = {}  # words of one piece
         others: list[tuple[str, list[bytes]]] = []
         for word in words:
+            if plain(word):
+                alone[word] = word.encode()
+                continue
             pieces = findall(word)
             if len(pieces) == 1:
                 alone[word] = word.encode("utf-8", "replace")
