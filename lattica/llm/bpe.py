@@ -38,10 +38,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from lattica.llm.common import bounded_batches, read
+from lattica.llm.common import bounded_batches, keeps_cache, read, spare_memory
 
-#: Most words whose encoding a worker keeps, in two halves of which the older goes first (some 90 MB).
-CACHE_WORDS = 600_000
+#: Most words whose encoding a worker keeps, in two halves of which the older goes first (some 80 MB).
+CACHE_WORDS = 500_000
 #: Most neighbour tests a worker remembers (some 20 MB).
 CACHE_TESTS = 200_000
 #: Texts are encoded together up to so many characters.
@@ -303,6 +303,7 @@ def chunks(sizes: Iterable[int], most: int = CHUNK_CHARS) -> Iterator[tuple[int,
 
 
 _codecs: dict[tuple, Codec] = {}
+keeps_cache("bpe", _codecs.clear)
 
 
 def _codec(key: str, ranks: bytes, pairs: bytes, pattern: str) -> Codec:
@@ -340,6 +341,7 @@ def encode_documents(
     kinds = [LongType(), *[ArrayType(IntegerType())] * ids, StringType(), StringType()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory("bpe")
         codec = _codec(key, *sent.value, pattern)
         for whole in batches:
             texts = whole.column(len(kept) - 1)

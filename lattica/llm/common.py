@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,21 @@ def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
         spark.conf.set(name, str(most))
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def keeps_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Tell that a module keeps something between the tasks of a Python worker, and how to drop it."""
+    _caches[owner] = clear
+
+
+def spare_memory(owner: str = "") -> None:
+    """Called by a task before its work: what the tasks of other operators left in this worker goes."""
+    for name, clear in _caches.items():
+        if name != owner:
+            clear()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from lattica.llm.common import WORD_CLASS, bounded_batches, materialize, read
+from lattica.llm.common import WORD_CLASS, bounded_batches, materialize, read, spare_memory
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE, CAP = 1.5, 2.0
@@ -179,6 +179,7 @@ def _carried(columns: list[str], cap: float):
     at = [columns.index(c) for c in ("_pos", "_chunk", "size", "rate")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         group, over = None, 0.0
         for batch in batches:
             copies = []

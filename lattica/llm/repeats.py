@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lattica.llm.common import bounded_batches, read
+from lattica.llm.common import bounded_batches, read, spare_memory
 
 BATCH_BYTES, PART_BYTES = 4 << 20, 16 << 20
 _NO_ID = np.int64(2**63 - 1)
@@ -187,6 +187,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     entries, reply = "p int, b long, keys binary, docs binary", "b long, p int, bits binary"
 
     def batch_of(table: pa.Table) -> Batch:
+        spare_memory()
         return Batch(table[key].to_pylist(), table[text], window, parts)
 
     def sent(b: int, p: list, keys: list, ids: list) -> pa.Table:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import connected_components, materialize
+from lattica.llm.common import bounded_batches, connected_components, materialize, spare_memory
 from lattica.llm.simhash import _pairs, shingle_hashes, spanning_links
 
 SHINGLE, SIMILARITY, BUCKET_ROWS = 5, 0.8, 4096
@@ -82,6 +82,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     """``(doc_id, digest, n, fp0, fp1, bands)`` of every row: digest and size of its shingle set, its fingerprint and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         for batch in batches:
             digests, sizes, fps, bands = [], [], [], []
             for t in batch.column(1):
@@ -242,6 +243,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, rad
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(found, "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -257,6 +259,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, rad
     rows = rows.where("k = 1 OR own <> other").withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory()
         key, held = None, []
 
         def solve() -> pa.RecordBatch:
@@ -286,6 +289,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, rad
 
 def similar_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``(doc_id, component_id, kept)`` for every row of ``docs(doc_id, text)``; the smallest document of a class is kept."""
+    bounded_batches(docs.sparkSession)
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
     nodes = materialize(fps.groupBy("digest", "n", "fp0", "fp1", "bands").agg(F.min("doc_id").alias("id")), "nodes")
     named = nodes.where("id IS NOT NULL")

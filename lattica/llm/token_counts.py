@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lattica.llm.bpe import _PLAIN, _UNSAFE, chunks, load_ranks
-from lattica.llm.common import bounded_batches, read
+from lattica.llm.common import bounded_batches, keeps_cache, read, spare_memory
 
 #: Most words whose count a worker keeps, in two halves of which the older goes first (some 40 MB).
 CACHE_WORDS = 400_000
@@ -167,6 +167,7 @@ class TrieCounter:
 
 
 _counters: dict[str, TrieCounter] = {}
+keeps_cache("token_counts", _counters.clear)
 
 
 def _counter(key: str, tokens: list[bytes], costs: list[int]) -> TrieCounter:
@@ -192,6 +193,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text_col: str = "text
     back = len(kept) if keep_text else len(kept) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare_memory("token_counts")
         counter = _counter(key, *sent.value)
         for whole in batches:
             for begin, end in chunks(pc.fill_null(pc.binary_length(whole.column(len(kept) - 1)), 0).to_pylist()):
