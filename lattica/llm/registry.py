@@ -25,5 +25,8 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op2_quality_rules": quality.OP2_SQL,
+        "op4_embedding_near_dedup": lattice.OP4_SQL,
         "op7_url_filter": url_filter.OP7_SQL,
+        "op8_substring_dedup": repeats.OP8_SQL,
+        "op9_html_extraction": html_extract.OP9_SQL,
     }

@@ -303,3 +303,15 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """13-word windows of all ``documents`` that start in a smaller document are removed."""
     out = remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+x AS (SELECT *, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS s FROM t),
+f AS (SELECT s, min(doc_id) AS first FROM x WHERE i <= n - 12 GROUP BY s),
+m AS (SELECT x.doc_id, x.w, x.i, i <= n - 12 AND first < doc_id AS starts FROM x LEFT JOIN f USING (s)),
+g AS (SELECT doc_id, w, i, coalesce(bool_or(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS gone FROM m),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
