@@ -585,7 +585,7 @@ _PIECES = r"""WITH h AS (SELECT page_id, regexp_replace(html, '<head>.*?</head>'
 x AS (SELECT page_id, unnest(regexp_extract_all(t, '<!--.*?-->|<[^>]*>[^<]*', 0, 's')) AS piece, generate_subscripts(regexp_extract_all(t, '<!--.*?-->|<[^>]*>[^<]*', 0, 's'), 1) AS i FROM h),
 y AS (SELECT page_id, i, CASE WHEN piece LIKE '<b>%' THEN 'bold' ELSE 'normal' END AS style,
   CASE WHEN piece LIKE '<!--%' THEN regexp_extract(piece, '^<!--(.*?)-->$', 1, 's') WHEN piece ILIKE '<!doctype%' THEN regexp_extract(piece, '^<![a-zA-Z]+ ([^>]*)>', 1)
-  ELSE replace(replace(replace(replace(regexp_extract(piece, '^<[^>]*>(.*)$', 1, 's'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&') END AS raw FROM x),
+  ELSE regexp_replace(replace(replace(replace(regexp_extract(piece, '^<[^>]*>(.*)$', 1, 's'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;?', '&', 'g') END AS raw FROM x),
 z AS (SELECT page_id, i, style, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS text FROM y WHERE regexp_replace(raw, '^\s+|\s+$', '', 'g') <> ''),
 n AS (SELECT *, CASE WHEN style IS DISTINCT FROM lag(style) OVER (PARTITION BY page_id ORDER BY i) THEN 1 ELSE 0 END AS new FROM z),
 r AS (SELECT *, sum(new) OVER (PARTITION BY page_id ORDER BY i) - 1 AS seq FROM n)
