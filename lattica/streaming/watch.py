@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,12 @@ from lattica.operators.store import latest_per_key, needs_upsert, with_log
 LOG_SCHEMA = "page_id string, status string, source_modified timestamp_ntz, retry_count int, error_message string, version long"
 
 
+#: Versions that one batch may use: its pages are split where they fail together.
+STEP = 1 << 20
+#: Most times that the pages of one batch, whole or split, are tried.
+ATTEMPTS = 64
+
+
 class PageTables:
     """Change logs of pages and of their ingestion, as Parquet folders that only grow; views give the newest rows."""
 
@@ -50,38 +57,58 @@ class PageTables:
         return joined.where(~stale).drop("_newest", "version")
 
     def next_version(self) -> int:
-        """One more than any version in the log."""
-        return (self._read("log", LOG_SCHEMA).agg(F.max("version")).first()[0] or 0) + 1
+        """A number for a batch after all that are in the log."""
+        return (self._read("log", LOG_SCHEMA).agg(F.max("version")).first()[0] or 0) // STEP + 1
 
     def upsert(self, batch: DataFrame, version: int, work: Callable[[DataFrame, int], None] | None = None, review_undated: bool = False) -> None:
-        """Ingest the pages of a batch that need it. A batch that is run again writes the same version again, which
-        the views take once. ``work(pages, version)`` writes what is made of the pages; if it fails, all pages of the
-        batch are logged as errors, each with one retry more. With ``review_undated`` pages without ``page_date`` are
+        """Ingest the pages of a batch that need it. A batch that is run again writes the same versions again, which
+        the views take once. ``work(pages, version)`` writes what is made of the pages; where it fails the pages are
+        split in two and tried again, up to ``ATTEMPTS`` times in all, and the pages of the parts that fail still are
+        logged as errors, each with one retry more. With ``review_undated`` pages without ``page_date`` are
         logged for review and not ingested."""
         newest = latest_per_key(batch, ["page_id"], "last_modified")
         before = self.log()
         todo = with_log(newest, before).where(needs_upsert()).select(newest.columns).persist()
         undated = F.col("page_date").isNull() if review_undated else F.lit(False)
         try:
-            status, error = "done", None
-            if work is not None:
-                try:
-                    work(todo.where(~undated), version)
-                except Exception as e:  # noqa: BLE001  the log keeps it; the stream goes on
-                    status, error = "error", str(e)[:500]
-            if status == "done":
-                todo.where(~undated).withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(f"{self.root}/pages")
+            rows = []
+            for pages, at, error in self._ingest(todo.where(~undated), version * STEP, work):
+                marked = pages.withColumns({"version": F.lit(at).cast("long")})
+                if error is None:
+                    marked.write.mode("append").parquet(f"{self.root}/pages")
+                rows.append(marked.select("page_id", "last_modified", "version", F.lit("done" if error is None else "error").alias("status"), F.lit(error).cast("string").alias("error_message")))
+            review = todo.where(undated)
+            rows.append(review.select("page_id", "last_modified", F.lit(version * STEP).cast("long").alias("version"), F.lit("needs_review").alias("status"), F.lit("no date").alias("error_message")))
             retries = before.select("page_id", F.col("retry_count").alias("_retries"))
-            count = F.coalesce("_retries", F.lit(0)) + F.when(undated, 0).otherwise(0 if status == "done" else 1)
-            log = todo.join(retries, "page_id", "left").select(
-                "page_id", F.when(undated, "needs_review").otherwise(status).alias("status"), F.col("last_modified").alias("source_modified"),
-                count.cast("int").alias("retry_count"), F.when(undated, "no date").otherwise(F.lit(error).cast("string")).alias("error_message"), F.lit(version).cast("long").alias("version"),
-            )
+            count = F.coalesce("_retries", F.lit(0)) + F.when(F.col("status") == "error", 1).otherwise(0)
+            log = reduce(DataFrame.union, rows).join(retries, "page_id", "left").select(
+                "page_id", "status", F.col("last_modified").alias("source_modified"), count.cast("int").alias("retry_count"), "error_message", "version"
+            )
             log.write.mode("append").parquet(f"{self.root}/log")
         finally:
             todo.unpersist()
 
 
+    def _ingest(self, pages: DataFrame, version: int, work: Callable[[DataFrame, int], None] | None) -> list[tuple[DataFrame, int, str | None]]:
+        """Parts of the pages with the version that they were written under, or why they were not."""
+        if work is None:
+            return [(pages, version, None)]
+        out, waiting, attempts = [], [(pages, 0)], 0
+        while waiting:
+            part, bits = waiting.pop(0)
+            try:
+                work(part, version + attempts)
+                out.append((part, version + attempts, None))
+            except Exception as e:  # noqa: BLE001  the log keeps it; the stream goes on
+                if attempts + len(waiting) + 2 < ATTEMPTS and bits < 60 and part.limit(2).count() > 1:
+                    side = F.pmod(F.shiftright(F.xxhash64("page_id"), bits), F.lit(2))
+                    waiting += [(part.where(side == k), bits + 1) for k in (0, 1)]
+                else:
+                    out.append((part, version + attempts, str(e)[:500]))
+            attempts += 1
+        return out
+
+
 def watch(spark: SparkSession, source: str, schema: str, tables: PageTables, checkpoint: str, every: str | None = None, work: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Follow a folder of page snapshots; without ``every`` all that is there is taken once."""
     stream = spark.readStream.schema(schema).parquet(source)

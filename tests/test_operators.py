@@ -8,7 +8,7 @@ from lattica.operators import attach, extract, normalize, parse, search, store
 from lattica.plans.ingest import ingest
 from lattica.sources.files import EXTRACTORS
 from lattica.sources.providers import embed, hashed_embedder, model_ids
-from lattica.streaming.watch import PageTables, watch
+from lattica.streaming.watch import STEP, PageTables, watch
 
 
 def walk(html):
@@ -269,7 +269,7 @@ def test_incremental_results_of_a_changed_page(spark, tmp_path):
     two = [row("a", "<p>new</p>", 2), row("b", "<p>b</p>", 1)]
     for version, rows in ((1, one), (2, two)):
         tables.upsert(spark.createDataFrame(rows, cli.PAGE_SCHEMA), version, work)
-    tables.write("chunks", spark.createDataFrame([("a", 0, "new", "normal")], "page_id string, seq int, content string, style string"), 2)  # a batch that is run again
+    tables.write("chunks", spark.createDataFrame([("a", 0, "new", "normal")], "page_id string, seq int, content string, style string"), 2 * STEP)  # a batch that is run again
     assert sorted((r.page_id, r.content) for r in tables.results("chunks").collect()) == [("a", "new"), ("b", "b")]
     assert sorted((r.page_id, r.content, r.is_deleted) for r in tables.results("chunks", True).collect()) == [("a", "id 123456789", True), ("a", "new", False), ("b", "b", False)]
     assert tables.results("ids").count() == 0
@@ -282,6 +282,17 @@ def test_incremental_results_of_a_changed_page(spark, tmp_path):
     got = {r.page_id: (r.status, r.retry_count) for r in tables.log().collect()}
     assert got["c"] == ("error", 2) and got["a"] == ("done", 0)
 
+    def one_is_bad(pages, version):
+        if pages.where("page_id = 'bad'").count():
+            raise ValueError("bad page")
+        work(pages, version)
+
+    tables.upsert(spark.createDataFrame([row(f"n{k}", f"<p>{k}</p>", 1) for k in range(6)] + [row("bad", "x", 1)], cli.PAGE_SCHEMA), 5, one_is_bad)
+    got = {r.page_id: (r.status, r.error_message) for r in tables.log().collect()}
+    assert got["bad"] == ("error", "bad page") and all(got[f"n{k}"] == ("done", None) for k in range(6))
+    assert {r.content for r in tables.results("chunks").where("page_id LIKE 'n%'").collect()} == {str(k) for k in range(6)}
+    assert tables.next_version() == 6
+
 
 def test_batch_that_is_resumed(spark, tmp_path):
     from lattica import cli
