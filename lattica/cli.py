@@ -1,48 +1,73 @@
 """Command line: ingest a snapshot of pages, or follow a folder of snapshots.
 
-    python -m lattica.cli batch --pages IN --out OUT --space S [--start 2024-01-01 --end 2024-12-31 | --ids 1 2] [--attachments DIR] [--known IDS] [--resume]
-    python -m lattica.cli incremental --pages IN --out OUT --checkpoint DIR [--every "24 hours"] [--attachments DIR] [--known IDS]
+    python -m lattica.cli batch --pages IN --out OUT --space S [--start 2024-01-01 --end 2024-12-31 | --ids 1 2] [--resume] [INPUTS]
+    python -m lattica.cli incremental --pages IN --out OUT --checkpoint DIR [--every "24 hours"] [INPUTS]
 """
 
 from __future__ import annotations
 
 import argparse
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.operators.extract import unvalidated
+from lattica.operators.store import schemas_with_status
 from lattica.plans.ingest import ingest
-from lattica.session import build_session
+from lattica.session import build_session, checkpointed
 from lattica.sources.files import read_files
 from lattica.sources.pages import pages_by_id, scan_space
+from lattica.sources.providers import hashed_embedder
 from lattica.streaming.watch import PageTables, watch
 
 PAGE_SCHEMA = "page_id string, title string, space_key string, html string, last_modified timestamp_ntz, page_date timestamp_ntz"
-RESULTS = ("chunks", "tables", "cells", "refs", "ids", "cancelled", "nodes", "edges")
-ATTACHMENT_RESULTS = ("attachments",)
 METADATA_SCHEMA = "page_id string, pos long, attachment_id string, filename string, url string, size long"
+SCHEMA_COLUMNS = "schema_ord int, schema_id string, table_type string, canonical_columns array<string>, column_mapping map<string,string>, status string, version int"
 
 
-def make_results(pages: DataFrame, attachments: str | None, known: str | None) -> dict[str, DataFrame]:
-    """The ingest plan. ``attachments``: a folder with ``metadata`` (Parquet) and ``files/{page_id}/{file name}``;
-    ``known``: a table ``(id_type, id)`` of the identifiers that are valid."""
-    spark = pages.sparkSession
-    known_ids = spark.read.parquet(known) if known else None
-    if attachments is None:
-        return ingest(pages, known_ids=known_ids)
-    files = read_files(spark, f"{attachments}/files").withColumn("page_id", F.element_at(F.split("path", "/"), -2))
-    return ingest(pages, known_ids=known_ids, metadata=spark.read.schema(METADATA_SCHEMA).parquet(f"{attachments}/metadata"), files=files)
+@dataclass(frozen=True)
+class Inputs:
+    """What a run has beside its pages.
+
+    ``attachments``: a folder with ``metadata`` (Parquet) and ``files/{page_id}/{file name}``; ``known``: a table
+    ``(id_type, id)`` of the identifiers that are valid; ``schemas``: a table of canonical schemas, of which the
+    approved count; ``vectors``: make vectors, by the stand-in that needs no service.
+    """
 
+    attachments: str | None = None
+    known: str | None = None
+    schemas: str | None = None
+    vectors: bool = False
 
-def write_results(pages: DataFrame, out: str, attachments: str | None = None, known: str | None = None) -> None:
+
+def make_results(pages: DataFrame, given: Inputs) -> dict[str, DataFrame]:
+    """The flat tables of the ingest plan that these inputs allow."""
+    spark = pages.sparkSession
+    files = metadata = None
+    if given.attachments:
+        files = read_files(spark, f"{given.attachments}/files").withColumn("page_id", F.element_at(F.split("path", "/"), -2))
+        metadata = spark.read.schema(METADATA_SCHEMA).parquet(f"{given.attachments}/metadata")
+    schemas = schemas_with_status(spark.read.schema(SCHEMA_COLUMNS).parquet(given.schemas), pending=False) if given.schemas else None
+    known = spark.read.parquet(given.known) if given.known else None
+    out = ingest(pages, schemas, known, metadata, files, embedder=hashed_embedder() if given.vectors else None, keep=checkpointed)
+    out["unvalidated"] = unvalidated(out["ids"], F.current_timestamp())
+    del out["parsed"], out["texts"], out["events"]
+    if not given.attachments:
+        del out["attachments"]
+    if "routes" in out:  # a table is named by its page and number
+        out["routes"] = out["routes"].withColumn("page_id", F.substring_index("ord", ":", 1))
+    return out
+
+
+def write_results(pages: DataFrame, out: str, given: Inputs) -> None:
     """Write every flat table of the ingest plan."""
-    results = make_results(pages, attachments, known)
-    for name in (*RESULTS, *ATTACHMENT_RESULTS * (attachments is not None)):
-        results[name].write.mode("overwrite").parquet(f"{out}/{name}")
+    for name, rows in make_results(pages, given).items():
+        rows.write.mode("overwrite").parquet(f"{out}/{name}")
 
 
-def run_batch(spark: SparkSession, pages: DataFrame, out: str, space: str | None, start: str | None, end: str | None, ids: list[str] | None, attachments: str | None = None, known: str | None = None, resume: bool = False) -> None:
+def run_batch(spark: SparkSession, pages: DataFrame, out: str, space: str | None, start: str | None, end: str | None, ids: list[str] | None, given: Inputs = Inputs(), resume: bool = False) -> None:
     """Ingest the chosen pages. With ``resume`` only those that the log says need it, and pages without a date are put
     up for review; results then come in versions (``PageTables.results``), else they replace what was there."""
     day = lambda s: s and F.lit(datetime.strptime(s, "%Y-%m-%d")).cast("timestamp_ntz")
@@ -52,18 +77,17 @@ def run_batch(spark: SparkSession, pages: DataFrame, out: str, space: str | None
         pages = scan_space(pages, space, day(start), day(end))
     if resume:
         tables = PageTables(spark, out)
-        tables.upsert(pages, tables.next_version(), incremental_work(tables, attachments, known), review_undated=True)
+        tables.upsert(pages, tables.next_version(), incremental_work(tables, given), review_undated=True)
     else:
-        write_results(pages, out, attachments, known)
+        write_results(pages, out, given)
 
 
-def incremental_work(tables: PageTables, attachments: str | None = None, known: str | None = None):
+def incremental_work(tables: PageTables, given: Inputs = Inputs()):
     """What an incremental run makes of a batch of pages: every flat table, under the batch's version."""
 
     def work(pages: DataFrame, version: int) -> None:
-        results = make_results(pages, attachments, known)
-        for name in (*RESULTS, *ATTACHMENT_RESULTS * (attachments is not None)):
-            tables.write(name, results[name], version)
+        for name, rows in make_results(pages, given).items():
+            tables.write(name, rows, version)
 
     return work
 
@@ -82,17 +106,20 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--attachments", help="folder of attachment metadata and files")
     parser.add_argument("--resume", action="store_true", help="skip pages that are done, by the log in the output folder")
     parser.add_argument("--known", help="Parquet table of valid identifiers")
+    parser.add_argument("--schemas", help="Parquet table of canonical schemas")
+    parser.add_argument("--vectors", action="store_true", help="make vectors, by the stand-in embedder")
     args = parser.parse_args(argv)
+    given = Inputs(args.attachments, args.known, args.schemas, args.vectors)
     if args.ids and args.mode != "batch":
         parser.error("--ids goes with batch only")
     if args.mode == "incremental" and not args.checkpoint:
         parser.error("incremental needs --checkpoint")
     spark = build_session()
     if args.mode == "batch":
-        run_batch(spark, spark.read.schema(PAGE_SCHEMA).parquet(args.pages), args.out, args.space, args.start, args.end, args.ids, args.attachments, args.known, args.resume)
+        run_batch(spark, spark.read.schema(PAGE_SCHEMA).parquet(args.pages), args.out, args.space, args.start, args.end, args.ids, given, args.resume)
     else:
         tables = PageTables(spark, args.out)
-        work = incremental_work(tables, args.attachments, args.known)
+        work = incremental_work(tables, given)
         watch(spark, args.pages, PAGE_SCHEMA, tables, args.checkpoint, args.every, work).awaitTermination()
 
 

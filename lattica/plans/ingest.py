@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,22 +43,23 @@ def ingest(
     model: Extractor | None = None,
     embedder: Embedder | None = None,
     extractors: dict[str, attach.Extractor] = EXTRACTORS,
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> dict[str, DataFrame]:
     """One plan for all pages ``(page_id, title, page_date, html)``; every result is a lazy DataFrame.
 
     ``metadata`` and ``files`` are what the source has of attachments, ``model`` names further ids and the events of a
-    page, ``embedder`` makes vectors; what is not given is left out. ``parsed`` and ``attachments`` are read by several
-    results: persist or write them where more than one is used.
+    page, ``embedder`` makes vectors; what is not given is left out. Several results read the parsed pages and the attachments: ``keep`` is applied to
+    both (a checkpoint, say), so that they are made once where more than one result is used.
     """
     spark = pages.sparkSession
-    parsed = parse_pages(pages)
+    parsed = keep(parse_pages(pages))
     chunks, tables, cells, refs = (flat(parsed, w) for w in ("chunks", "tables", "cells", "refs"))
     dated = pages.select(F.col("page_id").cast("string"), *(F.col(c) if c in pages.columns else F.lit(None).cast(t).alias(c) for c, t in (("title", "string"), ("page_date", "timestamp_ntz"))))
     dated = dated.withColumnRenamed("page_date", "timestamp")
 
     attachments = spark.createDataFrame([], _ATTACHMENT)
     if metadata is not None and files is not None:
-        attachments = read_attachments(refs, metadata, files, extractors).select(*(c.split()[0] for c in _ATTACHMENT.split(", ")))
+        attachments = keep(read_attachments(refs, metadata, files, extractors).select(*(c.split()[0] for c in _ATTACHMENT.split(", "))))
         more_tables, more_cells = attach.renumbered(tables, *attach.attachment_tables(attachments))
         seq = F.lit(1 << 30) + F.col("table_index") * 1000 + F.col("row")  # behind the page's own, in order
         tables = tables.unionByName(more_tables.withColumn("seq", F.lit(1 << 30) + F.col("table_index")))

@@ -309,6 +309,27 @@ def test_batch_that_is_resumed(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/pages").count() == 2  # a was skipped the second time
 
 
+def test_command_line_with_all_inputs(spark, tmp_path):
+    from lattica import cli
+
+    html = "<p>id 123456789 and 99999999999</p><table><tr><th>Acuerdo</th><th>Fecha</th></tr><tr><td>do it <a href='/download/attachments/1/a.docx'>a</a></td><td>now</td></tr></table>"
+    day = datetime(2024, 1, 1)
+    pages = spark.createDataFrame([("p1", "t", "S", html, day, day)], cli.PAGE_SCHEMA)
+    (tmp_path / "att/files/p1").mkdir(parents=True)
+    (tmp_path / "att/files/p1/a.docx").write_bytes(docx(("Acuerdo", "Fecha"), ("file it", "today")))
+    spark.createDataFrame([("p1", 0, "m1", "a.docx", "/a", 10)], cli.METADATA_SCHEMA).write.parquet(f"{tmp_path}/att/metadata")
+    spark.createDataFrame([("project_id", "123456789")], "id_type string, id string").write.parquet(f"{tmp_path}/known")
+    schemas = [(0, "s", "t", ["acuerdo", "fecha"], {"Acuerdo": "acuerdo", "Fecha": "fecha"}, "approved", 1), (1, "x", "t", ["acuerdo"], {}, "pending_approval", 2)]
+    spark.createDataFrame(schemas, cli.SCHEMA_COLUMNS).write.parquet(f"{tmp_path}/schemas")
+    given = cli.Inputs(f"{tmp_path}/att", f"{tmp_path}/known", f"{tmp_path}/schemas", True)
+    cli.run_batch(spark, pages, f"{tmp_path}/out", None, None, None, None, given)
+    read = lambda name: spark.read.parquet(f"{tmp_path}/out/{name}")
+    assert {r["values"]["acuerdo"] for r in read("rows").collect()} == {"do it a", "file it"}
+    assert {r.raw_value for r in read("unvalidated").collect()} == {"99999999999", "11111111111"} and read("attachments").count() == 1
+    assert read("vectors").where("embedding IS NOT NULL").count() == 4 and {r.route for r in read("routes").collect()} == {"assigned"}
+    assert read("nodes").count() == 5 and read("edges").count() == 4
+
+
 def test_project_info_by_former_id(spark):
     df = spark.createDataFrame([("p1", "1", ["7", "8"], False), ("p2", "2", [], False)], "_id string, project_id string, raw_ids array<string>, is_deleted boolean")
     assert [search.project_info(df, i).first() and search.project_info(df, i).first()._id for i in ("2", "8", "9")] == ["p2", "p1", None]
