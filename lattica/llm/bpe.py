@@ -184,6 +184,25 @@ class PrefixEncoder:
         self.data = bytearray(data)
         self._fill(shared + 1, len(data))
 
+    def packed(self, data: bytes) -> bytes:
+        """``change_to`` and ``ids`` in one, as little-endian unsigned 32-bit numbers; for many pieces in sorted order."""
+        before, last, lengths = self.data, self.last, self.vocabulary.lengths
+        shared = 0
+        for a, b in zip(before, data):
+            if a != b:
+                break
+            shared += 1
+        del last[shared:]
+        self.data = data
+        self._fill(shared + 1, len(data))
+        out, at = array("I"), len(data)
+        while at:
+            token = last[at - 1]
+            out.append(token)
+            at -= lengths[token]
+        out.reverse()
+        return out.tobytes()
+
     def replace(self, begin: int, end: int, data: bytes) -> int:
         """Put ``data`` in the place of bytes ``begin`` to ``end``; returns how many entries were computed.
 
@@ -191,6 +210,7 @@ class PrefixEncoder:
         Behind the edit, once as many entries in a row as the longest token equal the stored ones, so do all.
         """
         tail = self.last[end:]
+        self.data = bytearray(self.data)
         self.data[begin:end] = data
         del self.last[begin:]
         start, computed, same = begin + len(data), 0, 0
@@ -259,11 +279,7 @@ class Codec:
         whole, encoder = self.vocabulary.ids, PrefixEncoder(self.vocabulary)
         for piece in sorted({*alone.values(), *(p for _, pieces in others for p in pieces)}):
             token = whole.get(piece)
-            if token is None:
-                encoder.change_to(piece)
-                packed[piece] = array("I", encoder.ids()).tobytes()
-            else:
-                packed[piece] = token.to_bytes(4, "little")
+            packed[piece] = encoder.packed(piece) if token is None else token.to_bytes(4, "little")
         out = {word: packed[piece] for word, piece in alone.items()}
         out.update((word, b"".join([packed[p] for p in pieces])) for word, pieces in others)
         return out
