@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.functions.vectors import cosine_to, temporal_decay
@@ -67,9 +68,7 @@ def project_info(projects: DataFrame, project_id: str) -> DataFrame:
 
 def counted(found: DataFrame) -> DataFrame:
     """A timeline with ``count``, how many events it shows."""
-    from pyspark.sql import Window
-
-    return found.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy()))
+    return found.withColumn("count", F.count(F.lit(1)).over(W.partitionBy()))
 
 
 #: Most ids of a frontier that are held as a literal table and sent to the edges.
