@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lattica.llm import bpe, html_extract, language_id, lattice, mixing, quality, repeats, simhash, token_counts, url_filter
+from lattica.llm import bpe, centroids, chat, filter_audit, html_extract, language_id, lattice, mixing, quality, repeats, simhash, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_substring_dedup": repeats.op8_substring_dedup,
         "op9_html_extraction": html_extract.op9_html_extraction,
         "op10_language_id": language_id.op10_language_id,
+        "op11_chat_formatting": chat.op11_chat_formatting,
+        "op12_centroid_clusters": centroids.op12_centroid_clusters,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -29,4 +32,7 @@ def oracle_sql() -> dict:
         "op7_url_filter": url_filter.OP7_SQL,
         "op8_substring_dedup": repeats.OP8_SQL,
         "op9_html_extraction": html_extract.OP9_SQL,
+        "op11_chat_formatting": chat.OP11_SQL,
+        "op12_centroid_clusters": centroids.OP12_SQL,
+        "op13_filter_audit": filter_audit.OP13_SQL,
     }

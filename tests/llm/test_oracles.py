@@ -15,7 +15,7 @@ def test_query_matches_sql(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no driver tables here")
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     df = registry.queries()[name](spark, SF)
     want = con.execute(registry.oracle_sql()[name])
