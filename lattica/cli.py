@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -33,31 +34,34 @@ class Inputs:
 
     ``attachments``: a folder with ``metadata`` (Parquet) and ``files/{page_id}/{file name}``; ``known``: a table
     ``(id_type, id)`` of the identifiers that are valid; ``schemas``: a table of canonical schemas, of which the
-    approved count; ``vectors``: make vectors, by the stand-in that needs no service.
+    approved count; ``vectors``: make vectors, by the stand-in that needs no service; ``classifier``: names schemas for
+    tables that none fits (``normalize.classify``).
     """
 
     attachments: str | None = None
     known: str | None = None
     schemas: str | None = None
     vectors: bool = False
+    classifier: Callable[[str], str] | None = None
 
 
-def make_results(pages: DataFrame, given: Inputs) -> dict[str, DataFrame]:
-    """The flat tables of the ingest plan that these inputs allow."""
+def make_results(pages: DataFrame, given: Inputs, added: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The flat tables of the ingest plan that these inputs allow; ``added`` are schemas that earlier batches named."""
     spark = pages.sparkSession
     files = metadata = None
     if given.attachments:
         files = read_files(spark, f"{given.attachments}/files").withColumn("page_id", F.element_at(F.split("path", "/"), -2))
         metadata = spark.read.schema(METADATA_SCHEMA).parquet(f"{given.attachments}/metadata")
     schemas = schemas_with_status(spark.read.schema(SCHEMA_COLUMNS).parquet(given.schemas), pending=False) if given.schemas else None
+    if schemas is not None and added is not None:
+        schemas = schemas.unionByName(added, allowMissingColumns=True)
     known = spark.read.parquet(given.known) if given.known else None
-    out = ingest(pages, schemas, known, metadata, files, embedder=hashed_embedder() if given.vectors else None, keep=checkpointed)
+    out = ingest(pages, schemas, known, metadata, files, embedder=hashed_embedder() if given.vectors else None, classifier=given.classifier, keep=checkpointed)
     out["unvalidated"] = unvalidated(out["ids"], F.current_timestamp())
-    del out["parsed"], out["texts"], out["events"]
+    for name in ("parsed", "texts", "events"):
+        del out[name]
     if not given.attachments:
         del out["attachments"]
-    if "routes" in out:  # a table is named by its page and number
-        out["routes"] = out["routes"].withColumn("page_id", F.substring_index("ord", ":", 1))
     return out
 
 
@@ -77,17 +81,17 @@ def run_batch(spark: SparkSession, pages: DataFrame, out: str, space: str | None
         pages = scan_space(pages, space, day(start), day(end))
     if resume:
         tables = PageTables(spark, out)
-        tables.upsert(pages, tables.next_version(), incremental_work(tables, given), review_undated=True)
+        tables.upsert(pages, incremental_work(tables, given), review_undated=True)
     else:
         write_results(pages, out, given)
 
 
 def incremental_work(tables: PageTables, given: Inputs = Inputs()):
-    """What an incremental run makes of a batch of pages: every flat table, under the batch's version."""
+    """What an incremental run makes of a batch of pages: every flat table, and the pages that failed."""
 
-    def work(pages: DataFrame, version: int) -> None:
-        for name, rows in make_results(pages, given).items():
-            tables.write(name, rows, version)
+    def work(pages: DataFrame) -> dict[str, DataFrame]:
+        added = tables.results("added_schemas") if given.classifier is not None else None
+        return make_results(pages, given, added if added is not None and "schema_ord" in added.columns else None)
 
     return work
 

@@ -59,6 +59,11 @@ def normal(header: str | None) -> str:
     return (header or "").strip(" ").lower()
 
 
+def normal_headers(headers: str) -> Column:
+    """A column of headers in the form in which they are compared."""
+    return F.transform(headers, lambda h: F.lower(F.trim(F.coalesce(h, F.lit("")))))
+
+
 def list_similarity(a: list[str], b: list[str]) -> float:
     """``header_similarity`` of two lists of normal headers."""
     if not a or not b:
@@ -67,12 +72,12 @@ def list_similarity(a: list[str], b: list[str]) -> float:
 
 
 @F.pandas_udf(DoubleType())
-def list_similarity_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def normal_list_similarity_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
-        yield pd.Series([list_similarity([normal(h) for h in x], [normal(h) for h in y]) for x, y in zip(a, b)])
+        yield pd.Series([list_similarity(list(x), list(y)) for x, y in zip(a, b)], dtype=float)
 
 
 @F.pandas_udf(DoubleType())
 def indel_ratio_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
-        yield pd.Series([indel_ratio(x, y) for x, y in zip(a, b)])
+        yield pd.Series([indel_ratio(x, y) for x, y in zip(a, b)], dtype=float)

@@ -83,6 +83,11 @@ def row_id() -> Column:
     return F.concat(table_id(), F.lit("_row_"), F.col("row"))
 
 
+def row_vector_id() -> Column:
+    """Vectors of rows have ids of their own: with two underscores, and of head rows too."""
+    return F.concat(table_id(), F.lit("__row_"), F.col("row"))
+
+
 def attachment_node_id() -> Column:
     return F.concat("page_id", F.lit("_att_"), "attachment_id")
 

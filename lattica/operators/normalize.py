@@ -5,16 +5,17 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.functions.similarity import indel_ratio_udf, list_similarity, list_similarity_udf, normal
+from lattica.functions.similarity import list_similarity, normal_headers
 from lattica.functions.text import strip
 from lattica.operators.components import components
+from lattica.operators.header_index import similar_lists
+from lattica.session import checkpointed
 
 CLUSTER_SIMILARITY, ASSIGN_SIMILARITY = 0.75, 0.70
 
@@ -39,49 +40,18 @@ def fingerprints(tables: DataFrame, cells: DataFrame, sample_rows: int = 3) -> D
     )
 
 
-def similar_strings(strings: DataFrame, at_least: float) -> DataFrame:
-    """Pairs ``(x, y)``, both ways and with itself, of distinct ``strings(s)`` whose indel ratio is ``at_least``.
+def kinds_of(tables: DataFrame) -> DataFrame:
+    """``(first, headers, names)``: each distinct list of headers of ``tables(ord, headers)``, its first table and the
+    form in which headers are compared."""
+    return tables.groupBy("headers").agg(F.min("ord").alias("first")).withColumn("names", normal_headers("headers"))
 
-    A prefix-filtered join: what two such strings of n and m characters share, characters counted with repeats, is at
-    least n * t / (2 - t) for the one; so of its characters, rarest first, one of the first n - that + 1 is among
-    the first of the other. Only pairs that share one of these are compared.
-    """
-    text = strings.where("s <> ''").select("s", F.filter(F.split("s", ""), lambda c: c != "").alias("chars"))
-    each = text.select("s", F.size("chars").alias("n"), F.posexplode("chars").alias("at", "c"))
-    count = F.row_number().over(W.partitionBy("s", "c").orderBy("at"))
-    tokens = each.select("s", "n", F.struct("c", count.alias("k")).alias("token"))
-    rarity = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(W.partitionBy("s").orderBy("df", "token"))
-    first = tokens.join(rarity, "token").withColumn("place", place)
-    first = first.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * at_least / (2 - at_least) - 1e-9) + 1).select("s", "n", "token")
-    other = first.select(F.col("s").alias("y"), F.col("n").alias("m"), "token")
-    low, high = F.least("n", "m"), F.greatest("n", "m")
-    met = first.join(other, "token").where((F.col("s") < F.col("y")) & (2 * low >= at_least * (low + high) - 1e-9)).select(F.col("s").alias("x"), "y").distinct()
-    near = met.where(indel_ratio_udf("x", "y") >= at_least)
-    same = strings.select(F.col("s").alias("x"), F.col("s").alias("y"))
-    return near.union(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).union(same)
-
-
-def similar_tables(tables: DataFrame, at_least: float = CLUSTER_SIMILARITY, string_ratio: float = 0.5) -> DataFrame:
-    """Pairs ``(a, b)`` of ``tables(ord, headers)`` whose earlier one is similar to the later; equal header lists
-    meet as one, so a common layout costs one comparison and not one for each pair of its tables.
 
-    If the mean of the best ratios of k headers is ``at_least``, more than a share of them have a partner of
-    ``string_ratio`` or more; so one of the others but that many, rarest first, has. Lists that share such a pair of
-    headers are compared, no others.
-    """
-    kinds = tables.groupBy("headers").agg(F.min("ord").alias("first"))
-    normal = F.transform("headers", lambda h: F.lower(F.trim(F.coalesce(h, F.lit("")))))
-    words = kinds.select("first", F.size("headers").alias("k"), F.explode(normal).alias("s"))
-    rarity = words.groupBy("s").agg(F.countDistinct("first").alias("df"))
-    needed = F.floor(F.col("k") * (at_least - string_ratio) / (1 - string_ratio) + 1e-9) + 1  # more than this share
-    place = F.row_number().over(W.partitionBy("first").orderBy("df", "s"))
-    rare = words.join(rarity, "s").withColumn("place", place).where(F.col("place") <= F.col("k") - needed + 1).select(F.col("first").alias("a"), F.col("s").alias("x"))
-    near = similar_strings(rarity.select("s"), string_ratio)
-    theirs = words.select(F.col("first").alias("b"), F.col("s").alias("y")).distinct()
-    met = rare.distinct().join(near, "x").join(theirs, "y").where("a < b").select("a", "b").distinct()
-    lists = lambda name: kinds.select(F.col("first").alias(name), F.col("headers").alias(f"h{name}"))
-    pairs = met.join(lists("a"), "a").join(lists("b"), "b").where(list_similarity_udf("ha", "hb") >= at_least - 1e-12).select("a", "b")
+def similar_tables(tables: DataFrame, at_least: float = CLUSTER_SIMILARITY) -> DataFrame:
+    """Pairs ``(a, b)`` of ``tables(ord, headers)`` whose earlier one is similar to the later; equal header lists
+    meet as one, so a common layout costs one comparison and not one for each pair of its tables."""
+    kinds = kinds_of(tables)
+    lists = lambda a, h: kinds.select(F.col("first").alias(a), F.col("names").alias(h))
+    pairs = similar_lists(lists("a", "ha"), lists("b", "hb"), at_least).where("a < b").select("a", "b")
     same = tables.join(kinds, "headers").where("ord <> first").select(F.col("first").alias("a"), F.col("ord").alias("b"))
     return pairs.union(same)
 
@@ -92,42 +62,75 @@ def clusters(tables: DataFrame, at_least: float = CLUSTER_SIMILARITY) -> DataFra
     return found.select(F.col("id").alias("ord"), F.col("component").alias("cluster"))
 
 
-#: Schemas are sent out in blocks of so many names at most.
-BLOCK_NAMES = 100_000
-
-
-def best_match(tables: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Most similar schema of each table ``(ord, headers)``; of equals the first; none at similarity 0.
-
-    ``schemas(schema_ord, schema_id, canonical_columns, column_mapping)`` is the curated side: it passes the driver in
-    blocks of ``BLOCK_NAMES`` names, each compared with every distinct header list; a list keeps the best of all.
+#: Lists and schema names that one task compares where no schema is similar enough.
+BLOCK_LISTS, BLOCK_NAMES = 4096, 20_000
+
+
+def schema_names(schemas: DataFrame, *keys: str) -> DataFrame:
+    """``(*keys, names)``: canonical columns and known headers, as headers are compared; those that are in ``own`` too,
+    if there is such a column."""
+    none = F.array().cast("array<string>")
+    known = F.concat("canonical_columns", F.coalesce(F.map_keys("column_mapping"), none), F.coalesce("own", none) if "own" in schemas.columns else none)
+    return schemas.select(*keys, known.alias("known")).select(*keys, normal_headers("known").alias("names"))
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with a number from 0 in the order of a column, without one task for all: ranges are numbered each on its
+    own, and what is summed up is a row a range."""
+    ranges = checkpointed(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    at = F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1 + F.col("_before")
+    return ranges.join(before, "_range").withColumn(name, at).drop("_range", "_before")
+
+
+def best_below(lists: DataFrame, names: DataFrame) -> DataFrame:
+    """``(a, schema_ord, score)`` for lists ``(a, ha)`` that no index can answer, for no schema is near: blocks of lists
+    with blocks of schemas ``(schema_ord, names)``, each pair of blocks a task of bounded size. Of a block each schema
+    that is better than all before it is told, so the best of the first n schemas can be read for any n."""
+    n_lists, n_names = lists.count(), names.agg(F.coalesce(F.sum(F.size("names")), F.lit(0))).first()[0]
+    rows, columns = -(-n_lists // BLOCK_LISTS), -(-n_names // BLOCK_NAMES)
+    if not rows or not columns:
+        return lists.sparkSession.createDataFrame([], f"a {lists.schema['a'].dataType.simpleString()}, schema_ord int, score double")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = lists.withColumn("i", F.pmod(F.xxhash64("a"), F.lit(rows)).cast("int")).withColumn("j", each(columns))
+    right = names.withColumn("j", F.pmod(F.xxhash64("schema_ord"), F.lit(columns)).cast("int")).withColumn("i", each(rows))
+
+    def scored(some: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        them = sorted((int(k), list(n)) for k, n in zip(block["schema_ord"], block["names"]))
+        rows = []
+        for a, own in zip(some["a"], some["ha"]):
+            best = 0.0
+            for k, n in them:
+                score = list_similarity(list(own), n)
+                if score > best:
+                    best = score
+                    rows.append((a, k, score))
+        return pd.DataFrame(rows, columns=["a", "schema_ord", "score"])
+
+    kind = lists.schema["a"].dataType.simpleString()
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(scored, f"a {kind}, schema_ord int, score double")
+
+
+def best_match(tables: DataFrame, schemas: DataFrame, at_least: float = ASSIGN_SIMILARITY, below: bool = True) -> DataFrame:
+    """``(ord, schema_id, score)``: the most similar schema of each table ``(ord, headers)``; of equals the first; none
+    at similarity 0.
+
+    ``schemas(schema_ord, schema_id, canonical_columns, column_mapping)``. Distinct lists of headers meet the schemas
+    that share a near header with them (``similar_lists``); that answers all lists that some schema fits. With
+    ``below`` the others are compared with all schemas, block by block, for the score that they are reported with.
     """
-    kinds = tables.select("headers").distinct()
-    names = schemas.select("schema_ord", "schema_id", F.concat("canonical_columns", F.map_keys("column_mapping")).alias("names"))
-    parts, block, held = [], [], 0
-
-    def scored(block: list) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = []
-                for headers in batch["headers"]:
-                    own = [normal(h) for h in headers]
-                    best = max(((list_similarity(own, them), -place, name) for place, name, them in block), default=(0.0, 0, None))
-                    rows.append((headers, best[2], best[0], -best[1]))
-                yield pd.DataFrame(rows, columns=["headers", "schema_id", "score", "schema_ord"])
-
-        return kinds.mapInPandas(run, "headers array<string>, schema_id string, score double, schema_ord long")
-
-    for row in names.toLocalIterator():
-        if held + len(row["names"]) > BLOCK_NAMES and block:
-            parts.append(scored(block))
-            block, held = [], 0
-        block.append((row["schema_ord"], row["schema_id"], [normal(n) for n in row["names"]]))
-        held += len(row["names"])
-    parts.append(scored(block))
-    best = reduce(DataFrame.union, parts).where("score > 0")
-    best = best.groupBy("headers").agg(F.max_by(F.struct("schema_id", "score"), F.struct("score", -F.col("schema_ord"))).alias("x"))
-    return tables.select("ord", "headers").join(best, "headers").select("ord", "x.schema_id", "x.score")
+    kinds = checkpointed(kinds_of(tables))
+    names = checkpointed(schema_names(schemas, "schema_ord", "schema_id"))
+    lists = kinds.select(F.col("first").alias("a"), F.col("names").alias("ha"))
+    near = similar_lists(lists, names.select(F.col("schema_ord").alias("b"), F.col("names").alias("hb")), at_least).withColumnRenamed("b", "schema_ord")
+    best = lambda rows: rows.groupBy("a").agg(F.max_by(F.struct("schema_ord", "score"), F.struct("score", -F.col("schema_ord"))).alias("x")).select("a", "x.schema_ord", "x.score")
+    best_of = best(near)
+    if below:
+        best_of = checkpointed(best_of)
+        best_of = best_of.union(best(best_below(lists.join(best_of, "a", "left_anti"), names.select("schema_ord", "names"))))
+    found = best_of.join(names.select("schema_ord", "schema_id"), "schema_ord").join(kinds.select(F.col("first").alias("a"), "headers"), "a")
+    return tables.select("ord", "headers").join(found, "headers").select("ord", "schema_id", "score")
 
 
 def column_map(tables: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -156,39 +159,126 @@ def consolidate(cells: DataFrame, mapping: DataFrame, headed: DataFrame) -> Data
     )
 
 
-def route(tables: DataFrame, schemas: DataFrame, at_least: float = ASSIGN_SIMILARITY) -> DataFrame:
-    """``(ord, route, schema_id, score)``: assigned, new (a novel table of two columns and rows or more) or unknown."""
-    matched = tables.join(best_match(tables, schemas), "ord", "left")
-    canonical = schemas.withColumn("column_mapping", F.create_map().cast("map<string,string>"))
-    novel = best_match(tables, canonical).select("ord", F.col("score").alias("novel_score"))
-    joined = matched.join(novel, "ord", "left")
-    fresh = (F.col("col_count") >= 2) & (F.col("row_count") >= 2) & (F.coalesce("novel_score", F.lit(0.0)) < at_least)
-    way = F.when(F.col("score") >= at_least, "assigned").when(fresh, "new").otherwise("unknown")
-    return joined.select("ord", way.alias("route"), F.when(F.col("score") >= at_least, F.col("schema_id")).alias("schema_id"), F.round(F.coalesce("score", F.lit(0.0)), 3).alias("score"))
+def novel_kinds(tables: DataFrame, schemas: DataFrame, at_least: float = ASSIGN_SIMILARITY) -> DataFrame:
+    """``(first, headers, names)`` of the lists of headers that no given schema fits, with the first table that is large
+    enough (two columns and rows) to name a new one."""
+    known = best_match(tables, schemas, at_least, below=False).select("ord")
+    return kinds_of(tables.where("col_count >= 2 AND row_count >= 2").join(known, "ord", "left_anti"))
+
+
+def first_come(nodes: DataFrame, covers: DataFrame) -> DataFrame:
+    """``(first)`` of those ``nodes(first)`` that no earlier one of the chosen covers, by ``covers(a, b)``, a before b.
 
+    What a loop in order would choose, in rounds: a node none of whose earlier covering nodes is open is chosen, and
+    what a chosen node covers is not. Each round is a checkpoint and settles the least open node at least."""
+    state = checkpointed(nodes.select("first", F.lit(None).cast("boolean").alias("chosen")))
+    edges = checkpointed(covers.select("a", "b"))
+    while True:
+        open_ = state.where("chosen IS NULL").select("first")
+        if open_.isEmpty():
+            return state.where("chosen").select("first")
+        blocked = edges.join(open_, F.col("a") == F.col("first")).select(F.col("b").alias("first")).distinct()
+        free = checkpointed(open_.join(blocked, "first", "left_anti").withColumn("free", F.lit(True)))
+        taken = edges.join(free, F.col("a") == F.col("first")).select(F.col("b").alias("first")).distinct().withColumn("taken", F.lit(True))
+        chosen = F.coalesce("chosen", F.col("free"), ~F.col("taken"))
+        state = checkpointed(state.join(free, "first", "left").join(taken, "first", "left").select("first", chosen.alias("chosen")))
 
-def cluster_summaries(tables: DataFrame, labels: DataFrame) -> DataFrame:
-    """What a model is told of each cluster: its header variants, a sample and its size."""
-    joined = tables.join(labels, "ord")
-    return joined.groupBy("cluster").agg(F.array_sort(F.collect_set("headers")).alias("variants"), F.min_by("headers", "ord").alias("sample"), F.count(F.lit(1)).alias("tables"))
+
+def route(tables: DataFrame, schemas: DataFrame, model: Callable[[str], str] | None = None, at_least: float = ASSIGN_SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Routes of ``tables(ord, headers, col_count, row_count)`` in the order of ``ord``, and the schemas that they add.
+
+    A table that a schema fits is ``assigned``; else, if it has two columns and rows, it is ``new``: ``model`` is asked
+    for a schema, which later tables meet (without a model none is added); else it is ``unknown``, with the score of
+    the best schema known by then (0 for a new one). Routes are ``(ord, route, schema_id, score)``; added schemas come with the columns
+    of ``schemas``, numbered on from them in the order of their tables, with ``since``, the table.
+
+    Equal to a loop over the tables, by a graph: nodes are the lists of headers that no given schema fits, in the
+    order of their first large enough tables; one covers a later one if the schema that the model names for it fits
+    that. ``first_come`` chooses the schemas that are added. The model is called once for each such list, in the workers;
+    of its answer the first schema counts, and that also fits the list that it was made for. No answer: unknown.
+    """
+    spark = tables.sparkSession
+    tables = checkpointed(tables.select("ord", "headers", "col_count", "row_count"))
+    kind = tables.schema["ord"].dataType.simpleString()
+    added = spark.createDataFrame([], f"schema_ord int, schema_id string, table_type string, canonical_columns array<string>, column_mapping map<string,string>, since {kind}, own array<string>")
+    if model is not None:
+        nodes = checkpointed(novel_kinds(tables, schemas, at_least))
+        told = nodes.select(F.col("first").alias("cluster"), F.array("headers").alias("variants"), F.col("headers").alias("sample"), F.lit(1).alias("tables"))
+        named = classify(told, model).where("place = 0").withColumnRenamed("cluster", "first")
+        named = checkpointed(named.join(nodes.select("first", F.col("headers").alias("own")), "first"))
+        theirs = schema_names(named, "first").select(F.col("first").alias("b"), F.col("names").alias("hb"))
+        near = similar_lists(nodes.select(F.col("first").alias("a"), F.col("names").alias("ha")), theirs, at_least)
+        chosen = first_come(named, near.where("b < a").select(F.col("b").alias("a"), F.col("a").alias("b")))
+        base = schemas.agg(F.coalesce(F.max("schema_ord") + 1, F.lit(0))).first()[0]
+        added = numbered(named.join(chosen, "first"), "first", "at").select(
+            (F.col("at") + base).cast("int").alias("schema_ord"), F.concat(F.lit("schema_"), "first").alias("schema_id"), "table_type", "canonical_columns", "column_mapping", F.col("first").alias("since"), "own"
+        )
+        added = checkpointed(added)
+    given = schemas.select("schema_ord", "schema_id", "canonical_columns", "column_mapping", F.lit(None).cast(kind).alias("since"), F.lit(None).cast("array<string>").alias("own"))
+    offered = checkpointed(given.union(added.select(given.columns)))
+    names = checkpointed(schema_names(offered, "schema_ord", "schema_id", "since"))
+    kinds = checkpointed(kinds_of(tables))
+    lists = kinds.select(F.col("first").alias("a"), F.col("names").alias("ha"))
+    near = similar_lists(lists, names.select(F.col("schema_ord").alias("b"), F.col("names").alias("hb")), at_least).withColumnRenamed("b", "schema_ord")
+
+    def best(some: DataFrame, scores: DataFrame) -> DataFrame:
+        """The best of the schemas that were there before each table."""
+        known = scores.join(names.select("schema_ord", "schema_id", "since"), "schema_ord").join(kinds.select(F.col("first").alias("a"), "headers"), "a")
+        known = some.select("ord", "headers").join(known, "headers").where("since IS NULL OR since < ord")
+        return known.groupBy("ord").agg(F.max_by(F.struct("schema_id", "score"), F.struct("score", -F.col("schema_ord"))).alias("x")).select("ord", "x.schema_id", "x.score")
+
+    makers = added.select(F.col("since").alias("ord"), F.col("schema_id").alias("made"))
+    large = (F.col("col_count") >= 2) & (F.col("row_count") >= 2) if model is None else F.col("made").isNotNull()
+    way = F.when(F.col("score").isNotNull(), "assigned").when(large, "new").otherwise("unknown")
+    routed = checkpointed(tables.join(best(tables, near), "ord", "left").join(makers, "ord", "left").withColumn("route", way))
+    left = routed.where("route = 'unknown'").select("ord", "headers")
+    asked = lists.join(left.join(kinds, "headers").select(F.col("first").alias("a")).distinct(), "a", "left_semi")
+    low = best(left, best_below(asked, names.select("schema_ord", "names"))).select("ord", F.col("score").alias("low"))
+    out = routed.join(low, "ord", "left").select("ord", "route", F.coalesce("schema_id", "made").alias("schema_id"), F.round(F.coalesce("score", "low", F.lit(0.0)), 3).alias("score"))
+    return out, added.drop("own")
+
+
+def cluster_summaries(tables: DataFrame, labels: DataFrame, most: int = 50) -> DataFrame:
+    """What a model is told of each cluster: its header variants (of more than ``most`` those of most tables, so that a
+    prompt stays short), a sample and its size."""
+    kinds = tables.join(labels, "ord").groupBy("cluster", "headers").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+    place = F.row_number().over(W.partitionBy("cluster").orderBy(F.col("n").desc(), "first"))
+    shown = kinds.withColumn("place", place).where(F.col("place") <= most)
+    sizes = kinds.groupBy("cluster").agg(F.min_by("headers", "first").alias("sample"), F.sum("n").alias("tables"))
+    return shown.groupBy("cluster").agg(F.array_sort(F.collect_list("headers")).alias("variants")).join(sizes, "cluster")
 
 
 _FENCE = re.compile(r"^\s*```(?:json)?\s*|\s*```\s*$")
 
 
-def classify(summaries: DataFrame, model: Callable[[str], str]) -> list[dict]:
-    """Schemas that ``model`` proposes for cluster summaries, one call a cluster (clusters are few by their nature);
-    code fences around the answer are taken off, an answer that is not JSON raises."""
-    proposals = []
-    for row in summaries.orderBy("cluster").toLocalIterator():
-        answer = model(json.dumps({"variants": row["variants"], "sample": row["sample"], "tables": row["tables"]}))
-        found = json.loads(_FENCE.sub("", answer))
-        proposals += [found] if isinstance(found, dict) else found
-    return proposals
+def classify(summaries: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """``(cluster, place, table_type, canonical_columns, column_mapping)``: the schemas that ``model`` proposes for cluster
+    summaries, one call a cluster, in the workers; code fences around an answer are taken off, an answer that is not
+    JSON raises."""
+    kind = summaries.schema["cluster"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for cluster, variants, sample, tables in zip(batch["cluster"], batch["variants"], batch["sample"], batch["tables"]):
+                prompt = {"variants": [list(v) for v in variants], "sample": list(sample), "tables": int(tables)}
+                found = json.loads(_FENCE.sub("", model(json.dumps(prompt))))
+                for place, x in enumerate([found] if isinstance(found, dict) else found):
+                    rows.append((cluster, place, x.get("table_type"), x.get("canonical_columns") or [], x.get("column_mapping") or {}))
+            yield pd.DataFrame(rows, columns=["cluster", "place", "table_type", "canonical_columns", "column_mapping"])
+
+    shown = summaries.select("cluster", "variants", "sample", F.col("tables").cast("long").alias("tables"))
+    return shown.mapInPandas(run, f"cluster {kind}, place int, table_type string, canonical_columns array<string>, column_mapping map<string,string>")
+
+
+def consolidate_routed(tables: DataFrame, cells: DataFrame, routes: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Rows of the tables that were assigned to a schema or made one."""
+    matched = tables.join(routes.where("schema_id IS NOT NULL").select("ord", "schema_id"), "ord")
+    return consolidate(cells, column_map(matched, schemas), tables).join(matched.select("ord", "schema_id"), "ord")
 
 
 def prepare_and_consolidate(tables: DataFrame, cells: DataFrame, approved: DataFrame, at_least: float = ASSIGN_SIMILARITY) -> DataFrame:
     """Batch form: tables whose best approved schema is similar enough, consolidated, with their schema."""
-    matched = tables.join(best_match(tables, approved).where(F.col("score") >= at_least), "ord")
+    matched = tables.join(best_match(tables, approved, at_least, below=False), "ord")
     mapping = column_map(matched, approved)
     return consolidate(cells, mapping, tables).join(matched.select("ord", "schema_id"), "ord")

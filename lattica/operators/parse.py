@@ -33,7 +33,7 @@ PARSED = (
     f"chunks array<{_CHUNK}>, "
     "tables array<struct<table_index: int, parent_table: int, parent_row: int, parent_col: int, chain: string, headers: array<string>, n_rows: int, n_cols: int>>, "
     f"cells array<struct<table_index: int, row: int, col: int, is_header: boolean, is_propagated: boolean, chunks: array<{_CHUNK}>, prov_path: string>>, "
-    "refs array<struct<attachment_id: string, filename: string, url: string, prov_path: string>>"
+    "refs array<struct<attachment_id: string, filename: string, url: string, prov_path: string>>, error string"
 )
 
 
@@ -188,17 +188,23 @@ class PageWalk:
 
 
 def parse_pages(pages: DataFrame, keep_comments: bool = True, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """One row a page with nested chunks, tables, cells and references; ``flat`` makes them rows."""
+    """One row a page with nested chunks, tables, cells and references; ``flat`` makes them rows. A page that cannot be
+    parsed is a row with an ``error`` and nothing else."""
+
+    def walked(page_id: str, html: str | None) -> dict:
+        try:
+            w = PageWalk(page_id, html or "", keep_comments)
+        except Exception as e:  # noqa: BLE001  a bad page is data, not a failure of the job
+            return {"page_id": page_id, "chunks": [], "tables": [], "cells": [], "refs": [], "error": f"parse_failed: {e}"[:500]}
+        return {"page_id": w.page_id, "chunks": w.chunks, "tables": w.tables, "cells": w.cells, "refs": w.refs, "error": None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 ids, texts = (c.to_pylist() for c in whole.slice(at, 256).columns)
-                walks = [PageWalk(i, h or "", keep_comments) for i, h in zip(ids, texts)]
-                rows = [{"page_id": w.page_id, "chunks": w.chunks, "tables": w.tables, "cells": w.cells, "refs": w.refs} for w in walks]
                 schema = schema or _arrow_schema()
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield pa.RecordBatch.from_pylist([walked(i, h) for i, h in zip(ids, texts)], schema=schema)
 
     return pages.select(F.col(id_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(run, PARSED)
 
@@ -211,7 +217,7 @@ def _arrow_schema() -> pa.Schema:
     )
     cells = pa.struct([("table_index", i), ("row", i), ("col", i), ("is_header", b), ("is_propagated", b), ("chunks", chunks), ("prov_path", s)])
     refs = pa.struct([("attachment_id", s), ("filename", s), ("url", s), ("prov_path", s)])
-    return pa.schema([("page_id", s), ("chunks", chunks), ("tables", pa.list_(tables)), ("cells", pa.list_(cells)), ("refs", pa.list_(refs))])
+    return pa.schema([("page_id", s), ("chunks", chunks), ("tables", pa.list_(tables)), ("cells", pa.list_(cells)), ("refs", pa.list_(refs)), ("error", s)])
 
 
 def flat(parsed: DataFrame, what: str) -> DataFrame:

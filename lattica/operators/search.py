@@ -127,17 +127,21 @@ def load_nodes(nodes: DataFrame, kinds: Sequence[str], include_deleted: bool = F
     return top(found if include_deleted else live(found), limit, F.col("_id"))
 
 
+#: How many characters a label shows of a title, a description, a page's id, a file name and any other id.
+LABEL_TITLE, LABEL_DESCRIPTION, LABEL_PAGE, LABEL_FILE, LABEL_ID = 40, 28, 8, 30, 35
+
+
 def label() -> Column:
-    """Short name by type: title, event type and description, id or file name, cut to 40 characters."""
-    return F.substring(
-        F.when(F.col("type") == "ConfPage", F.col("title"))
-        .when(F.col("type") == "Event", F.concat(F.lit("["), "event_type", F.lit("] "), "description"))
-        .when(F.col("type") == "Application", F.concat(F.lit("App "), "app_id"))
-        .when(F.col("type") == "Project", F.concat(F.lit("Project "), "project_id"))
-        .when(F.col("type") == "Attachment", F.col("filename"))
-        .otherwise(F.col("_id")),
-        1,
-        40,
+    """Short name of a node in the view of the graph; its lines and their lengths are a fixed format."""
+    first = lambda column, n: F.substring(column, 1, n)
+    return (
+        F.when(F.col("type") == "ConfPage", first(F.coalesce(F.when(F.col("title") != "", F.col("title")), "_id"), LABEL_TITLE))
+        .when(F.col("type") == "Application", F.concat(F.lit("App\n"), F.coalesce("app_id", "_id")))
+        .when(F.col("type") == "Project", F.concat(F.lit("Proj\n"), F.coalesce("project_id", "_id")))
+        .when(F.col("type") == "Event", F.concat(F.lit("["), F.coalesce("event_type", F.lit("event")), F.lit("]\n"), first(F.coalesce("description", F.lit("")), LABEL_DESCRIPTION)))
+        .when(F.col("type") == "Table", F.concat(F.lit("Table "), F.coalesce(F.col("table_index").cast("string"), F.lit("")), F.lit("\n("), first(F.coalesce("page_id", F.lit("")), LABEL_PAGE), F.lit(")")))
+        .when(F.col("type") == "Attachment", first(F.coalesce(F.when(F.col("filename") != "", F.col("filename")), "_id"), LABEL_FILE))
+        .otherwise(first(F.col("_id"), LABEL_ID))
     )
 
 

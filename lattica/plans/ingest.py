@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.functions.text import chunk_udf
@@ -42,31 +43,34 @@ def ingest(
     files: DataFrame | None = None,
     model: Extractor | None = None,
     embedder: Embedder | None = None,
+    classifier: Callable[[str], str] | None = None,
     extractors: dict[str, attach.Extractor] = EXTRACTORS,
     keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> dict[str, DataFrame]:
     """One plan for all pages ``(page_id, title, page_date, html)``; every result is a lazy DataFrame.
 
     ``metadata`` and ``files`` are what the source has of attachments, ``model`` names further ids and the events of a
-    page, ``embedder`` makes vectors; what is not given is left out. Several results read the parsed pages and the attachments: ``keep`` is applied to
+    page, ``embedder`` makes vectors, ``classifier`` names schemas for tables that none fits; what is not given is left out. Several results read the parsed pages and the attachments: ``keep`` is applied to
     both (a checkpoint, say), so that they are made once where more than one result is used.
     """
     spark = pages.sparkSession
     parsed = keep(parse_pages(pages))
+    failed = parsed.where("error IS NOT NULL").select("page_id", "error")
     chunks, tables, cells, refs = (flat(parsed, w) for w in ("chunks", "tables", "cells", "refs"))
     dated = pages.select(F.col("page_id").cast("string"), *(F.col(c) if c in pages.columns else F.lit(None).cast(t).alias(c) for c, t in (("title", "string"), ("page_date", "timestamp_ntz"))))
-    dated = dated.withColumnRenamed("page_date", "timestamp")
+    dated = dated.withColumnRenamed("page_date", "timestamp").join(failed, "page_id", "left_anti")
 
     attachments = spark.createDataFrame([], _ATTACHMENT)
     if metadata is not None and files is not None:
         attachments = keep(read_attachments(refs, metadata, files, extractors).select(*(c.split()[0] for c in _ATTACHMENT.split(", "))))
         more_tables, more_cells = attach.renumbered(tables, *attach.attachment_tables(attachments))
-        seq = F.lit(1 << 30) + F.col("table_index") * 1000 + F.col("row")  # behind the page's own, in order
-        tables = tables.unionByName(more_tables.withColumn("seq", F.lit(1 << 30) + F.col("table_index")))
-        cells = cells.unionByName(more_cells.withColumn("seq", seq.cast("int")))
+        # behind the page's own, in order
+        behind = F.lit(1 << 30).cast("long") + F.row_number().over(W.partitionBy("page_id").orderBy("table_index", "row", "col"))
+        tables = tables.withColumn("seq", F.col("seq").cast("long")).unionByName(more_tables.withColumn("seq", (F.lit(1 << 30) + F.col("table_index")).cast("long")))
+        cells = cells.withColumn("seq", F.col("seq").cast("long")).unionByName(more_cells.withColumn("seq", behind))
 
     extra = attach.extraction_input(attachments).withColumn("seq", F.lit(0))
-    texts = extract.collected_texts(chunks, cells.where(F.col("seq") < 1 << 30), extra)
+    texts = extract.collected_texts(chunks, cells, extra)
     candidates = extract.first_mentions(extract.scan_ids(texts))
     events = spark.createDataFrame([], EVENT_SCHEMA)
     if model is not None:
@@ -77,16 +81,22 @@ def ingest(
         )
         events = model_events(inputs, model)
     validated = extract.validate_ids(candidates, known_ids)
-    out = {"parsed": parsed, "chunks": chunks, "tables": tables, "cells": cells, "refs": refs, "attachments": attachments, "texts": texts, "ids": validated}
+    out = {"parsed": parsed, "failed": failed, "chunks": chunks, "tables": tables, "cells": cells, "refs": refs, "attachments": attachments, "texts": texts, "ids": validated}
     out["cancelled"] = extract.has_cancelled(chunks, cells, tables)
 
     top = tables.where("parent_table IS NULL")
     rows = None
     if schemas is not None:
-        prints = normalize.fingerprints(top, cells).withColumn("ord", F.concat_ws(":", "page_id", "table_index"))
-        own = cells.withColumn("ord", F.concat_ws(":", "page_id", "table_index"))
-        out["routes"] = normalize.route(prints, schemas)
-        rows = normalize.prepare_and_consolidate(prints, own, schemas).join(prints.select("ord", "page_id", "table_index"), "ord")
+        # tables are routed in the order of their pages' dates, undated ones last
+        place = F.concat_ws(":", F.coalesce(F.date_format("timestamp", "yyyyMMddHHmmss"), F.lit("~")), "page_id", F.lpad(F.col("table_index").cast("string"), 10, "0"))
+        prints = keep(normalize.fingerprints(top, cells).join(dated, "page_id").withColumn("ord", place))
+        own = cells.join(prints.select("ord", "page_id", "table_index"), ["page_id", "table_index"])
+        routes, added = normalize.route(prints, schemas, classifier)
+        out["routes"] = routes.join(prints.select("ord", "page_id", "table_index"), "ord")
+        if classifier is not None:
+            out["added_schemas"] = added
+        both = schemas.select("schema_id", "column_mapping").union(added.select("schema_id", "column_mapping"))
+        rows = normalize.consolidate_routed(prints, own, routes, both).join(prints.select("ord", "page_id", "table_index"), "ord")
         out["rows"] = rows.select(graph.row_id().alias("_id"), "*", F.lit(False).alias("is_deleted"))
 
     # --- graph
@@ -105,7 +115,8 @@ def ingest(
 
 
 def embedding_texts(pages: DataFrame, chunks: DataFrame, events: DataFrame, tables: DataFrame, cells: DataFrame, attachments: DataFrame) -> DataFrame:
-    """``(_id, kind, page_id, text)`` of all that gets a vector: pages, events, table rows and chunks of attachments."""
+    """``(_id, kind, page_id, text)`` of all that gets a vector: pages, events, table rows, the head row too, and chunks of
+    attachments."""
     bodies = chunks.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]).alias("body"))
     whole = pages.join(bodies, "page_id", "left")
     parts = whole.select(F.concat(F.lit("page_"), "page_id").alias("_id"), F.lit("ConfPage").alias("kind"), "page_id", graph.page_text(F.col("title"), F.col("timestamp"), F.col("body")).alias("text"))
@@ -113,11 +124,11 @@ def embedding_texts(pages: DataFrame, chunks: DataFrame, events: DataFrame, tabl
     text = graph.event_text(*(F.col(c) for c in ("event_type", "description", "title", "timestamp", "app_ids", "project_ids")))
     parts = parts.unionByName(told.select("_id", F.lit("Event").alias("kind"), "page_id", text.alias("text")))
     header = tables.select("page_id", "table_index", F.posexplode("headers").alias("col", "header"))
-    body = cells.where("NOT is_header").join(tables.select("page_id", "table_index"), ["page_id", "table_index"], "left_semi")
+    body = cells.join(tables.select("page_id", "table_index"), ["page_id", "table_index"], "left_semi")
     named = body.join(header, ["page_id", "table_index", "col"], "left").withColumn("text", normalize.cell_text(F.col("chunks")))
     rows = graph.row_texts(named).where("text <> ''")
-    parts = parts.unionByName(rows.select(graph.row_id().alias("_id"), F.lit("row").alias("kind"), "page_id", "text"))
+    parts = parts.unionByName(rows.select(graph.row_vector_id().alias("_id"), F.lit("row").alias("kind"), "page_id", "text"))
     pieces = attachments.where("error IS NULL AND text <> ''").select("page_id", "attachment_id", "filename", F.posexplode(chunk_udf()("text")).alias("idx", "chunk"))
     told = pieces.join(pages.select("page_id", "title", "timestamp"), "page_id")
     chunk = graph.chunk_text(F.col("filename"), F.col("title"), F.col("timestamp"), F.col("chunk"))
-    return parts.unionByName(told.select(F.concat(graph.attachment_node_id(), F.lit("_chunk_"), "idx").alias("_id"), F.lit("chunk").alias("kind"), "page_id", chunk.alias("text")))
+    return parts.unionByName(told.select(F.concat(graph.attachment_node_id(), F.lit("__chunk_"), "idx").alias("_id"), F.lit("chunk").alias("kind"), "page_id", chunk.alias("text")))

@@ -1,8 +1,10 @@
-"""Queries whose inputs are made from the driver's tables by rule, or written out, for behaviour that the plain
+"""Queries whose inputs are made from the driver's tables by rule, for behaviour that the plain
 projection cannot show: titles, file names, spans, tables, schemas."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -221,27 +223,6 @@ def has_cancelled(spark, sf):
     return extract.has_cancelled(chunks, cells, tables)
 
 
-HTML = (
-    ("span", '<table><tr><th>A</th><th>B</th></tr><tr><td rowspan="2">x</td><td>1</td></tr><tr><td>2</td></tr></table>'),
-    ("wide", '<table><tr><td colspan="2">x</td><td>y</td></tr></table>'),
-    ("both", '<table><tr><td rowspan="2" colspan="2">x</td><td>y</td></tr><tr><td>z</td></tr></table>'),
-    ("nested", "<table><tr><th>H</th></tr><tr><td>a<table><tr><td>in</td></tr></table></td></tr></table>"),
-    ("mixed", "<table><tbody><tr><td>body</td></tr></tbody><tr><td>direct</td></tr></table>"),
-)
-
-
-@query(
-    "SELECT * FROM (VALUES ('span', 0, 0, 0, 'A', false), ('span', 0, 0, 1, 'B', false), ('span', 0, 1, 0, 'x', false), ('span', 0, 1, 1, '1', false), "
-    "('span', 0, 2, 0, 'x', true), ('span', 0, 2, 1, '2', false), ('wide', 0, 0, 0, 'x', false), ('wide', 0, 0, 2, 'y', false), "
-    "('both', 0, 0, 0, 'x', false), ('both', 0, 0, 2, 'y', false), ('both', 0, 1, 0, 'x', true), ('both', 0, 1, 1, 'x', true), ('both', 0, 1, 2, 'z', false), "
-    "('nested', 0, 0, 0, 'H', false), ('nested', 0, 1, 0, 'a', false), ('nested', 1, 0, 0, 'in', false), ('mixed', 0, 0, 0, 'body', false)) "
-    't(page_id, table_index, "row", col, text, is_propagated)'
-)
-def html_tables(spark, sf):
-    parsed = parse.parse_pages(spark.createDataFrame(list(HTML), "page_id string, html string"))
-    return parse.flat(parsed, "cells").select("page_id", "table_index", "row", "col", normalize.cell_text(F.col("chunks")).alias("text"), "is_propagated")
-
-
 def _order_pages(spark, sf):
     """Each order as a page: a table of its line items, cancelled ones struck; all of a finished order's is struck, its
     total stands in a second table without a head, and every third line links a file."""
@@ -267,6 +248,17 @@ _LINES = f"""l AS (SELECT CAST(l_orderkey AS VARCHAR) AS page_id, l_partkey, l_r
   row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(src.LINE_ORDER)}) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
+@query(
+    f"WITH {_LINES} SELECT DISTINCT page_id, 0 AS table_index, 0 AS \"row\", unnest([0, 1, 2]) AS col, unnest(['Part no', 'Quantity', 'File']) AS text, false AS is_propagated FROM l "
+    "UNION ALL SELECT page_id, 0, CAST(r AS INTEGER), unnest([0, 1, 2]), unnest([CAST(l_partkey AS VARCHAR), CAST(quantity AS VARCHAR), CASE WHEN l_partkey % 3 = 0 THEN 'file' ELSE '' END]), false FROM l "
+    "UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 1, 0, 0, o_orderpriority, false FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)"
+)
+def html_tables(spark, sf):
+    """Cells of the tables of pages."""
+    parsed = parse.parse_pages(_order_pages(spark, sf))
+    return parse.flat(parsed, "cells").select("page_id", "table_index", "row", "col", normalize.cell_text(F.col("chunks")).alias("text"), "is_propagated")
+
+
 @query(
     f"WITH {_LINES}, c AS (SELECT page_id, max(r) AS n FROM l GROUP BY page_id) SELECT page_id, 0 AS table_index, 'Part|Quantity|File' AS headers, CAST(n + 1 AS INTEGER) AS n_rows, 3 AS n_cols FROM c "
     "UNION ALL SELECT page_id, 1, '', 1, 1 FROM c"
@@ -464,78 +456,150 @@ def fingerprint(spark, sf):
     return out.select("page_id", F.array_join("headers", "|").alias("headers"), "col_count", "row_count", F.size("samples").alias("n_samples"))
 
 
-HEADERS = ((0, ["Acuerdo", "Fecha"]), (1, ["Acuedo", "Fecha"]), (2, ["Estado", "Responsable", "Id"]), (3, ["estatus", "responsable", "id"]), (4, ["zzz"]), (5, ["Acuerdo", "Fecha"]), (6, ["Riesgo", "Impacto", "Nivel"]))
-SCHEMAS = (
-    (0, "s0", ["acuerdo", "fecha"], {"Acuerdo": "acuerdo", "acuerdo ": "other", "Fecha": "fecha"}),
-    (1, "s1", ["acuerdo", "fecha"], {}),
-    (2, "s2", ["status", "owner"], {"Estado": "status", "Responsable": "owner"}),
-)
+# --- headers and schemas: each part is a table, headed by the words of its name and its type ------------------------
 
 
-def _tables(spark):
-    return spark.createDataFrame([(o, h, len(h), o) for o, h in HEADERS], "ord int, headers array<string>, col_count int, row_count int")
+def _part_tables(spark, sf):
+    words = F.split("p_name", " ")
+    first = F.concat(words[0], F.when(F.pmod("p_partkey", F.lit(7)) == 0, "s").otherwise(""))
+    second = F.when(F.pmod("p_partkey", F.lit(3)) == 1, F.upper(words[1])).otherwise(words[1])
+    return src.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("ord"), F.array(first, second, F.col("p_type")).alias("headers"), F.lit(3).alias("col_count"), F.pmod("p_size", F.lit(4)).cast("int").alias("row_count")
+    )
+
 
+def _part_schemas(spark, sf):
+    """A schema for each name of an even length, in the order of names."""
+    words = F.split("p_name", " ")
+    names = src.table(spark, sf, "part").where("length(p_name) % 2 = 0").select("p_name").distinct()
+    return names.select(
+        (F.row_number().over(Window.orderBy("p_name")) - 1).alias("schema_ord"), F.concat(F.lit("s_"), "p_name").alias("schema_id"), words.alias("canonical_columns"), F.create_map(F.upper(words[1]), words[1]).alias("column_mapping")
+    )
 
-def _schemas(spark):
-    return spark.createDataFrame(list(SCHEMAS), "schema_ord int, schema_id string, canonical_columns array<string>, column_mapping map<string,string>")
 
+#: The ratio of two strings, by the length of their longest common subsequence.
+_RATIO = """CASE WHEN {a} = {b} THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 2.0 / (length({a}) + length({b})) *
+  list_reduce(list_prepend(list_transform(range(0, length({b}) + 1), lambda z: 0::BIGINT), list_transform(string_split({a}, ''), lambda ch: [unicode(ch)::BIGINT])),
+    lambda p, x: list_reduce(list_prepend([0::BIGINT], list_transform(range(1, length({b}) + 1), lambda j: [j])),
+      lambda q, j: list_append(q, CASE WHEN unicode({b}[j[1]]) = x[1] THEN p[j[1]] + 1 ELSE greatest(p[j[1] + 1], q[-1]) END)))[-1] END"""
+_T = """t AS (SELECT p_partkey AS ord, [split_part(p_name, ' ', 1) || CASE WHEN p_partkey % 7 = 0 THEN 's' ELSE '' END,
+    CASE WHEN p_partkey % 3 = 1 THEN upper(split_part(p_name, ' ', 2)) ELSE split_part(p_name, ' ', 2) END, p_type] AS headers, p_size % 4 AS row_count FROM part)"""
+_KINDS = f"""{_T},
+k AS MATERIALIZED (SELECT headers, min(ord) AS first, list_transform(headers, lambda h: lower(trim(h))) AS names FROM t GROUP BY headers),
+sc AS MATERIALIZED (SELECT row_number() OVER (ORDER BY p_name) - 1 AS schema_ord, 's_' || p_name AS schema_id, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b
+  FROM (SELECT DISTINCT p_name FROM part WHERE length(p_name) % 2 = 0)),
+w AS (SELECT DISTINCT unnest(names) AS s FROM k UNION SELECT a FROM sc UNION SELECT b FROM sc),
+ra AS MATERIALIZED (SELECT x.s AS x, y.s AS y, {_RATIO.format(a="x.s", b="y.s")} AS ratio FROM w x, w y),
+kw AS (SELECT first, unnest(names) AS s, unnest([1, 2, 3]) AS i FROM k),
+sim AS MATERIALIZED (SELECT a, b, round(avg(best), 9) AS score FROM (SELECT p.first AS a, q.first AS b, p.i, max(ratio) AS best FROM kw p JOIN ra ON ra.x = p.s JOIN kw q ON q.s = ra.y GROUP BY ALL) GROUP BY a, b),
+ss AS MATERIALIZED (SELECT a, schema_ord, round(avg(best), 9) AS score FROM (SELECT p.first AS a, schema_ord, p.i, max(ratio) AS best FROM kw p JOIN ra ON ra.x = p.s
+  JOIN (SELECT schema_ord, unnest([a, b]) AS s FROM sc) q ON q.s = ra.y GROUP BY ALL) GROUP BY a, schema_ord)"""
+_PAIRS = f"""{_KINDS},
+pr AS (SELECT a, b FROM sim WHERE a < b AND score >= 0.75 - 1e-9 UNION ALL SELECT k.first, t.ord FROM t JOIN k USING (headers) WHERE t.ord <> k.first)"""
 
-@query("SELECT k, CAST(similarity AS DOUBLE) AS similarity FROM (VALUES (0, 0.923077), (1, 1.0), (2, 0.5), (3, 0.0)) t(k, similarity)")
+
+@query(
+    f"WITH w AS (SELECT p_partkey, i, x, y, {_RATIO.format(a='x', b='y')} AS r FROM (SELECT p_partkey, unnest([1, 2]) AS i, lower(unnest([split_part(p_name, ' ', 1), p_type])) AS x, lower(p_name) AS y FROM part "
+    "UNION ALL SELECT p_partkey, unnest([1, 2]), lower(unnest([split_part(p_name, ' ', 1), p_type])), lower(split_part(p_name, ' ', 2)) FROM part)) "
+    "SELECT p_partkey, round(avg(r), 6) AS similarity FROM (SELECT p_partkey, i, max(r) AS r FROM w GROUP BY ALL) GROUP BY p_partkey"
+)
 def header_similarity(spark, sf):
-    pairs = [(0, ["Acuedo"], ["Acuerdo"]), (1, ["a"], ["a", "zzz"]), (2, ["a", "zzz"], ["a"]), (3, [], ["a"])]
-    df = spark.createDataFrame(pairs, "k int, a array<string>, b array<string>")
-    return df.select("k", F.round(similarity("a", "b"), 6).alias("similarity"))
+    """Similarity of each part's first word and type to its whole name and last word."""
+    words = F.split("p_name", " ")
+    both = src.table(spark, sf, "part").select("p_partkey", F.array(words[0], F.col("p_type")).alias("a"), F.array(F.col("p_name"), words[1]).alias("b"))
+    return both.select("p_partkey", F.round(similarity("a", "b"), 6).alias("similarity"))
+
 
+@query(f"WITH {_PAIRS} SELECT a, count(*) AS n, max(b) AS last, sum(b)::BIGINT AS total FROM pr GROUP BY a")
+def similar_tables(spark, sf):
+    """Of each table the later ones that it is similar to; equal ones count once, with their first."""
+    pairs = normalize.similar_tables(_part_tables(spark, sf))
+    return pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("b").alias("last"), F.sum("b").alias("total"))
 
-@query("SELECT * FROM (VALUES (0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 0), (6, 6)) t(ord, cluster)")
+
+@query(
+    f"WITH RECURSIVE {_PAIRS}, e AS MATERIALIZED (SELECT a, b FROM sim WHERE a <> b AND score >= 0.75 - 1e-9), e2 AS (SELECT a, b FROM e WHERE a < b UNION SELECT b, a FROM e WHERE a < b), "
+    "u(a, b) AS (SELECT first, first FROM k UNION SELECT u.a, e2.b FROM u JOIN e2 ON u.b = e2.a) "
+    "SELECT t.ord, min(u.b) AS cluster FROM t JOIN k USING (headers) JOIN u ON u.a = k.first GROUP BY t.ord"
+)
 def cluster_components(spark, sf):
-    return normalize.clusters(_tables(spark))
+    return normalize.clusters(_part_tables(spark, sf))
 
 
 @query(
-    "SELECT ord, schema_id, CAST(score AS DOUBLE) AS score FROM (VALUES (0, 's0', 1.0), (1, 's0', 0.962), (2, 's2', 0.75), (3, 's2', 0.724), (5, 's0', 1.0), (6, 's2', 0.403)) t(ord, schema_id, score)"
+    f"WITH {_KINDS} SELECT t.ord, schema_id, round(x.score, 6) AS score FROM t JOIN k USING (headers) JOIN (SELECT a, arg_min(schema_ord, (-score, schema_ord)) AS schema_ord, max(score) AS score FROM ss WHERE score > 0 GROUP BY a) x "
+    "ON x.a = k.first JOIN sc USING (schema_ord)"
 )
 def best_match(spark, sf):
-    """Of equal schemas the first; none for the table that is like no schema."""
-    return normalize.best_match(_tables(spark), _schemas(spark)).select("ord", "schema_id", F.round("score", 3).alias("score"))
+    """Of equal schemas the first, however low its score; none for a table that is like no schema."""
+    found = normalize.best_match(_part_tables(spark, sf), _part_schemas(spark, sf))
+    return found.select("ord", "schema_id", F.round("score", 6).alias("score"))
 
 
 @query(
-    "SELECT * FROM (VALUES (0, 0, 'acuerdo'), (0, 1, 'fecha'), (1, 1, 'fecha'), (2, 0, 'status'), (2, 1, 'owner'), (3, 1, 'owner'), (5, 0, 'acuerdo'), (5, 1, 'fecha')) t(ord, col, canonical)"
+    f"WITH {_T}, m AS (SELECT ord, unnest([0, 1, 2]) AS col, unnest(headers) AS header, p_name FROM t JOIN part ON p_partkey = ord) "
+    "SELECT ord, col, CASE WHEN header = split_part(p_name, ' ', 2) THEN 'plain' WHEN header = upper(split_part(p_name, ' ', 2)) THEN 'loud' WHEN lower(header) = lower(split_part(p_name, ' ', 1)) THEN 'first' END AS canonical "
+    "FROM m WHERE lower(header) IN (split_part(p_name, ' ', 1), split_part(p_name, ' ', 2))"
 )
 def column_map(spark, sf):
     """Exact headers first, then without case; those without an entry have no column."""
-    tables = _tables(spark).withColumn("schema_id", F.when(F.col("ord").isin(2, 3), "s2").otherwise("s0"))
-    return normalize.column_map(tables, _schemas(spark)).select("ord", "col", "canonical")
+    words = F.split("p_name", " ")
+    mapping = F.map_from_arrays(F.array(F.upper(words[0]), F.upper(words[1]), words[1]), F.array(F.lit("first"), F.lit("loud"), F.lit("plain")))
+    schemas = src.table(spark, sf, "part").select("p_name").distinct().select(F.col("p_name").alias("schema_id"), mapping.alias("column_mapping"))
+    tables = _part_tables(spark, sf).join(src.table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("schema_id")), "ord")
+    return normalize.column_map(tables, schemas).select("ord", "col", "canonical")
+
+
+def name_schema(prompt: str) -> str:
+    """A stand-in for a model that names schemas: the headers themselves, without case."""
+    sample = json.loads(prompt)["sample"]
+    return json.dumps({"table_type": sample[-1], "canonical_columns": [h.lower() for h in sample], "column_mapping": {h: h.lower() for h in sample}})
 
 
 @query(
-    "SELECT * FROM (VALUES (0, 'assigned', 's0'), (1, 'assigned', 's0'), (2, 'assigned', 's2'), (3, 'assigned', 's2'), (4, 'unknown', NULL), (5, 'assigned', 's0'), (6, 'new', NULL)) t(ord, route, schema_id)"
+    f"WITH RECURSIVE {_KINDS}, fit AS MATERIALIZED (SELECT a, schema_ord, score FROM ss WHERE score >= 0.7 - 1e-9), "
+    "nd AS MATERIALIZED (SELECT k.first, min(t.ord) AS f, row_number() OVER (ORDER BY min(t.ord)) AS n FROM t JOIN k USING (headers) WHERE row_count >= 2 AND k.first NOT IN (SELECT a FROM fit) GROUP BY k.first), "
+    "cv AS MATERIALIZED (SELECT x.n, list(y.n) FILTER (y.n IS NOT NULL) AS by_ FROM nd x LEFT JOIN sim ON sim.a = x.first AND sim.score >= 0.7 - 1e-9 LEFT JOIN nd y ON y.first = sim.b AND y.n < x.n GROUP BY x.n), "
+    "lo(n, chosen) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT cv.n, CASE WHEN list_has_any(chosen, coalesce(by_, [])) THEN chosen ELSE list_append(chosen, cv.n) END FROM lo JOIN cv ON cv.n = lo.n + 1), "
+    "ch AS (SELECT first, f FROM nd WHERE n IN (SELECT unnest(chosen) FROM (SELECT chosen FROM lo ORDER BY n DESC LIMIT 1))), "
+    "of AS (SELECT k.first AS a, schema_id, score, schema_ord, -1 AS since FROM fit JOIN k ON k.first = fit.a JOIN sc USING (schema_ord) "
+    "UNION ALL SELECT sim.a, 'schema_' || ch.f, sim.score, 1000000 + ch.f, ch.f FROM sim JOIN ch ON ch.first = sim.b WHERE sim.score >= 0.7 - 1e-9), "
+    "bs AS (SELECT t.ord, arg_min(schema_id, (-score, schema_ord)) AS schema_id FROM t JOIN k USING (headers) JOIN of ON of.a = k.first AND since < t.ord GROUP BY t.ord) "
+    "SELECT t.ord, CASE WHEN bs.ord IS NOT NULL THEN 'assigned' WHEN ch.f IS NOT NULL THEN 'new' ELSE 'unknown' END AS route, coalesce(bs.schema_id, 'schema_' || ch.f) AS schema_id "
+    "FROM t LEFT JOIN bs ON bs.ord = t.ord LEFT JOIN ch ON ch.f = t.ord"
 )
 def route_tables(spark, sf):
-    return normalize.route(_tables(spark), _schemas(spark)).select("ord", "route", "schema_id")
+    """Tables in order: those that no schema fits name one, which later tables meet."""
+    routes, _ = normalize.route(_part_tables(spark, sf), _part_schemas(spark, sf), name_schema)
+    return routes.select("ord", "route", "schema_id")
 
 
-VERSIONS = (("a1", "agreements", "approved", 1), ("a2", "agreements", "auto_approved", 3), ("a3", "agreements", "pending_approval", 9), ("r1", "risks", "approved", 2))
+def _schema_versions(spark, sf):
+    status = F.element_at(F.array(*(F.lit(s) for s in ("approved", "auto_approved", "pending_approval", "rejected"))), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int"))
+    return src.table(spark, sf, "part").select(
+        F.concat(F.lit("s"), "p_partkey").alias("schema_id"), F.concat_ws(" ", "p_type", "p_brand").alias("table_type"), status.alias("status"), F.col("p_size").alias("version"),
+        F.create_map(F.col("p_name"), F.col("p_type"), F.lit("Brand"), F.col("p_brand")).alias("column_mapping"),
+    )
+
 
+_VERSIONS = "v AS (SELECT 's' || p_partkey AS schema_id, p_type || ' ' || p_brand AS table_type, (['approved', 'auto_approved', 'pending_approval', 'rejected'])[p_partkey % 4 + 1] AS status, p_size AS version, p_name, p_type, p_brand FROM part)"
 
-@query("SELECT * FROM (VALUES ('agreements', 'a2'), ('risks', 'r1')) t(table_type, schema_id)")
+
+@query(f"WITH {_VERSIONS} SELECT table_type, schema_id FROM v WHERE status IN ('approved', 'auto_approved') QUALIFY row_number() OVER (PARTITION BY table_type ORDER BY version DESC, schema_id) = 1")
 def schema_latest_by_type(spark, sf):
-    df = spark.createDataFrame(list(VERSIONS), "schema_id string, table_type string, status string, version int")
-    return store.schema_by_type(df).select("table_type", "schema_id")
+    return store.schema_by_type(_schema_versions(spark, sf)).select("table_type", "schema_id")
 
 
-@query("SELECT * FROM (VALUES ('a1', 'approved'), ('a2', 'auto_approved'), ('a3', 'approved'), ('r1', 'approved')) t(schema_id, status)")
+@query(f"WITH {_VERSIONS} SELECT schema_id, CASE WHEN schema_id = 's2' THEN 'approved' ELSE status END AS status, CASE WHEN schema_id = 's2' THEN 'editor' END AS approved_by FROM v")
 def schema_approve(spark, sf):
-    df = spark.createDataFrame(list(VERSIONS), "schema_id string, table_type string, status string, version int")
-    df = df.withColumns({"approved_by": F.lit(None).cast("string"), "approved_at": F.lit(None).cast("timestamp")})
-    return store.approve_schema(df, "a3", "editor", F.current_timestamp()).select("schema_id", "status")
+    df = _schema_versions(spark, sf).withColumns({"approved_by": F.lit(None).cast("string"), "approved_at": F.lit(None).cast("timestamp")})
+    return store.approve_schema(df, "s2", "editor", F.current_timestamp()).select("schema_id", "status", "approved_by")
 
 
-@query("SELECT * FROM (VALUES ('s0', 'Acuerdo=acuerdo,Fecha=day,acuerdo =other'), ('s1', ''), ('s2', 'Estado=status,Responsable=owner')) t(schema_id, mapping)")
+@query(f"WITH {_VERSIONS} SELECT schema_id, CASE WHEN schema_id = 's2' THEN 'Brand=maker' ELSE 'Brand=' || p_brand END || ',' || p_name || '=' || p_type AS mapping FROM v")
 def schema_add_mapping(spark, sf):
     """An entry of one schema is replaced; the others stay."""
-    out = store.add_mapping(_schemas(spark), "s0", "Fecha", "day")
+    out = store.add_mapping(_schema_versions(spark, sf), "s2", "Brand", "maker")
     entries = F.array_sort(F.transform(F.map_entries("column_mapping"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return out.select("schema_id", F.array_join(entries, ",").alias("mapping"))
 
@@ -547,11 +611,19 @@ def normalized_soft_delete(spark, sf):
     return store.soft_delete_rows(rows, high).groupBy("page_id", "is_deleted").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('p', 'app_id', '12345678901'), ('p', 'project_id', '123456789')) t(page_id, id_type, raw_value)")
+@query(
+    f"WITH {EVENTS} SELECT DISTINCT page_id, 'app_id' AS id_type, app_id AS raw_value FROM e x WHERE idx % 4 = 0 AND NOT EXISTS (SELECT 1 FROM e y WHERE y.page_id = x.page_id AND y.app_id = x.app_id AND y.is_cancelled) "
+    "UNION SELECT DISTINCT page_id, 'project_id', project_id FROM e WHERE idx % 4 = 1"
+)
 def llm_id_merge(spark, sf):
-    named = [("p", "app_id", "123.456.789.01"), ("p", "project_id", "123/456/789"), ("p", "app_id", "123/456/789/01"), ("p", "app_id", "99999999999"), ("p", "project_id", "12345")]
-    seen = spark.createDataFrame([("p", "99999999999")], "page_id string, raw_value string")
-    return extract.merge_named(seen, spark.createDataFrame(named, "page_id string, id_type string, raw string")).select("page_id", "id_type", "raw_value")
+    """Identifiers as a model writes them: with points, with slashes (of projects only), cut short, or seen before."""
+    e = src.events(spark, sf)
+    app, project, k = F.col("app_ids")[0], F.col("project_ids")[0], F.pmod("idx", F.lit(4))
+    parts = lambda c, sep: F.concat_ws(sep, F.substring(c, 1, 3), F.substring(c, 4, 3), F.substring(c, 7, 5))
+    raw = F.when(k == 0, parts(app, ".")).when(k == 1, parts(project, "/")).when(k == 2, parts(app, "/")).otherwise(F.substring(project, 1, 5))
+    named = e.select("page_id", F.when(k.isin(0, 2), "app_id").otherwise("project_id").alias("id_type"), raw.alias("raw"))
+    seen = e.where("is_cancelled").select("page_id", app.alias("raw_value"))
+    return extract.merge_named(seen, named).select("page_id", "id_type", "raw_value")
 
 
 @query(f"WITH {EVENTS} SELECT app_id AS id, '1990-01-01' AS first_seen, strftime(max(ts), '%Y-%m-%d') AS last_seen FROM e GROUP BY app_id")

