@@ -8,11 +8,16 @@ product is the exact marginal of each text, and texts that are content with a ch
 
 All numbers are counted from labelled pages. These are made by ``labelled_pages``: pages of many layouts whose
 main article is known (whole, or in sections and containers of many names), with menus, headers, footers, sidebars,
-notices, adverts, forms and comments around and inside it. The name of a part counts by its last known word. Their number is a parameter; the corpus is not sampled. Training takes a second, on the driver; what
-executors get are two small tables of logarithms.
+notices, adverts, forms and comments around and inside it. The name of a part counts by its last known word, a role
+of the ARIA landmarks as the element that it stands for. The number of pages is a parameter; the corpus is not
+sampled. Pages are made and counted in the workers, in blocks with seeds of their own, and a driver process keeps the
+model; what executors get are two small tables of logarithms.
 
-Defined cases: a null or empty page, or one without content, gives an empty text; broken markup is mended, never
-refused; very long pages take time in proportion to their nodes; repeated rows are extracted each; extra columns
+Names lower a chance but do not decide that a page has nothing to say: where no sentence is kept though the page has a
+main heading (h1), it is judged again without its names.
+
+Defined cases: a null or empty page, or one without content, gives an empty text; a page without elements, but for
+those inside a line, is one block; broken markup is mended, never refused; very long pages take time in proportion to their nodes; repeated rows are extracted each; extra columns
 pass through, but for those with the names of results.
 """
 
@@ -33,14 +38,19 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from lattica.functions.dom import BLOCK, TEXT, Dom, parse_dom
 from lattica.llm.common import bounded_batches, read
 
-TRAINING_PAGES = 2000
+TRAINING_PAGES, PAGES_A_BLOCK = 2000, 125
 #: The chance from which a text is kept: to lose content counts three times what it counts to keep something else.
 KEEP = 0.25
+#: A text of so many words that ends a sentence is one.
+SENTENCE_WORDS = 5
 #: Elements whose text is never shown as part of an article, whatever the model says.
 NEVER = frozenset("head title script style noscript template iframe object select option button textarea svg".split())
 #: Elements inside a line; they take their parent's label.
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 
+#: Landmark roles and the elements that have them by themselves.
+ROLES = {"banner": "header", "complementary": "aside", "contentinfo": "footer", "form": "form", "main": "main", "navigation": "nav", "search": "form", "article": "article"}
+
 #: Elements that every page has once; their kind says nothing of the page.
 ONCE = frozenset(("html", "head", "body"))
 LISTS = frozenset(("ul", "ol", "menu", "dl"))
@@ -66,14 +76,23 @@ def head_words(dom: Dom, node: int) -> list[str]:
     return [w for w in dict.fromkeys(map(head_word, names)) if w]
 
 
-def edge_kinds(dom: Dom) -> list[str]:
+def kinds(dom: Dom) -> list[str]:
+    """The tag of each node, or that of the element whose landmark role it has."""
+    out = list(dom.tag)
+    for node, tag in enumerate(dom.tag):
+        if tag[0] != "#" and tag not in ONCE and "role" in dom.data[node]:
+            out[node] = ROLES.get(dom.attributes(node).get("role", "").strip().lower(), tag)
+    return out
+
+
+def edge_kinds(dom: Dom, named: bool = True) -> list[str]:
     """What each node's edge to its parent depends on: its tag, and whether it is named with a known word."""
     out = []
-    for node, tag in enumerate(dom.tag):
+    for node, tag in enumerate(kinds(dom)):
         if tag in INLINE:
             out.append("#inline")
         else:
-            out.append(f"{tag}+" if tag[0] != "#" and head_words(dom, node) else tag)
+            out.append(f"{tag}+" if named and tag[0] != "#" and head_words(dom, node) else tag)
     return out
 
 
@@ -93,8 +112,8 @@ def link_lists(dom: Dom) -> list[bool]:
     return [tag in LISTS and 2 * in_links[node] > chars[node] for node, tag in enumerate(dom.tag)]
 
 
-def observations(dom: Dom) -> list[list[str]]:
-    """What is seen of each node: attribute words of elements; length, links and sentence ends of texts.
+def observations(dom: Dom, named: bool = True) -> list[list[str]]:
+    """What is seen of each node: attribute words of elements, if ``named``; length, links and sentence ends of texts.
 
     The items of a list of links say much the same, so they are seen once, at the list.
     """
@@ -102,7 +121,7 @@ def observations(dom: Dom) -> list[list[str]]:
     linked: list[bool] = []
     listed: list[bool] = []
     links = link_lists(dom)
-    for node, tag in enumerate(dom.tag):
+    for node, tag in enumerate(kinds(dom)):
         up = dom.parent[node]
         linked.append(tag == "a" or (up >= 0 and linked[up]))
         listed.append(links[node] or (up >= 0 and listed[up]))
@@ -119,7 +138,8 @@ def observations(dom: Dom) -> list[list[str]]:
                 found.append(f"tag:{tag}")
             if tag in LISTS:
                 found.append(f"links:{links[node]}")
-            found += [f"name:{w}" for w in head_words(dom, node)]
+            if named:
+                found += [f"name:{w}" for w in head_words(dom, node)]
         seen.append(found)
     return seen
 
@@ -131,16 +151,16 @@ class Model:
     edge: dict[str, tuple[tuple[float, float], tuple[float, float]]]
     own: dict[str, tuple[float, float]]
 
-    def edges(self, dom: Dom) -> list[tuple[tuple[float, float], tuple[float, float]]]:
+    def edges(self, dom: Dom, named: bool = True) -> list[tuple[tuple[float, float], tuple[float, float]]]:
         usual = {False: self.edge["div"], True: self.edge["div+"]}
-        return [self.edge.get(kind, usual[kind[-1] == "+"]) for kind in edge_kinds(dom)]
+        return [self.edge.get(kind, usual[kind[-1] == "+"]) for kind in edge_kinds(dom, named)]
 
-    def marginals(self, dom: Dom) -> list[float]:
-        """The chance that each node is content."""
+    def marginals(self, dom: Dom, named: bool = True) -> list[float]:
+        """The chance that each node is content; without what names say, if not ``named``."""
         n = len(dom.tag)
-        edges = self.edges(dom)
+        edges = self.edges(dom, named)
         not_, yes = [0.0] * n, [0.0] * n  # own evidence and the messages from below
-        for node, found in enumerate(observations(dom)):
+        for node, found in enumerate(observations(dom, named)):
             for x in found:
                 if x in self.own:
                     a, b = self.own[x]
@@ -181,14 +201,14 @@ def _add(a: float, b: float) -> float:
     return a + math.log1p(math.exp(b - a)) if b - a > -40 else a
 
 
-def train(pages: list[tuple[str, str]], smooth: float = 0.5) -> Model:
-    """Counts over pages ``(html, mark)``: an element with the attribute ``mark="1"`` or ``"0"`` sets the label of what it holds."""
-    edge: dict[str, Counter] = defaultdict(Counter)
-    own: Counter = Counter()
-    total: Counter = Counter()
+def counted(pages: list[tuple[str, str]]) -> Counter:
+    """Counts over pages ``(html, mark)``: an element with the attribute ``mark="1"`` or ``"0"`` sets the label of what it
+    holds. Keys are ``(what, key, label, label)``: edges by the parent's and the child's label, observations and the
+    nodes that have one of a kind by the node's."""
+    out: Counter = Counter()
     for html, mark in pages:
         dom = parse_dom(html)
-        label, kinds = [0] * len(dom.tag), edge_kinds(dom)
+        label, kinds_ = [0] * len(dom.tag), edge_kinds(dom)
         for node, tag in enumerate(dom.tag):
             if not node:
                 continue
@@ -196,12 +216,20 @@ def train(pages: list[tuple[str, str]], smooth: float = 0.5) -> Model:
             label[node] = label[parent]
             if tag[0] != "#" and mark in dom.data[node]:
                 label[node] = int(dom.attributes(node)[mark])
-            edge[kinds[node]][label[parent], label[node]] += 1
+            out["edge", kinds_[node], label[parent], label[node]] += 1
         for found, y in zip(observations(dom), label):
             for kind in {x.partition(":")[0] for x in found}:
-                total[kind, y] += 1
+                out["total", kind, y, y] += 1
             for x in found:
-                own[x, y] += 1
+                out["own", x, y, y] += 1
+    return out
+
+
+def model_of(counts: dict[tuple[str, str, int, int], int], smooth: float = 0.5) -> Model:
+    edge, own, total = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
+    tables = {"edge": edge, "own": own, "total": total}
+    for (what, key, a, b), n in counts.items():
+        tables[what][key][a, b] += n
     edges = {}
     for tag in {*edge, "div", "div+"}:
         c = edge[tag]
@@ -210,7 +238,38 @@ def train(pages: list[tuple[str, str]], smooth: float = 0.5) -> Model:
             both = c[y, 0] + c[y, 1] + 2 * smooth
             rows.append((math.log((c[y, 0] + smooth) / both), math.log((c[y, 1] + smooth) / both)))
         edges[tag] = (rows[0], rows[1])
-    return Model(edges, {x: tuple(math.log((own[x, y] + smooth) / (total[x.partition(":")[0], y] + 2 * smooth)) for y in (0, 1)) for x, _ in own})
+    return Model(edges, {x: tuple(math.log((c[y, y] + smooth) / (total[x.partition(":")[0]][y, y] + 2 * smooth)) for y in (0, 1)) for x, c in own.items()})
+
+
+def train(pages: list[tuple[str, str]], smooth: float = 0.5) -> Model:
+    """A model from pages at hand (see ``counted``)."""
+    return model_of(counted(pages), smooth)
+
+
+_models: dict[tuple[int, int], Model] = {}
+
+
+def trained(spark: SparkSession, count: int = 0, seed: int = 9) -> Model:
+    """The model of ``labelled_pages``, made and counted in the workers: the driver gets a number a key of a table
+    that is bounded by the words and tags of the layouts. Kept for the driver's life."""
+    count = count or TRAINING_PAGES
+    if (count, seed) not in _models:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found: Counter = Counter()
+                for block in batch.column(0).to_pylist():
+                    found += counted(page_block(block, count, seed))
+                keys = list(found)
+                yield pa.record_batch(
+                    [*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32()))), pa.array([found[k] for k in keys], pa.int64())],
+                    ["what", "key", "a", "b", "n"],
+                )
+
+        blocks = -(-count // PAGES_A_BLOCK)
+        rows = spark.range(0, blocks, 1, blocks).mapInArrow(run, "what string, key string, a int, b int, n long").groupBy("what", "key", "a", "b").agg(F.sum("n").alias("n"))
+        _models[count, seed] = model_of({(r["what"], r["key"], r["a"], r["b"]): r["n"] for r in rows.collect()})
+    return _models[count, seed]
 
 
 # --- labelled pages --------------------------------------------------------------------------------------
@@ -222,7 +281,7 @@ ASIDE_NAMES = {
     "header": "header masthead site-header banner top logo branding".split(),
     "footer": "footer site-footer bottom copyright legal colophon".split(),
     "aside": "sidebar aside widget widgets related related-posts recommended toc tags".split(),
-    "notice": "cookie cookie-notice consent notice alert gdpr popup modal overlay newsletter subscribe paywall".split(),
+    "notice": "cookie cookie-notice cmp consent notice alert gdpr popup modal overlay newsletter subscribe paywall".split(),
     "advert": "ad ads advert advertisement sponsored sponsor promo promotion banner-ad adsense".split(),
     "share": "share social sharing social-links follow".split(),
     "comments": "comments comment comment-list comments-area replies reply respond discussion disqus reviews review".split(),
@@ -239,7 +298,12 @@ _MARK = "data-label"
 
 def labelled_pages(count: int = TRAINING_PAGES, seed: int = 9) -> list[tuple[str, str]]:
     """Pages of many layouts with a known main article; the same for the same seed."""
-    rng = random.Random(seed)
+    return [p for block in range(-(-count // PAGES_A_BLOCK)) for p in page_block(block, count, seed)]
+
+
+def page_block(number: int, count: int = TRAINING_PAGES, seed: int = 9) -> list[tuple[str, str]]:
+    """One block of them, with a seed of its own."""
+    rng = random.Random(f"{seed}:{number}")
 
     def words(n: int) -> str:
         return " ".join("".join(rng.choice("aeiounrstlkmdp") for _ in range(rng.randint(2, 9))) for _ in range(n))
@@ -340,7 +404,7 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 9) -> list[tuple[str
         return f"<{tag}{name}>{''.join(inner)}</{tag}>"
 
     pages = []
-    for _ in range(count):
+    for _ in range(min(PAGES_A_BLOCK, count - number * PAGES_A_BLOCK)):
         para = rng.choice(("p",) * 7 + ("div",))  # what a page's paragraphs are made of; ``block`` reads it
         title = f"<h1>{words(rng.randint(1, 9))}</h1>"
         if rng.random() < 0.25:
@@ -384,12 +448,30 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = 9) -> list[tuple[str
 # --- extraction --------------------------------------------------------------------------------------------
 
 
+def content_chances(dom: Dom, model: Model) -> list[float]:
+    """The chance that each node is content; without names where with them no sentence of a page with an h1 is kept."""
+    if all(tag[0] == "#" or tag in INLINE or tag in ONCE or tag in NEVER for tag in dom.tag):
+        return [1.0] * len(dom.tag)
+    hidden = [False] * len(dom.tag)
+    sentences = []
+    for node, tag in enumerate(dom.tag):
+        hidden[node] = tag in NEVER or (node > 0 and hidden[dom.parent[node]])
+        if tag == TEXT and not hidden[node] and _SENTENCE_END.search(dom.data[node]) and len(dom.data[node].split()) >= SENTENCE_WORDS:
+            sentences.append(node)
+    chance = model.marginals(dom)
+    if sentences and "h1" in dom.tag and not any(chance[node] >= KEEP for node in sentences):
+        plain = model.marginals(dom, named=False)
+        if any(plain[node] >= KEEP for node in sentences):
+            return plain
+    return chance
+
+
 def main_text(html: str | None, model: Model) -> str:
     """Blocks of content in page order, one a line."""
     if not html:
         return ""
     dom = parse_dom(html)
-    chance = model.marginals(dom)
+    chance = content_chances(dom, model)
     holder = [0] * len(dom.tag)  # the block that each node's text belongs to
     blocks: list[list[str]] = []
     hidden = [False] * len(dom.tag)
@@ -417,7 +499,7 @@ def main_text(html: str | None, model: Model) -> str:
 
 def extract_main_text(pages: DataFrame, model: Model | None = None, html_col: str = "html") -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` (code points); columns with these names give way."""
-    sent = pages.sparkSession.sparkContext.broadcast(model or train(labelled_pages()))  # bounded by the training pages
+    sent = pages.sparkSession.sparkContext.broadcast(model or trained(pages.sparkSession))  # bounded by the training pages
     bounded_batches(pages.sparkSession)
     names = [c for c in pages.columns if c not in ("text", "n_chars")]
     pages = pages.select(*(F.col(f"`{c}`") for c in names))

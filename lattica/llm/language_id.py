@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.llm.common import materialize, read
-from lattica.llm.html_extract import Model, labelled_pages, main_text, train
+from lattica.llm.html_extract import Model, main_text, trained
 from lattica.llm.url_filter import host_and_path
 
 SAMPLE_DOCS, LEAST_DOCS, TEXT_TRIGRAMS, KAPPA, ALPHA = 600, 20, 200, 8.0, 1.0
@@ -161,29 +161,25 @@ def fuse(items: DataFrame, languages: list[str], kappa: float = KAPPA, alpha: fl
     out = items
     for key, votes_table in tables.items():
         out = out.join(votes_table, ["kind", key], "left")
-    vote = [F.when(F.col("own") == k, 1.0).otherwise(0.0) for k in range(n)]
+    # all languages at once, over arrays: the row's own vote, the votes under each key without it, and what they say
+    vote = F.array(*(F.when(F.col("own") == k, 1.0).otherwise(0.0) for k in range(n)))
     voted = F.when(F.col("own") >= 0, 1.0).otherwise(0.0)
-
-    def leaning(key: str, base: list[Column]) -> list[Column]:
-        """Chances by the votes under ``key`` without the row's own, leaning on ``base``."""
-        got = F.col(f"{key}_votes")
-        size = F.aggregate(got, F.lit(0.0), lambda a, x: a + x) - voted
-        return [F.when(got.isNull(), base[k]).otherwise((got[k] - vote[k] + kappa * base[k]) / (size + kappa)) for k in range(n)]
-
-    prior = leaning("host", leaning("parent", [F.lit(w) for w in world]))
-    score = [F.col("score")[k] + F.log(prior[k]) for k in range(n)]
+    out = out.withColumn("_prior", F.array(*map(F.lit, world)))
+    for key in ("parent", "host"):
+        got = F.zip_with(f"{key}_votes", vote, lambda g, v: g - v)
+        out = out.withColumn(f"_{key}", got).withColumn("_size", F.aggregate(f"{key}_votes", F.lit(0.0), lambda a, x: a + x) - voted)
+        leaning = F.zip_with(f"_{key}", "_prior", lambda g, p: (g + kappa * p) / (F.col("_size") + kappa))
+        out = out.withColumn("_prior", F.when(F.col(f"{key}_votes").isNull(), F.col("_prior")).otherwise(leaning))
+    out = out.withColumn("fused", F.zip_with("score", "_prior", lambda s, p: s + F.log(p)))
     for key in ("declared", "suffix"):
         values = tables[key].select(key).distinct().count() + 1
-        sums = total(tables[key], f"{key}_votes")
-        got = F.col(f"{key}_votes")
-        score = [
-            score[k] + F.when(got.isNull(), 0.0).otherwise(F.log((got[k] - vote[k] + alpha) / (F.lit(sums[k]) - vote[k] + alpha * values)))
-            for k in range(n)
-        ]
-    out = out.withColumn("fused", F.array(*score)).withColumn("top", F.array_max("fused"))
+        sums = F.array(*map(F.lit, total(tables[key], f"{key}_votes")))
+        chance = F.zip_with(F.zip_with(f"{key}_votes", vote, lambda g, v: g - v + alpha), F.zip_with(sums, vote, lambda t, v: t - v + alpha * values), lambda g, t: F.log(g / t))
+        out = out.withColumn("fused", F.when(F.col(f"{key}_votes").isNull(), F.col("fused")).otherwise(F.zip_with("fused", chance, lambda s, c: s + c)))
+    out = out.withColumn("top", F.array_max("fused"))
     weight = F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     language = F.element_at(F.array(*map(F.lit, languages)), F.array_position("fused", F.col("top")).cast("int"))
-    return out.withColumns({"language": language, "probability": 1 / weight})
+    return out.withColumns({"language": language, "probability": 1 / weight}).drop("_prior", "_size", "_parent", "_host")
 
 
 def identify(documents: DataFrame, pages: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -191,7 +187,7 @@ def identify(documents: DataFrame, pages: DataFrame, sample_docs: int = SAMPLE_D
     model = fit_text_model(labelled_sample(documents, sample_docs))
     items = _items(documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")), "document", model, None)
     page_rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    items = items.union(_items(page_rows, "page", model, train(labelled_pages())))
+    items = items.union(_items(page_rows, "page", model, trained(pages.sparkSession)))
     if not model.languages:
         out = items.withColumns({"language": F.lit(None).cast("string"), "probability": F.lit(None).cast("double")})
         text = F.lit(None).cast("string")

@@ -1,3 +1,4 @@
+import functools
 import random
 import re
 from collections import Counter
@@ -125,7 +126,7 @@ def test_cascade_is_exact(spark, rate, size, small):
 
 
 def test_extraction_golden():
-    model = html_extract.train(html_extract.labelled_pages())
+    model = default_model()
     page = (
         "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav>"
         "<!-- ad --><div class='ad'>Buy now.</div><article><h1>Title &amp; more</h1><p>One  two\n three.<br>Four <b>five</b>.<p>Of.</p><div class=comments><p>Nice post!</p></div>"
@@ -137,6 +138,11 @@ def test_extraction_golden():
     assert html_extract.main_text(None, model) == html_extract.main_text("", model) == html_extract.main_text("<p", model) == ""
 
 
+@functools.cache
+def default_model():
+    return html_extract.train(html_extract.labelled_pages())
+
+
 SAID = "The committee met on Tuesday to discuss the new plan for the harbour. Members agreed that work should start in spring."
 
 
@@ -192,16 +198,25 @@ SAID = "The committee met on Tuesday to discuss the new plan for the harbour. Me
         (f"<div class=comments><p>{SAID}</p><p>{SAID}</p></div><form><p>{SAID}</p></form>", []),
         (f"<main role=main><h1>T</h1><dl><dt>A</dt><dd>{SAID}</dd></dl><details><summary>More</summary><p>{SAID}</p></details></main>", ["T", "A", SAID, "More", SAID]),
         ("<nav><a href=/>x</a></nav><footer>c</footer>", []),
+        *((f'<div id="{name}"><h1>Film</h1><p>{SAID}</p></div>', ["Film", SAID]) for name in ("review", "product-review", "reviews", "reply", "film")),
+        (SAID, [SAID]),
+        (f"{SAID} <b>Bold.</b><br>Next line", [f"{SAID} Bold. Next line"]),
+        (
+            f"<div role=banner><p>{SAID}</p></div><div role=main><h1>T</h1><p>{SAID}</p></div><div role=complementary><h2>More</h2><p>Other news of the week.</p></div>"
+            "<div role=contentinfo><p>All rights reserved by us.</p></div>",
+            ["T", SAID],
+        ),
+        (f"<div id=qc-cmp2-container><p>We and our partners use data. You may agree.</p></div><article><h1>T</h1><p>{SAID}</p></article>", ["T", SAID]),
     ],
 )
 def test_extraction_of_hand_made_pages(body, want):
     """Layouts that no generator made."""
-    model = test_extraction_of_hand_made_pages.model = getattr(test_extraction_of_hand_made_pages, "model", None) or html_extract.train(html_extract.labelled_pages())
+    model = default_model()
     assert html_extract.main_text(f"<html><head><title>x</title></head><body>{body}</body></html>", model).split("\n") == (want or [""])
 
 
 def test_extraction_held_out():
-    model = html_extract.train(html_extract.labelled_pages())
+    model = default_model()
     wrong = total = 0
     for html, mark in html_extract.labelled_pages(150, seed=1234):
         dom = html_extract.parse_dom(html)
@@ -246,6 +261,8 @@ def test_extraction_frame(spark):
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract_main_text(df).collect())
     assert got == [(1, "", 0), (2, "Hi é.", 5), (2, "Hi é.", 5)]
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
+    here, there = html_extract.train(html_extract.labelled_pages(300)), html_extract.trained(spark, 300)
+    assert here.edge == there.edge and here.own == there.own  # counted in the workers
 
 
 WORDS = {"en": "the and of to in is that with for this", "fr": "le la et les des une dans que pour avec", "de": "der die und das ist nicht ein mit auf den"}
@@ -271,7 +288,7 @@ def test_language_fusion_against_brute_force(spark):
     p = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {(("document", r.doc_id) if r.page_id is None else ("page", r.page_id)): (r.language, r.probability) for r in language_id.identify(d, p).collect()}
     model = language_id.fit_text_model(language_id.labelled_sample(d))
-    markup = html_extract.train(html_extract.labelled_pages())
+    markup = default_model()
     items = []
     for i, _, source, text in docs:
         items.append((("document", i), source, None, None, None, text or ""))
