@@ -10,6 +10,7 @@ import argparse
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,9 @@ from lattica.operators.store import schemas_with_status
 from lattica.plans.ingest import ingest
 from lattica.session import build_session, checkpointed
 from lattica.sources.files import read_files
-from lattica.sources.pages import pages_by_id, scan_space
+from lattica.sources.pages import pages_by_id, project_pages, scan_space
 from lattica.sources.providers import hashed_embedder
+from lattica.sources.service import PageService, validate_by_service
 from lattica.streaming.watch import PageTables, watch
 
 PAGE_SCHEMA = "page_id string, title string, space_key string, html string, last_modified timestamp_ntz, page_date timestamp_ntz"
@@ -35,7 +37,7 @@ class Inputs:
     ``attachments``: a folder with ``metadata`` (Parquet) and ``files/{page_id}/{file name}``; ``known``: a table
     ``(id_type, id)`` of the identifiers that are valid; ``schemas``: a table of canonical schemas, of which the
     approved count; ``vectors``: make vectors, by the stand-in that needs no service; ``classifier``: names schemas for
-    tables that none fits (``normalize.classify``).
+    tables that none fits (``normalize.classify``); ``validation``: address of a service that validates identifiers.
     """
 
     attachments: str | None = None
@@ -43,6 +45,16 @@ class Inputs:
     schemas: str | None = None
     vectors: bool = False
     classifier: Callable[[str], str] | None = None
+    validation: str | None = None
+
+
+def read_pages(spark: SparkSession, source: str, space: str | None = None) -> DataFrame:
+    """Pages of a Parquet folder or of a service."""
+    if not source.startswith(("http://", "https://")):
+        return spark.read.schema(PAGE_SCHEMA).parquet(source)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PageService)
+    return project_pages(spark.read.format("page_service").options(url=source, space=space or "").load())
 
 
 def make_results(pages: DataFrame, given: Inputs, added: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -56,7 +68,8 @@ def make_results(pages: DataFrame, given: Inputs, added: DataFrame | None = None
     if schemas is not None and added is not None:
         schemas = schemas.unionByName(added, allowMissingColumns=True)
     known = spark.read.parquet(given.known) if given.known else None
-    out = ingest(pages, schemas, known, metadata, files, embedder=hashed_embedder() if given.vectors else None, classifier=given.classifier, keep=checkpointed)
+    validator = partial(validate_by_service, url=given.validation) if given.validation else None
+    out = ingest(pages, schemas, known, metadata, files, embedder=hashed_embedder() if given.vectors else None, classifier=given.classifier, validator=validator, keep=checkpointed)
     out["unvalidated"] = unvalidated(out["ids"], F.current_timestamp())
     for name in ("parsed", "texts", "events"):
         del out[name]
@@ -99,7 +112,7 @@ def incremental_work(tables: PageTables, given: Inputs = Inputs()):
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="lattica", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("mode", choices=("batch", "incremental"))
-    parser.add_argument("--pages", required=True, help="Parquet folder of pages")
+    parser.add_argument("--pages", required=True, help="Parquet folder of pages, or (batch) the address of a wiki service")
     parser.add_argument("--out", required=True)
     parser.add_argument("--space")
     parser.add_argument("--start")
@@ -112,15 +125,16 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--known", help="Parquet table of valid identifiers")
     parser.add_argument("--schemas", help="Parquet table of canonical schemas")
     parser.add_argument("--vectors", action="store_true", help="make vectors, by the stand-in embedder")
+    parser.add_argument("--validation", help="address of a service that validates identifiers")
     args = parser.parse_args(argv)
-    given = Inputs(args.attachments, args.known, args.schemas, args.vectors)
+    given = Inputs(args.attachments, args.known, args.schemas, args.vectors, validation=args.validation)
     if args.ids and args.mode != "batch":
         parser.error("--ids goes with batch only")
     if args.mode == "incremental" and not args.checkpoint:
         parser.error("incremental needs --checkpoint")
     spark = build_session()
     if args.mode == "batch":
-        run_batch(spark, spark.read.schema(PAGE_SCHEMA).parquet(args.pages), args.out, args.space, args.start, args.end, args.ids, given, args.resume)
+        run_batch(spark, read_pages(spark, args.pages, args.space), args.out, args.space, args.start, args.end, args.ids, given, args.resume)
     else:
         tables = PageTables(spark, args.out)
         work = incremental_work(tables, given)

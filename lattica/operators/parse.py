@@ -187,24 +187,26 @@ class PageWalk:
                 self.refs.append({"attachment_id": ident, "filename": name, "url": url, "prov_path": path})
 
 
+def walked(page_id: str, html: str | None, keep_comments: bool, walk: type[PageWalk] = PageWalk) -> dict:
+    """A page's parts, or why it has none."""
+    try:
+        w = walk(page_id, html or "", keep_comments)
+    except Exception as e:  # noqa: BLE001  a bad page is data, not a failure of the job
+        return {"page_id": page_id, "chunks": [], "tables": [], "cells": [], "refs": [], "error": f"parse_failed: {e}"[:500]}
+    return {"page_id": w.page_id, "chunks": w.chunks, "tables": w.tables, "cells": w.cells, "refs": w.refs, "error": None}
+
+
 def parse_pages(pages: DataFrame, keep_comments: bool = True, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row a page with nested chunks, tables, cells and references; ``flat`` makes them rows. A page that cannot be
     parsed is a row with an ``error`` and nothing else."""
 
-    def walked(page_id: str, html: str | None) -> dict:
-        try:
-            w = PageWalk(page_id, html or "", keep_comments)
-        except Exception as e:  # noqa: BLE001  a bad page is data, not a failure of the job
-            return {"page_id": page_id, "chunks": [], "tables": [], "cells": [], "refs": [], "error": f"parse_failed: {e}"[:500]}
-        return {"page_id": w.page_id, "chunks": w.chunks, "tables": w.tables, "cells": w.cells, "refs": w.refs, "error": None}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 ids, texts = (c.to_pylist() for c in whole.slice(at, 256).columns)
                 schema = schema or _arrow_schema()
-                yield pa.RecordBatch.from_pylist([walked(i, h) for i, h in zip(ids, texts)], schema=schema)
+                yield pa.RecordBatch.from_pylist([walked(i, h, keep_comments) for i, h in zip(ids, texts)], schema=schema)
 
     return pages.select(F.col(id_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(run, PARSED)
 

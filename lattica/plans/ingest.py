@@ -44,13 +44,15 @@ def ingest(
     model: Extractor | None = None,
     embedder: Embedder | None = None,
     classifier: Callable[[str], str] | None = None,
+    validator: Callable[[DataFrame], DataFrame] | None = None,
     extractors: dict[str, attach.Extractor] = EXTRACTORS,
     keep: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> dict[str, DataFrame]:
     """One plan for all pages ``(page_id, title, page_date, html)``; every result is a lazy DataFrame.
 
     ``metadata`` and ``files`` are what the source has of attachments, ``model`` names further ids and the events of a
-    page, ``embedder`` makes vectors, ``classifier`` names schemas for tables that none fits; what is not given is left out. Several results read the parsed pages and the attachments: ``keep`` is applied to
+    page, ``embedder`` makes vectors, ``classifier`` names schemas for tables that none fits, ``validator`` tells which identifiers are
+    valid (else ``known_ids`` do); what is not given is left out. Several results read the parsed pages and the attachments: ``keep`` is applied to
     both (a checkpoint, say), so that they are made once where more than one result is used.
     """
     spark = pages.sparkSession
@@ -80,7 +82,7 @@ def ingest(
             named.select("page_id", F.lit(1 << 30).alias("ord"), "id_type", F.lit(0).alias("pos"), "raw_value", "path")
         )
         events = model_events(inputs, model)
-    validated = extract.validate_ids(candidates, known_ids)
+    validated = extract.validate_ids(candidates, known_ids) if validator is None else keep(validator(candidates))
     out = {"parsed": parsed, "failed": failed, "chunks": chunks, "tables": tables, "cells": cells, "refs": refs, "attachments": attachments, "texts": texts, "ids": validated}
     out["cancelled"] = extract.has_cancelled(chunks, cells, tables)
 

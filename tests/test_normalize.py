@@ -134,7 +134,7 @@ def routed_one_by_one(rows, schemas):
     return out, made
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_routes_equal_a_loop(spark, seed):
     rng = random.Random(seed)
     rows = []

@@ -211,8 +211,6 @@ def test_ingest_with_attachments_graph_and_vectors(spark):
     assert sorted(r.kind for r in vectors.values()) == ["ConfPage", "ConfPage", "Event", "chunk", "row", "row", "row", "row"]
     assert set(vectors) == {"page_p1", "page_p2", "event_p1_0", *(f"p1_table_{t}__row_{r}" for t in (0, 1) for r in (0, 1)), f"{ref}__chunk_0"}
     assert (vectors["p1_table_0__row_0"].text, vectors["p1_table_1__row_1"].text) == ("Acuerdo: Acuerdo | Fecha: Fecha", "Acuerdo: file it | Fecha: today")
-    paths = {r.raw_value: r.path for r in out["ids"].collect()}
-    assert paths["11111111111"].startswith("page:p1/table") or True
     assert out["vectors"].where("embedding IS NULL").count() == 0
     # the same page again, without its table: what it owned is flagged, shared nodes stay
     again = ingest(pages.where("page_id = 'p1'").withColumn("html", F.lit("<p>id 123456789</p>")), schemas, known)
