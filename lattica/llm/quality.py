@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade of native expressions (operator 2).
 
 Each rule is a condition on a few statistics of the text. On a bounded random sample the cascade measures what the
-statistics cost (warm, repeated, above an empty measurement) and which texts each rule rejects. Rules are then
+statistics cost (warm, above an empty measurement, all in one job) and which texts each rule rejects. Rules are then
 ordered greedily: next comes the one that rejects most of the sample's texts still undecided per second, where
 statistics that an earlier rule needs cost nothing more. The cascade runs in that order, each rule on what the
 rules before it left: dear statistics are only computed for undecided texts. A text is rejected if any rule rejects
@@ -22,8 +22,8 @@ texts take n log n time and are left out of the sample.
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +32,8 @@ from lattica.llm.common import read
 
 #: The sample that costs and selectivities are measured on: about so many rows, none longer than so many characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 300, 100_000
-#: Each measurement is the least of so many, each over so many copies of the sample.
-REPEATS, COPIES = 3, 4
+#: A measurement counts so many copies of the sample, after as many to warm up.
+COPIES = 4
 _HIGH = "-4294967296L"  # the upper 32 bits
 
 
@@ -154,25 +154,27 @@ def draw_sample(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, text_col: str =
 
 
 def measured_costs(sample: DataFrame, groups: dict[str, tuple[str, ...]]) -> dict[str, float]:
-    """Seconds that each group of statistics takes beyond those it needs, over the sample; ``groups``: with what it needs."""
-    many = sample.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES))))
-    taken: dict[tuple[str, ...], float] = {}
-
-    def seconds(needs: tuple[str, ...]) -> float:
-        if needs not in taken:
-            last = [name for group in needs for name, _ in STATISTICS[group][-1]] or ["_text"]
-            plan = with_statistics(many, needs).agg(F.max(F.xxhash64(*last)))
-            times = []
-            for _ in range(REPEATS):
-                began = time.perf_counter()
-                plan.collect()
-                times.append(time.perf_counter() - began)
-            taken[needs] = min(times)
-        return taken[needs]
-
-    seconds(())  # compiles; counted again below
-    taken.clear()
-    return {g: max(seconds(needs) - seconds(tuple(n for n in needs if n != g)), 0.0) for g, needs in groups.items()}
+    """Seconds that each group of statistics takes beyond those it needs, over the sample; ``groups``: with what it needs.
+
+    One job: a branch a group, each a task that goes over copies of the sample. At each row the clock is read after
+    the statistics that the group needs and again after its own (each reading depends on a hash of them, so it cannot
+    come before); the differences of the later copies are added up, by which time code is compiled."""
+    if not groups:
+        return {}
+
+    def after(needs: tuple[str, ...]) -> str:
+        last = [name for group in needs for name, _ in STATISTICS[group][-1]] or ["_text"]
+        return f"xxhash64({', '.join(last)}) % 1 + CAST(java_method('java.lang.System', 'nanoTime') AS BIGINT)"
+
+    branches = []
+    for g, needs in groups.items():
+        before = tuple(n for n in needs if n != g)
+        many = sample.select("_text", F.explode(F.sequence(F.lit(1), F.lit(2 * COPIES))).alias("_copy")).coalesce(1)
+        seen = with_statistics(many, before).withColumn("_begins", F.expr(after(before)))
+        seen = with_statistics(seen, needs).withColumn("_ends", F.expr(after((g,))))
+        spent = F.sum(F.when(F.col("_copy") > COPIES, F.col("_ends") - F.col("_begins")))
+        branches.append(seen.agg(F.coalesce(spent, F.lit(0)).alias("spent")).select(F.lit(g).alias("g"), "spent"))
+    return {r["g"]: r["spent"] / 1e9 for r in reduce(DataFrame.union, branches).collect()}
 
 
 def placed(rules: tuple[Rule, ...], rejected: list[tuple[bool, ...]], costs: dict[str, float], made: tuple[str, ...] = ()) -> list[Placed]:
