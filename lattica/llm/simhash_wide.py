@@ -13,7 +13,8 @@ similarity, so it costs next to no pair; it spares the comparison of most pairs
 
 What meets is a candidate only. The candidates' components are dealt to blocks with the shingle sets of their texts,
 and a pair becomes a link where the Jaccard similarity of its two sets is ``SIMILARITY`` or more (``verified_links``).
-A component of more than ``BLOCK_SHINGLES`` shingles or ``BLOCK_ROWS`` texts is dealt as pairs of blocks.
+A component of more than ``BLOCK_SHINGLES`` shingles or ``BLOCK_ROWS`` texts is dealt as pairs of blocks, one of more
+than ``SPLIT`` blocks to the buckets that its texts met in, so chains of candidates cost no more than their texts.
 
 Equal shingle sets are one node, so a class of exact copies is one row. Cases are defined as in ``simhash``; texts
 without a word share the empty set.
@@ -36,6 +37,8 @@ from lattica.llm.simhash import _pairs, shingle_hashes, spanning_links
 SHINGLE, SIMILARITY, BUCKET_ROWS = 5, 0.8, 4096
 BANDS, ROWS_A_BAND = 16, 4
 BLOCK_SHINGLES, BLOCK_ROWS = 1 << 20, 4096
+#: Components of more blocks are compared bucket by bucket; a text has ``BANDS`` buckets.
+SPLIT = BANDS
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ONE = np.uint64(1)
 #: Odd multipliers, each an order of the shingles' hashes.
@@ -234,26 +237,40 @@ def links_of_sets(flat: np.ndarray, start: np.ndarray, fps: np.ndarray, radius:
     return root
 
 
-def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, radius: int, shingle: int = SHINGLE, similarity: float = SIMILARITY, block_shingles: int = BLOCK_SHINGLES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Links ``(a, b)`` of texts whose shingle sets have the Jaccard similarity, within ``candidates(id, component)``."""
-    members = materialize(nodes.join(candidates, "id").select("id", "n", "component"), "members")
+def dealt(members: DataFrame, block_shingles: int = BLOCK_SHINGLES, block_rows: int = BLOCK_ROWS, split: int = SPLIT) -> DataFrame:
+    """``(id, places)`` of ``members(id, n, component, bands)``: the groups ``(component, key, k)`` that each text is compared
+    in, each of ``k`` blocks.
+
+    A component of up to ``split`` blocks is one group. A larger one, where candidates may have chained, is dealt to
+    the buckets in which they met, so what is compared grows with its texts and not with the square of its blocks."""
     share = F.greatest(F.sum("n") / block_shingles, F.count(F.lit(1)) / block_rows)
-    hot = members.groupBy("component").agg(F.ceil(share).cast("int").alias("k")).where("k > 1")
-    found = members.select("id", "component").distinct().join(hot, "component", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(found, "id")
+    wide = members.groupBy("component").agg(F.ceil(share).cast("int").alias("k")).where(F.col("k") > split).select("component", F.lit(True).alias("wide"))
+    keys = F.transform("bands", lambda v, band: F.xxhash64(band.cast("int"), v))
+    groups = members.join(wide, "component", "left").withColumn("key", F.explode(F.when(F.col("wide"), keys).otherwise(F.array(F.lit(0).cast("long")))))
+    sizes = groups.groupBy("component", "key").agg(F.ceil(share).cast("int").alias("k"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    places = groups.select("id", "component", "key").join(sizes, ["component", "key"])
+    return places.groupBy("id").agg(F.collect_set(F.struct("component", "key", "k")).alias("places"))  # as many as bands at most
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, radius: int, shingle: int = SHINGLE, similarity: float = SIMILARITY, block_shingles: int = BLOCK_SHINGLES, block_rows: int = BLOCK_ROWS, split: int = SPLIT) -> DataFrame:
+    """Links ``(a, b)`` of texts whose shingle sets have the Jaccard similarity, within ``candidates(id, component)``."""
+    members = materialize(nodes.join(candidates, "id").select("id", "n", "component", "bands"), "members")
+    found = materialize(dealt(members, block_shingles, block_rows, split), "dealt")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(found.select("id"), "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spare_memory()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                own = [shingle_set(t.as_py(), shingle) for t in batch.column(3)]
+                own = [shingle_set(t.as_py(), shingle) for t in batch.column(1)]
                 fps = [wide_fingerprint(s) for s in own]
                 a, b = (pa.array([f[k] for f in fps], pa.int64()) for k in (0, 1))
                 packed = pa.array([s.astype("<u8").tobytes() for s in own], pa.binary())
-                yield pa.record_batch([*(batch.column(c) for c in range(3)), a, b, packed], ["id", "component", "k", "fp0", "fp1", "packed"])
+                yield pa.record_batch([batch.column(0), a, b, packed], ["id", "fp0", "fp1", "packed"])
 
-    rows = texts.select("id", "component", "k", "text").mapInArrow(sets, "id long, component long, k int, fp0 long, fp1 long, packed binary")
+    rows = texts.select("id", "text").mapInArrow(sets, "id long, fp0 long, fp1 long, packed binary").join(found, "id")
+    rows = rows.withColumn("place", F.explode("places")).select("id", "fp0", "fp1", "packed", "place.*")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = rows.where("k = 1 OR own <> other").withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
@@ -283,7 +300,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, rad
         if len(held) > 1:
             yield solve()
 
-    keyed = rows.select(F.xxhash64("component", "i", "j").alias("key"), "id", "fp0", "fp1", "packed")
+    keyed = rows.select(F.xxhash64("component", "key", "i", "j").alias("key"), "id", "fp0", "fp1", "packed")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
 

@@ -155,7 +155,24 @@ def test_recall_at_the_similarity(spark):
         assert sum(got[2 * k + 1] == 2 * k for k in range(400)) >= 392
 
 
-def test_large_components_are_dealt_in_blocks(spark):
+def test_chained_candidates_are_dealt_to_buckets(spark):
+    """A chain of texts, each near the next one but not similar enough: twice the texts are dealt twice as often."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(16_000)]
+    dealt = []
+    for n in (300, 600):
+        docs = spark.createDataFrame([(k, " ".join(words[18 * k : 18 * k + 120])) for k in range(n)], "doc_id long, text string")
+        nodes = simhash_wide.fingerprints(docs).withColumnRenamed("doc_id", "id")
+        members = nodes.withColumn("component", F.lit(0).cast("long"))
+        times = lambda split: simhash_wide.dealt(members, block_rows=10, split=split).select(F.explode("places.k").alias("k")).agg(F.sum("k")).first()[0]
+        dealt.append((times(1), times(10**6)))
+        assert simhash_wide.similar_dedup(docs).where("NOT kept").count() == 0
+    (buckets, pairs), (more_buckets, more_pairs) = dealt
+    assert more_buckets < 2.3 * buckets and more_pairs > 3.5 * pairs and more_buckets < more_pairs
+
+
+@pytest.mark.parametrize("split", [16, 1])
+def test_large_components_are_dealt_in_blocks(spark, split):
     rng = random.Random(8)
     words = [f"w{k}" for k in range(4000)]
     centre = [rng.choice(words) for _ in range(120)]
@@ -163,7 +180,7 @@ def test_large_components_are_dealt_in_blocks(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     nodes = simhash_wide.fingerprints(docs).withColumnRenamed("doc_id", "id")
     together = nodes.select("id", F.lit(0).cast("long").alias("component"))
-    links = simhash_wide.verified_links(docs, nodes, together, 128, block_rows=15).collect()
+    links = simhash_wide.verified_links(docs, nodes, together, 128, block_rows=15, split=split).collect()
     sets = [t.split() for _, t in rows]
     root = list(range(60))
     for a in range(60):
