@@ -26,11 +26,14 @@ def iso(c: Column) -> Column:
     return F.date_format(c, ISO)
 
 
+#: The formats of dates in titles, in the order in which they are tried.
+TITLE_DATES = ((r"(\d{4}-\d{2}-\d{2})", "yyyy-MM-dd"), (r"(\d{2}/\d{2}/\d{4})", "dd/MM/yyyy"), (r"(\d{2}-\d{2}-\d{4})", "dd-MM-yyyy"))
+
+
 def title_date(title: Column) -> Column:
     """Date in a title: the first match of each format in turn, the first that is a valid day wins."""
-    forms = ((r"(\d{4}-\d{2}-\d{2})", "yyyy-MM-dd"), (r"(\d{2}/\d{2}/\d{4})", "dd/MM/yyyy"), (r"(\d{2}-\d{2}-\d{4})", "dd-MM-yyyy"))
     return F.coalesce(
-        *(F.try_to_timestamp(F.nullif(F.regexp_extract(title, p, 1), F.lit("")), F.lit(f)).cast("timestamp_ntz") for p, f in forms)
+        *(F.try_to_timestamp(F.nullif(F.regexp_extract(title, p, 1), F.lit("")), F.lit(f)).cast("timestamp_ntz") for p, f in TITLE_DATES)
     )
 
 

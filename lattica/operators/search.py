@@ -177,11 +177,11 @@ def tooltip() -> Column:
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"<b>{name}:</b> "), value)
 
-    def shown(column: str) -> Column:
+    def shown(name: str, column: str) -> Column:
         if column == "app_ids":
-            return F.when(F.size("app_ids") > 0, line("apps", F.array_join("app_ids", ", ")))
+            return F.when(F.size("app_ids") > 0, line(name, F.array_join("app_ids", ", ")))
         text = F.array_join(F.slice("headers", 1, 6), ", ") if column == "headers" else F.substring("description", 1, 120) if column == "description" else F.col(column).cast("string")
-        return line(next(n for f in TOOLTIP_FIELDS.values() for n, c in f if c == column), F.coalesce(text, F.lit("")))
+        return line(name, F.coalesce(text, F.lit("")))
 
     lines = [
         line("ID", F.col("_id")),
@@ -190,7 +190,7 @@ def tooltip() -> Column:
         F.when(F.col("is_deleted"), "<b style='color:red'>DELETED</b>"),
     ]
     for kind, fields in TOOLTIP_FIELDS.items():
-        lines += [F.when(F.col("type") == kind, shown(column)) for _, column in fields]
+        lines += [F.when(F.col("type") == kind, shown(name, column)) for name, column in fields]
     place = F.concat(F.lit("table "), "table_index", F.lit(" row "), "row", F.lit(" col "), "col")
     lines.append(F.when((F.col("type") == "Attachment") & (F.col("origin") == "table"), line("location", place)))
     return F.concat_ws("<br>", *lines)

@@ -270,13 +270,16 @@ def page_tables(spark, sf):
 
 
 @query(
-    f'WITH {_LINES} SELECT page_id, CAST(r AS INTEGER) AS "row", 0 AS col, CAST(l_partkey AS VARCHAR) AS content, CASE WHEN done THEN \'cancelled\' ELSE \'normal\' END AS style FROM l UNION ALL '
-    "SELECT page_id, CAST(r AS INTEGER), 1, CAST(quantity AS VARCHAR), CASE WHEN done OR l_returnflag = 'R' THEN 'cancelled' ELSE 'normal' END FROM l"
+    f"WITH {_LINES}, s AS (SELECT *, CASE WHEN done THEN 'cancelled' ELSE 'normal' END AS around FROM l) "
+    "SELECT page_id, 0 AS table_index, CAST(r AS INTEGER) AS \"row\", 0 AS col, CAST(l_partkey AS VARCHAR) AS content, around AS style FROM s "
+    "UNION ALL SELECT page_id, 0, CAST(r AS INTEGER), 1, CAST(quantity AS VARCHAR), CASE WHEN l_returnflag = 'R' THEN 'cancelled' ELSE around END FROM s "
+    "UNION ALL SELECT page_id, 0, CAST(r AS INTEGER), 2, 'file', around FROM s WHERE l_partkey % 3 = 0 "
+    "UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 1, 0, 0, o_orderpriority, 'normal' FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)"
 )
 def html_styles(spark, sf):
-    """Styles of cells: of the element around the text, else of one around the table."""
-    cells = parse.flat(parse.parse_pages(_order_pages(spark, sf)), "cells").where("table_index = 0 AND row > 0 AND col < 2")
-    return cells.select("page_id", "row", "col", F.explode("chunks").alias("c")).select("page_id", "row", "col", "c.*")
+    """Styles of the cells that are not heads: of the element around the text, else of one around the table."""
+    cells = parse.flat(parse.parse_pages(_order_pages(spark, sf)), "cells").where("NOT is_header")
+    return cells.select("page_id", "table_index", "row", "col", F.explode("chunks").alias("c")).select("page_id", "table_index", "row", "col", "c.*")
 
 
 @query(f"WITH {_LINES}, p AS (SELECT DISTINCT page_id, done FROM l) SELECT page_id, unnest([0, 1, 2]) AS col, unnest(['Part+no', 'Quantity', 'File']) AS chunks, "
@@ -388,9 +391,10 @@ def reingest_page(spark, sf):
 
 
 @query(
-    f"WITH {EVENTS}, t AS (SELECT DISTINCT page_id, o_custkey % 10 = 0 AS again FROM e), k AS (SELECT e.* FROM e JOIN t USING (page_id) WHERE NOT again), i AS (SELECT e.* FROM e JOIN t USING (page_id) WHERE again AND idx = 0) "
-    "SELECT source_id, relation, count(*) AS n FROM (SELECT 'page_' || page_id AS source_id, 'HAS_EVENT' AS relation, _id AS target_id FROM k UNION ALL SELECT 'page_' || page_id, 'REFERENCES_APP', 'app_' || app_id FROM k "
-    "UNION ALL SELECT 'page_' || page_id, 'HAS_EVENT', '' FROM i UNION ALL SELECT 'page_' || page_id, 'REFERENCES_APP', 'app_' || app_id FROM i) GROUP BY ALL".replace("SELECT 'page_' || page_id, 'REFERENCES_APP'", "SELECT DISTINCT 'page_' || page_id, 'REFERENCES_APP'")
+    f"WITH {EVENTS}, t AS (SELECT DISTINCT page_id, o_custkey % 10 = 0 AS again FROM e), k AS (SELECT e.page_id, CASE WHEN again THEN '' ELSE _id END AS _id, app_id, project_id FROM e JOIN t USING (page_id) WHERE NOT again OR idx = 0) "
+    "SELECT source_id, relation, count(*) AS n FROM (SELECT 'page_' || page_id AS source_id, 'HAS_EVENT' AS relation, _id AS target_id FROM k UNION ALL SELECT 'app_' || app_id, 'HAS_EVENT', _id FROM k "
+    "UNION ALL SELECT 'proj_' || project_id, 'HAS_EVENT', _id FROM k UNION ALL SELECT DISTINCT 'page_' || page_id, 'REFERENCES_APP', 'app_' || app_id FROM k "
+    "UNION ALL SELECT DISTINCT 'page_' || page_id, 'REFERENCES_PROJ', 'proj_' || project_id FROM k) GROUP BY ALL"
 )
 def reingest_edges(spark, sf):
     """The edges of pages after such an ingest: those of the old events are gone."""
@@ -399,8 +403,7 @@ def reingest_edges(spark, sf):
     first = again.where("idx = 0").withColumn("_id", F.concat(F.lit("event_"), "page_id", F.lit("_new")))
     nodes = graph.application_nodes(events)
     _, edges = store.refresh_graph(nodes, graph.build_edges(events), graph.application_nodes(first), graph.build_edges(first), again.select("page_id").distinct())
-    shown = edges.where("source_id LIKE 'page%' AND relation <> 'REFERENCES_PROJ'")
-    return shown.groupBy("source_id", "relation").agg(F.count(F.lit(1)).alias("n"))
+    return edges.groupBy("source_id", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.text import iso
-from lattica.operators import attach, extract, graph, parse, search, store
+from lattica.operators import attach, extract, graph, parse, search, store, stored
 from lattica.plans import projection as src
 from lattica.plans import sql
 from lattica.plans.literal import LITERAL_QUERIES, LITERAL_SQL
+from lattica.session import shared_folder
 
 APP, PART, PROJECT, CUSTOMER = "00000000005", 5, "000000007", 7
 BEFORE = "TIMESTAMP_NTZ'1998-01-01 00:00:00'"
@@ -49,6 +51,14 @@ def app_timeline(spark, sf):
     return shown(search.events_of(src.events(spark, sf, partkey=PART), "app_ids", APP, 20))
 
 
+@query(f"WITH {sql.EVENTS} SELECT {SHOWN} FROM e WHERE app_id = '{APP}' ORDER BY ts DESC, _id LIMIT 20")
+def stored_timeline(spark, sf):
+    """The same look-up over all events stored by application and time."""
+    path = f"{shared_folder(spark)}/timeline-{uuid.uuid4().hex}"
+    stored.write_timeline(src.events(spark, sf), path, "app_ids")
+    return shown(stored.stored_events_of(spark, path, APP, 20))
+
+
 @query(f"WITH {sql.EVENTS} SELECT _id, count(*) OVER () AS count FROM (SELECT _id FROM e WHERE project_id = '{PROJECT}' ORDER BY ts DESC, _id LIMIT 50)")
 def timeline_count(spark, sf):
     """A timeline with the number of its events."""
@@ -141,8 +151,8 @@ SELECT _id, type, level FROM n JOIN m ON _id = id WHERE level > 0"""
 
 
 @query(
-    f"WITH RECURSIVE {sql.NODES}, {sql.EDGES}, s AS (SELECT DISTINCT source_id AS a, target_id AS b FROM g "
-    "UNION SELECT DISTINCT target_id, source_id FROM g WHERE relation = 'REFERENCES_APP' AND false)" + _WALK.format(project=PROJECT, depth=3)
+    f"WITH RECURSIVE {sql.NODES}, {sql.EDGES}, s AS (SELECT DISTINCT source_id AS a, target_id AS b FROM g)"
+    + _WALK.format(project=PROJECT, depth=3)
 )
 def bfs_depth3(spark, sf):
     """Three steps along all relations from a project."""
@@ -160,6 +170,21 @@ def bfs_undirected(spark, sf):
     return found.select("_id", "type", "level")
 
 
+_STARTS = "(SELECT 'proj_' || lpad(CAST(k AS VARCHAR), 9, '0') AS id FROM range(64) t(k))"
+
+
+@query(
+    f"WITH RECURSIVE {sql.NODES}, {sql.EDGES}, h AS (SELECT DISTINCT source_id AS a, target_id AS b FROM g WHERE relation = 'HAS_EVENT'), s AS (SELECT a, b FROM h UNION SELECT b, a FROM h), "
+    f"w(start, id, level) AS (SELECT id, id, 0 FROM {_STARTS} UNION SELECT w.start, s.b, w.level + 1 FROM w JOIN s ON s.a = w.id WHERE w.level < 2) "
+    "SELECT start, id AS _id, min(level) AS level FROM w WHERE id <> start AND id IN (SELECT _id FROM n) GROUP BY start, id"
+)
+def bfs_many(spark, sf):
+    """Two steps either way along HAS_EVENT from 64 projects at once, over edges stored by source."""
+    path = f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}"
+    stored.write_edges(src.edges(spark, sf), path)
+    return stored.traverse_many(src.nodes(spark, sf), path, [f"proj_{k:09}" for k in range(64)], ["HAS_EVENT"], 2, directed=False)
+
+
 _SHOWN_NODES = "s AS ((SELECT _id FROM n WHERE type = 'ConfPage' ORDER BY _id LIMIT 500) UNION ALL (SELECT _id FROM n WHERE type = 'Event' ORDER BY _id LIMIT 500))"
 _SHOWN_EDGES = "SELECT source_id, relation, target_id FROM g WHERE source_id IN (SELECT _id FROM s) AND target_id IN (SELECT _id FROM s)"
 
@@ -300,6 +325,14 @@ def vector_chunks(spark, sf):
     return found.select("_id", "page_id", F.round("semantic", 4).alias("score"))
 
 
+@query(f"WITH {sql.VECTORS} SELECT _id, type, round(semantic, 4) AS score FROM v ORDER BY semantic DESC, _id LIMIT 60")
+def vector_index(spark, sf):
+    """The exact search by an index: cells that cannot hold one of the best are not read."""
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    stored.write_vectors(src.vectors(spark, sf), path, 64)
+    return stored.search_vectors(spark, path, src.query_vector(spark, sf), 60).select("_id", "type", F.round("semantic", 4).alias("score"))
+
+
 _DECAY = "exp(-ln(2) * greatest(0, (epoch_us(TIMESTAMP '2026-01-01') - epoch_us(ts)) / 1e6 / 86400.0) / 365.0)"
 
 
