@@ -13,6 +13,7 @@ from lattica.operators import attach, extract, graph, parse, search, store, stor
 from lattica.plans import projection as src
 from lattica.plans import sql
 from lattica.plans.literal import LITERAL_QUERIES, LITERAL_SQL
+from lattica.plans.runs import RUN_QUERIES, RUN_SQL
 from lattica.session import shared_folder
 
 APP, PART, PROJECT, CUSTOMER = "00000000005", 5, "000000007", 7
@@ -655,8 +656,8 @@ def merge_runs(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    return {**_QUERIES, **LITERAL_QUERIES}
+    return {**_QUERIES, **LITERAL_QUERIES, **RUN_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_SQL, **LITERAL_SQL}
+    return {**_SQL, **LITERAL_SQL, **RUN_SQL}
