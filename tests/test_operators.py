@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators import attach, extract, normalize, parse, search, store
 from lattica.plans.ingest import ingest
+from lattica.session import checkpointed
 from lattica.sources.files import EXTRACTORS
 from lattica.sources.providers import embed, hashed_embedder, model_ids
 from lattica.streaming.watch import PageTables, watch
@@ -193,7 +194,7 @@ def test_ingest_with_attachments_graph_and_vectors(spark):
     files = spark.createDataFrame([("p1", "a.docx", docx(("Acuerdo", "Fecha"), ("file it", "today"))), ("p1", "free.docx", b"junk")], "page_id string, filename string, content binary")
     known = spark.createDataFrame([("app_id", "11111111111"), ("project_id", "123456789")], "id_type string, id string")
     answer = lambda text: '{"events": [{"event_type": "decision", "description": "Go.", "app_ids": ["11111111111"], "project_ids": []}]}'
-    out = ingest(pages, schemas, known, metadata, files, answer, hashed_embedder(8))
+    out = ingest(pages, schemas, known, metadata, files, answer, hashed_embedder(8), keep=checkpointed)
     assert {(r.page_id, r.table_index, r.n_rows) for r in out["tables"].collect()} == {("p1", 0, 2), ("p1", 1, 2)}
     assert {r["values"]["acuerdo"] for r in out["rows"].collect()} == {"do it a", "file it"}
     assert {r._id for r in out["rows"].collect()} == {"p1_table_0_row_1", "p1_table_1_row_1"}
@@ -213,7 +214,7 @@ def test_ingest_with_attachments_graph_and_vectors(spark):
     assert (vectors["p1_table_0__row_0"].text, vectors["p1_table_1__row_1"].text) == ("Acuerdo: Acuerdo | Fecha: Fecha", "Acuerdo: file it | Fecha: today")
     assert out["vectors"].where("embedding IS NULL").count() == 0
     # the same page again, without its table: what it owned is flagged, shared nodes stay
-    again = ingest(pages.where("page_id = 'p1'").withColumn("html", F.lit("<p>id 123456789</p>")), schemas, known)
+    again = ingest(pages.where("page_id = 'p1'").withColumn("html", F.lit("<p>id 123456789</p>")), schemas, known, keep=checkpointed)
     refreshed = spark.createDataFrame([("p1",)], "page_id string")
     stored, links = store.refresh_graph(out["nodes"], out["edges"], again["nodes"], again["edges"], refreshed)
     assert {r._id for r in stored.where("NOT is_deleted").collect()} == {"page_p1", "page_p2", "app_11111111111", "proj_123456789"}
