@@ -13,8 +13,8 @@ of the ARIA landmarks as the element that it stands for. The number of pages is
 sampled. Pages are made and counted in the workers, in blocks with seeds of their own, and a driver process keeps the
 model; what executors get are two small tables of logarithms.
 
-Names lower a chance but do not decide that a page has nothing to say: where no sentence is kept though the page has a
-main heading (h1), it is judged again without its names.
+Names lower a chance but do not decide that a page has nothing to say: where headings at most are kept of a page that
+has a main one (h1), it is judged again without its names.
 
 Defined cases: a null or empty page, or one without content, gives an empty text; a page without elements, but for
 those inside a line, is one block; broken markup is mended, never refused; very long pages take time in proportion to their nodes; repeated rows are extracted each; extra columns
@@ -41,8 +41,7 @@ from lattica.llm.common import bounded_batches, read
 TRAINING_PAGES, PAGES_A_BLOCK = 2000, 125
 #: The chance from which a text is kept: to lose content counts three times what it counts to keep something else.
 KEEP = 0.25
-#: A text of so many words that ends a sentence is one.
-SENTENCE_WORDS = 5
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements whose text is never shown as part of an article, whatever the model says.
 NEVER = frozenset("head title script style noscript template iframe object select option button textarea svg".split())
 #: Elements inside a line; they take their parent's label.
@@ -449,19 +448,19 @@ def page_block(number: int, count: int = TRAINING_PAGES, seed: int = 9) -> list[
 
 
 def content_chances(dom: Dom, model: Model) -> list[float]:
-    """The chance that each node is content; without names where with them no sentence of a page with an h1 is kept."""
+    """The chance that each node is content; without names where with them a page with an h1 keeps headings at most."""
     if all(tag[0] == "#" or tag in INLINE or tag in ONCE or tag in NEVER for tag in dom.tag):
         return [1.0] * len(dom.tag)
-    hidden = [False] * len(dom.tag)
-    sentences = []
+    aside = [False] * len(dom.tag)  # never shown, or in a heading
+    texts = []
     for node, tag in enumerate(dom.tag):
-        hidden[node] = tag in NEVER or (node > 0 and hidden[dom.parent[node]])
-        if tag == TEXT and not hidden[node] and _SENTENCE_END.search(dom.data[node]) and len(dom.data[node].split()) >= SENTENCE_WORDS:
-            sentences.append(node)
+        aside[node] = tag in NEVER or tag in HEADINGS or (node > 0 and aside[dom.parent[node]])
+        if tag == TEXT and not aside[node] and dom.data[node].strip():
+            texts.append(node)
     chance = model.marginals(dom)
-    if sentences and "h1" in dom.tag and not any(chance[node] >= KEEP for node in sentences):
+    if texts and "h1" in dom.tag and not any(chance[node] >= KEEP for node in texts):
         plain = model.marginals(dom, named=False)
-        if any(plain[node] >= KEEP for node in sentences):
+        if any(plain[node] >= KEEP for node in texts):
             return plain
     return chance
 
