@@ -145,10 +145,12 @@ def column_map(tables: DataFrame, schemas: DataFrame) -> DataFrame:
 def consolidate(cells: DataFrame, mapping: DataFrame, headed: DataFrame) -> DataFrame:
     """Canonical rows ``(ord, row, values, cancelled_fields)`` of ``cells(ord, row, col, chunks)``: the header row and
     blank rows are left out; of cells with one canonical name the last counts."""
-    data = cells.join(headed.select("ord", "headed"), "ord").where("NOT (headed AND row = 0)")
+    # all that a table's cells need to know is one row, so cells are dealt once, by table
+    columns = mapping.groupBy("ord").agg(F.collect_list(F.struct("col", "canonical")).alias("columns"))
+    data = cells.join(headed.select("ord", "headed").join(columns, "ord"), "ord").where("NOT (headed AND row = 0)")
     cancelled = F.exists("chunks", lambda c: c["style"] == "cancelled")
-    named = data.join(mapping.select("ord", "col", "canonical"), ["ord", "col"]).select(
-        "ord", "row", "col", "canonical", F.struct(cell_text(F.col("chunks")).alias("text"), cancelled.alias("cancelled")).alias("v")
+    named = data.withColumn("of", F.explode(F.filter("columns", lambda x: x["col"] == F.col("col")))).select(
+        "ord", "row", "col", F.col("of.canonical").alias("canonical"), F.struct(cell_text(F.col("chunks")).alias("text"), cancelled.alias("cancelled")).alias("v")
     )
     fields = named.groupBy("ord", "row", "canonical").agg(F.max_by("v", "col").alias("v"))
     rows = fields.groupBy("ord", "row").agg(F.array_sort(F.collect_list(F.struct("canonical", "v"))).alias("f"))

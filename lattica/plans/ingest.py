@@ -112,7 +112,7 @@ def ingest(
     out["nodes"] = graph.build_nodes(dated_pages, dated_events, top.join(when, "page_id"), known, mentioned)
     out["edges"] = graph.build_edges(dated_events, top, known, mentioned)
     if embedder is not None:
-        out["vectors"] = embed(embedding_texts(dated_pages, chunks, dated_events, top, cells, attachments), embedder)
+        out["vectors"] = embed(embedding_texts(dated, chunks, dated_events, top, cells, attachments), embedder)
     return out
 
 
@@ -125,9 +125,8 @@ def embedding_texts(pages: DataFrame, chunks: DataFrame, events: DataFrame, tabl
     told = events.join(pages.select("page_id", "title"), "page_id")
     text = graph.event_text(*(F.col(c) for c in ("event_type", "description", "title", "timestamp", "app_ids", "project_ids")))
     parts = parts.unionByName(told.select("_id", F.lit("Event").alias("kind"), "page_id", text.alias("text")))
-    header = tables.select("page_id", "table_index", F.posexplode("headers").alias("col", "header"))
-    body = cells.join(tables.select("page_id", "table_index"), ["page_id", "table_index"], "left_semi")
-    named = body.join(header, ["page_id", "table_index", "col"], "left").withColumn("text", normalize.cell_text(F.col("chunks")))
+    body = cells.join(tables.select("page_id", "table_index", "headers"), ["page_id", "table_index"])
+    named = body.withColumns({"header": F.get("headers", F.col("col")), "text": normalize.cell_text(F.col("chunks"))})
     rows = graph.row_texts(named).where("text <> ''")
     parts = parts.unionByName(rows.select(graph.row_vector_id().alias("_id"), F.lit("row").alias("kind"), "page_id", "text"))
     pieces = attachments.where("error IS NULL AND text <> ''").select("page_id", "attachment_id", "filename", F.posexplode(chunk_udf()("text")).alias("idx", "chunk"))

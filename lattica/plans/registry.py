@@ -632,7 +632,7 @@ SELECT CAST(page_id AS VARCHAR) AS page_id, CAST(seq AS INTEGER) AS seq, any_val
 @query(_PIECES)
 def html_text(spark, sf):
     """Text chunks of all pages with their styles."""
-    parsed = parse.parse_pages(src.table(spark, sf, "pages"))
+    parsed = parse.parse_pages(src.table(spark, sf, "pages"), parts=["chunks"])
     return parse.flat(parsed, "chunks").select("page_id", "seq", "style", F.md5("content").alias("content_md5"))
 
 
