@@ -6,10 +6,11 @@ and also probes the neighbouring cells that its residual points to (of the 240 l
 with the largest inner product). Two vectors meet where one's home is the other's home or probe; every pair that
 meets is verified by its cosine in double precision.
 
-The number of cells follows the number of vectors (``lattice_for``): a cell is one lattice point or a pair or triple of
-them, so that a home cell of isotropic vectors holds some thousand of them at most, whatever their number. A finer
-lattice has more tables and probes: in every setting a pair at cosine 0.9 meets with a chance of at least 0.99
-(measured; at 0.95 above 0.9999).
+The lattice is an argument and does not follow the number of vectors: whether a pair meets depends on its two vectors
+alone, so a table links the same pairs whatever else is in it. For tables of many millions a caller may choose a finer
+lattice (``lattice_for`` names one that suits a number): a cell is then a pair or triple of lattice points, with more
+tables and probes; in every setting a pair at cosine 0.9 meets with a chance of at least 0.99 (measured; at 0.95 above
+0.9999).
 
 Every vector is indexed. Equal vectors are one representative with a multiplicity. A cell above ``cell_rows`` is
 dealt as pairs of blocks, so a task stays bounded and no pair is lost. Each pair is counted in one of the cells it
@@ -146,16 +147,15 @@ def _by_length(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def near_vectors(
-    vectors: DataFrame, threshold: float = 0.9, lattice: Lattice | None = None, cell_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, threshold: float = 0.9, lattice: Lattice = Lattice(), cell_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors``; the lattice follows their number, if not given."""
+    """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors``."""
     bounded_batches(vectors.sparkSession)
     v = F.col("v")
     usable = F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False)))
     reps = materialize(rows.where("ok").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")), "representatives")
-    lattice = lattice or lattice_for(reps.count())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

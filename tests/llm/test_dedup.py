@@ -225,3 +225,15 @@ def test_digest_of_the_query(spark, tmp_path):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeats.op8_substring_dedup(spark, str(tmp_path)).collect()}
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got == {1: (20, 0, digest(text)), 2: (21, 20, digest("x")), 3: (0, 0, digest(""))}
+
+
+def test_links_do_not_depend_on_how_many_vectors_there_are(spark, monkeypatch):
+    """The same pairs are linked whatever lattice would suit their number."""
+    rng = np.random.default_rng(31)
+    base = rng.normal(size=(150, 64))
+    m = np.vstack([base, base + 0.4 * rng.normal(size=base.shape)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id long, embedding array<double>")
+    links = lambda: sorted((r.vec_id, r.n_links) for r in lattice.near_vectors(df).collect())
+    want = links()
+    monkeypatch.setattr(lattice, "SETTINGS", ((10, lattice.Lattice()), (None, lattice.Lattice(tables=1, probes=0))))
+    assert links() == want
