@@ -265,7 +265,8 @@ def soft_delete_nodes(spark, sf):
 @query(f"WITH {sql.EVENTS}, {sql.PAGES}, {sql.EDGES} SELECT source_id, relation, target_id FROM g WHERE page_id NOT IN ({_URGENT})")
 def edge_purge(spark, sf):
     urgent = src.pages(spark, sf).where("space_key = '1-URGENT'")
-    return store.purge_edges(src.edges(spark, sf), urgent).select("source_id", "relation", "target_id")
+    kept = store.purge_edges(src.events(spark, sf), urgent)  # edges are of the page of their event: purged before there are five an event
+    return graph.build_edges(kept).select("source_id", "relation", "target_id")
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, -event_id)) AS event_type, arg_max(value, (ts, -event_id)) AS value FROM events GROUP BY user_id")
