@@ -51,9 +51,10 @@ def applications_of_project(events: DataFrame, applications: DataFrame, project_
 
 def project_snapshot(events: DataFrame, pages: DataFrame, project_id: str) -> DataFrame:
     """The project's live events on the page of its latest event, oldest first, with the page's title."""
-    own = live(events).where(F.array_contains("project_ids", project_id))
+    own = checkpointed(live(events).where(F.array_contains("project_ids", project_id)))  # found once, read twice
     last = own.agg(F.max_by("page_id", F.struct("timestamp", "_id")).alias("page_id"))
-    titles = live(pages).select("page_id", F.col("title").alias("page_title"))
+    last = F.broadcast(last)  # one row: neither the events nor the pages are dealt anew to find it
+    titles = F.broadcast(live(pages).join(last, "page_id", "left_semi").select("page_id", F.col("title").alias("page_title")))
     return own.join(last, "page_id").drop("title").join(titles, "page_id", "left").orderBy("timestamp", "_id")
 
 
