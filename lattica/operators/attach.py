@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from lattica.functions.text import attachment_kind, chunk_udf
 
 
-def reconcile(refs: DataFrame, metadata: DataFrame) -> DataFrame:
+def reconcile(refs: DataFrame, metadata: DataFrame, once: bool = False) -> DataFrame:
     """References ``(page_id, ord, attachment_id, filename, url)``, once per id in order, with the size and URL that
-    the source has under the file name (of equal names the last)."""
-    first = W.partitionBy("page_id", "attachment_id").orderBy("ord")
-    once = refs.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+    the source has under the file name (of equal names the last). ``once`` says that they come once per id."""
+    if not once:
+        first = W.partitionBy("page_id", "attachment_id").orderBy("ord")
+        refs = refs.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
     last = W.partitionBy("page_id", "filename").orderBy(F.col("pos").desc())
     meta = metadata.withColumn("_rn", F.row_number().over(last)).where("_rn = 1")
     meta = meta.select("page_id", "filename", F.col("attachment_id").alias("meta_id"), F.col("url").alias("meta_url"), "size")
-    return once.join(meta, ["page_id", "filename"], "left")
+    return refs.join(meta, ["page_id", "filename"], "left")
 
 
 def orphans(refs: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from lattica.operators import parse, search
+from lattica.operators import attach, parse, search
 from lattica.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +66,35 @@ def test_a_snapshot_does_not_deal_the_pages(spark):
         assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_references_of_plain_pages_need_no_tree(monkeypatch):
+    """Pages made at random: what counting tags finds is what the tree gives, and ordinary pages of tables are never walked."""
+    rng = random.Random(7)
+    link = "<a class='q' href='/download/attachments/%d/x%%20y.pdf?v=1&amp;x=2'>f</a>"
+    texts = ["", "x", "<b>y</b> z", "<p>k<br></p>", "<a href=/q>n</a>"]
+    cell = lambda: (t := rng.choice(("td", "th"))) and f"<{t}{rng.choice(('', '', ' colspan=2'))}>{rng.choice(texts)}{link % rng.randrange(3) if rng.random() < 0.5 else ''}</{t}>"
+    rows = lambda: "".join("<tr>" + "".join(cell() for _ in range(rng.randrange(4))) + "</tr>\n" for _ in range(rng.randrange(4)))
+    table = lambda: "<table>" + rng.choice((rows(), f"<thead>{rows()}</thead><tbody>{rows()}</tbody>")) + "</table>"
+    odd = ["</s>", "<td>", "<td rowspan=2>", "</tr>", "<table>", "</table>", "<!-- <tr> -->", "<li>", "<script>", "<ri:attachment ri:filename=f />", "</td>", link % 4]
+    plain = 0
+    for k in range(3000):
+        html = "".join(rng.choice(("<s>", "</s>", "<p>", "text", "")) + table() for _ in range(rng.randrange(4)))
+        if k % 2:
+            at = rng.randrange(len(html) + 1)
+            html = html[:at] + rng.choice(odd) + html[at:]
+        found = parse.plain_refs("p", html)
+        assert found is None or found == parse.walked("p", html, True)["refs"], html
+        plain += bool(found)
+    assert plain > 500
+    monkeypatch.setattr(parse, "walked", None)
+    assert parse.linked("p", f"<s><table><tbody><tr><td>1</td><td>{link % 1}</td></tr></tbody></table></s><p>Total:</p><table><tr><td colspan=2>x</td></tr></table>", True)["refs"]
+
+
+def test_references_once_a_page_need_no_exchange(spark):
+    pages = spark.createDataFrame([("p", "<table><tr><td><a href='/download/attachments/1/x'>f</a></td><td><a href='/download/attachments/1/x'>f</a></td></tr></table>"), ("q", None)], "page_id string, html string")
+    refs = parse.flat(parse.parse_pages(pages, parts=["refs"], once=True), "refs").withColumnRenamed("seq", "ord")
+    none = F.broadcast(spark.createDataFrame([], "page_id string, pos long, filename string, attachment_id string, url string, size long"))
+    found = attach.reconcile(refs, none, once=True)
+    assert [r.prov_path for r in found.collect()] == ["page:p/table:0/row:0/col:0"]
+    assert "Exchange hashpartitioning(page_id" not in found.select("attachment_id", "prov_path")._jdf.queryExecution().executedPlan().toString()
