@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.operators.search import live, top, vector_search
+from lattica.operators.search import SMALL_FRONTIER, live, top, vector_search
 from lattica.session import checkpointed
 
 # --- vectors: an inverted file --------------------------------------------------------------------------------
@@ -122,16 +122,21 @@ BUCKETS, LANES = 64, 64
 
 
 def write_edges(edges: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Edges both ways, in buckets by the node that they start from, sorted by it."""
+    """Edges both ways, in buckets by the node that they start from. A search joins whole buckets, so these need no order."""
     ways = F.array(F.struct(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.lit(True).alias("forward")), F.struct(F.col("target_id").alias("a"), F.col("source_id").alias("b"), F.lit(False).alias("forward")))
     both = edges.select("relation", F.explode(ways).alias("x")).select("x.*", "relation").withColumn("bucket", _bucket("a", buckets))
-    both.hint("rebalance", "bucket").sortWithinPartitions("bucket", "a").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    both.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def _bucket(column: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
 
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """A frontier as it is joined: sent to the other side, not that dealt to it, where it has few rows."""
+    return F.broadcast(df) if rows <= SMALL_FRONTIER else df
+
+
 def traverse_many(nodes: DataFrame, path: str, starts: Sequence[str], relations: Sequence[str], depth: int = 3, directed: bool = True, buckets: int = BUCKETS) -> DataFrame:
     """``(start, _id, level)``: live nodes within ``depth`` steps of each start, which is left out; all starts in one pass.
 
@@ -151,18 +156,24 @@ def traverse_many(nodes: DataFrame, path: str, starts: Sequence[str], relations:
     edges = spark.read.schema("a string, b string, forward boolean, relation string, bucket int").parquet(path).where(F.col("relation").isin(*relations))
     if directed:
         edges = edges.where("forward")
+    n = total = len(starts)
     for level in range(1, depth + 1):
         touched = [r[0] for r in frontier.select(_bucket("id", buckets)).distinct().collect()]
-        step = edges.where(F.col("bucket").isin(touched)).join(frontier, F.col("a") == F.col("id")).groupBy(F.col("b").alias("id")).agg(F.bit_or("lanes").alias("lanes"))
+        step = edges.where(F.col("bucket").isin(touched)).join(_sent(frontier, n), F.col("a") == F.col("id")).groupBy(F.col("b").alias("id")).agg(F.bit_or("lanes").alias("lanes"))
         seen = visited.groupBy("id").agg(F.bit_or("lanes").alias("seen"))
-        new = step.join(seen, "id", "left").select("id", F.col("lanes").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0)))).alias("lanes")).where("lanes <> 0")
+        new = step.join(_sent(seen, total), "id", "left").select("id", F.col("lanes").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0)))).alias("lanes")).where("lanes <> 0")
         frontier = checkpointed(new)
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             break
+        total += n
         hits, visited = hits.union(frontier.withColumn("level", F.lit(level))), visited.union(frontier)
     lane = F.explode(F.transform(F.array(*map(F.lit, starts)), lambda s, k: F.struct(s.alias("start"), k.alias("k"))))
     each = hits.select("id", "level", "lanes", lane.alias("x")).where(F.getbit("lanes", F.col("x.k")) == 1).select(F.col("x.start").alias("start"), F.col("id").alias("_id"), "level")
-    return each.join(live(nodes).select("_id"), "_id", "left_semi").select("start", "_id", "level")
+    # What was visited goes to the nodes, where it is small; else all nodes would be dealt by id to find those few.
+    ids = _sent(hits.select(F.col("id").alias("_id")).distinct(), total)
+    shown = live(nodes).select("_id").join(ids, "_id", "left_semi")
+    return each.join(shown, "_id", "left_semi").select("start", "_id", "level")
 
 
 # --- events by id and time --------------------------------------------------------------------------------------
