@@ -64,8 +64,17 @@ def refresh_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_
     kept = stale.join(new_nodes.select("_id"), "_id", "left_anti")
     first = stale.where("first_seen IS NOT NULL").select("_id", F.col("first_seen").alias("_first"))
     fresh = new_nodes.join(first, "_id", "left").withColumn("first_seen", F.coalesce("_first", "first_seen")).drop("_first")
-    left = purge_edges(edges, refreshed).withColumn("_new", F.lit(0)).unionByName(new_edges.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    return kept.unionByName(fresh, allowMissingColumns=True), upsert_edges(left, "_new").drop("_id", "_new")
+    return kept.unionByName(fresh, allowMissingColumns=True), replace_edges(purge_edges(edges, refreshed), new_edges)
+
+
+def replace_edges(kept: DataFrame, new_edges: DataFrame) -> DataFrame:
+    """Edges that a purge has left, with the new ones in the place of those of their source, relation and target: the newest
+    of each as a grouped maximum, so no sort of all edges, and columns that nothing asks for are not carried."""
+    both = kept.withColumn("_new", F.lit(0)).unionByName(new_edges.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    key = ["source_id", "relation", "target_id"]
+    names = [c for c in both.columns if c != "_new"]
+    newest = both.groupBy(*key).agg(F.max_by(F.struct(*(c for c in names if c not in key)), "_new").alias("_x"))
+    return newest.select(*key, "_x.*").select(*names)
 
 
 # --- ingestion control -------------------------------------------------------------------------------------

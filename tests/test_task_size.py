@@ -25,3 +25,14 @@ def test_few_visits_are_sent_to_nodes_and_edges(spark, dealt, tmp_path):
     found = stored.traverse_many(nodes, f"{tmp_path}/e", ["n0", "n5"], ["r"], 2, True, 4)
     assert sorted(map(tuple, found.collect())) == [("n0", "n1", 1), ("n0", "n2", 2), ("n5", "n6", 1), ("n5", "n7", 2)]
     assert "BroadcastHashJoin" in dealt(found.select(F.col("_id"))).split("is_deleted")[0]
+
+
+def test_new_edges_replace_without_a_sort(spark, dealt):
+    kind = "source_id string, relation string, target_id string, page_id string"
+    kept = spark.createDataFrame([("a", "r", "b", "1"), ("a", "r", "c", None), ("a", "r", "c", None)], kind)
+    new = spark.createDataFrame([("a", "r", "b", "2"), ("d", "r", "e", "2")], kind)
+    out = store.replace_edges(kept, new)
+    assert out.columns == kept.columns
+    assert sorted(map(tuple, out.collect()), key=str) == [("a", "r", "b", "2"), ("a", "r", "c", None), ("d", "r", "e", "2")]
+    plan = dealt(out.groupBy("source_id").count())
+    assert "Window" not in plan and "Sort" not in plan and "max_by" not in plan
