@@ -128,7 +128,8 @@ def renumbered_tables(page_tables: DataFrame, attachment_tables: DataFrame) -> D
     """Attachment tables after a page's own, numbered on from its greatest index; ``old_index`` keeps the one they had."""
     most = page_tables.groupBy("page_id").agg(F.max("table_index").alias("_most"))
     order = W.partitionBy("page_id").orderBy("attachment_id", "table_index")
-    numbered = attachment_tables.join(most, "page_id", "left").withColumn("_rn", F.row_number().over(order))
+    # Numbered before the join, which needs no order of its own then: the tables are sorted once.
+    numbered = attachment_tables.select("page_id", "attachment_id", "table_index", F.row_number().over(order).alias("_rn")).join(most, "page_id", "left")
     moved = numbered.select(
         "page_id", (F.coalesce("_most", F.lit(-1)) + F.col("_rn")).cast("int").alias("table_index"), F.col("table_index").alias("old_index"), "attachment_id"
     )

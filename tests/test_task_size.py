@@ -36,3 +36,11 @@ def test_new_edges_replace_without_a_sort(spark, dealt):
     assert sorted(map(tuple, out.collect()), key=str) == [("a", "r", "b", "2"), ("a", "r", "c", None), ("d", "r", "e", "2")]
     plan = dealt(out.groupBy("source_id").count())
     assert "Window" not in plan and "Sort" not in plan and "max_by" not in plan
+
+
+def test_attachment_tables_are_sorted_once(spark, dealt):
+    own = spark.createDataFrame([("p", 0), ("p", 4), ("q", 1)], "page_id string, table_index int")
+    found = spark.createDataFrame([("p", "b", 0), ("p", "a", 1), ("p", "a", 0), ("r", "c", 0)], "page_id string, attachment_id string, table_index int")
+    out = attach.renumbered_tables(own, found).where("attachment_id IS NOT NULL")
+    assert sorted((r.page_id, r.attachment_id, r.old_index, r.table_index) for r in out.collect()) == [("p", "a", 0, 5), ("p", "a", 1, 6), ("p", "b", 0, 7), ("r", "c", 0, 0)]
+    assert len(re.findall(r"Sort \[page_id", dealt(out))) == 2  # of the attachments' tables, and of the pages they join
