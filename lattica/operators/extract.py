@@ -87,7 +87,11 @@ def collected_texts(chunks: DataFrame, cells: DataFrame, attachments: DataFrame)
 
 
 def has_cancelled(chunks: DataFrame, cells: DataFrame, tables: DataFrame) -> DataFrame:
-    """Whether the text or a top-level table of a page holds a cancelled chunk."""
-    top = cells.join(tables.where("parent_table IS NULL").select("page_id", "table_index"), ["page_id", "table_index"], "left_semi")
-    styles = chunks.select("page_id", "style").union(top.select("page_id", F.explode("chunks").alias("c")).select("page_id", "c.style"))
-    return styles.groupBy("page_id").agg(F.bool_or(F.col("style") == "cancelled").alias("has_cancelled"))
+    """Whether the text or a top-level table of a page holds a cancelled chunk.
+
+    Chunks are reduced to one answer a page or table before anything is joined or dealt: what tasks sort are small rows."""
+    own = chunks.groupBy("page_id").agg(F.bool_or(F.col("style") == "cancelled").alias("hit"))
+    hits = F.array_max(F.transform("chunks", lambda c: c["style"] == "cancelled"))  # nulls do not count
+    by_table = cells.where(F.size("chunks") > 0).groupBy("page_id", "table_index").agg(F.bool_or(hits).alias("hit"))
+    top = by_table.join(tables.where("parent_table IS NULL").select("page_id", "table_index"), ["page_id", "table_index"], "left_semi")
+    return own.union(top.select("page_id", "hit")).groupBy("page_id").agg(F.bool_or("hit").alias("has_cancelled"))

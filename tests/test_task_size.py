@@ -44,3 +44,13 @@ def test_attachment_tables_are_sorted_once(spark, dealt):
     out = attach.renumbered_tables(own, found).where("attachment_id IS NOT NULL")
     assert sorted((r.page_id, r.attachment_id, r.old_index, r.table_index) for r in out.collect()) == [("p", "a", 0, 5), ("p", "a", 1, 6), ("p", "b", 0, 7), ("r", "c", 0, 0)]
     assert len(re.findall(r"Sort \[page_id", dealt(out))) == 2  # of the attachments' tables, and of the pages they join
+
+
+def test_has_cancelled_deals_no_chunks(spark, dealt):
+    chunks = spark.createDataFrame([("a", "normal"), ("a", None), ("b", "cancelled"), ("n", None)], "page_id string, style string")
+    cell = "page_id string, table_index int, chunks array<struct<content: string, style: string>>"
+    rows = [("a", 0, [("x", None), ("y", "cancelled")]), ("c", 0, [("x", "normal"), ("y", None)]), ("c", 1, [("z", "cancelled")]), ("d", 0, []), ("e", 0, [("x", None)]), ("f", 0, None)]
+    tables = spark.createDataFrame([(p, 0, None) for p in "acdef"] + [("c", 1, 0)], "page_id string, table_index int, parent_table int")
+    found = extract.has_cancelled(chunks, spark.createDataFrame(rows, cell), tables)
+    assert {r.page_id: r.has_cancelled for r in found.collect()} == {"a": True, "b": True, "c": False, "e": None, "n": None}
+    assert "Generate" not in dealt(found)  # chunks are reduced where they stand, not dealt one by one
