@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.functions.text import attachment_kind, chunk_udf
 
@@ -49,16 +50,18 @@ def list_attachments(pages: DataFrame, base: str) -> DataFrame:
 
 
 Extractor = Callable[[bytes, str], tuple[str, list]]
+_TABLES = T.ArrayType(T.ArrayType(T.ArrayType(T.StringType())))
+EXTRACTED = T.StructType([T.StructField(c, _TABLES if c == "tables" else T.StringType()) for c in ("page_id", "attachment_id", "filename", "kind", "text", "tables", "error")])
 
 
 def extract_text(files: DataFrame, extractors: dict[str, Extractor]) -> DataFrame:
     """``files(page_id, attachment_id, filename, kind, content)`` to ``(…, text, tables, error)``; ``tables`` are lists
     of rows of cells; a failure is a row with an error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, found, errors = [], [], []
-            for kind, name, content in zip(batch["kind"], batch["filename"], batch["content"]):
+            for kind, name, content in zip(*(batch.column(c).to_pylist() for c in ("kind", "filename", "content"))):
                 text, tables, error = None, [], None
                 if content is None:
                     error = "download_failed: no content"
@@ -66,16 +69,18 @@ def extract_text(files: DataFrame, extractors: dict[str, Extractor]) -> DataFram
                     error = f"extraction_failed: no extractor for {kind}"
                 else:
                     try:
-                        text, tables = extractors[kind](bytes(content), name)
+                        text, tables = extractors[kind](content, name)
                     except Exception as e:  # noqa: BLE001  a bad file is data, not a failure of the job
                         error = f"extraction_failed: {e}"
                 texts.append(text)
                 found.append(tables)
                 errors.append(error)
-            yield batch[["page_id", "attachment_id", "filename", "kind"]].assign(text=texts, tables=found, error=errors)
+            kept = [batch.column(c) for c in ("page_id", "attachment_id", "filename", "kind")]
+            made = [pa.array(texts, pa.string()), pa.array(found, pa.list_(pa.list_(pa.list_(pa.string())))), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=EXTRACTED.names)
 
-    schema = "page_id string, attachment_id string, filename string, kind string, text string, tables array<array<array<string>>>, error string"
-    return files.mapInPandas(run, schema)
+    named = [F.col(c).cast("string") for c in ("page_id", "attachment_id", "filename", "kind")]
+    return files.select(*named, "content").mapInArrow(run, EXTRACTED)
 
 
 def attachment_tables(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
