@@ -31,8 +31,7 @@ def answer(read, name):
 
 
 def test_plain_archives_are_read_without_zipfile(monkeypatch):
-    plain = [archive(PARTS), archive(PARTS, zipfile.ZIP_DEFLATED), runs._packed({n.encode(): t for n, t in PARTS})]
-    assert zipfile.ZipFile(io.BytesIO(plain[2])).testzip() is None
+    plain = [archive(PARTS), archive(PARTS, zipfile.ZIP_DEFLATED)]
     monkeypatch.setattr(zipfile, "ZipFile", None)
     for data in plain:
         assert [(n, files.Archive(data).read(n)) for n in files.Archive(data).namelist()] == PARTS
@@ -99,7 +98,11 @@ def test_lines_are_read_once_for_all_kinds_of_files(spark, tmp_path):
     assert plan.count("Window [") == 1 and "Union" not in plan and plan.count("lineitem") <= 1
     assert found.count() == 9 and found.where("error IS NULL AND rows = 3").count() == 6
     packed = {r.attachment_id: r.content for r in runs._office_files(spark.createDataFrame([("p", "a<&\"b", [["<", "&"]])], "page_id string, head string, rows array<array<string>>")).collect()}
-    assert files.read_docx(packed["docx"], "") == ('a<&"b\n<\n&', [[["<", "&"]]]) and files.read_xlsx(packed["excel"], "")[0] == '[Sheet: a<&"b]\n< | &'
+    for kind, n in (("docx", 1), ("excel", 2)):
+        z = zipfile.ZipFile(io.BytesIO(packed[kind]))
+        assert z.testzip() is None and len(z.namelist()) == n == len(files._directory(bytes(packed[kind])))
+    assert "Python" not in runs._office_files(spark.createDataFrame([("p", "h", [["1", "2"]])], "page_id string, head string, rows array<array<string>>"))._jdf.queryExecution().executedPlan().toString()
+    assert files.read_docx(bytes(packed["docx"]), "") == ('a<&"b\n<\n&', [[["<", "&"]]]) and files.read_xlsx(bytes(packed["excel"]), "")[0] == '[Sheet: a<&"b]\n< | &'
 
 
 def test_extracted_columns(spark):
