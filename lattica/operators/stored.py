@@ -52,7 +52,8 @@ def fit_cells(items: DataFrame, dim: int, cells: int | None = None, rounds: int
                 np.add.at(sums, own, u)
                 counts += np.bincount(own, minlength=len(now))
             some = np.flatnonzero(counts)
-            yield pd.DataFrame({"cell": some, "total": list(sums[some])})
+            if len(some):  # a task may have no usable vector, and Arrow cannot make a column of lists from nothing
+                yield pd.DataFrame({"cell": some, "total": list(sums[some])})
 
         parts = drawn.select("embedding").mapInPandas(run, "cell int, total array<double>").groupBy("cell")
         rows = parts.agg(F.array(*(F.sum(F.col("total")[k]) for k in range(dim))).alias("total")).collect()

@@ -67,6 +67,17 @@ def test_index_of_nothing(spark, tmp_path):
     assert stored.search_vectors(spark, f"{tmp_path}/i", [1.0, 0.0, 0.0, 0.0], 5).count() == 0
 
 
+def test_index_where_a_task_has_no_usable_vector(spark, tmp_path):
+    m = np.random.default_rng(4).normal(size=(9, 4)).astype(np.float32)
+    some = spark.createDataFrame([(f"v{k}", "Row", None, False, v.tolist()) for k, v in enumerate(m)], VECTORS)
+    zero = spark.createDataFrame([(f"z{k}", "Row", None, False, [0.0] * 4) for k in range(3)], VECTORS)
+    for name, items in (("none", some.repartition(16)), ("unusable", some.repartition(1).union(zero.repartition(1)))):
+        stored.write_vectors(items, f"{tmp_path}/{name}", 4)
+        want = [r._id for r in search.vector_search(items, m[2].tolist(), 9).collect()]
+        assert [r._id for r in stored.search_vectors(spark, f"{tmp_path}/{name}", m[2].tolist(), 9).collect()] == want and len(want) == 9
+        assert spark.read.parquet(f"{tmp_path}/{name}/lists").count() == items.count()
+
+
 @pytest.mark.parametrize("directed", [True, False])
 def test_many_starts_at_once(spark, tmp_path, directed):
     rng = random.Random(directed)
