@@ -68,7 +68,8 @@ def fit_cells(items: DataFrame, dim: int, cells: int | None = None, rounds: int
 
 def write_vectors(items: DataFrame, path: str, dim: int, cells: int | None = None) -> None:
     """Items ``(_id, embedding, …)`` in a folder a cell, and the table of cells: centroid and radius (the greatest distance of
-    a unit vector in it). Items whose vector cannot be used are in cell -1, which no search reads."""
+    a unit vector in it). Items whose vector cannot be used, or has another
+    length, are in cell -1, which no search by a vector of length ``dim`` needs."""
     c = fit_cells(items, dim, cells)
 
     @F.pandas_udf("struct<cell:int,far:double>")
@@ -100,7 +101,7 @@ def search_vectors(
     norm = np.linalg.norm(q)
     cells = spark.read.parquet(f"{path}/cells").orderBy("cell").toPandas()  # MOST_CELLS rows at most
     lists = spark.read.parquet(f"{path}/lists").drop("_far")
-    if not len(cells) or norm <= 1e-10:
+    if not len(cells) or len(q) != len(cells["centroid"].iloc[0]) or norm <= 1e-10:  # vectors of other lengths are in cell -1
         return vector_search(lists.where("cell = -1").drop("cell"), query, limit, kinds, before)
     away = np.sqrt(np.maximum(0.0, 2 - 2 * np.stack(cells["centroid"].to_list()) @ (q / norm)))
     order, names = np.argsort(away, kind="stable"), cells["cell"].to_numpy()

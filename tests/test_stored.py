@@ -78,6 +78,13 @@ def test_index_where_a_task_has_no_usable_vector(spark, tmp_path):
         assert spark.read.parquet(f"{tmp_path}/{name}/lists").count() == items.count()
 
 
+def test_search_by_a_vector_of_another_length(spark, vectors):
+    items, _, path = vectors
+    for q, ids in (([1.0] * 31, ["x4"]), ([1.0] * 7, [])):
+        assert [r._id for r in search.vector_search(items, q, 9).collect()] == ids
+        assert [r._id for r in stored.search_vectors(spark, path, q, 9).collect()] == ids
+
+
 @pytest.mark.parametrize("directed", [True, False])
 def test_many_starts_at_once(spark, tmp_path, directed):
     rng = random.Random(directed)
