@@ -124,7 +124,13 @@ BUCKETS, LANES = 64, 64
 
 
 def write_edges(edges: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Edges both ways, in buckets by the node that they start from. A search joins whole buckets, so these need no order."""
+    """Edges both ways, in buckets by the node that they start from. A search joins whole buckets, so these need no order.
+
+    With 0 buckets each edge is written once, where it is made: nothing is dealt, and a search reads all of them. That
+    takes a fraction of the disk, and is the form for edges that only few levels are searched in."""
+    if not buckets:
+        edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "relation").write.mode("overwrite").parquet(path)
+        return
     ways = F.array(F.struct(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.lit(True).alias("forward")), F.struct(F.col("target_id").alias("a"), F.col("source_id").alias("b"), F.lit(False).alias("forward")))
     both = edges.select("relation", F.explode(ways).alias("x")).select("x.*", "relation").withColumn("bucket", _bucket("a", buckets))
     both.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
@@ -143,7 +149,8 @@ def traverse_many(nodes: DataFrame, path: str, starts: Sequence[str], relations:
     """``(start, _id, level)``: live nodes within ``depth`` steps of each start, which is left out; all starts in one pass.
 
     A node's visits are a long with a bit a start (64 starts a pass), so a level is one join of the frontier with the
-    buckets that it touches, one grouped OR, and one join with what was visited before. Each level is a checkpoint."""
+    buckets that it touches, one grouped OR, and one join with what was visited before. Each level is a checkpoint.
+    ``buckets`` is what the edges were written with; without any all edges are joined, and from both ends if undirected."""
     spark = nodes.sparkSession
     starts = list(dict.fromkeys(starts))
     if len(starts) > LANES:
@@ -155,13 +162,23 @@ def traverse_many(nodes: DataFrame, path: str, starts: Sequence[str], relations:
     bit = lambda k: (1 << k) - (1 << 64 if k == 63 else 0)  # noqa: E731  as a signed long
     visited = frontier = spark.createDataFrame([(s, bit(k)) for k, s in enumerate(starts)], "id string, lanes long")
     hits = spark.createDataFrame([], "id string, lanes long, level int")
-    edges = spark.read.schema("a string, b string, forward boolean, relation string, bucket int").parquet(path).where(F.col("relation").isin(*relations))
-    if directed:
+    kind = "a string, b string, forward boolean, relation string, bucket int" if buckets else "a string, b string, relation string"
+    edges = spark.read.schema(kind).parquet(path).where(F.col("relation").isin(*relations))
+    if buckets and directed:
         edges = edges.where("forward")
+
+    def steps() -> DataFrame:
+        """``(id, lanes)``: the other ends of the frontier's edges."""
+        to = F.col("b").alias("id"), "lanes"
+        if buckets:
+            touched = [r[0] for r in frontier.select(_bucket("id", buckets)).distinct().collect()]
+            return edges.where(F.col("bucket").isin(touched)).join(_sent(frontier, n), F.col("a") == F.col("id")).select(*to)
+        found = edges.join(_sent(frontier, n), F.col("a") == F.col("id")).select(*to)
+        return found if directed else found.union(edges.join(_sent(frontier, n), F.col("b") == F.col("id")).select(F.col("a"), "lanes"))
+
     n = total = len(starts)
     for level in range(1, depth + 1):
-        touched = [r[0] for r in frontier.select(_bucket("id", buckets)).distinct().collect()]
-        step = edges.where(F.col("bucket").isin(touched)).join(_sent(frontier, n), F.col("a") == F.col("id")).groupBy(F.col("b").alias("id")).agg(F.bit_or("lanes").alias("lanes"))
+        step = steps().groupBy("id").agg(F.bit_or("lanes").alias("lanes"))
         seen = visited.groupBy("id").agg(F.bit_or("lanes").alias("seen"))
         new = step.join(_sent(seen, total), "id", "left").select("id", F.col("lanes").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0)))).alias("lanes")).where("lanes <> 0")
         frontier = checkpointed(new)

@@ -180,10 +180,10 @@ _STARTS = "(SELECT 'proj_' || lpad(CAST(k AS VARCHAR), 9, '0') AS id FROM range(
     "SELECT start, id AS _id, min(level) AS level FROM w WHERE id <> start AND id IN (SELECT _id FROM n) GROUP BY start, id"
 )
 def bfs_many(spark, sf):
-    """Two steps either way along HAS_EVENT from 64 projects at once, over edges stored by source."""
+    """Two steps either way along HAS_EVENT from 64 projects at once, over that relation's edges, stored once each."""
     path = f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}"
-    stored.write_edges(src.edges(spark, sf), path)
-    return stored.traverse_many(src.nodes(spark, sf), path, [f"proj_{k:09}" for k in range(64)], ["HAS_EVENT"], 2, directed=False)
+    stored.write_edges(src.edges(spark, sf).where("relation = 'HAS_EVENT'"), path, 0)
+    return stored.traverse_many(src.nodes(spark, sf), path, [f"proj_{k:09}" for k in range(64)], ["HAS_EVENT"], 2, directed=False, buckets=0)
 
 
 _SHOWN_NODES = "s AS ((SELECT _id FROM n WHERE type = 'ConfPage' ORDER BY _id LIMIT 500) UNION ALL (SELECT _id FROM n WHERE type = 'Event' ORDER BY _id LIMIT 500))"

@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.operators import search, stored
+from lattica.plans import projection as src
+from lattica.plans import registry
 
+SF = "/root/testdata/sf0.001"
 VECTORS = "_id string, type string, timestamp timestamp_ntz, is_deleted boolean, embedding array<float>"
 
 
@@ -113,6 +116,29 @@ def test_many_starts_at_once(spark, tmp_path, directed):
     assert one == {b: level for (a, b), level in got.items() if a == "n5"}
 
 
+@pytest.mark.parametrize("directed", [True, False])
+def test_edges_stored_once_each(spark, tmp_path, directed):
+    """Without buckets nothing is dealt and no edge is written twice; a search finds the same."""
+    rng = random.Random(directed)
+    edges = [(f"n{rng.randrange(60)}", rng.choice(["r", "s", "no"]), f"n{rng.randrange(70)}") for _ in range(150)] + [("n1", "r", "n1"), ("n2", "r", "n3"), ("n2", "r", "n3")]
+    nodes = spark.createDataFrame([(f"n{k}", k % 9 == 0) for k in range(65)], "_id string, is_deleted boolean")
+    df = spark.createDataFrame(edges, "source_id string, relation string, target_id string")
+    stored.write_edges(df, f"{tmp_path}/dealt", 4)
+    stored.write_edges(df, f"{tmp_path}/once", 0)
+    assert spark.read.parquet(f"{tmp_path}/once").count() == len(edges)
+    starts = [f"n{k}" for k in range(0, 70, 3)] + ["none"]
+    found = [sorted(map(tuple, stored.traverse_many(nodes, f"{tmp_path}/{name}", starts, ["r", "s"], 2, directed, buckets).collect())) for name, buckets in (("dealt", 4), ("once", 0))]
+    assert found[0] == found[1] and len(found[0]) > 20
+
+
+def test_a_search_by_one_relation_stores_its_edges_alone(spark, monkeypatch):
+    """``bfs_many`` walks along HAS_EVENT: three edges an event are stored, not five, and not both ways."""
+    written, write = [], stored.write_edges
+    monkeypatch.setattr(stored, "write_edges", lambda edges, path, *more: (written.append(path), write(edges, path, *more)))
+    registry.queries()["bfs_many"](spark, SF)
+    assert spark.read.parquet(written[0]).count() == 3 * src.events(spark, SF).count()
+
+
 def test_a_look_up_reads_few_row_groups(spark, tmp_path, plain):
     """Over 60,000 events of 3,000 ids, one of which has a third of all."""
     ids = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("i"), F.pmod(F.xxhash64("id"), F.lit(3000))))
