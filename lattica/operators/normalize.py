@@ -15,7 +15,8 @@ from lattica.functions.similarity import list_similarity, normal_headers
 from lattica.functions.text import strip
 from lattica.operators.components import components
 from lattica.operators.header_index import similar_lists
-from lattica.session import checkpointed
+from lattica.operators.parse import run_at, runs_of
+from lattica.session import checkpointed, stored
 
 CLUSTER_SIMILARITY, ASSIGN_SIMILARITY = 0.75, 0.70
 
@@ -112,15 +113,15 @@ def best_below(lists: DataFrame, names: DataFrame) -> DataFrame:
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(scored, f"a {kind}, schema_ord int, score double")
 
 
-def best_match(tables: DataFrame, schemas: DataFrame, at_least: float = ASSIGN_SIMILARITY, below: bool = True) -> DataFrame:
-    """``(ord, schema_id, score)``: the most similar schema of each table ``(ord, headers)``; of equals the first; none
-    at similarity 0.
+def best_of_kinds(kinds: DataFrame, schemas: DataFrame, at_least: float = ASSIGN_SIMILARITY, below: bool = True) -> DataFrame:
+    """``(first, headers, schema_id, score)``: the most similar schema of each list of headers of ``kinds`` (see ``kinds_of``); of equals the
+    first; none at similarity 0.
 
-    ``schemas(schema_ord, schema_id, canonical_columns, column_mapping)``. Distinct lists of headers meet the schemas
-    that share a near header with them (``similar_lists``); that answers all lists that some schema fits. With
-    ``below`` the others are compared with all schemas, block by block, for the score that they are reported with.
+    ``schemas(schema_ord, schema_id, canonical_columns, column_mapping)``. The lists meet the schemas that share a near
+    header with them (``similar_lists``); that answers all lists that some schema fits. With ``below`` the others are
+    compared with all schemas, block by block, for the score that they are reported with.
     """
-    kinds = checkpointed(kinds_of(tables))
+    kinds = checkpointed(kinds)
     names = checkpointed(schema_names(schemas, "schema_ord", "schema_id"))
     lists = kinds.select(F.col("first").alias("a"), F.col("names").alias("ha"))
     near = similar_lists(lists, names.select(F.col("schema_ord").alias("b"), F.col("names").alias("hb")), at_least).withColumnRenamed("b", "schema_ord")
@@ -130,6 +131,12 @@ def best_match(tables: DataFrame, schemas: DataFrame, at_least: float = ASSIGN_S
         best_of = checkpointed(best_of)
         best_of = best_of.union(best(best_below(lists.join(best_of, "a", "left_anti"), names.select("schema_ord", "names"))))
     found = best_of.join(names.select("schema_ord", "schema_id"), "schema_ord").join(kinds.select(F.col("first").alias("a"), "headers"), "a")
+    return found.select(F.col("a").alias("first"), "headers", "schema_id", "score")
+
+
+def best_match(tables: DataFrame, schemas: DataFrame, at_least: float = ASSIGN_SIMILARITY, below: bool = True) -> DataFrame:
+    """``(ord, schema_id, score)``: the most similar schema of each table ``(ord, headers)``, by its list of headers (see ``best_of_kinds``)."""
+    found = best_of_kinds(kinds_of(tables), schemas, at_least, below)
     return tables.select("ord", "headers").join(found, "headers").select("ord", "schema_id", "score")
 
 
@@ -284,3 +291,55 @@ def prepare_and_consolidate(tables: DataFrame, cells: DataFrame, approved: DataF
     matched = tables.join(best_match(tables, approved, at_least, below=False), "ord")
     mapping = column_map(matched, approved)
     return consolidate(cells, mapping, tables).join(matched.select("ord", "schema_id"), "ord")
+
+
+def parsed_tables(parsed: DataFrame) -> DataFrame:
+    """``(page_id, table_index, headers, headed, cells(row, col, text, cancelled))`` of the tables of parsed pages that have cells, these in order.
+
+    ``headers`` are those that ``fingerprints`` tells: of a table without a head what its first row says. It is made where the page stands:
+    nothing is dealt, and the time is in proportion to the page. A table's place in its page is its number; parsed texts have no blanks
+    around them."""
+
+    def short(c: Column) -> Column:
+        contents = F.transform(c["chunks"], lambda x: x["content"])
+        first = F.when(F.size(F.get("tables", c["table_index"])["headers"]) == 0, F.coalesce(F.get(contents, F.lit(0)), F.lit("")))
+        cancelled = F.exists(c["chunks"], lambda x: x["style"] == "cancelled")
+        return F.struct(c["table_index"].alias("table_index"), c["row"].alias("row"), c["col"].alias("col"), F.array_join(contents, " ").alias("text"), cancelled.alias("cancelled"), first.alias("first"))
+
+    pages = parsed.select("page_id", "tables", F.sort_array(F.transform("cells", short)).alias("cells")).withColumn("starts", runs_of("cells", "table_index"))
+    each = F.transform("starts", lambda s, k: F.struct(F.get("tables", F.get("cells", s)["table_index"]).alias("t"), run_at("cells", "starts", s, k).alias("cells")))
+    tables = pages.select("page_id", F.explode(each).alias("x")).select("page_id", "x.t.table_index", "x.t.headers", "x.cells")
+    headed = F.size("headers") > 0
+    first_row = F.transform(F.filter("cells", lambda c: c["row"] == F.get("cells", F.lit(0))["row"]), lambda c: c["first"])
+    return tables.select("page_id", "table_index", F.when(headed, F.col("headers")).otherwise(first_row).alias("headers"), headed.alias("headed"), F.transform("cells", lambda c: c.dropFields("table_index", "first")).alias("cells"))
+
+
+def consolidate_pages(parsed: DataFrame, approved: DataFrame, at_least: float = ASSIGN_SIMILARITY) -> DataFrame:
+    """``(page_id, table_index, row, values, cancelled_fields, schema_id)``: ``prepare_and_consolidate`` for the tables of parsed pages, which are stored
+    in the form of ``parsed_tables``.
+
+    A schema and the canonical names of columns are found once for each list of headers; tables only look theirs up, and rows are
+    made where the table stands. So no more than the distinct lists of headers is dealt, as long as those that a schema
+    fits are few enough to be sent; else tables are dealt by their headers."""
+    tables = stored(parsed_tables(parsed))
+    kinds = kinds_of(tables.select(F.concat_ws(":", "page_id", "table_index").alias("ord"), "headers"))
+    fits = checkpointed(best_of_kinds(kinds, approved, at_least, below=False).select(F.col("first").alias("ord"), "headers", "schema_id"))
+    columns = column_map(fits, approved).groupBy("ord").agg(F.collect_list(F.struct("col", "canonical")).alias("columns"))
+    name = lambda i: F.get(F.filter("columns", lambda x: x["col"] == i), F.lit(0))["canonical"]
+    named = fits.join(columns, "ord").select("headers", "schema_id", F.transform("headers", lambda h, i: name(i)).alias("canonical"))
+    # Written, as then its size is known: what is small is sent before the tables would be dealt.
+    found = tables.join(stored(named), "headers")
+
+    counts = lambda c: F.get("canonical", c["col"]).isNotNull() & ~(F.col("headed") & (c["row"] == 0))
+    field = lambda c: F.struct(c["row"].alias("row"), F.get("canonical", c["col"]).alias("canonical"), c["col"].alias("col"), c["text"].alias("text"), c["cancelled"].alias("cancelled"))
+    fields = F.sort_array(F.transform(F.filter("cells", counts), field))
+    told = found.select("page_id", "table_index", "schema_id", fields.alias("fields"))
+    # of cells with one canonical name the last counts: one that the next is not of the same row and name
+    last = lambda f, i: F.coalesce((F.get("fields", i + 1)["row"] != f["row"]) | (F.get("fields", i + 1)["canonical"] != f["canonical"]), F.lit(True))
+    told = told.withColumn("last", F.filter("fields", last)).withColumn("starts", runs_of("last", "row"))
+    rows = told.select("page_id", "table_index", "schema_id", F.explode(F.transform("starts", lambda s, k: run_at("last", "starts", s, k))).alias("f"))
+    rows = rows.where(F.exists("f", lambda x: x["text"] != ""))
+    return rows.select(
+        "page_id", "table_index", F.get("f", F.lit(0))["row"].alias("row"), F.map_from_entries(F.transform("f", lambda x: F.struct(x["canonical"], x["text"]))).alias("values"),
+        F.transform(F.filter("f", lambda x: x["cancelled"]), lambda x: x["canonical"]).alias("cancelled_fields"), "schema_id",
+    )

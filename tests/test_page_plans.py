@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import attach, parse, search
+from lattica.operators import attach, normalize, parse, search
 from lattica.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +99,54 @@ def test_references_once_a_page_need_no_exchange(spark):
     assert [r.prov_path for r in found.collect()] == ["page:p/table:0/row:0/col:0"]
     shown = found.select("attachment_id", "prov_path")._jdf.queryExecution().executedPlan().toString()
     assert shown.count("Exchange hashpartitioning(page_id") == 1 and "filename#" in shown.split("Exchange hashpartitioning(page_id")[1].split(")")[0]  # that of the metadata
+
+
+def random_pages(n):
+    """Pages of tables, every other with something odd at some place."""
+    rng = random.Random(11)
+    texts = ["", "x", " y ", "<b>y</b> z", "a&amp;b", "<p>k<br></p>m", "<del>7</del>", "<s>g</s> <i>h</i>", "<a href='/download/attachments/1/f%20g.pdf?v=1&amp;x=2'>f</a>", "u<br/>v", "\u00a0w\x1c"]
+    cell = lambda t: f"<{t}{rng.choice(('', '', '', ' colspan=2', ' class=q', chr(10) + 'id=i'))}>{rng.choice(texts)}</{t}>"
+    row = lambda t=None: "<tr>" + rng.choice(("", "", " ")).join(cell(t or rng.choice(("td", "td", "td", "th"))) for _ in range(rng.randrange(5))) + "</tr>" + rng.choice(("", chr(10)))
+    rows = lambda: rng.choice((row("th"), row(), "")) + "".join(row("td") for _ in range(rng.randrange(4)))
+    table = lambda: rng.choice(("<table>", "<table class='t'>")) + rng.choice((rows(), f"<thead>{row('th')}</thead><tbody>{rows()}</tbody>")) + "</table>"
+    odd = ["</s>", "<td>", "<td rowspan=2>", "</tr>", "<table>", "</table>", "<!-- <tr> -->", "<li>", "<script>", "<ri:attachment ri:filename=f />", "</td>", "<table><tr><td>n</td></tr></table>", "&quot", "<del>"]
+    for k in range(n):
+        html = "".join(rng.choice(("<s>", "</s>", "<p>", "<b>q</b>", "text", "")) + table() for _ in range(rng.randrange(1, 4))) + rng.choice(("", "<p>e"))
+        if k % 2:
+            at = rng.randrange(len(html) + 1)
+            html = html[:at] + rng.choice(odd) + html[at:]
+        yield html
+
+
+def test_tables_of_plain_pages_need_no_tree(monkeypatch):
+    """What splitting finds is what the tree gives, and ordinary pages of tables are never walked."""
+    kind, plain = parse._arrow_kinds()["cells"], 0
+    for html in random_pages(4000):
+        want, cells = parse.walked("p", html, True), parse.Cells()
+        found = parse.plain_page("p", html, cells)
+        plain += found is not None
+        if found is not None:
+            cells.end_page()
+            assert found | {"cells": cells.array(kind).to_pylist()[0]} == want, html
+            assert parse.plain_page("p", html, None, False)["tables"] == want["tables"], html
+    assert plain > 1500
+    monkeypatch.setattr(parse, "walked", None)
+    page = "<h1>O</h1><s><table><thead><tr><th>Part <b>no</b></th></tr></thead><tbody><tr><td>1</td><td><del>2</del></td></tr></tbody></table></s><p>Total:</p><table><tr><td colspan=2>x</td></tr></table>"
+    assert [t["n_rows"] for t in parse.read_page("p", page, True, parse.Cells())["tables"]] == [2, 1]
+
+
+def test_rows_and_texts_of_tables_are_made_in_their_page(spark):
+    """Without a join or an exchange by page, and the same as by joins and groups, for odd pages too."""
+    whole = parse.parse_pages(spark.createDataFrame(list(enumerate(random_pages(150))), "page_id long, html string"))
+    head = "<table><tr><th>Part</th><th>No</th><th>part</th></tr>"
+    pages = [f"{head}<tr><td>1</td><td>2</td><td>{x}</td></tr><tr><td></td></tr>{y}</table>" for x in ("", "<s>3</s>", "<table><tr><td>Part</td><td>No</td></tr><tr><td>8</td><td>9</td></tr></table>") for y in ("", "<tr><td rowspan=2>4<td colspan=2>5</tr><tr></tr>")]
+    whole = whole.union(parse.parse_pages(spark.createDataFrame([(f"q{k}", h) for k, h in enumerate(pages)], "page_id string, html string"))).cache()
+    tables, cells = parse.flat(whole, "tables"), parse.flat(whole, "cells")
+    schemas = spark.createDataFrame([(0, "s", ["part", "no"], {"Part": "part", "No": "no", "x": "no"}), (1, "t", ["x"], {"x": "x", "y": "x"})], "schema_ord int, schema_id string, canonical_columns array<string>, column_mapping map<string,string>")
+    ordered = lambda df: df.withColumn("ord", F.concat_ws(":", "page_id", "table_index"))
+    rows = lambda df, key: sorted((r[key], r.row, str(r["values"]), str(r.cancelled_fields), r.schema_id) for r in df.collect())
+    want = rows(normalize.prepare_and_consolidate(ordered(normalize.fingerprints(tables, cells)), ordered(cells), schemas), "ord")
+    found = normalize.consolidate_pages(whole, schemas)
+    assert rows(ordered(found), "ord") == want and len(want) > 12
+    assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
+    whole.unpersist()
