@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.text import iso, strip
+from lattica.operators.parse import run_at, runs_of
 
 #: Columns of the node table beyond id, type, time, page and the delete flag.
 NODE_COLUMNS = {
@@ -75,17 +76,17 @@ def table_nodes(tables: DataFrame) -> DataFrame:
     )
 
 
-def table_id() -> Column:
-    return F.concat("page_id", F.lit("_table_"), F.col("table_index"))
+def table_id(index: Column | str = "table_index") -> Column:
+    return F.concat("page_id", F.lit("_table_"), index)
 
 
 def row_id() -> Column:
     return F.concat(table_id(), F.lit("_row_"), F.col("row"))
 
 
-def row_vector_id() -> Column:
+def row_vector_id(index: Column | str = "table_index", row: Column | str = "row") -> Column:
     """Vectors of rows have ids of their own: with two underscores, and of head rows too."""
-    return F.concat(table_id(), F.lit("__row_"), F.col("row"))
+    return F.concat(table_id(index), F.lit("__row_"), row)
 
 
 def attachment_node_id() -> Column:
@@ -167,6 +168,26 @@ def row_texts(cells: DataFrame) -> DataFrame:
     return grouped.select("page_id", "table_index", "row", F.array_join(F.transform("parts", lambda p: p["s"]), " | ").alias("text"))
 
 
+def page_row_texts(pages: DataFrame, *kept: str) -> DataFrame:
+    """``row_texts`` of the top-level tables of parsed pages ``(tables, cells)``, in an array ``rows(table_index, row, text)`` a page, with
+    the columns ``kept``: what a row is made of stands in its page, so nothing is dealt. Parsed texts have no blanks around them."""
+    cells = F.filter("cells", lambda c: (F.size(c["chunks"]) > 0) & F.get("tables", c["table_index"])["parent_table"].isNull())
+
+    def named(c: Column) -> Column:
+        header = F.coalesce(F.get(F.get("tables", c["table_index"])["headers"], c["col"]), F.concat(F.lit("col_"), c["col"]))
+        text = F.concat(header, F.lit(": "), F.array_join(F.transform(c["chunks"], lambda x: x["content"]), " "))
+        return F.struct(c["table_index"].alias("table_index"), c["row"].alias("row"), c["col"].alias("col"), text.alias("s"))
+
+    told = pages.select(*kept, F.sort_array(F.transform(cells, named)).alias("_cells")).withColumn("_starts", runs_of("_cells", "table_index", "row"))
+
+    def row(start: Column, k: Column) -> Column:
+        first = F.get("_cells", start)
+        texts = F.transform(run_at("_cells", "_starts", start, k), lambda x: x["s"])
+        return F.struct(first["table_index"].alias("table_index"), first["row"].alias("row"), F.array_join(texts, " | ").alias("text"))
+
+    return told.select(*kept, F.transform("_starts", row).alias("rows"))
+
+
 def chunk_text(filename: Column, title: Column, date: Column, chunk: Column) -> Column:
     return F.concat_ws(
         "\n", F.concat(F.lit("File: "), filename), F.concat(F.lit("Page: "), title, F.lit(" | Date: "), F.date_format(date, "yyyy-MM-dd")), chunk

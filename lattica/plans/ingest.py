@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.text import chunk_udf
 from lattica.operators import attach, extract, graph, normalize
-from lattica.operators.parse import flat, parse_pages
+from lattica.operators.parse import PARTS, flat, parse_pages
 from lattica.sources.files import EXTRACTORS
 from lattica.sources.providers import Embedder, Extractor, embed, model_events, model_ids
 
@@ -47,24 +47,31 @@ def ingest(
     validator: Callable[[DataFrame], DataFrame] | None = None,
     extractors: dict[str, attach.Extractor] = EXTRACTORS,
     keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+    with_refs: bool = True,
 ) -> dict[str, DataFrame]:
     """One plan for all pages ``(page_id, title, page_date, html)``; every result is a lazy DataFrame.
 
     ``metadata`` and ``files`` are what the source has of attachments, ``model`` names further ids and the events of a
     page, ``embedder`` makes vectors, ``classifier`` names schemas for tables that none fits, ``validator`` tells which identifiers are
     valid (else ``known_ids`` do); what is not given is left out. Several results read the parsed pages and the attachments: ``keep`` is applied to
-    both (a checkpoint, say), so that they are made once where more than one result is used.
+    both (a checkpoint, say), so that they are made once where more than one result is used. Without ``with_refs`` the pages' references, which only
+    attachments need, are not looked for.
     """
     spark = pages.sparkSession
-    parsed = keep(parse_pages(pages))
+    told = [c for c in ("title", "page_date") if c in pages.columns]
+    parts = [p for p in PARTS if with_refs or p != "refs"]
+    parsed = keep(parse_pages(pages, parts=parts, carried=told))  # with what is told of the page, so that nothing has to be joined to it again
     failed = parsed.where("error IS NOT NULL").select("page_id", "error")
-    chunks, tables, cells, refs = (flat(parsed, w) for w in ("chunks", "tables", "cells", "refs"))
-    dated = pages.select(F.col("page_id").cast("string"), *(F.col(c) if c in pages.columns else F.lit(None).cast(t).alias(c) for c, t in (("title", "string"), ("page_date", "timestamp_ntz"))))
-    dated = dated.withColumnRenamed("page_date", "timestamp").join(failed, "page_id", "left_anti")
+    flats = {w: flat(parsed.drop(*told), w) for w in parts}
+    chunks, tables, cells = (flats[w] for w in ("chunks", "tables", "cells"))
+    whole = parsed.where("error IS NULL").select("page_id", *(F.col(c) if c in told else F.lit(None).cast(t).alias(c) for c, t in (("title", "string"), ("page_date", "timestamp_ntz"))), "chunks", "tables", "cells")
+    whole = whole.withColumnRenamed("page_date", "timestamp")
+    dated = whole.select("page_id", "title", "timestamp")
 
     attachments = spark.createDataFrame([], _ATTACHMENT)
+    more_tables = more_cells = None
     if metadata is not None and files is not None:
-        attachments = keep(read_attachments(refs, metadata, files, extractors).select(*(c.split()[0] for c in _ATTACHMENT.split(", "))))
+        attachments = keep(read_attachments(flats["refs"], metadata, files, extractors).select(*(c.split()[0] for c in _ATTACHMENT.split(", "))))
         more_tables, more_cells = attach.renumbered(tables, *attach.attachment_tables(attachments))
         # behind the page's own, in order
         behind = F.lit(1 << 30).cast("long") + F.row_number().over(W.partitionBy("page_id").orderBy("table_index", "row", "col"))
@@ -83,7 +90,9 @@ def ingest(
         )
         events = model_events(inputs, model)
     validated = extract.validate_ids(candidates, known_ids) if validator is None else keep(validator(candidates))
-    out = {"parsed": parsed, "failed": failed, "chunks": chunks, "tables": tables, "cells": cells, "refs": refs, "attachments": attachments, "texts": texts, "ids": validated}
+    out = {"parsed": parsed, "failed": failed, "chunks": chunks, "tables": tables, "cells": cells, "attachments": attachments, "texts": texts, "ids": validated}
+    if with_refs:
+        out["refs"] = flats["refs"]
     out["cancelled"] = extract.has_cancelled(chunks, cells, tables)
 
     top = tables.where("parent_table IS NULL")
@@ -112,23 +121,31 @@ def ingest(
     out["nodes"] = graph.build_nodes(dated_pages, dated_events, top.join(when, "page_id"), known, mentioned)
     out["edges"] = graph.build_edges(dated_events, top, known, mentioned)
     if embedder is not None:
-        out["vectors"] = embed(embedding_texts(dated, chunks, dated_events, top, cells, attachments), embedder)
+        out["vectors"] = embed(embedding_texts(whole, None if model is None else dated_events, more_tables, more_cells, None if more_cells is None else attachments), embedder)
     return out
 
 
-def embedding_texts(pages: DataFrame, chunks: DataFrame, events: DataFrame, tables: DataFrame, cells: DataFrame, attachments: DataFrame) -> DataFrame:
-    """``(_id, kind, page_id, text)`` of all that gets a vector: pages, events, table rows, the head row too, and chunks of
-    attachments."""
-    bodies = chunks.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]).alias("body"))
-    whole = pages.join(bodies, "page_id", "left")
-    parts = whole.select(F.concat(F.lit("page_"), "page_id").alias("_id"), F.lit("ConfPage").alias("kind"), "page_id", graph.page_text(F.col("title"), F.col("timestamp"), F.col("body")).alias("text"))
-    told = events.join(pages.select("page_id", "title"), "page_id")
-    text = graph.event_text(*(F.col(c) for c in ("event_type", "description", "title", "timestamp", "app_ids", "project_ids")))
-    parts = parts.unionByName(told.select("_id", F.lit("Event").alias("kind"), "page_id", text.alias("text")))
-    body = cells.join(tables.select("page_id", "table_index", "headers"), ["page_id", "table_index"])
-    named = body.withColumns({"header": F.get("headers", F.col("col")), "text": normalize.cell_text(F.col("chunks"))})
-    rows = graph.row_texts(named).where("text <> ''")
-    parts = parts.unionByName(rows.select(graph.row_vector_id().alias("_id"), F.lit("row").alias("kind"), "page_id", "text"))
+def embedding_texts(pages: DataFrame, events: DataFrame | None, tables: DataFrame | None, cells: DataFrame | None, attachments: DataFrame | None) -> DataFrame:
+    """``(_id, kind, page_id, text)`` of all that gets a vector: parsed ``pages(page_id, title, timestamp, chunks, tables, cells)``, events, table rows,
+    the head row too, and chunks of attachments. ``tables`` and ``cells`` are those of attachments: a page's own are told where it stands. What is not
+    there is None, so that no page is dealt to be joined with nothing."""
+    rows = graph.page_row_texts(pages, "page_id", "title", "timestamp", "chunks")
+    body = F.transform("chunks", lambda c: c["content"])
+    of = lambda _id, kind, text: F.struct(_id.alias("_id"), F.lit(kind).alias("kind"), text.alias("text"))
+    page = of(F.concat(F.lit("page_"), "page_id"), "ConfPage", graph.page_text(F.col("title"), F.col("timestamp"), body))
+    own = F.concat(F.array(page), F.transform("rows", lambda r: of(graph.row_vector_id(r["table_index"], r["row"]), "row", r["text"])))
+    parts = rows.select("page_id", F.explode(own).alias("x")).select("x._id", "x.kind", "page_id", "x.text")
+    if events is not None:
+        told = events.join(pages.select("page_id", "title"), "page_id")
+        text = graph.event_text(*(F.col(c) for c in ("event_type", "description", "title", "timestamp", "app_ids", "project_ids")))
+        parts = parts.unionByName(told.select("_id", F.lit("Event").alias("kind"), "page_id", text.alias("text")))
+    if tables is not None and cells is not None:
+        found = cells.join(tables.where("parent_table IS NULL").select("page_id", "table_index", "headers"), ["page_id", "table_index"])
+        named = found.withColumns({"header": F.get("headers", F.col("col")), "text": normalize.cell_text(F.col("chunks"))})
+        more = graph.row_texts(named).where("text <> ''")
+        parts = parts.unionByName(more.select(graph.row_vector_id().alias("_id"), F.lit("row").alias("kind"), "page_id", "text"))
+    if attachments is None:
+        return parts
     pieces = attachments.where("error IS NULL AND text <> ''").select("page_id", "attachment_id", "filename", F.posexplode(chunk_udf()("text")).alias("idx", "chunk"))
     told = pieces.join(pages.select("page_id", "title", "timestamp"), "page_id")
     chunk = graph.chunk_text(F.col("filename"), F.col("title"), F.col("timestamp"), F.col("chunk"))

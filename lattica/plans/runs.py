@@ -99,7 +99,7 @@ def ingest_runs(spark, sf):
 def ingest_vectors(spark, sf):
     """All that the ingest plan makes vectors of, head rows too, with its ids; the embedder tells the length of a text."""
     pages = _order_pages(spark, sf).select("page_id", F.concat(F.lit("Order "), "page_id").alias("title"), F.col("timestamp").alias("page_date"), "html")
-    found = ingest(pages, embedder=lambda texts: [[float(len(t))] for t in texts], keep=stored)["vectors"]
+    found = ingest(pages, embedder=lambda texts: [[float(len(t))] for t in texts], keep=stored, with_refs=False)["vectors"]
     return found.select("_id", "kind", F.md5("text").alias("text_md5"), F.col("embedding")[0].cast("double").alias("vector"))
 
 

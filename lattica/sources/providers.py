@@ -10,6 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,18 +44,23 @@ def embed(df: DataFrame, embedder: Embedder, text_col: str = "text", into: str =
     """Vectors of texts, ``size`` texts a call. Where a call fails its texts are tried one by one; a text that fails
     keeps its row, without a vector and with the reason in ``{into}_error``."""
 
-    @F.pandas_udf("struct<v:array<float>,error:string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        def vectors(texts: list[str]) -> list[tuple]:
+    @F.arrow_udf("struct<v:array<float>,error:string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def vectors(texts: list[str]) -> tuple[list, list]:
             try:
-                return [(v, None) for v in embedder(texts)]
+                found = list(embedder(texts))
+                return found, [None] * len(found)
             except Exception as e:  # noqa: BLE001  rows stay, unembedded, as when the service is down
-                return [(None, str(e)[:500])] if len(texts) == 1 else [x for t in texts for x in vectors([t])]
+                if len(texts) == 1:
+                    return [None], [str(e)[:500]]
+                each = [vectors([t]) for t in texts]
+                return [v for x, _ in each for v in x], [e for _, x in each for e in x]
 
         for whole in batches:
-            texts = [t or "" for t in whole]
-            found = [x for at in range(0, len(texts), size) for x in vectors(texts[at : at + size])]
-            yield pd.DataFrame(found, columns=["v", "error"])
+            texts = [t or "" for t in whole.to_pylist()]
+            found = [vectors(texts[at : at + size]) for at in range(0, len(texts), size)]
+            columns = [pa.array([v for x in found for v in x[k]], kind) for k, kind in ((0, pa.list_(pa.float32())), (1, pa.string()))]
+            yield pa.StructArray.from_arrays(columns, ["v", "error"])
 
     out = df.withColumn("_v", run(text_col))
     return out.select(*df.columns, F.col("_v.v").alias(into), F.col("_v.error").alias(f"{into}_error"))

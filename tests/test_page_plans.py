@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import attach, normalize, parse, search
+from lattica.operators import attach, graph, normalize, parse, search
 from lattica.plans import registry
+from lattica.plans.ingest import ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -142,6 +143,11 @@ def test_rows_and_texts_of_tables_are_made_in_their_page(spark):
     pages = [f"{head}<tr><td>1</td><td>2</td><td>{x}</td></tr><tr><td></td></tr>{y}</table>" for x in ("", "<s>3</s>", "<table><tr><td>Part</td><td>No</td></tr><tr><td>8</td><td>9</td></tr></table>") for y in ("", "<tr><td rowspan=2>4<td colspan=2>5</tr><tr></tr>")]
     whole = whole.union(parse.parse_pages(spark.createDataFrame([(f"q{k}", h) for k, h in enumerate(pages)], "page_id string, html string"))).cache()
     tables, cells = parse.flat(whole, "tables"), parse.flat(whole, "cells")
+    top = tables.where("parent_table IS NULL").select("page_id", "table_index", "headers")
+    named = cells.join(top, ["page_id", "table_index"]).withColumns({"header": F.get("headers", F.col("col")), "text": normalize.cell_text(F.col("chunks"))})
+    want = sorted(map(tuple, graph.row_texts(named).where("text <> ''").collect()))
+    assert sorted(map(tuple, graph.page_row_texts(whole, "page_id").select("page_id", F.inline("rows")).collect())) == want and len(want) > 200
+
     schemas = spark.createDataFrame([(0, "s", ["part", "no"], {"Part": "part", "No": "no", "x": "no"}), (1, "t", ["x"], {"x": "x", "y": "x"})], "schema_ord int, schema_id string, canonical_columns array<string>, column_mapping map<string,string>")
     ordered = lambda df: df.withColumn("ord", F.concat_ws(":", "page_id", "table_index"))
     rows = lambda df, key: sorted((r[key], r.row, str(r["values"]), str(r.cancelled_fields), r.schema_id) for r in df.collect())
@@ -150,3 +156,5 @@ def test_rows_and_texts_of_tables_are_made_in_their_page(spark):
     assert rows(ordered(found), "ord") == want and len(want) > 12
     assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
     whole.unpersist()
+    texts = ingest(spark.createDataFrame([("1", pages[0])], "page_id string, html string"), embedder=lambda t: [[0.0]] * len(t))["vectors"]
+    assert "Join" not in plan(texts) and texts.where("kind = 'row'").count() == 2
